@@ -6,6 +6,9 @@ import importlib
 
 #: Query name -> module of this subpackage with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
+    "op1_simhash_dedup": "simhash",
+    "op3_source_mixing": "mixing",
+    "op6_decontamination": "decontaminate",
     "op8_quality_rules": "quality_rules",
 }
 
