@@ -8,8 +8,10 @@ import importlib
 MODULES = {
     "op1_simhash_dedup": "simhash",
     "op3_source_mixing": "mixing",
+    "op5_tiered_sharding": "sharding",
     "op6_decontamination": "decontaminate",
     "op8_quality_rules": "quality_rules",
+    "op10_warc_shards": "warc",
 }
 
 
