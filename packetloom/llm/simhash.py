@@ -176,26 +176,42 @@ def _split(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[np.ndar
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verified links (a, b) under each key; (a, null) for members of hot keys."""
+    """(a, b) from the first to each other one of those that verified links join under a key; (a, null) for members of hot keys."""
     for key, fp, hot in _runs(batches, RUN):
         if hot:
             members = np.unique(fp)
             yield pd.DataFrame({"a": members, "b": pd.array([None] * len(members), dtype="Int64")})
             continue
-        found, at, bits = [], np.arange(len(key)), fp.view(np.uint64)
+        left, right, at, bits = [], [], np.arange(len(key)), fp.view(np.uint64)
         for d in range(1, RUN):
             at = at[at + d < len(key)]
             at = at[key[at] == key[at + d]]
             if not len(at):
                 break
             near = at[np.bitwise_count(bits[at] ^ bits[at + d]) <= BITS]
-            found.append(np.stack([fp[near], fp[near + d]], axis=1))
-        links = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            left.append(near)
+            right.append(near + d)
+        root = _roots(len(key), np.concatenate([[], *left]).astype(np.int64), np.concatenate([[], *right]).astype(np.int64))
+        links = np.stack([fp[root], fp], axis=1)[root != np.arange(len(key))]
         if len(links):
-            links = np.unique(np.sort(links, axis=1), axis=0)
+            links = np.unique(links, axis=0)
             yield pd.DataFrame({"a": links[:, 0], "b": pd.array(links[:, 1], dtype="Int64")})
 
 
+def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first of the rows that links join, for each of ``n`` rows."""
+    root = np.arange(n)
+    while len(left):
+        least, new = np.minimum(root[left], root[right]), root.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def _starred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A link from the first fingerprint under each point to every other one there."""
     key = fp = None
