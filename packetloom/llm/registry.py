@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_simhash_dedup": "simhash",
     "op3_source_mixing": "mixing",
+    "op4_personal_data": "pii",
     "op5_tiered_sharding": "sharding",
     "op6_decontamination": "decontaminate",
     "op8_quality_rules": "quality_rules",
