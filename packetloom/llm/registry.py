@@ -12,6 +12,7 @@ MODULES = {
     "op5_tiered_sharding": "sharding",
     "op6_decontamination": "decontaminate",
     "op8_quality_rules": "quality_rules",
+    "op9_line_quality": "line_quality",
     "op10_warc_shards": "warc",
 }
 
