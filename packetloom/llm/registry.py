@@ -11,6 +11,7 @@ MODULES = {
     "op4_personal_data": "pii",
     "op5_tiered_sharding": "sharding",
     "op6_decontamination": "decontaminate",
+    "op7_toxicity": "toxicity",
     "op8_quality_rules": "quality_rules",
     "op9_line_quality": "line_quality",
     "op10_warc_shards": "warc",
