@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module of this subpackage with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
     "op1_simhash_dedup": "simhash",
+    "op2_license_scan": "licenses",
     "op3_source_mixing": "mixing",
     "op4_personal_data": "pii",
     "op5_tiered_sharding": "sharding",
