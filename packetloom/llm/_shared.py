@@ -44,7 +44,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     because the caller's lazy result reads them.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._packetloom_path = path
     return out
