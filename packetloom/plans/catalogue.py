@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import importlib
+
+from pyspark.sql import DataFrame, SparkSession
+
+from packetloom.plans import registry
+
+MODULES = ("q_functions", "q_joins", "q_grids", "q_stats", "q_windows", "q_sources", "q_signal")
+
+
+def _loaded() -> None:
+    for m in MODULES:
+        importlib.import_module(f"packetloom.plans.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _loaded()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _loaded()
+    return dict(registry.SQL)
 
 
-def flagship(spark, sf_dir: str):
-    return queries()["entry"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region tags by as-of join, occupancy per bin and region, and the occurrence rate."""
+    return queries()["agg_rate"](spark, sf_dir)
