@@ -30,3 +30,16 @@ def clean(c: Column) -> Column:
 def seconds(ts: Column) -> Column:
     """POSIX seconds of a timestamp as a double; naive times are UTC."""
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one where none is set."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/packetloom-{label}-{uuid.uuid4().hex}"
