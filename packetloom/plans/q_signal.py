@@ -1,0 +1,358 @@
+"""Queries of the spectral, wavelet and tracing operators."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from packetloom.functions import coords
+from packetloom.functions.bands import polarization_class
+from packetloom.operators import signal as sg
+from packetloom.operators import tracing
+from packetloom.operators.ordered import stride
+from packetloom.plans.q_stats import SIG, signal
+from packetloom.plans.registry import ev, pos, query, table
+
+c = F.col
+DT = 60.0
+
+
+def _dft(n: int, step: int, average: bool) -> str:
+    frames = (64 - n) // step + 1
+    dft = f"""SELECT seg, fr, kf, pow(sum(v * w * cos(2 * pi() * kf * j / {n})), 2) + pow(sum(v * w * sin(2 * pi() * kf * j / {n})), 2) AS p FROM (
+  SELECT seg, fr, i - fr * {step} AS j, v, 0.5 - 0.5 * cos(2 * pi() * (i - fr * {step}) / {n}) AS w FROM {SIG}, range(0, {frames}) f(fr) WHERE i >= fr * {step} AND i < fr * {step} + {n}), range(0, {n // 2 + 1}) k(kf) GROUP BY 1, 2, 3"""
+    scale = f"p * CASE WHEN kf IN (0, {n // 2}) THEN 1 ELSE 2 END * {DT} / {0.375 * n}"
+    return f"SELECT seg, kf AS f, round(avg({scale}), 5) AS psd FROM ({dft}) GROUP BY 1, 2" if average else f"SELECT seg, fr AS t, kf AS f, round({scale}, 5) AS psd FROM ({dft})"
+
+
+def psd(spark: SparkSession, d: str) -> DataFrame:
+    def one(v: np.ndarray) -> pd.DataFrame:
+        f, p = sg.welch(v, DT, 32)
+        return pd.DataFrame({"f": np.arange(len(f)), "freq": f, "psd": p})
+
+    return sg.per_segment(signal(spark, d), "seg", "i", ["v"], one, "f bigint, freq double, psd double")
+
+
+@query("sig_welch", _dft(32, 16, True))
+def sig_welch(spark: SparkSession, d: str) -> DataFrame:
+    return psd(spark, d).select("seg", "f", F.round("psd", 5).alias("psd"))
+
+
+@query("sig_spectrogram", _dft(16, 16, False))
+def sig_spectrogram(spark: SparkSession, d: str) -> DataFrame:
+    def one(v: np.ndarray) -> pd.DataFrame:
+        f, p = sg.spectra(v, DT, 16, 0)
+        return pd.DataFrame({"t": np.repeat(np.arange(len(p)), len(f)), "f": np.tile(np.arange(len(f)), len(p)), "psd": p.ravel()})
+
+    return sg.per_segment(signal(spark, d), "seg", "i", ["v"], one, "t bigint, f bigint, psd double").withColumn("psd", F.round("psd", 5))
+
+
+def waves(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of 1536 samples in three components, from 72 vectors each: (seg, i, p, a, b)."""
+    e = table(spark, d, "embeddings").select(F.floor(c("vec_id") / 72).alias("seg"), (c("vec_id") % 3).alias("comp"), (F.floor(c("vec_id") % 72 / 3) * 64).alias("at"), F.posexplode("embedding").alias("j", "v"))
+    e = e.groupBy("seg", (c("at") + c("j")).alias("i")).agg(*[F.max(F.when(c("comp") == k, c("v").cast("double"))).alias(n) for k, n in enumerate("pab")])
+    w = F.sin(c("i") * (2 * 3.141592653589793 / 60)) * F.exp(-0.5 * F.pow((c("i") - 760) / 160.0, F.lit(2.0)))
+    v = F.cos(c("i") * (2 * 3.141592653589793 / 60)) * F.exp(-0.5 * F.pow((c("i") - 760) / 160.0, F.lit(2.0)))
+    return e.dropna().select("seg", "i", "p", (c("a") + w).alias("a"), (c("b") + v).alias("b"))
+
+
+def _wave(name: str, values: list[str], one, schema: str):
+    """Register a grouped-map query over the wave segments: its result is rows of each segment's own samples."""
+    query(name)(lambda spark, d: sg.per_segment(waves(spark, d), "seg", "i", values, one, schema))
+
+
+def _background(v: np.ndarray) -> pd.DataFrame:
+    f, p = sg.welch(v, DT, 512)
+    return pd.DataFrame({"f": f[1:], "psd": p[1:], "background": sg.background(f[1:], p[1:], 51)})
+
+
+_wave("sig_background", ["a"], _background, "f double, psd double, background double")
+
+
+def _ratio(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    f = sg.welch(a, DT, 512)[0][1:]
+    each = [sg.welch(x, DT, 512)[1][1:] for x in (p, a, b)]
+    bg = sg.background(f, sum(each), 51)
+    return pd.DataFrame({"f": f, "par": each[0] / bg, "perp1": each[1] / bg, "perp2": each[2] / bg, "total": sum(each) / bg})
+
+
+_RATIO = "f double, par double, perp1 double, perp2 double, total double"
+_wave("sig_power_ratio", ["p", "a", "b"], _ratio, _RATIO)
+
+
+def _analyze(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Detrended by a three-hour mean, then spectra over their background."""
+    flat = [x - np.convolve(np.pad(x, 90, mode="edge"), np.ones(181) / 181, mode="valid") for x in (p, a, b)]
+    return _ratio(*flat)
+
+
+_wave("sig_analyze", ["p", "a", "b"], _analyze, _RATIO)
+_wave("sig_savgol", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.savgol(v, 21, 3)}), "i bigint, s double")
+
+
+def _cwt(v: np.ndarray) -> pd.DataFrame:
+    f, w = sg.morlet(v, DT, 40)
+    return pd.DataFrame({"f": f, "mean_power": np.mean(np.abs(w) ** 2, axis=1), "top": np.argmax(np.abs(w), axis=1)})
+
+
+_wave("sig_cwt", ["a"], _cwt, "f double, mean_power double, top bigint")
+
+
+@query("sig_xcorr", f"SELECT a.seg, CAST(l AS INTEGER) AS lag, round(sum(a.v * b.v), 5) AS r FROM {SIG} a, range(-5, 6) r(l), {SIG} b WHERE b.seg = a.seg AND b.i = a.i + l GROUP BY 1, 2")
+def sig_xcorr(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation at bounded lags by a join on the shifted place."""
+    a = signal(spark, d).select("seg", "i", "v").withColumn("lag", F.explode(F.sequence(F.lit(-5), F.lit(5))))
+    b = signal(spark, d).select(c("seg").alias("s"), c("i").alias("j"), c("v").alias("u"))
+    j = a.join(b, (c("s") == c("seg")) & (c("j") == c("i") + c("lag")))
+    return j.groupBy("seg", "lag").agg(F.round(F.sum(c("v") * c("u")), 5).alias("r"))
+
+
+def _phase(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(sg.running_phase(a, b, 240, 60, 60.0), columns=["i", "phase"])
+
+
+@query("win_running_phase")
+def win_running_phase(spark: SparkSession, d: str) -> DataFrame:
+    out = sg.per_segment(waves(spark, d), "seg", "i", ["a", "b"], _phase, "i bigint, phase double")
+    return out.withColumn("class", polarization_class(c("phase")))
+
+
+def _hilbert(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    t = sg.tukey(len(a))
+    rows = [(k, *s, *sg.geometry(*s)) for k, s in (("plain", sg.stokes(sg.analytic(a), sg.analytic(b))), ("tapered", sg.stokes(sg.analytic(a * t), sg.analytic(b * t))))]
+    return pd.DataFrame(rows, columns=["kind", "si", "sq", "su", "sv", "ellipticity", "inclination", "fraction"])
+
+
+_wave("sig_hilbert_stokes", ["a", "b"], _hilbert, "kind string, si double, sq double, su double, sv double, ellipticity double, inclination double, fraction double")
+
+
+def _percycle(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    za, zb = sg.analytic(sg.bandpass(a, 1 / 7200, 1 / 1800, DT)), sg.analytic(sg.bandpass(b, 1 / 7200, 1 / 1800, DT))
+    ell = [sg.geometry(*sg.stokes(za[k : k + 60], zb[k : k + 60]))[0] for k in range(0, len(a) - 59, 60)]
+    q1, q2, q3 = np.percentile(ell, (25, 50, 75))
+    return pd.DataFrame({"median": [q2], "iqr": [q3 - q1], "cycles": [len(ell)]})
+
+
+_wave("sig_percycle_ell", ["a", "b"], _percycle, "median double, iqr double, cycles bigint")
+_wave("sig_bandpass", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.bandpass(v, 1 / 7200, 1 / 1800, DT)}), "i bigint, s double")
+_wave("sig_envelope", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": np.abs(sg.analytic(sg.bandpass(v, 1 / 7200, 1 / 1800, DT)))}), "i bigint, s double")
+
+
+def _frequency(v: np.ndarray) -> pd.DataFrame:
+    phase = np.unwrap(np.angle(sg.analytic(sg.bandpass(v, 1 / 7200, 1 / 1800, DT))))
+    f = np.gradient(phase, DT) / (2 * np.pi)
+    slope, level = np.polyfit(np.arange(len(f)) * DT, f, 1)
+    return pd.DataFrame({"median_hz": [float(np.median(f))], "drift": [float(slope)], "start_hz": [float(level)]})
+
+
+_wave("sig_inst_freq", ["a"], _frequency, "median_hz double, drift double, start_hz double")
+_wave("sig_drift", ["b"], _frequency, "median_hz double, drift double, start_hz double")
+
+_TOP = f"(SELECT seg, max(abs(v)) AS top, arg_max(i, abs(v)) AS pk FROM {SIG} GROUP BY 1)"
+
+
+@query("sig_rise_fall", f"""SELECT s.seg, any_value(pk) - max(i) FILTER (WHERE i < pk AND abs(v) < 0.1 * top) AS rise, min(i) FILTER (WHERE i > pk AND abs(v) < 0.1 * top) - any_value(pk) AS fall FROM {SIG} s JOIN {_TOP} t ON s.seg = t.seg GROUP BY 1""")
+def sig_rise_fall(spark: SparkSession, d: str) -> DataFrame:
+    """Samples from a tenth of the peak up to it and down again."""
+    w = Window.partitionBy("seg")
+    s = signal(spark, d).withColumn("i", c("i").cast("long")).withColumn("top", F.max(F.abs("v")).over(w)).withColumn("at", F.max_by("i", F.abs("v")).over(w))
+    low = F.abs("v") < F.lit(0.1) * c("top")
+    g = s.groupBy("seg").agg(F.max("at").alias("at"), F.max(F.when((c("i") < c("at")) & low, c("i"))).alias("a"), F.min(F.when((c("i") > c("at")) & low, c("i"))).alias("b"))
+    return g.select("seg", (c("at") - c("a")).alias("rise"), (c("b") - c("at")).alias("fall"))
+
+
+@query("sig_harmonic", f"""WITH p AS (SELECT seg, kf, pow(sum(v * w * cos(2 * pi() * kf * i / 64)), 2) + pow(sum(v * w * sin(2 * pi() * kf * i / 64)), 2) AS p FROM (SELECT seg, i, v, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM {SIG}), range(6, 19) k(kf) GROUP BY 1, 2)
+SELECT seg, round(sum(p) FILTER (WHERE kf BETWEEN 14 AND 18) / sum(p) FILTER (WHERE kf BETWEEN 6 AND 10), 4) AS ratio FROM p GROUP BY 1""")
+def sig_harmonic(spark: SparkSession, d: str) -> DataFrame:
+    """Power about twice a frequency over that about it, from a transform at those bins only."""
+    turn = 2 * 3.141592653589793 / 64
+    s = signal(spark, d).withColumn("w", c("v") * (0.5 - 0.5 * F.cos(c("i") * turn))).withColumn("k", F.explode(F.sequence(F.lit(6), F.lit(18))))
+    p = s.groupBy("seg", "k").agg(F.sum(c("w") * F.cos(c("k") * c("i") * turn)).alias("x"), F.sum(c("w") * F.sin(c("k") * c("i") * turn)).alias("y"))
+    power = c("x") * c("x") + c("y") * c("y")
+    near = lambda a, b: F.sum(F.when(c("k").between(a, b), power))
+    return p.groupBy("seg").agg(F.round(near(14, 18) / near(6, 10), 4).alias("ratio"))
+
+
+@query("sig_growth", f"WITH r AS (SELECT seg, i // 8 AS cyc, sqrt(avg(v * v)) AS rms FROM {SIG} GROUP BY 1, 2) SELECT seg, round(regr_slope(20 * log10(rms), cyc), 5) AS growth FROM r GROUP BY 1")
+def sig_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Decibels per cycle."""
+    r = signal(spark, d).groupBy("seg", F.floor(c("i") / 8).alias("cyc")).agg(F.sqrt(F.avg(c("v") * c("v"))).alias("rms"))
+    return r.groupBy("seg").agg(F.round(F.regr_slope(20 * F.log10("rms"), "cyc"), 5).alias("growth"))
+
+
+@query("sig_cycle_coh", f"WITH r AS (SELECT a.seg, a.i // 8 AS cyc, corr(a.v, b.v) AS r FROM {SIG} a JOIN {SIG} b ON a.seg = b.seg AND b.i = a.i + 8 GROUP BY 1, 2) SELECT seg, round(avg(r), 5) AS coherence FROM r GROUP BY 1")
+def sig_cycle_coh(spark: SparkSession, d: str) -> DataFrame:
+    """Mean correlation of each cycle with the next."""
+    s = signal(spark, d).withColumn("u", F.lead("v", 8).over(Window.partitionBy("seg").orderBy("i"))).filter("u IS NOT NULL")
+    r = s.groupBy("seg", F.floor(c("i") / 8).alias("cyc")).agg(F.corr("v", "u").alias("r"))
+    return r.groupBy("seg").agg(F.round(F.avg("r"), 5).alias("coherence"))
+
+
+def _coherence(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    (f, wa), (_, wb) = sg.morlet(a, DT, 40), sg.morlet(b, DT, 40)
+    coh, phase = sg.wavelet_coherence(wa, wb, f, DT)
+    mean = np.angle(np.mean(np.exp(1j * phase) * coh, axis=1))
+    return pd.DataFrame({"f": f, "coherence": coh.mean(axis=1), "phase": mean})
+
+
+_wave("sig_coherence", ["a", "b"], _coherence, "f double, coherence double, phase double")
+
+
+def _matched(v: np.ndarray) -> pd.DataFrame:
+    snr = sg.matched(v, 3600.0, 4.0, DT)
+    return pd.DataFrame({"peak": [float(snr.max())], "at": [int(snr.argmax())], "median": [float(np.median(snr))]})
+
+
+_wave("sig_matched", ["a"], _matched, "peak double, at bigint, median double")
+
+
+def _masked(kind: str):
+    def one(v: np.ndarray) -> pd.DataFrame:
+        f, w = sg.morlet(v, DT, 100)
+        amp = np.abs(w)
+        if kind == "mad":
+            m = sg.mask_mad(amp, f, sg.sigma_for(f, len(v), DT))
+        elif kind == "pooled":  # the segment's own noise rows as its archive
+            rows = sg.noise_rows(f)
+            med = np.median(amp[rows], axis=1)
+            archive = {"x": (1 / f[rows], med, np.median(np.abs(amp[rows] - med[:, None]), axis=1))}
+            m = sg.mask_pooled(amp, f, archive, "x", sg.sigma_for(f, len(v), DT))
+        else:
+            m = (sg.mask_chi2 if kind == "chi2" else sg.mask_fdr)(amp, f, v, DT)
+        return pd.DataFrame({"f": f, "cells": m.sum(axis=1)})
+
+    return one
+
+
+for _kind in ("mad", "chi2", "fdr", "pooled"):
+    _wave(f"sig_mask_{_kind}", ["a"], _masked(_kind), "f double, cells bigint")
+
+
+@query("sig_bonferroni")
+def sig_bonferroni(spark: SparkSession, d: str) -> DataFrame:
+    """Independent cells and the matching number of deviations for each segment's length."""
+    from statistics import NormalDist
+
+    n = waves(spark, d).groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
+    f0, f1 = 1 / 14400, 0.5 / DT
+    cells = F.greatest(F.lit(1.0), c("n") * (DT * sg.OMEGA0 / (2 * 3.141592653589793) * (f1 - f0)))
+    quantile = F.pandas_udf(lambda v: pd.Series([NormalDist().inv_cdf(1 - sg.FWER / x) for x in v]), "double")
+    return n.select("seg", "n", cells.alias("cells"), quantile(cells).alias("n_sigma"))
+
+
+def _ridges(split: bool):
+    def one(v: np.ndarray) -> pd.DataFrame:
+        f, w = sg.morlet(v, DT)
+        amp = np.abs(w)
+        found = sg.ridges(amp, f, sg.mask_chi2(amp, f, v, DT), DT, edge=sg.coi(f, len(v), DT))
+        found = [x for r in found for x in sg.split_ridge(amp, r, DT)] if split else found
+        names = ["i0", "i1", "i", "period", "power", "fwhm", "pixels"]
+        return pd.DataFrame([[r[n] for n in names] for r in found], columns=names)
+
+    return one
+
+
+_RIDGE = "i0 bigint, i1 bigint, i bigint, period double, power double, fwhm double, pixels bigint"
+_wave("sig_ridges", ["a"], _ridges(False), _RIDGE)
+_wave("sig_ridge_split", ["b"], _ridges(True), _RIDGE)
+
+
+@query("sig_packets")
+def sig_packets(spark: SparkSession, d: str) -> DataFrame:
+    from packetloom.functions.bands import band_of
+
+    out = sg.per_segment(waves(spark, d), "seg", "i", ["a"], _ridges(False), _RIDGE)
+    return out.withColumn("band", band_of(c("period")))
+
+
+def _detect(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(sg.detect(p, a, b, DT), columns=sg.EVENT_NAMES)
+
+
+@query("sig_detect")
+def sig_detect(spark: SparkSession, d: str) -> DataFrame:
+    return sg.per_segment(waves(spark, d), "seg", "i", ["p", "a", "b"], _detect, sg.EVENT_SCHEMA)
+
+
+@query("sig_sweep")
+def sig_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """All segments: valid ones detected, peaks of the owned window kept under the amplitude cap, numbered by time."""
+    w = waves(spark, d)
+    valid = w.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).filter("n >= 1080").select("seg")
+    found = sg.per_segment(w.join(valid, "seg", "left_semi"), "seg", "i", ["p", "a", "b"], _detect, sg.EVENT_SCHEMA)
+    own = found.filter((c("i") >= 256) & (c("i") < 1280) & (F.greatest("amp_par", "amp1", "amp2") <= 10))
+    t = c("seg") * 1536 + c("i")
+    return own.withColumn("t", t).withColumn("event_id", F.row_number().over(Window.orderBy("t", "period_sec")) - 1)  # the catalogue, not samples
+
+
+@query("sig_peak_sigma")
+def sig_peak_sigma(spark: SparkSession, d: str) -> DataFrame:
+    """Deviations by which each detected peak stands above its row's median."""
+
+    def one(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        rows, (f, w) = sg.detect(p, a, b, DT), sg.morlet(a, DT)
+        out = []
+        for x in rows:
+            r = np.abs(w[int(np.argmin(np.abs(f - 1 / x["period_sec"])))])
+            mad = float(np.median(np.abs(r - np.median(r)))) or 1.0
+            out.append((x["i"], x["period_sec"], float((r[x["i"]] - np.median(r)) / (sg.MAD_TO_SIGMA * mad))))
+        return pd.DataFrame(out, columns=["i", "period_sec", "sigma"])
+
+    return sg.per_segment(waves(spark, d), "seg", "i", ["p", "a", "b"], one, "i bigint, period_sec double, sigma double")
+
+
+@query("sig_event_psd")
+def sig_event_psd(spark: SparkSession, d: str) -> DataFrame:
+    """Spectrum of the hourly series about each purchase, line removed, by period; at least 24 samples."""
+    from packetloom.operators.joins import in_intervals
+    from packetloom.operators.ordered import resample
+
+    grid = resample(ev(spark, d), "t", "value", 3600.0, ["user_id"])
+    spans = ev(spark, d).filter("event_type = 'purchase'").select(c("event_id").alias("peak"), "user_id", (c("t") - 43200).alias("lo"), (c("t") + 43200).alias("hi"))
+    j = in_intervals(grid.select("user_id", "t_grid", "value"), spans, "t_grid", "lo", "hi", ["user_id"], width=43200.0)
+
+    def one(v: np.ndarray) -> pd.DataFrame:
+        if len(v) < 24:
+            return pd.DataFrame({"period_h": [], "psd": []})
+        x = np.arange(len(v))
+        f, p = sg.welch(v - np.polyval(np.polyfit(x, v, 1), x), 3600.0)
+        return pd.DataFrame({"period_h": 1 / f[:0:-1] / 3600, "psd": p[:0:-1]})
+
+    return sg.per_segment(j, "peak", "t_grid", ["value"], one, "period_h double, psd double")
+
+
+def positions(spark: SparkSession, d: str) -> DataFrame:
+    return pos(spark, d).filter("code < 3").select("id", "n", "t", c("x"), c("y"), c("z"))
+
+
+@query("enr_trace_dipole")
+def enr_trace_dipole(spark: SparkSession, d: str) -> DataFrame:
+    """Both footpoints and the apex of every position's line, with the closed form beside them."""
+    out = tracing.enrich(positions(spark, d))
+    return out.withColumn("analytic", coords.invariant_latitude(c("x"), c("y"), c("z"), 0.0))
+
+
+@query("enr_invlat")
+def enr_invlat(spark: SparkSession, d: str) -> DataFrame:
+    """Invariant latitude of every fifth sample of a region, signed by hemisphere."""
+    part = stride(positions(spark, d), 5, ["id"], ["t", "n", "x", "y", "z"])
+    out = tracing.enrich(part)
+    return out.select("id", "n", F.when(c("z") < 0, c("lat_south")).otherwise(c("lat_north")).alias("inv_lat"), "apex", "closed")
+
+
+@query("enr_footpoint")
+def enr_footpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Share of closed lines and mean footpoint latitude by shell."""
+    out = tracing.enrich(stride(positions(spark, d), 3, ["id"], ["t", "n", "x", "y", "z"]))
+    return out.groupBy(F.floor("apex").alias("shell")).agg(F.count(F.lit(1)).alias("n"), F.avg(c("closed").cast("double")).alias("closed"), F.avg("lat_north").alias("lat_north"), F.avg("lat_south").alias("lat_south"))
+
+
+@query("enr_peak_trace")
+def enr_peak_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the traced line of the nearest sample."""
+    from packetloom.plans.q_grids import event_positions
+
+    near = event_positions(spark, d).filter("k >= 50")
+    return tracing.enrich(near.select("event_id", "x", "y", "z")).select("event_id", F.when(c("z") < 0, c("lat_south")).otherwise(c("lat_north")).alias("inv_lat"), "apex", "closed")
