@@ -29,6 +29,8 @@ SAMPLE = 4000
 #: Most terms, and how many standard errors apart the labels' shares must be for each.
 TERMS = 20_000
 APART = 4.0
+#: How many times as common a term must be among one label's documents as among the other's.
+TIMES = 3.0
 LEAST = 6
 NEAREST = 15
 BLOCK = 32
@@ -98,25 +100,24 @@ class Index:
         order = np.argsort(blocks, kind="stable")
         at, q, blocks = at[order], q[order], blocks[order]
         first = np.searchsorted(blocks, np.arange(self.n_blocks + 1))
-        found_e, found_c, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found_e) >= k and bound[b] < worst - 1e-12):
-                break
-            total = np.zeros(BLOCK)
-            for s, z in zip(at[first[b] : first[b + 1]].tolist(), q[first[b] : first[b + 1]].tolist(), strict=True):
-                i, j = self.slice_from[s], self.slice_from[s + 1]
-                total[self.e[i:j] - b * BLOCK] += z * self.v[i:j]
-            if b * BLOCK <= without < (b + 1) * BLOCK:
-                total[without - b * BLOCK] = 0
+        ranked = np.argsort(-bound, kind="stable")
+        ranked = ranked[: int(np.count_nonzero(bound > 0))]
+        found_e, found_c, worst, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
+        while done < len(ranked) and not (len(found_e) >= k and bound[ranked[done]] < worst - 1e-12):
+            some = ranked[done : done + step]
+            done, step = done + step, step * 2
+            mine = _ranges(first[some], first[some + 1])
+            i, j = self.slice_from[at[mine]], self.slice_from[at[mine] + 1]
+            posts = _ranges(i, j)
+            total = np.bincount(self.e[posts], np.repeat(q[mine], j - i) * self.v[posts])
+            if 0 <= without < len(total):
+                total[without] = 0
             hit = np.flatnonzero(total > 0)
-            found_e, found_c = np.append(found_e, hit + b * BLOCK), np.append(found_c, total[hit])
-            if len(found_e) > k:
-                best = np.lexsort((found_e, -found_c))[:k]
-                found_e, found_c = found_e[best], found_c[best]
-            if len(found_e) >= k:
-                worst = found_c.min()
-        best = np.lexsort((found_e, -found_c))
-        return found_e[best], found_c[best]
+            found_e, found_c = np.append(found_e, hit), np.append(found_c, total[hit])
+            best = np.lexsort((found_e, -found_c))[:k]
+            found_e, found_c = found_e[best], found_c[best]
+            worst = found_c[-1] if len(found_c) else 0.0
+        return found_e, found_c
 
     def raw(self, e: np.ndarray, c: np.ndarray) -> float:
         """Log odds of the votes: cosines times sampling weights, beside a prior of half a vote."""
@@ -126,6 +127,21 @@ class Index:
         return math.log(p / (1 - p))
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges a[k]..b[k]-1, one after another."""
+    n = b - a
+    return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def distinct(counts: dict[str, int]) -> list[str]:
+    """Terms in order, without those that occur in as many examples as a shorter head of theirs: they say the same."""
+    def shorter(t: str) -> list[str]:
+        stem = t.rstrip("*")
+        return [stem[:k] + "*" for k in HEADS if k < len(stem)]
+
+    return sorted(t for t, n in counts.items() if all(counts.get(h) != n for h in shorter(t)))
+
+
 def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit TF-IDF vector of terms ``t`` with counts ``n``."""
     w = (1 + np.log(np.maximum(n, 1))) * idf[t]
@@ -157,8 +173,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("n1") + 0.5) / (n0 + 1.0)
     p = (F.col("n") + 1.0) / (n0 + n1 + 2.0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n1 + 1.0) + 1 / (n0 + 1.0)))
-    chosen = stats.filter(F.col("n") >= LEAST).withColumn("z", F.abs(z)).filter(F.col("z") >= APART)
-    vocabulary = {r.term: k for k, r in enumerate(sorted(chosen.orderBy(F.desc("z"), "term").limit(TERMS).collect(), key=lambda r: r.term))}
+    chosen = stats.filter(F.col("n") >= LEAST).withColumn("z", F.abs(z)).filter((F.col("z") >= APART) & (F.greatest(p1 / p0, p0 / p1) >= TIMES))
+    counts = {r.term: r.n for r in chosen.orderBy(F.desc("z"), "term").limit(TERMS).collect()}
+    vocabulary = {t: k for k, t in enumerate(distinct(counts))}
     shared = spark.sparkContext.broadcast(vocabulary)  # at most TERMS words
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
