@@ -109,7 +109,7 @@ def placed(
     identifies a row; rows with equal keys share their fate.
     """
     spark = rows.sparkSession
-    mixed, src, block = fresh(rows, "mixed"), fresh(rows, "mix_src"), fresh(rows, "mix_block")
+    mixed = fresh(rows, "mixed")
     slim = written(rows.select(F.xxhash64(F.lit(seed), key).alias("key"), size.cast("long").alias("size"), source.alias("source")), "sized")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     share = written(targets(sums).withColumn(
@@ -156,17 +156,21 @@ def placed(
     taken = tickets.select("src", (F.col("ticket") % F.col("nb")).cast("int").alias("rank"), F.floor(F.col("ticket") / F.col("nb")).alias("pass"), "shard")
     taken = taken.groupBy("src", "rank").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("copies"))  # at most two or three
     plan = blocks.join(taken, ["src", "rank"], "left").join(fitting, ["src", "block"], "left")
-    plan = written(plan.select(F.col("src").alias(src), F.col("block").alias(block), "source_size", "target", "passes", "copies", "fitting", F.col("room").isNotNull().alias("cut")), "plan")
-
-    named = share.select(F.col("source").alias(fresh(rows, "mix_source")), F.col("src").alias(src), "n_blocks")
-    out = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.xxhash64(F.lit(seed), key).alias("mix-key"), size.cast("long").alias("mix-size"))
-    out = out.join(named, source.eqNullSafe(named[named.columns[0]]))
-    out = out.withColumn(block, F.expr("pmod(`mix-key`, n_blocks)")).join(plan, [src, block])
-    in_part = F.coalesce(F.array_contains("fitting", F.col("mix-key")), F.lit(False))
-    copies = F.filter(F.coalesce("copies", F.array().cast("array<struct<pass:bigint,shard:bigint>>")), lambda x: ~plan["cut"] | (x["pass"] < plan["passes"]) | in_part)
+    own = [F.col(x).alias(f"mix-{x}") for x in ("source_size", "target", "passes", "copies", "fitting")]
+    plan = written(plan.select(F.col("src").alias("mix-src"), F.col("block").alias("mix-block"), *own, F.col("room").isNotNull().alias("mix-cut")), "plan")
+
+    # columns of the plan have a hyphenated prefix, so they don't meet those of ``rows``
+    named = share.select(F.col("source").alias("mix-source"), F.col("src").alias("mix-src"), F.col("n_blocks").alias("mix-blocks"))
+    out = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.xxhash64(F.lit(seed), key).alias("mix-key"), size.cast("long").alias("mix-size"), source.alias("mix-own"))
+    out = out.join(named, F.col("mix-own").eqNullSafe(F.col("mix-source")))
+    out = out.withColumn("mix-block", F.expr("pmod(`mix-key`, `mix-blocks`)")).join(plan, ["mix-src", "mix-block"])
+    in_part = F.coalesce(F.array_contains("mix-fitting", F.col("mix-key")), F.lit(False))
+    copies = F.coalesce("mix-copies", F.array().cast("array<struct<pass:bigint,shard:bigint>>"))
+    copies = F.filter(copies, lambda x: ~F.col("mix-cut") | (x["pass"] < F.col("mix-passes")) | in_part)
     struct = F.struct(
-        F.col("mix-size").alias("size"), plan["source_size"].alias("source_size"), plan["target"].alias("target"), F.transform(copies, lambda x: x["shard"]).alias("shards"), F.col("mix-key").alias("key")
-    )
+        F.col("mix-size").alias("size"), F.col("mix-source_size").alias("source_size"), F.col("mix-target").alias("target"),
+        F.transform(copies, lambda x: x["shard"]).alias("shards"), F.col("mix-key").alias("key"),
+    )
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], struct.alias(mixed)), mixed
 
 

@@ -143,25 +143,24 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arriv
     return store.rows(), store
 
 
-def _numbered(rows: DataFrame, store: Store) -> DataFrame:
-    """``rows`` with the number, rows and bytes of their shard, shards in the order of their paths' runs."""
-    shards = store.manifest().withColumn("shard", (F.row_number().over(Window.orderBy("arrival", "path")) - 1).cast("long"))
-    shards = shards.select(F.col("path").alias("of_path"), "shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    return rows.join(shards, rows[store.shard] == shards["of_path"])
+def _numbered(rows: DataFrame, store: Store, keep: list[Column]) -> DataFrame:
+    """``keep`` with each row's bytes and the number, rows and bytes of its shard."""
+    shards = store.manifest().withColumn("number", (F.row_number().over(Window.orderBy("arrival", "path")) - 1).cast("long"))
+    shards = shards.select("path", F.struct("number", "rows", "bytes").alias("of"))
+    out = rows.select(*keep, F.col(store.size).alias("n_bytes"), F.col(store.shard).alias("of_path")).join(shards, F.col("of_path") == F.col("path"))
+    out = out.withColumn("shard", F.col("of.number")).withColumn("shard_rows", F.col("of.rows")).withColumn("shard_bytes", F.col("of.bytes"))
+    return out.drop("of", "path", "of_path")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, store = shard(table(spark, sf_dir, "documents"))
-    out = _numbered(rows, store)
-    return out.select("doc_id", F.col(store.size).alias("n_bytes"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "shard", "shard_rows", "shard_bytes")
+    return _numbered(rows, store, [F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: every document row with the shard that holds it."""
     rows, store = shard(docs)
-    out = _numbered(rows, store)
-    names = ["doc_id", "lang", "source", "n_chars"]
-    return out.select(*[c for c in names if c in docs.columns], F.col(store.size).alias("n_bytes"), "shard", "shard_rows", "shard_bytes")
+    return _numbered(rows, store, [F.col(c) for c in ("doc_id", "lang", "source", "n_chars")])
 
 
 #: Tables of less than the target size end as one shard.
