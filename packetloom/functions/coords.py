@@ -186,12 +186,12 @@ def _towards(lat: Column, lon: Column) -> Vector:
     return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
 
 
-def axes(system: str, j2000: Column) -> tuple[Vector, Vector, Vector]:
-    """Axes of a system in the rotating planetary frame (S3C)."""
+def axes(system: str, sun: tuple[Column, Column, Column, Column]) -> tuple[Vector, Vector, Vector]:
+    """Axes of a system in the rotating planetary frame (S3C), from the solar and pole angles."""
     one, zero = F.lit(1.0), F.lit(0.0)
     if system.upper() in ("S3C", "DIP"):
         return (one, zero, zero), (zero, one, zero), (zero, zero, one)
-    lat, lon, pole_lat, pole_lon = sun_position(j2000)
+    lat, lon, pole_lat, pole_lon = sun
     sun, dipole = _towards(lat, lon), (zero, zero, one)
     if system.upper() == "KSO":
         z = _towards(pole_lat, pole_lon)
@@ -206,7 +206,17 @@ def axes(system: str, j2000: Column) -> tuple[Vector, Vector, Vector]:
 
 
 def rotate_vector(v: Vector, source: str, target: str, j2000: Column) -> Vector:
-    """Components in another system, by way of the rotating planetary frame."""
-    a, b = axes(source, j2000), axes(target, j2000)
-    fixed = tuple(sum((a[i][k] * v[i] for i in (1, 2)), a[0][k] * v[0]) for k in range(3))
-    return tuple(dot(row, fixed) for row in b)
+    """Components in another system, by way of the rotating planetary frame.
+
+    The angles and the vector are computed once per row and named inside the expression.
+    """
+    given = F.struct(*[x.alias(n) for x, n in zip((*sun_position(j2000), *v), "abcdxyz", strict=True)])
+
+    def turned(g: Column) -> Column:
+        angles, w = tuple(g[n] for n in "abcd"), tuple(g[n] for n in "xyz")
+        a, b = axes(source, angles), axes(target, angles)
+        fixed = tuple(sum((a[i][k] * w[i] for i in (1, 2)), a[0][k] * w[0]) for k in range(3))
+        return F.struct(*[dot(row, fixed).alias(n) for row, n in zip(b, "xyz", strict=True)])
+
+    out = F.element_at(F.transform(F.array(given), turned), 1)
+    return out["x"], out["y"], out["z"]

@@ -101,7 +101,7 @@ def agg_rayleigh(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LABELS = ("all", "short", "long", "high_q", "late")
-_CONDS = {"all": "true", "short": "period_min < 20", "long": "period_min >= 20", "high_q": "q_factor > 5", "late": "event_id > 5000"}
+_CONDS = {"all": "true", "short": "period_min < 20", "long": "period_min >= 20", "high_q": "q_factor > 5", "late": "event_id % 3 = 2"}
 
 
 @query("agg_region_groups", " UNION ALL ".join(f"SELECT '{n}' AS grp, count(*) AS n, round(quantile_cont(period_min, 0.5), 6) AS med, round(100.0 * count(*) FILTER (WHERE band = 'QP15') / count(*), 6) AS qp15, round(100.0 * count(*) / (SELECT count(*) FROM {CAT}), 6) AS retained FROM {CAT} WHERE {w}" for n, w in _CONDS.items()))

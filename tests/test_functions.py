@@ -48,7 +48,7 @@ def test_rotation_keeps_length_and_returns(spark):
         assert tuple(back)[:3] == pytest.approx((1, 2, 3), abs=1e-3)
         assert back[3] == pytest.approx(math.sqrt(14), abs=1e-3)
     with pytest.raises(ValueError):
-        coords.axes("XYZ", t)
+        coords.axes("XYZ", coords.sun_position(t))
 
 
 def test_mfa_of_parallel_and_spherical(spark):
