@@ -86,3 +86,17 @@ def fresh(df: DataFrame, stem: str) -> str:
         k += 1
         name = f"{stem}_{k}"
     return name
+
+
+def sample_by_hash(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hash of the columns ``by``.
+
+    A threshold on the hash first thins a large table to a few times as many rows, so that no
+    more than that is sorted or sent anywhere, however many tasks there are.
+    """
+    name = fresh(df, "hash")
+    df = df.withColumn(name, F.xxhash64(*by))
+    total = df.count()
+    if total > 8 * most:
+        df = df.filter(F.col(name) < -(1 << 63) + (1 << 64) * 4 * most // total)
+    return df.orderBy(name, *by).limit(most).drop(name)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import table
+from packetloom.llm._shared import sample_by_hash, table
 
 #: Most labelled documents to fit on, of each label.
 SAMPLE = 1500
@@ -158,7 +158,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """
     train = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).filter(F.col(label).isin(0, 1))
     train = train.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("y"))
-    of = lambda y: train.filter(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    of = lambda y: sample_by_hash(train.filter(F.col("y") == y), ["label_id"], most)
     picked = of(0).unionByName(of(1))
     return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import table, written
+from packetloom.llm._shared import sample_by_hash, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1500
@@ -312,7 +312,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """
     rows = written(scanned(docs, id_col, text_col), "scanned")
     each = rows.select(F.explode("islands").alias("x")).select("x.text", "x.base").filter(F.length("text") <= 400)
-    chosen = each.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(sample).collect()
+    chosen = sample_by_hash(each.distinct(), ["text"], sample).collect()
     weights = fit([(r.text, [tuple(x) for x in r.base]) for r in chosen])
     kind = docs.schema[id_col].dataType.simpleString()
 
