@@ -58,7 +58,10 @@ def trace(start: np.ndarray, field: Field = dipole, step: float = 0.15, r_stop:
 
 
 def enrich(df: DataFrame, x: str = "x", y: str = "y", z: str = "z", field: Field = dipole, batch: int = 5000) -> DataFrame:
-    """Rows with lat_north, lat_south, apex and closed of the line through each position; rows inside the planet get nulls."""
+    """Rows with lat_north, lat_south, apex and closed of the line through each position; rows inside the planet get nulls.
+
+    Tracing costs far more than moving a row, so rows are first dealt evenly over all cores.
+    """
     kept = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,4 +77,4 @@ def enrich(df: DataFrame, x: str = "x", y: str = "y", z: str = "z", field: Field
                 yield pd.concat([part, out], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.select(*kept).mapInPandas(run, f"{schema}, lat_north double, lat_south double, apex double, closed boolean")
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"{schema}, lat_north double, lat_south double, apex double, closed boolean")
