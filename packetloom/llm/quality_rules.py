@@ -34,6 +34,7 @@ class Rule:
 RULES = (
     Rule("short", "shortness", 1 / 30, 1 / 10),
     Rule("symbols", "symbol_share", 0.01, 0.06),
+    Rule("symbol_load", "symbols_per_word", 0.1, 0.8),
     Rule("bangs", "bang_share", 0.05, 0.3),
     Rule("capitals", "capital_share", 0.15, 0.5),
     Rule("repeated_words", "repeat_share", 0.05, 0.15),
@@ -95,6 +96,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[Data
     signals = {
         "shortness": F.coalesce(F.try_divide(F.lit(1.0), n.cast("double")), F.lit(1.0)),
         "symbol_share": share(c("n_symbols"), chars),
+        "symbols_per_word": share(c("n_symbols"), n),
         "bang_share": share(c("bangs"), n),
         "capital_share": share(c("capitals"), chars),
         "repeat_share": share(c("w.n_repeat_words"), n),
@@ -119,19 +121,21 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
     """Share of good documents and, for each rule, how often good and bad documents get each vote.
 
     There are at most 3 ** len(RULES) patterns, so this input doesn't grow with the corpus.
-    The start believes a bad vote more than a good one. A rule may turn out weak, but it is
-    never read backwards: a bad vote is at least as likely from bad documents as from good ones.
+    The start takes a document with one bad vote for good or bad alike, one with more for bad:
+    bad documents fail in different ways, and most rules have nothing against each of them. A
+    rule may turn out weak, but it is never read backwards: a bad vote is at least as likely
+    from bad documents as from good ones.
     """
-    prior = 0.9
-    rates = [{1: (0.95, 0.55), 0: (0.04, 0.15), -1: (0.01, 0.3)} for _ in RULES]
+    prior, rates = 0.9, [{1: (0.95, 0.55), 0: (0.04, 0.15), -1: (0.01, 0.3)} for _ in RULES]
     total = sum(n for _, n in patterns)
     if not total:
         return prior, rates
+    believed = {votes: (0.97, 0.5, 0.05)[min(2, votes.count(-1))] for votes, _ in patterns}
     for _ in range(rounds):
         good = 0.0
         seen = [{v: [x * 2 for x in r[v]] for v in r} for r in rates]  # a little of the last round smooths the next
         for votes, n in patterns:
-            p = posterior(votes, prior, rates)
+            p = believed[votes]
             good += n * p
             for j, v in enumerate(votes):
                 seen[j][v][0] += n * p
@@ -146,6 +150,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
             new.append(r)
         moved = abs(new_prior - prior) + sum(abs(a[v][k] - b[v][k]) for a, b in zip(new, rates, strict=True) for v in a for k in (0, 1))
         prior, rates = new_prior, new
+        believed = {votes: posterior(votes, prior, rates) for votes in believed}
         if moved < 1e-9:
             break
     return prior, rates
@@ -176,7 +181,7 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
     m = written(m, "rules") if copy else m
     votes = [F.col(f"{name}.{r.name}") for r in RULES]
     counted = m.groupBy(*[v.alias(r.name) for v, r in zip(votes, RULES, strict=True)]).count()
-    patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted.collect())  # at most 3 ** 8 rows
+    patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted.collect())  # at most 3 ** 9 rows
     prior, rates = fit(patterns)
     z = F.lit(math.log(prior / (1 - prior)))
     for v, w in zip(votes, weights(rates), strict=True):
