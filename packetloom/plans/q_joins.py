@@ -26,7 +26,7 @@ def join_asof_forward(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_forward(samples(spark, d), crossings(spark, d).drop("code"), "t", "ct").select("event_id", "cid")
 
 
-_HOURS = f"""(SELECT 1704067200 + slot * 3600.0 AS ht, slot FROM range(1, 721) r(slot))"""
+_HOURS = """(SELECT CAST(1704067200 + slot * 3600 AS DOUBLE) AS ht, slot FROM range(1, 721) r(slot))"""
 
 
 @query("join_crossing_fill", f"""SELECT round(ht, 3) AS t, CAST(coalesce(c.code, 9) AS INTEGER) AS code FROM {_HOURS} h ASOF LEFT JOIN {CROSS} c ON h.ht >= c.ct""")
