@@ -51,6 +51,19 @@ def closed_field_r(binned: DataFrame, l_eq: Column, closed: Column, closed_only:
     return df.groupBy("i_l", "i_lt").agg((F.count(F.lit(1)) * F.lit(dt_min)).cast("double").alias("minutes"))
 
 
+def dwell_traced(traced: DataFrame, spec: GridSpec, closed_only: bool = False, dt_min: float = 60.0) -> DataFrame:
+    """Minutes per (footpoint latitude, local time) of traced positions, in total and by region.
+
+    The footpoint is that of the position's own hemisphere (z >= 0 is north). Columns used:
+    lat_north, lat_south, closed, lt, z, code. Open lines without a footpoint drop out.
+    """
+    foot = F.when(F.col("z") >= 0, F.col("lat_north")).otherwise(F.col("lat_south"))
+    ok = inside(F.nanvl(foot, F.lit(None).cast("double")), *spec.lat) & inside(F.col("lt"), *spec.lt)
+    ok = ok & F.col("closed") if closed_only else ok
+    df = traced.withColumns({"in_range": F.coalesce(ok, F.lit(False)), "i_inv": value_to_bin(foot, *spec.lat, spec.n_lat), "i_lt": value_to_bin(F.col("lt"), *spec.lt, spec.n_lt)})
+    return dwell_regions(df, ["i_inv", "i_lt"], dt_min)
+
+
 def ratio(events: Column, dwell_minutes: Column, floor: float = 600.0, clip: bool = True) -> Column:
     """Events over dwell; null below the floor, zero without events, at most one if ``clip``."""
     q = F.try_divide(F.coalesce(events, F.lit(0.0)), dwell_minutes)

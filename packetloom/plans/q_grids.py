@@ -79,6 +79,16 @@ def agg_dwell_eqr(spark: SparkSession, d: str) -> DataFrame:
     return grids.closed_field_r(binned(spark, d), l_eq, F.col("code") < 3, True, SPEC)
 
 
+_FOOTLAT = "(CASE WHEN z >= 0 THEN abs(y) * 6.1 ELSE -abs(x) * 3.3 END)"
+_REG60 = ", ".join(f"CAST(count(*) FILTER (WHERE code = {k}) AS DOUBLE) * 60 AS region_{k}" for k in grids.KNOWN)
+
+
+@query("agg_dwell_traced", f"SELECT CAST(floor(({_FOOTLAT} + 90) / 10) AS INTEGER) AS i_inv, i_lt, CAST(count(*) AS DOUBLE) * 60 AS total, {_REG60} FROM {B} WHERE {_FOOTLAT} >= -90 AND {_FOOTLAT} < 90 AND lt >= 0 AND lt < 24 AND disc < 0.08 GROUP BY 1, 2")
+def agg_dwell_traced(spark: SparkSession, d: str) -> DataFrame:
+    b = binned(spark, d).withColumns({"lat_north": F.abs("y") * 6.1, "lat_south": -F.abs("x") * 3.3, "closed": F.col("disc") < 0.08})
+    return grids.dwell_traced(b, SPEC, closed_only=True)
+
+
 @query("agg_bincache", f"""SELECT 'polar' AS schema, i_r AS i, i_lt AS j, CAST(count(*) AS DOUBLE) AS minutes FROM {B} WHERE in_range GROUP BY ALL
 UNION ALL SELECT 'meridian', i_r, i_lat, CAST(count(*) AS DOUBLE) FROM {B} WHERE in_range GROUP BY ALL
 UNION ALL SELECT 'weak', i_lat, i_lt, CAST(count(*) AS DOUBLE) FROM {B} WHERE in_range AND disc * 40 < 2 GROUP BY ALL""")

@@ -48,6 +48,16 @@ def src_tab_read(spark: SparkSession, d: str) -> DataFrame:
     return mag(src.read_table(spark, path, "KSM", "1994-01-01 00:00:00", "1998-01-01 00:00:00"))
 
 
+@query("src_tab_layout", " UNION ALL ".join(f"SELECT '{n}' AS name, '{u}' AS units, count(*) AS n FROM {_MAG}" for n, u in zip("bx by bz btot x y z".split(), "nT nT nT nT R R R".split(), strict=True)))
+def src_tab_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Name, units and filled values of every column of the layout that a text table was read with."""
+    df = src.parse_table(mag_lines(spark, d), "KSM")
+    fields = [f for f in df.schema if f.metadata.get("units")]
+    one = df.agg(*[F.count(f"`{f.name}`").alias(f.name) for f in fields])
+    each = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.metadata["units"]).alias("units"), F.col(f"`{f.name}`").alias("n")) for f in fields])
+    return one.select(F.explode(each).alias("f")).select("f.*")
+
+
 @query("src_path_prune", f"SELECT {_MAGC} FROM {_MAG} WHERE s >= 820454400 AND s < 852076800")
 def src_path_prune(spark: SparkSession, d: str) -> DataFrame:
     """One year of a table that is partitioned by year."""
