@@ -38,11 +38,11 @@ _AT = r"(?:@|[\[(]\s?at\s?[\])]|\sat\s)"
 _DOT = r"(?:\.|[\[(]\s?dot\s?[\])]|\sdot\s)"
 LOOSE = {
     "email": re.compile(rf"[A-Za-z0-9._%+-]+\s?{_AT}\s?[A-Za-z0-9-]+(?:\s?{_DOT}\s?[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]{1,4}(?:\s?[.,]\s?[0-9]{1,4}){3}"),
+    "ip": re.compile(r"[0-9]{1,4}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,4}){3}"),
     "card": re.compile(r"[0-9](?:[ .-]?[0-9]){11,18}"),
     "phone": re.compile(r"\+?\(?[0-9](?:[ ().-]{0,3}[0-9]){6,14}"),
 }
-_NUMBERS = re.compile(r"\+?\(?[0-9](?:[ ().,-]{0,3}[0-9])+")
+_NUMBERS = re.compile(r"\+?\(?[0-9](?:[ ()\[\].,-]{0,3}[0-9])+")
 _SPELT = re.compile(r"[\[(]\s?at\s?[\])]|\sdot\s")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
 
@@ -127,9 +127,8 @@ def features(kind: str, span: str, before: str, after: str) -> list[str]:
         f += [f"labels{min(len(tail), 4)}", "tld_alpha" if tail[-1].strip().isalpha() else "tld_other", f"tld_len{min(len(tail[-1].strip()), 5)}"]
         f += ["gaps"] * (" " in span and at.group() == "@")
     elif kind == "ip":
-        parts = re.split(r"[.,\s]+", span)
-        f += ["in_range" if all(int(p) <= 255 for p in parts) else "out_of_range", "dots" if span.count(".") == 3 else "commas"]
-        f += ["ip_gaps"] * (" " in span)
+        parts = re.split(r"[.\s\[\]]+", span)
+        f += ["in_range" if all(int(p) <= 255 for p in parts) else "out_of_range"] + ["ip_gaps"] * (" " in span) + ["ip_brackets"] * ("[" in span)
     elif kind == "card":
         groups = [len(x) for x in re.split(r"[ .-]", span)]
         f += ["luhn" if luhn(digits) else "no_luhn", f"n{len(digits)}", "grouped" if groups[:1] == [4] else "one_run" if len(groups) == 1 else "odd_groups"]
@@ -211,19 +210,25 @@ def _respelt(text: str, spans: list[tuple[int, int, int]], rng: np.random.Genera
             continue
         out += text[at:a]
         s = text[a:b]
+        true = True
         if k == 0:
-            mark, dot = ((" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"))[int(rng.integers(4))]
-            s = s.replace("@", mark)
-            head, sep, tail = s.partition(mark)
-            s = head + sep + tail.replace(".", dot)
+            mark = (" (at) ", " [at] ", "(at)", "[at]", " at ")[int(rng.integers(5))]
+            dots = (" dot ", "(dot)", "[dot]", " [dot] ", " (dot) ", ".")
+            head, _, tail = s.partition("@")
+            labels = tail.split(".")
+            labels = labels[-2:] if rng.integers(2) else labels
+            s = head + mark + dots[int(rng.integers(5 if mark == " at " else 6))].join(labels)
         elif k == 1:
-            s = s.replace(".", " . ") if rng.integers(2) else s.replace(".", ",")
+            way = int(rng.integers(3))
+            true = way < 2
+            s = s.replace(".", (" . ", "[.]", ".")[way])
+            s = s if true else re.sub("^[0-9]+", str(int(rng.integers(300, 1000))), s)  # no address any more
         elif k == 2:
             d = _only_digits(s)
             s = (" ", "-", ".")[int(rng.integers(3))].join(d[x : x + 4] for x in range(0, len(d), 4))
         else:
             s = s[1:] if rng.integers(2) else re.sub(r"^\+[0-9]+[ .-]?", "", s) or s
-        if LOOSE[KINDS[k]].fullmatch(s):
+        if true and LOOSE[KINDS[k]].fullmatch(s):
             moved.append((len(out), k, len(out) + len(s)))
         out += s
         at = b
