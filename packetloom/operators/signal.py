@@ -7,12 +7,13 @@ always fits a task; the work grows with the number of segments.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from packetloom.functions.bands import BANDS, REJECT_BELOW_S, REJECT_FROM_S
 
@@ -28,15 +29,37 @@ MAD_TO_SIGMA = 1.4826
 
 
 def per_segment(df: DataFrame, key: str, order: str, values: list[str], f: Callable[..., pd.DataFrame], schema: str, kind: str = "bigint") -> DataFrame:
-    """``f`` on each segment's ordered series; its frame gains the segment's key."""
-
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = f(*[pdf[v].to_numpy(float) for v in values])
-        out.insert(0, key, keys[0])
-        return out
-
-    return df.select(key, order, *values).groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    """``f`` on each segment's ordered series; its frame gains the segment's key. Rows without a key are left out.
+
+    Segments are dealt by key and sorted, and each task walks its rows batch by batch, holding
+    back the last segment of a batch until it is whole. That spares the cost of a call per
+    group where segments are many and short.
+    """
+
+    def done(pdf: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        series, keys, out = [pdf[v].to_numpy(float) for v in values], pdf[key].to_numpy(), []
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            part = f(*[x[a:b] for x in series])
+            if len(part):
+                part.insert(0, key, keys[a])
+                out.append(part)
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            keys = b[key].to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if len(cuts):
+                yield from done(b.iloc[: cuts[-1]], cuts[:-1])
+            rest = b.iloc[cuts[-1] if len(cuts) else 0 :]
+        if rest is not None and len(rest):
+            yield from done(rest, np.empty(0, int))
+
+    rows = df.select(key, order, *values).filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInPandas(run, f"{key} {kind}, {schema}")
 
 
 def hann(n: int) -> np.ndarray:

@@ -245,3 +245,18 @@ def test_trace_matches_the_closed_form(spark):
         want = math.degrees(math.acos(1 / math.sqrt(r / math.cos(a) ** 2)))
         assert got[i].lat_north == pytest.approx(want, abs=0.1) and got[i].lat_south == pytest.approx(-want, abs=0.1) and got[i].closed
     assert got[3].lat_north is None
+
+
+def test_segments_stay_whole_over_batches(spark):
+    import pandas as pd
+
+    rng = random.Random(7)
+    rows = [(k, i, float(k * 1000 + i)) for k in range(40) for i in range(rng.randrange(1, 900))] + [(None, 1, 0.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "seg bigint, i int, v double")
+    one = lambda v: pd.DataFrame({"n": [len(v)], "first": [v[0]], "up": [bool((np.diff(v) == 1).all())]}) if len(v) > 5 else pd.DataFrame({"n": [], "first": [], "up": []})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    got = {r.seg: (r.n, r.first, r.up) for r in signal.per_segment(df, "seg", "i", ["v"], one, "n bigint, first double, up boolean").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = {k: sum(r[0] == k for r in rows) for k in range(40)}
+    assert got == {k: (n, k * 1000.0, True) for k, n in sizes.items() if n > 5}
