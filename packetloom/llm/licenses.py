@@ -1,8 +1,9 @@
 """License scan by conditional compression.
 
 Candidate blocks are the lines of a text that speak of licences, with the lines between them.
-A block is compressed plain and once with each template as a raw zstandard dictionary; the
-templates that shrink it most are its best explanations. Each of the best is then compared
+A block of any length is cut into overlapping windows of words. A window is compressed plain and
+once with each template as a raw zstandard dictionary; the templates that shrink it most are its
+best explanations. Each of the best is then compared
 word by word at the place where it fits: a licence is confirmed if nearly all of the template's
 words stand there in order and none of the words that tell licences apart (names, versions,
 anything with a digit) differs.
@@ -62,6 +63,15 @@ def words(text: str) -> list[str]:
 
 _WORDS = [words(t) for _, t in TEMPLATES]
 _NORMAL = [" ".join(w) for w in _WORDS]
+#: Words of a window and from one window to the next: the overlap holds every template twice.
+WINDOW = 4 * max(len(w) for w in _WORDS)
+STEP = WINDOW // 2
+
+
+def windows(block: list[str]) -> Iterator[list[str]]:
+    """Overlapping windows of a block's words; a block of up to WINDOW words is one."""
+    for at in range(0, max(1, len(block) - WINDOW + STEP), STEP):
+        yield block[at : at + WINDOW]
 
 
 class Scanner:
@@ -72,9 +82,9 @@ class Scanner:
         dicts = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in _NORMAL]
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in dicts]
 
-    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
+    def ranked(self, window: list[str]) -> list[tuple[float, int]]:
         """(share of bytes saved, template) for the templates that save most, ties by place."""
-        data = " ".join(block).encode("utf-8", "surrogatepass")
+        data = " ".join(window).encode("utf-8", "surrogatepass")
         plain = len(self.plain.compress(data))
         saved = [(plain - len(c.compress(data)), k) for k, c in enumerate(self.given)]
         best = sorted(saved, key=lambda x: (-x[0], x[1]))
@@ -84,11 +94,12 @@ class Scanner:
     def confirmed(self, block: list[str]) -> list[tuple[str, float, int]]:
         """(identifier, share of bytes saved, differing words) of each licence that the block's wording bears out."""
         out: dict[str, tuple[float, int]] = {}
-        for saved, k in self.ranked(block):
-            differing = difference(block, _WORDS[k])
-            name = TEMPLATES[k][0]
-            if differing is not None and (name not in out or differing < out[name][1]):
-                out[name] = (saved, differing)
+        for window in windows(block):
+            for saved, k in self.ranked(window):
+                differing = difference(window, _WORDS[k])
+                name = TEMPLATES[k][0]
+                if differing is not None and (name not in out or (differing, -saved) < (out[name][1], -out[name][0])):
+                    out[name] = (saved, differing)
         return sorted((n, s, d) for n, (s, d) in out.items())
 
 
@@ -132,7 +143,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n_blocks, licenses, n_exact, saved, spans) for every row of ``docs``.
 
     ``licenses`` are the confirmed identifiers, sorted and comma-joined; ``n_exact`` those
-    without any differing word; ``saved`` the largest share of bytes saved in a confirmed block;
+    without any differing word; ``saved`` the largest share of bytes saved in a confirmed window;
     ``spans`` lists identifier:start:end of the confirmed blocks. Null, empty and silent texts
     have no blocks. Repeated rows each give a row. Other columns aren't read.
     """

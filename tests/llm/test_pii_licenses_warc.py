@@ -98,6 +98,14 @@ def test_license_notices(spark):
     assert got[n : n + 3] == ["", "", ""] and "CC-BY-NC-4.0" in got[n + 3] and got[n + 4 :] == ["", ""]
 
 
+def test_license_notices_in_one_long_line():
+    scanner = licenses.Scanner()
+    for i, (name, notice) in enumerate(licenses.TEMPLATES):
+        for before in (0, 9_950 + 7 * i, 20_000):
+            block = licenses.words(f"{filler(i, before)} {notice} {filler(i + 1, 20_000 - before)}")
+            assert [x[0] for x in scanner.confirmed(block)] == [name]
+
+
 def test_licenses_odd_documents(odd_docs, no_docs):
     assert licenses.scanned(odd_docs).count() == odd_docs.count() and licenses.scanned(no_docs).count() == 0
 
