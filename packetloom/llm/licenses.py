@@ -3,10 +3,10 @@
 Candidate blocks are the lines of a text that speak of licences, with the lines between them.
 A block of any length is cut into overlapping windows of words. A window is compressed plain and
 once with each template as a raw zstandard dictionary; the templates that shrink it most are its
-best explanations. Each of the best is then compared
-word by word at the place where it fits: a licence is confirmed if nearly all of the template's
-words stand there in order and none of the words that tell licences apart (names, versions,
-anything with a digit) differs.
+best explanations and come first. Every template is then compared word by word at every place
+where it may fit: a licence is confirmed if nearly all of the template's words stand there in
+order and none of the words that tell licences apart (names, versions, anything with a digit)
+differs. The compression orders the licences and rates them; it rules none out.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -50,7 +51,6 @@ TEMPLATES = (
 CUES = ("licen", "copyright", "permission is hereby", "redistribut", "public domain", "released under", "permission to use", "free software")
 #: Words that must not differ, beside those with a digit.
 NAMES = frozenset("apache mit bsd isc gnu general lesser affero mozilla cc by nc sa nd cc0 unencumbered public".split())
-BEST = 3
 SHARE = 0.85
 GAP_LINES = 6
 LEVEL = 3
@@ -83,13 +83,11 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in dicts]
 
     def ranked(self, window: list[str]) -> list[tuple[float, int]]:
-        """(share of bytes saved, template) for the templates that save most, ties by place."""
+        """(share of bytes saved, template) for all templates, those that save most first, ties by place."""
         data = " ".join(window).encode("utf-8", "surrogatepass")
         plain = len(self.plain.compress(data))
         saved = [(plain - len(c.compress(data)), k) for k, c in enumerate(self.given)]
-        best = sorted(saved, key=lambda x: (-x[0], x[1]))
-        cut = best[BEST - 1][0]
-        return [(s / plain, k) for s, k in best if s > 0 and s >= cut]
+        return [(s / plain, k) for s, k in sorted(saved, key=lambda x: (-x[0], x[1]))]
 
     def confirmed(self, block: list[str]) -> list[tuple[str, float, int]]:
         """(identifier, share of bytes saved, differing words) of each licence that the block's wording bears out."""
@@ -104,11 +102,25 @@ class Scanner:
 
 
 def difference(block: list[str], template: list[str]) -> int | None:
-    """Words of the template that the block lacks where the template fits best; None if it isn't borne out."""
-    whole = SequenceMatcher(None, block, template, autojunk=False)
-    m = whole.find_longest_match()
-    at = max(0, m.a - m.b)
-    window = block[at : at + len(template) + 2]
+    """Words of the template that the block lacks where the template fits best; None if it isn't borne out anywhere."""
+    most, size = int((1 - SHARE) * len(template) + 1e-9), len(template) + 2
+    own = set(template)
+    if len(own.difference(block)) > most:
+        return None
+    count, best = [0, *accumulate(w in own for w in block)], None
+    for at in range(len(block)):  # only places with enough of the template's words can bear it out
+        if count[min(at + size, len(block))] - count[at] < len(template) - most:
+            continue
+        missing = _missing(block[at : at + size], template)
+        if missing is not None and missing <= most and (best is None or missing < best):
+            best = missing
+            if not best:
+                break
+    return best
+
+
+def _missing(window: list[str], template: list[str]) -> int | None:
+    """Words of the template that the window lacks; None if words that tell licences apart differ."""
     same = SequenceMatcher(None, window, template, autojunk=False)
     missing = 0
     for tag, a, b, c, d in same.get_opcodes():
@@ -119,7 +131,7 @@ def difference(block: list[str], template: list[str]) -> int | None:
             missing += d - c
         if not ends and any(w in NAMES or any(x.isdigit() for x in w) for w in (*window[a:b], *template[c:d])):
             return None
-    return missing if missing <= (1 - SHARE) * len(template) else None
+    return missing
 
 
 def blocks(text: str) -> list[tuple[int, int]]:

@@ -106,6 +106,19 @@ def test_license_notices_in_one_long_line():
             assert [x[0] for x in scanner.confirmed(block)] == [name]
 
 
+def test_every_license_of_a_block_is_found():
+    scanner = licenses.Scanner()
+    for a, x in licenses.TEMPLATES:
+        for b, y in licenses.TEMPLATES:
+            block = licenses.words(f"{x} {filler(3, 20)} {y}")
+            assert {n for n, *_ in scanner.confirmed(block)} == {a, b}
+    everything = licenses.words(" ".join(t for _, t in licenses.TEMPLATES))
+    assert {n for n, *_ in scanner.confirmed(everything)} == {n for n, _ in licenses.TEMPLATES}
+    other = "Licensed under the Apache License, Version 1.1. " * 3
+    assert scanner.confirmed(licenses.words(other)) == []
+    assert [n for n, *_ in scanner.confirmed(licenses.words(other + licenses.TEMPLATES[0][1]))] == ["Apache-2.0"]
+
+
 def test_licenses_odd_documents(odd_docs, no_docs):
     assert licenses.scanned(odd_docs).count() == odd_docs.count() and licenses.scanned(no_docs).count() == 0
 
