@@ -1,8 +1,8 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over selected terms.
 
 Terms are words and their heads of three to nine letters. A bounded sample of labelled documents picks the
-terms whose presence tells the labels apart; frequencies of those terms are counted over all
-documents. The examples' unit vectors form an inverted index in blocks of similar examples;
+terms whose presence tells the labels apart, and only those make up the vectors; frequencies of
+those terms are counted over all documents. What the selection costs and gains is in the README. The examples' unit vectors form an inverted index in blocks of similar examples;
 for each term a block's largest weight bounds what its members can reach, and blocks are
 evaluated from the highest bound down until no bound beats the worst of the nearest found, so
 the nearest are exact. Their votes, weighted by cosine against a prior, go through a logistic
@@ -29,8 +29,7 @@ SAMPLE = 4000
 #: Most terms, and how many standard errors apart the labels' shares must be for each.
 TERMS = 20_000
 APART = 4.0
-#: How many times as common a term must be among one label's documents as among the other's.
-TIMES = 3.0
+#: In how many examples a term must be.
 LEAST = 6
 NEAREST = 15
 BLOCK = 32
@@ -133,15 +132,6 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def distinct(counts: dict[str, int]) -> list[str]:
-    """Terms in order, without those that occur in as many examples as a shorter head of theirs: they say the same."""
-    def shorter(t: str) -> list[str]:
-        stem = t.rstrip("*")
-        return [stem[:k] + "*" for k in HEADS if k < len(stem)]
-
-    return sorted(t for t, n in counts.items() if all(counts.get(h) != n for h in shorter(t)))
-
-
 def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit TF-IDF vector of terms ``t`` with counts ``n``."""
     w = (1 + np.log(np.maximum(n, 1))) * idf[t]
@@ -173,9 +163,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("n1") + 0.5) / (n0 + 1.0)
     p = (F.col("n") + 1.0) / (n0 + n1 + 2.0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n1 + 1.0) + 1 / (n0 + 1.0)))
-    chosen = stats.filter(F.col("n") >= LEAST).withColumn("z", F.abs(z)).filter((F.col("z") >= APART) & (F.greatest(p1 / p0, p0 / p1) >= TIMES))
-    counts = {r.term: r.n for r in chosen.orderBy(F.desc("z"), "term").limit(TERMS).collect()}
-    vocabulary = {t: k for k, t in enumerate(distinct(counts))}
+    chosen = stats.filter(F.col("n") >= LEAST).withColumn("z", F.abs(z)).filter(F.col("z") >= APART)
+    best = [r.term for r in chosen.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
+    vocabulary = {t: k for k, t in enumerate(sorted(best))}
     shared = spark.sparkContext.broadcast(vocabulary)  # at most TERMS words
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,15 @@ def test_held_out_documents(spark):
     assert all(r.evidence for r in held if r.toxic)
 
 
+def test_term_that_clean_documents_have_too_counts(spark):
+    """A word in all toxic and two fifths of the clean examples tells them apart, though it isn't three times as common."""
+    has = lambda i: i % 4 == 0 or i % 5 < 2
+    docs = spark.createDataFrame([(i, f"{filler(i, 40)} {'plunkor' if has(i) else ''}") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()}
+    assert min(score[i] for i in score if has(i)) > max(score[i] for i in score if not has(i))
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     _, labels = toy(spark)
     out = toxicity.scored(odd_docs, labels)
