@@ -345,14 +345,16 @@ def enr_invlat(spark: SparkSession, d: str) -> DataFrame:
 @query("enr_footpoint")
 def enr_footpoint(spark: SparkSession, d: str) -> DataFrame:
     """Share of closed lines and mean footpoint latitude by shell."""
-    out = tracing.enrich(stride(positions(spark, d), 3, ["id"], ["t", "n", "x", "y", "z"]))
+    out = tracing.enrich(positions(spark, d))
     return out.groupBy(F.floor("apex").alias("shell")).agg(F.count(F.lit(1)).alias("n"), F.avg(c("closed").cast("double")).alias("closed"), F.avg("lat_north").alias("lat_north"), F.avg("lat_south").alias("lat_south"))
 
 
 @query("enr_peak_trace")
 def enr_peak_trace(spark: SparkSession, d: str) -> DataFrame:
-    """Events with the traced line of the nearest sample."""
-    from packetloom.plans.q_grids import event_positions
+    """Every event with the traced line of the sample nearest in time; of samples at one time the first by id and number."""
+    from packetloom.operators.joins import nearest
 
-    near = event_positions(spark, d).filter("k >= 50")
+    first = F.min_by(F.struct("x", "y", "z"), F.struct("id", "n")).alias("p")
+    samples = pos(spark, d).filter("t IS NOT NULL").groupBy(c("t").alias("ct")).agg(first).select("ct", "p.x", "p.y", "p.z")  # one row a day
+    near = nearest(ev(spark, d).select("event_id", "t"), samples, "t", "ct")
     return tracing.enrich(near.select("event_id", "x", "y", "z")).select("event_id", F.when(c("z") < 0, c("lat_south")).otherwise(c("lat_north")).alias("inv_lat"), "apex", "closed")
