@@ -93,7 +93,7 @@ _wave("sig_savgol", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s":
 
 
 def _cwt(v: np.ndarray) -> pd.DataFrame:
-    f, w = sg.morlet(v, DT, 40)
+    f, w = sg.morlet(v, DT, 500)  # the reference's rows for the bare transform; masks and coherence have 300
     return pd.DataFrame({"f": f, "mean_power": np.mean(np.abs(w) ** 2, axis=1), "top": np.argmax(np.abs(w), axis=1)})
 
 
@@ -191,7 +191,7 @@ def sig_cycle_coh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coherence(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    (f, wa), (_, wb) = sg.morlet(a, DT, 40), sg.morlet(b, DT, 40)
+    (f, wa), (_, wb) = sg.morlet(a, DT), sg.morlet(b, DT)
     coh, phase = sg.wavelet_coherence(wa, wb, f, DT)
     mean = np.angle(np.mean(np.exp(1j * phase) * coh, axis=1))
     return pd.DataFrame({"f": f, "coherence": coh.mean(axis=1), "phase": mean})
@@ -210,7 +210,7 @@ _wave("sig_matched", ["a"], _matched, "peak double, at bigint, median double")
 
 def _masked(kind: str):
     def one(v: np.ndarray) -> pd.DataFrame:
-        f, w = sg.morlet(v, DT, 100)
+        f, w = sg.morlet(v, DT)
         amp = np.abs(w)
         if kind == "mad":
             m = sg.mask_mad(amp, f, sg.sigma_for(f, len(v), DT))

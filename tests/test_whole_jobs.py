@@ -31,3 +31,12 @@ def test_peak_trace_takes_the_nearest_sample_of_every_event(spark):
 def test_footpoints_count_every_position(spark):
     got = catalogue.queries()["enr_footpoint"](spark, D).toPandas()
     assert got.n.sum() == q_signal.positions(spark, D).count()
+
+
+@pytest.mark.parametrize("one, n_values", [(q_signal._cwt, 1), (q_signal._coherence, 2), *[(q_signal._masked(k), 1) for k in ("mad", "chi2", "fdr", "pooled")]])
+def test_wavelet_rows_reach_every_band(one, n_values):
+    rng = np.random.default_rng(5)
+    out: pd.DataFrame = one(*[rng.normal(size=1536) for _ in range(n_values)])
+    period = 1 / out.f
+    assert len(out) == (500 if one is q_signal._cwt else 300)
+    assert ((period > 4800) & (period < 9600)).sum() >= 3 and ((period > 2400) & (period < 4800)).sum() >= 6
