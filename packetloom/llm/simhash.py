@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm._shared import LOWER, UPPER, forget, fresh, table, written
@@ -66,16 +66,22 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(id, fp) of every row, with the text's ``digest`` if asked for; fp is the fingerprint as a signed long."""
+    more = ["digest"] if digest else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "fp": fp})
+            yield pd.DataFrame({"id": b["id"], "fp": fp, **{m: b[m] for m in more}})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, f"id {kind}, fp bigint")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[text_digest(docs[text_col]).alias(m) for m in more])
+    return rows.mapInPandas(run, f"id {kind}, fp bigint" + "".join(f", {m} string" for m in more))
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,6 +291,13 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _labelled(distinct: DataFrame, first: str) -> DataFrame:
+    """(fp, ``first``, label) of the distinct fingerprints; the label is one for each group of linked ones."""
+    distinct = written(distinct, "distinct")
+    label = components(links(distinct)).select(F.col("node").alias("fp"), "label")
+    return written(distinct.join(label, "fp", "left").select("fp", first, F.coalesce("label", "fp").alias("label")), "labelled")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row of ``docs``.
 
@@ -294,9 +307,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an empty result. No other columns are read, so their names don't matter.
     """
     rows = written(fingerprinted(docs, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    label = components(links(distinct)).select(F.col("node").alias("fp"), "label")
-    labelled = written(distinct.join(label, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "labelled")
+    labelled = _labelled(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "first_id")
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = labelled.join(least, "label").select("fp", "component_id")
     out = rows.join(of_fp, "fp")
@@ -308,9 +319,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id; of repeated rows one."""
-    kept = grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    name = fresh(docs, "kept_id")
-    kept = kept.withColumnRenamed("doc_id", name)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """Pipeline stage: of each group exactly one row, that with the smallest id.
+
+    Null ids come last; of several texts under that id the one with the least digest stays. So
+    different texts that share an id, or have none, don't displace each other.
+    """
+    rows = fingerprinted(docs, digest=True)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    least = _labelled(rows.groupBy("fp").agg(first), "first").groupBy("label").agg(F.min("first").alias("first"))
+    digest, kept_id, kept_digest = fresh(docs, "digest"), fresh(docs, "kept_id"), fresh(docs, "kept_digest")
+    kept = least.select(F.col("first.id").alias(kept_id), F.col("first.digest").alias(kept_digest))
+    out = docs.withColumn(digest, text_digest(docs["text"]))
+    out = out.join(kept, out["doc_id"].eqNullSafe(kept[kept_id]) & (out[digest] == kept[kept_digest]), "left_semi")
+    return out.dropDuplicates(["doc_id", digest]).drop(digest)

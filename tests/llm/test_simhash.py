@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from packetloom.llm import simhash
+from tests.llm.conftest import filler
 
 
 def test_pairs_within_four_bits_share_a_key():
@@ -121,3 +122,10 @@ def test_fingerprint_of_few_words():
 def test_copies_need_no_pairs(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the same few words in every row").alias("text"))
     assert simhash.grouped(df).filter("component_id = 0").count() == 2000
+
+
+def test_stage_keeps_one_row_of_each_group_whatever_its_id(spark):
+    text = [filler(100 + k, 40) for k in range(6)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[0]), (7, text[4]), (6, text[4]), (None, text[4]), (8, text[5])]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == sorted(zip(text, [1, 1, None, None, 6, 8], strict=True))
