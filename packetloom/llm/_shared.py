@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (a local session, tests) a temporary folder is made.
+    Only where the setting is absent in a session of one process (tests) a temporary folder is
+    made; on a cluster executors would not see it, so there its absence is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -63,6 +67,13 @@ def hadoop_path(spark: SparkSession, path: str, act):
     return act(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder in one step; an error if that fails or the target exists."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(jvm.Path(source).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(jvm.Path(source), jvm.Path(target), spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0))
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` computed once per row, also where lambdas in ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,10 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-partitioned by page id and sorted. The range bounds are ids picked by a hash
+Records are range-partitioned by page id and sorted. The range bounds are keys picked by a hash
 and thinned by payload bytes, so the same table gives the same shards on any cluster. Each task
 writes its shards as gzip members, one per record, rolls to a next file by compressed size, and
-names files provisionally; the driver renames the files that successful tasks report and then
-publishes the manifest by one rename. What failed attempts leave is never named by a manifest.
+names files provisionally. A job moves the files that successful tasks report to their names, and
+one rename publishes the manifest, or fails if another writer has done so. What failed attempts
+leave is never named by a manifest.
 """
 
 from __future__ import annotations
@@ -18,18 +19,22 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import hadoop_path, new_path, table, written
+from packetloom.llm._shared import hadoop_path, new_path, rename, table, written
 
 REVISIT_BYTES = 1000
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 32 << 20
-#: Expected number of candidate range bounds.
-BOUNDS = 4096
+#: Candidate range bounds: so many per shard, in all at least and at most so many.
+BOUNDS = 8
+LEAST_BOUNDS, MOST_BOUNDS = 4096, 1 << 20
+#: Up to so many shards each is a task of its own; beyond, a task writes several in turn.
+TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST = "shard bigint, number bigint, records bigint, payload_bytes bigint, file_bytes bigint, path string"
 FILES = "shard bigint, number bigint, draft string, records bigint, payload_bytes bigint, file_bytes bigint"
 
 
@@ -104,36 +109,74 @@ class _Writer:
         return pd.DataFrame(rows, columns=["shard", "number", "draft", "records", "payload_bytes", "file_bytes"])
 
 
-def _bounds(narrow: DataFrame, shard_bytes: int) -> np.ndarray:
-    """Ids at which the next shard begins: picked by hash, then thinned to shards of about the given payload.
+class Bounds:
+    """Keys (page id, payload hash) at which the next shard begins; null ids come before all others."""
 
-    About ``BOUNDS`` ids come to the driver at any table size.
+    def __init__(self, none: np.ndarray, ids: np.ndarray, turns: np.ndarray):
+        """``none`` are the payload hashes of keys without an id; all are sorted."""
+        self.none, self.ids, self.turns = none, ids, turns
+
+    def __len__(self) -> int:
+        return len(self.none) + len(self.ids)
+
+    def thinned(self, at: list[int]) -> Bounds:
+        """The bounds at the given places only."""
+        n, at = len(self.none), np.array(at, np.int64)
+        rest = at[at >= n] - n
+        return Bounds(self.none[at[at < n]], self.ids[rest], self.turns[rest])
+
+    def part(self, none: np.ndarray, ids: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        """How many bounds are at or below each key; ``none`` marks keys without an id."""
+        low, high = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, side="right")
+        for k in np.flatnonzero((low < high) & ~none):  # ids that are a bound themselves
+            high[k] = low[k] + np.searchsorted(self.turns[low[k] : high[k]], turns[k], side="right")
+        return np.where(none, np.searchsorted(self.none, turns, side="right"), len(self.none) + high)
+
+
+def _bounds(narrow: DataFrame, shard_bytes: int) -> Bounds:
+    """Keys at which the next shard begins: picked by hash, then thinned to shards of about the given payload.
+
+    Their number follows the payload; at most ``MOST_BOUNDS`` or so come to the driver.
     """
-    n = narrow.count()
-    picks = narrow.filter(F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // BOUNDS))) == 0).filter("page_id IS NOT NULL")
-    cuts = np.array(sorted(r[0] for r in picks.select("page_id").distinct().collect()))
-    if not len(cuts):
-        return cuts
-    rows = narrow.select(_ranged(cuts)("page_id").alias("part"), "payload_bytes").groupBy("part").agg(F.sum("payload_bytes").alias("b"))
-    sizes, held, bounds = {r.part: r.b for r in rows.collect()}, 0, []
+    size = narrow.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("b")).first()
+    wanted = min(MOST_BOUNDS, max(LEAST_BOUNDS, BOUNDS * size.b // shard_bytes))
+    picks = narrow.filter(F.pmod(F.xxhash64("page_id", "turn"), F.lit(max(1, size.n // wanted))) == 0)
+    picks = picks.select("page_id", "turn").distinct()
+    none, known = picks.filter("page_id IS NULL").toPandas(), picks.filter("page_id IS NOT NULL").toPandas().sort_values(["page_id", "turn"])
+    cuts = Bounds(np.sort(none["turn"].to_numpy()), known["page_id"].to_numpy(), known["turn"].to_numpy())
+    rows = narrow.select(_ranged(cuts, narrow).alias("part"), "payload_bytes").groupBy("part").agg(F.sum("payload_bytes").alias("b"))
+    sizes, held, kept = {r.part: r.b for r in rows.collect()}, 0, []
     for k in range(len(cuts) + 1):
         if k and held and held + sizes.get(k, 0) > shard_bytes:
-            bounds.append(cuts[k - 1])
+            kept.append(k - 1)
             held = 0
         held += sizes.get(k, 0)
-    return np.array(bounds, dtype=cuts.dtype)
+    return cuts.thinned(kept)
+
 
+def _ranged(bounds: Bounds, keys: DataFrame) -> Column:
+    """The range that each row's ``page_id`` and ``turn`` fall into."""
 
-def _ranged(bounds: np.ndarray):
     @F.pandas_udf("bigint")
-    def part(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int64)
-        if len(bounds) and known.any():
-            out[known] = np.searchsorted(bounds, ids[known].to_numpy().astype(bounds.dtype), side="right")
-        return pd.Series(out)
+    def part(none: pd.Series, ids: pd.Series, turns: pd.Series) -> pd.Series:
+        return pd.Series(bounds.part(none.to_numpy(), ids.to_numpy(), turns.to_numpy()))
+
+    some = F.lit("0").cast(keys.schema["page_id"].dataType)  # a column without nulls keeps large ids exact
+    return part(F.col("page_id").isNull(), F.coalesce("page_id", some), F.col("turn"))
+
+
+def _moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Give files their names; a task that runs again finds some moved already."""
+    from pyarrow.fs import FileType
 
-    return part
+    for b in batches:
+        for draft, path in zip(b["draft"], b["path"], strict=True):
+            (fs, old), (_, new) = _opened(draft), _opened(path)
+            if fs.get_file_info(old).type != FileType.NotFound:
+                fs.move(old, new)
+            elif fs.get_file_info(new).type == FileType.NotFound:
+                raise FileNotFoundError(draft)
+        yield b.drop(columns="draft")
 
 
 def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -142,24 +185,36 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_byte
     Equal payloads of at least 1000 bytes are stored once, in the record of the largest page id;
     all others revisit it. Rows that repeat that id and payload are responses too. Null html is
     an empty payload, a null url gives no target header, rows without a page id come first and
-    revisit a known one. An empty table gives an empty manifest. Other columns aren't read.
+    revisit a known one. Rows with equal ids and payloads stand in one shard. An empty table
+    gives an empty manifest. Other columns aren't read. A path that has a manifest is refused
+    with FileExistsError; what an earlier writer left there without one does no harm.
     """
     spark = pages.sparkSession
+    if hadoop_path(spark, f"{path}/manifest", lambda fs, p: fs.exists(p)):
+        raise FileExistsError(f"{path}/manifest")
     html = F.coalesce(pages["html"], F.lit(""))
-    narrow = written(pages.select(pages["page_id"], F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("digest")), "digests")
+    turn = lambda digest: F.xxhash64(digest).alias("turn")
+    narrow = pages.select(pages["page_id"], F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("digest"))
+    narrow = written(narrow.select("*", turn("digest")), "digests")
     large = narrow.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-    first = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first_id"))
+    first = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = written(first.filter("n > 1").drop("n"), "copies")  # a table of its own, so that a digest with many pages is split when joined
     again = large.join(first, ["digest", "payload_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    ranged = _ranged(_bounds(narrow, shard_bytes))
+    bounds = _bounds(narrow, shard_bytes)
     null = F.lit(None).cast("string")
-    notes = again.select("page_id", null.alias("url"), null.alias("html"), "digest", F.col("first_id").alias("refers_to"), F.lit(0).alias("kind")).distinct()
+    notes = again.select("page_id", "turn", null.alias("url"), null.alias("html"), "digest", F.col("first_id").alias("refers_to"), F.lit(0).alias("kind")).distinct()
     kind = pages.schema["page_id"].dataType
-    rows = pages.select("page_id", pages["url"], html.alias("html"), null.alias("digest"), F.lit(None).cast(kind).alias("refers_to"), F.lit(1).alias("kind"))
-    both = notes.union(rows).withColumn("shard", ranged("page_id"))
+    rows = pages.select("page_id", turn(F.sha1(html)), pages["url"], html.alias("html"), null.alias("digest"), F.lit(None).cast(kind).alias("refers_to"), F.lit(1).alias("kind"))
+    both = notes.union(rows)
+    both = both.withColumn("shard", _ranged(bounds, both))
+    n_shards = len(bounds) + 1
+    tasks = min(TASKS, n_shards)
+    both = both.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {n_shards} as int)"))
     ids = lambda c: F.col(c).cast("string").alias(c)
-    both = both.repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    both = both.sortWithinPartitions("shard", "page_id", "turn", "kind", "url", "html")
     both = both.select("shard", ids("page_id"), "url", "html", "digest", ids("refers_to"), "kind")
-    drafts = f"{path}/drafts"
+    attempt = f"{path}/files-{uuid.uuid4().hex}"
+    drafts = f"{attempt}/drafts"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, at, known = _Writer(drafts, roll_bytes), object(), {}
@@ -178,16 +233,13 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_byte
         yield out.taken()
 
     files = written(both.mapInPandas(run, FILES), "files")
-    name = F.concat(F.lit(f"{path}/part-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("number").cast("string"), 5, "0"), F.lit(".warc.gz"))
-    files = files.withColumn("path", name)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    for r in files.select("draft", "path").toLocalIterator():  # one rename per file
-        hadoop_path(spark, r.draft, lambda fs, p, to=r.path: fs.rename(p, jpath(to)))
+    name = F.concat(F.lit(f"{attempt}/part-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("number").cast("string"), 5, "0"), F.lit(".warc.gz"))
+    files = files.withColumn("path", name).select(*[c.split()[0] for c in MANIFEST.split(", ")], "draft")
     draft = f"{path}/manifest-{uuid.uuid4().hex}"
-    files.drop("draft").write.parquet(draft)
-    hadoop_path(spark, draft, lambda fs, p: fs.rename(p, jpath(f"{path}/manifest")))
+    files.mapInPandas(_moved, MANIFEST).write.parquet(draft)
+    rename(spark, draft, f"{path}/manifest")
     hadoop_path(spark, drafts, lambda fs, p: fs.delete(p, True))
-    return spark.read.schema(files.drop("draft").schema).parquet(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
 def _members(path: str) -> Iterator[bytes]:
