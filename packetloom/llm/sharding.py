@@ -2,26 +2,31 @@
 
 A store is a folder with ``data`` (immutable Parquet shards) and ``manifest`` (one folder per
 version: a table of the shards that make up that version). ``append`` writes arrivals as small
-shards without a shuffle. ``compact`` puts the shards of a version into tiers by size (all below a
-sixteenth of the target are one tier), lines up each tier, cuts the line at the target size and rewrites every cut of at least ``FANOUT``
-shards, or of half the target, as one shard, until no cut qualifies. A version is written under
-a temporary name and takes effect by one rename, which fails if that version exists already.
+shards without a shuffle. ``compact`` puts the shards of a version into tiers by size (all below
+a sixteenth of the target are one tier), lines up each tier, cuts the line at the target size and
+rewrites every cut of at least ``FANOUT`` shards, or of half the target, as one shard, until no
+cut qualifies. A version is written under a temporary name and takes effect by one rename, which
+fails if that version exists already. The ``KEPT`` latest versions stay readable; shards that only
+older ones name are deleted, an arrival at a time.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm._shared import fresh, hadoop_path, new_path, table
+from packetloom.llm._shared import fresh, hadoop_path, new_path, rename, table
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 ARRIVALS = 8
+#: Versions whose shards are kept.
+KEPT = 2
 #: A shard of an arrival is closed at this many rows.
 ARRIVAL_ROWS = 100_000
 MANIFEST = T.StructType([
@@ -57,10 +62,7 @@ class Store:
         """Make ``shards`` the given version, or fail if another writer has done so."""
         draft = f"{self.path}/manifest/draft-{uuid.uuid4().hex}"
         shards.coalesce(8).write.parquet(draft)
-        jvm, path = self.spark._jvm, lambda x: self.spark._jvm.org.apache.hadoop.fs.Path(x)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(draft).toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(path(draft), path(f"{self.path}/manifest/v{version:08d}"), options)
+        rename(self.spark, draft, f"{self.path}/manifest/v{version:08d}")
 
     def rows(self, version: int | None = None) -> DataFrame:
         """All rows of a version with their shard's path in the column ``self.shard``."""
@@ -117,13 +119,23 @@ class Store:
             folder = self._write(rows.repartition(name).sortWithinPartitions(name), "run")
             kept = shards.join(merges.withColumnRenamed(at, "path"), "path", "left_anti")
             self.commit(kept.unionByName(self._listed(folder, name, version + 1)), version + 1)
-            self._vacuum(version, chosen)
+            self.vacuum()
 
-    def _vacuum(self, version: int, paths: list[str]) -> None:
-        """Drop a version that was compacted, and the shards that only it names."""
-        hadoop_path(self.spark, f"{self.path}/manifest/v{version:08d}", lambda fs, p: fs.delete(p, True))
-        for path in paths:
-            hadoop_path(self.spark, path, lambda fs, p: fs.delete(p, False))
+    def vacuum(self, keep: int = KEPT) -> None:
+        """Drop all but the latest ``keep`` versions, and the folders of shards that none of those names.
+
+        A folder is an arrival's or that of one merged shard, so this takes a call for each of
+        them, however many shards an arrival has.
+        """
+        versions = self.versions()
+        folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+        folders = lambda some: reduce(DataFrame.union, [self.manifest(v).select(folder) for v in some]).distinct()
+        if len(versions) <= keep:
+            return
+        for r in folders(versions[:-keep]).join(folders(versions[-keep:]), "folder", "left_anti").toLocalIterator():
+            hadoop_path(self.spark, r.folder, lambda fs, p: fs.delete(p, True))
+        for v in versions[:-keep]:
+            hadoop_path(self.spark, f"{self.path}/manifest/v{v:08d}", lambda fs, p: fs.delete(p, True))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrivals: int = ARRIVALS, target: int = TARGET_BYTES) -> tuple[DataFrame, Store]:
@@ -153,8 +165,18 @@ def _numbered(rows: DataFrame, store: Store, keep: list[Column]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the store returns it, and whether its shard is as the manifest says.
+
+    That is so if the shard's rows and bytes, counted from the rows read back, are those of the
+    manifest, and the shard keeps to the target size.
+    """
     rows, store = shard(table(spark, sf_dir, "documents"))
-    return _numbered(rows, store, [F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")])
+    path, size = F.col(store.shard), F.col(store.size)
+    counted = rows.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total"), F.max(size).alias("longest"))
+    agrees = (F.col("n") == F.col("rows")) & (F.col("total") == F.col("bytes")) & (F.col("bytes") <= 2 * F.lit(TARGET_BYTES) + F.col("longest"))
+    found = store.manifest().join(counted, "path", "left").select("path", F.coalesce(agrees, F.lit(False)).alias("shard_agrees"))
+    out = rows.select("doc_id", size.alias("n_bytes"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), path.alias("of_path"))
+    return out.join(found, F.col("of_path") == F.col("path"), "left").select("doc_id", "n_bytes", "text_md5", F.coalesce("shard_agrees", F.lit(False)).alias("shard_agrees"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -163,9 +185,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _numbered(rows, store, [F.col(c) for c in ("doc_id", "lang", "source", "n_chars")])
 
 
-#: Tables of less than the target size end as one shard.
+#: Which shard holds a row depends on the files that the arrivals were written as, so SQL has the rows only.
 ORACLE = """
-SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS text_md5, CAST(0 AS BIGINT) AS shard,
-  count(*) OVER () AS shard_rows, CAST(sum(coalesce(strlen(text), 0)) OVER () AS BIGINT) AS shard_bytes
+SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS text_md5, true AS shard_agrees
 FROM documents
 """

@@ -97,3 +97,56 @@ def test_appends_make_versions(spark):
     before = store.versions()[-1]
     store.append(df.withColumn(store.size, F.lit(1).cast("long")), F.lit("late"))
     assert store.versions()[-1] == before + 1 and store.rows().count() == 20 and store.rows(before).count() == 10
+
+
+def merged(shards, target, fanout=sharding.FANOUT):
+    """The sizes of a store's shards after compaction, from (arrival, path, bytes), in plain Python."""
+    import math
+
+    shards, number = list(shards), 0
+    while True:
+        tiers = {}
+        for a, p, b in sorted(shards):
+            if b < target // 2:
+                tiers.setdefault(math.floor(math.log(max(b, target // fanout**2, 1), fanout) + 1e-12), []).append((a, p, b))
+        gone, new = set(), []
+        for t, line in tiers.items():
+            cuts, before = {}, 0
+            for x in line:
+                cuts.setdefault(before // target, []).append(x)
+                before += x[2]
+            for n, cut in cuts.items():
+                total = sum(x[2] for x in cut)
+                if len(cut) >= fanout or len(cut) > 1 and total >= target // 2:
+                    gone |= {x[1] for x in cut}
+                    number += 1
+                    new.append((f"run-{t}-{n}", f"new{number}", total))
+        if not gone:
+            return sorted(x[2] for x in shards)
+        shards = [x for x in shards if x[1] not in gone] + new
+
+
+@pytest.mark.parametrize("target", [700, 5_000, 60_000])
+def test_tiers_equal_plain_python(spark, target):
+    rng = random.Random(target)
+    df = spark.createDataFrame([(i, "x" * rng.choice((5, 40, 400))) for i in range(300)], "doc_id bigint, text string").repartition(3)
+    size = F.length("text").cast("long")
+    store = sharding.Store(spark, sharding.new_path(spark, "store"), df.withColumn("b", size).schema, "b")
+    for k in range(5):
+        store.append(df.filter(F.col("doc_id") % 5 == k).withColumn("b", size), F.lit(f"day{k}"))
+    before = [(r.arrival, r.path, r.bytes) for r in store.manifest().collect()]
+    store.compact(target)
+    assert sorted(r.bytes for r in store.manifest().collect()) == merged(before, target)
+    assert sorted(r.text for r in store.rows().collect()) == sorted(r.text for r in df.collect())
+
+
+def test_readers_of_the_version_before_are_served(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"), F.lit(100).cast("long").alias("b"))
+    store = sharding.Store(spark, sharding.new_path(spark, "store"), df.schema, "b")
+    store.append(df, F.col("doc_id") % 16)
+    held = store.rows()
+    store.compact(100_000)
+    assert held.count() == 2000 and store.versions() == [1, 2] and store.rows().count() == 2000
+    store.append(df, F.lit("more"))
+    store.vacuum(keep=1)
+    assert store.versions() == [3] and store.rows().count() == 4000
