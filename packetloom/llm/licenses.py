@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
-Candidate blocks are the lines of a text that speak of licences, with the lines between them.
-A block of any length is cut into overlapping windows of words. A window is compressed plain and
+Candidate blocks are the lines of a text that speak of licences, with as many words before and
+after them as the longest template has, so that a notice wrapped over lines is whole. A block of any length is cut into overlapping windows of words. A window is compressed plain and
 once with each template as a raw zstandard dictionary; the templates that shrink it most are its
 best explanations and come first. Every template is then compared word by word at every place
 where it may fit: a licence is confirmed if nearly all of the template's words stand there in
@@ -46,13 +46,25 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 )
 #: Parts of words that make a line a candidate.
-CUES = ("licen", "copyright", "permission is hereby", "redistribut", "public domain", "released under", "permission to use", "free software")
+CUES = ("licen", "copyright", "permission is hereby", "redistribut", "public domain", "released under", "permission to use", "free software",
+        "gnu ", "apache", "mozilla", "eclipse public", "creative commons", "boost software", "derived from this software", "without restriction", "unencumbered")
 #: Words that must not differ, beside those with a digit.
-NAMES = frozenset("apache mit bsd isc gnu general lesser affero mozilla cc by nc sa nd cc0 unencumbered public".split())
+NAMES = frozenset("apache mit bsd isc gnu general lesser affero mozilla eclipse boost creative commons attribution sharealike noncommercial noderivatives cc by nc sa nd cc0 unencumbered public".split())
 SHARE = 0.85
-GAP_LINES = 6
 LEVEL = 3
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -63,8 +75,9 @@ def words(text: str) -> list[str]:
 
 _WORDS = [words(t) for _, t in TEMPLATES]
 _NORMAL = [" ".join(w) for w in _WORDS]
+LONGEST = max(len(w) for w in _WORDS)
 #: Words of a window and from one window to the next: the overlap holds every template twice.
-WINDOW = 4 * max(len(w) for w in _WORDS)
+WINDOW = 4 * LONGEST
 STEP = WINDOW // 2
 
 
@@ -93,19 +106,20 @@ class Scanner:
         """(identifier, share of bytes saved, differing words) of each licence that the block's wording bears out."""
         out: dict[str, tuple[float, int]] = {}
         for window in windows(block):
+            own = set(window)
             for saved, k in self.ranked(window):
-                differing = difference(window, _WORDS[k])
+                differing = difference(window, _WORDS[k], own)
                 name = TEMPLATES[k][0]
                 if differing is not None and (name not in out or (differing, -saved) < (out[name][1], -out[name][0])):
                     out[name] = (saved, differing)
         return sorted((n, s, d) for n, (s, d) in out.items())
 
 
-def difference(block: list[str], template: list[str]) -> int | None:
+def difference(block: list[str], template: list[str], words_of_block: set[str]) -> int | None:
     """Words of the template that the block lacks where the template fits best; None if it isn't borne out anywhere."""
     most, size = int((1 - SHARE) * len(template) + 1e-9), len(template) + 2
     own = set(template)
-    if len(own.difference(block)) > most:
+    if len(own - words_of_block) > most:
         return None
     count, best = [0, *accumulate(w in own for w in block)], None
     for at in range(len(block)):  # only places with enough of the template's words can bear it out
@@ -139,16 +153,22 @@ def blocks(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
-    out, at, last = [], 0, -GAP_LINES - 1
-    for n, line in enumerate(text.split("\n")):
-        if any(c in line.lower() for c in CUES):
-            if out and n - last <= GAP_LINES:
-                out[-1] = (out[-1][0], at + len(line))
-            else:
-                out.append((at, at + len(line)))
-            last = n
-        at += len(line) + 1
-    return out
+    lines, out = text.split("\n"), []
+    for k in (k for k, line in enumerate(lines) if any(c in line.lower() for c in CUES)):
+        first, n = k, 0
+        while first > 0 and n < LONGEST and not (out and first <= out[-1][1]):
+            first -= 1
+            n += len(lines[first].split())
+        last, n = k, 0
+        while last + 1 < len(lines) and n < LONGEST:
+            last += 1
+            n += len(lines[last].split())
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    starts = [0, *accumulate(len(line) + 1 for line in lines)]
+    return [(starts[first], starts[last + 1] - 1) for first, last in out]
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
