@@ -2,8 +2,9 @@
 
 One pass over the texts finds the base spans by rule and cuts out islands: short stretches
 that may hold personal data, also in spellings that the rules miss ("name (at) host (dot) org",
-numbers without their plus). Within an island every span of up to ``MOST_TOKENS`` tokens that
-looks like some kind is a candidate; features of the whole span and its surroundings score it,
+numbers without their plus). Within an island every span that looks like some kind is a
+candidate, up to an entity's bound of ``MOST_TOKENS`` tokens (numbers of any kind are shorter by
+their spelling; a longer address is found by rule only); features of the whole span and its surroundings score it,
 and a dynamic program over the island's tokens chooses the best set of disjoint spans, types
 and boundaries together. The weights are fitted on a bounded sample of islands, with their base
 spans as labels, and with copies in which those spans are respelt as people respell them.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from packetloom.llm._shared import sample_by_hash, table, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Islands that the model is fitted on, and the characters of the longest of them.
 SAMPLE = 1500
+SAMPLE_CHARS = 400
 MOST_TOKENS = 40
 CONTEXT = 24
 #: A candidate is added if its marginal probability is at least this.
@@ -43,7 +46,8 @@ LOOSE = {
     "phone": re.compile(r"\+?\(?[0-9](?:[ ().-]{0,3}[0-9]){6,14}"),
 }
 _NUMBERS = re.compile(r"\+?\(?[0-9](?:[ ()\[\].,-]{0,3}[0-9])+")
-_SPELT = re.compile(r"[\[(]\s?at\s?[\])]|\sdot\s")
+_SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?{_AT}\s?[A-Za-z0-9-]+(?:\s?{_DOT}\s?[A-Za-z0-9-]+)+")
+_SPELT_OUT = re.compile(r"[\[(]\s?at\s?[\])]|[\[(]\s?dot\s?[\])]|\sdot\s")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
 
 
@@ -93,15 +97,14 @@ def islands(text: str) -> list[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
         a, b = at, at + 1
-        while a > 0 and at - a < 80 and not text[a - 1].isspace():
+        while a > 0 and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and b - at < 80 and not text[b].isspace():
+        while b < len(text) and not text[b].isspace():
             b += 1
         found.append((a, b))
         at = text.find("@", b)
-    if "at)" in text or "at]" in text or "at )" in text or "at ]" in text or " dot " in text:
-        for m in _SPELT.finditer(text):
-            found.append((max(0, m.start() - 60), min(len(text), m.end() + 60)))
+    if "at)" in text or "at]" in text or "at )" in text or "at ]" in text or "dot" in text:
+        found += [m.span() for m in _SPELT.finditer(text) if _SPELT_OUT.search(m.group())]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1] + 3:
@@ -307,16 +310,17 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row.
 
     The counts are of base spans; ``spans`` has all. The model is fitted on at most ``sample``
-    islands, the first by a hash of their text. Null and empty texts have no spans. Repeated
+    islands of at most ``sample_chars`` characters, the first by a hash of their text; islands of
+    any length are scanned. Null and empty texts have no spans. Repeated
     rows each give a row. An empty table, or one without islands, fits no weights and adds
     nothing. Other columns aren't read.
     """
     rows = written(scanned(docs, id_col, text_col), "scanned")
-    each = rows.select(F.explode("islands").alias("x")).select("x.text", "x.base").filter(F.length("text") <= 400)
+    each = rows.select(F.explode("islands").alias("x")).select("x.text", "x.base").filter(F.length("text") <= sample_chars)
     chosen = sample_by_hash(each.distinct(), ["text"], sample).collect()
     weights = fit([(r.text, [tuple(x) for x in r.base]) for r in chosen])
     kind = docs.schema[id_col].dataType.simpleString()
