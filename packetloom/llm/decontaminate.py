@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import LOWER, UPPER, table, written
+from packetloom.llm._shared import LOWER, UPPER, fresh, table, written
 
 WINDOW = 10
 GRAM = 5
@@ -223,9 +223,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any benchmark window. Rows with the id of a hit one go too."""
-    bad = hits(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["hit_id"]), "left_anti")
+    """Pipeline stage: documents without any benchmark window.
+
+    Whether a text has one depends on the text alone, so texts are told apart by their digest:
+    rows that share an id, or have none, go or stay each by its own text.
+    """
+    digest, hit = fresh(docs, "digest"), fresh(docs, "hit_digest")
+    keyed = docs.withColumn(digest, F.md5(F.coalesce(docs["text"], F.lit(""))))
+    bad = hits(keyed, table(spark, sf_dir, "benchmark"), id_col=digest).filter("contaminated").select(F.col(digest).alias(hit)).distinct()
+    return keyed.join(bad, keyed[digest] == bad[hit], "left_anti").drop(digest)
 
 
 _SQL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

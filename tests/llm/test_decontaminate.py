@@ -5,6 +5,7 @@ import re
 import pytest
 
 from packetloom.llm import decontaminate as dc
+from tests.llm.conftest import filler
 
 
 def words(t):
@@ -50,3 +51,12 @@ def test_odd_documents(spark, odd_docs, no_docs, tables):
     assert dc.hits(odd_docs, spark.createDataFrame([], "item_id bigint, text string")).filter("contaminated").count() == 0
     kept = dc.stage(spark, odd_docs, tables)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 1
+
+
+def test_stage_judges_rows_that_share_an_id_by_their_texts(spark, tmp_path):
+    leak = filler(50, 14)
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, f"{filler(1, 9)} {leak}"), (5, filler(2, 30)), (None, f"{leak} {filler(3, 4)}"), (None, filler(4, 30)), (6, filler(5, 30)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = dc.stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, kept)) == sorted(map(repr, [r for r in docs.collect() if leak not in (r.text or "")]))
