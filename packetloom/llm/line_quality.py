@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import sample_by_hash, table
+from packetloom.llm._shared import sample_by_hash, table, written
 
 #: Most labelled documents to fit on, of each label.
 SAMPLE = 1500
-#: Longer documents are not fitted on (they are scored like all others).
-SAMPLE_LINES = 400
+#: Lines to fit on in all: documents of any length come in until so many are reached.
+SAMPLE_LINES = 200_000
 THRESHOLD = 0.3
 #: Bucket edges of each measure.
 EDGES = (
@@ -152,32 +152,38 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 6, rat
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(id, y, text) of at most ``most`` training documents of each label, by a hash of their id.
+    """(doc_id, y, text) of at most ``most`` training documents of each label, by a hash of their id.
 
-    The join's small side has at most ``2 * most`` rows, so it may be broadcast.
+    Of several texts under one id the first in order stands for all. The join's small side has
+    at most ``2 * most`` rows, so it may be broadcast.
     """
     train = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).filter(F.col(label).isin(0, 1))
     train = train.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("y"))
     of = lambda y: sample_by_hash(train.filter(F.col("y") == y), ["label_id"], most)
     picked = of(0).unionByName(of(1))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, sample_lines: int = SAMPLE_LINES) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_lines) for every row of ``docs``.
 
-    A text without lines (null, empty, blank) has a raw quality of one half. Repeated rows are
+    The fit takes at most ``sample`` documents of each label, in order of a hash of their id and
+    whatever their length, until their lines reach ``sample_lines``. A text without lines (null, empty, blank) has a raw quality of one half. Repeated rows are
     scored each on their own. Without labelled rows every weight is zero. Other columns of
     ``docs`` aren't read; of ``labels`` only doc_id and quality are.
     """
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(y, *features(t)) for y, t in zip(b["y"], b["text"], strict=True)]
-            rows = [(y, x.tobytes(), s.tolist()) for y, x, s in rows if len(x) <= SAMPLE_LINES]
-            yield pd.DataFrame(rows, columns=["y", "x", "size"])
-
-    chosen = labelled(docs, labels, "quality", sample).mapInPandas(measured, "y int, x binary, size array<double>")
+            rows = [(i, y, *features(t)) for i, y, t in zip(b["place"], b["y"], b["text"], strict=True)]
+            yield pd.DataFrame([(i, y, x.tobytes(), s.tolist()) for i, y, x, s in rows], columns=["place", "y", "x", "size"])
+
+    examples = labelled(docs, labels, "quality", sample).select(F.xxhash64("doc_id").alias("place"), "y", "text")
+    chosen = written(examples.mapInPandas(measured, "place bigint, y int, x binary, size array<double>"), "examples")
+    before = F.sum(F.size("size")).over(Window.orderBy("place", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size("size")
+    few = chosen.select("place", "x", "size", "y", before.alias("before"))  # one window over at most 2 * sample rows
+    chosen = few.filter(F.col("before") < sample_lines)
     rows = sorted((r.y, bytes(r.x), tuple(r.size)) for r in chosen.collect())  # at most 2 * sample rows
     field = fit([(np.frombuffer(x, np.int8).reshape(-1, N_FEATURES), np.array(s), y) for y, x, s in rows])
     kind = docs.schema["doc_id"].dataType.simpleString()

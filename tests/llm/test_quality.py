@@ -77,6 +77,15 @@ def test_line_field_on_odd_documents(spark, odd_docs, no_docs):
     assert line_quality.scored(odd_docs, labels.limit(0)).count() == odd_docs.count()
 
 
+def test_long_documents_are_fitted_on_within_the_bound_of_lines(spark):
+    docs, labels = labelled(spark)
+    long = docs.filter("doc_id < 3").select((F.col("doc_id") + 500).alias("doc_id"), F.repeat(F.concat("text", F.lit("\n")), 400).alias("text"))
+    both, marks = docs.unionByName(long), labels.unionByName(long.select("doc_id", F.lit(1).alias("quality")))
+    out = line_quality.scored(both, marks).join(marks, "doc_id")
+    assert out.filter("held_out AND predicted <> quality").count() == 0
+    assert line_quality.scored(both, marks, sample_lines=1).count() == both.count()
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
