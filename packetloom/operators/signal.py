@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -26,6 +27,8 @@ MAX_PAR_FRACTION = 0.5
 SEARCH_S = (600.0, 9600.0)
 NOISE_FROM_S = 300.0
 MAD_TO_SIGMA = 1.4826
+#: Prominence, as a share of a ridge's maximum, from which a second maximum is a packet of its own: half power in amplitude.
+HALF_POWER = 1 - 1 / math.sqrt(2)
 
 
 def per_segment(df: DataFrame, key: str, order: str, values: list[str], f: Callable[..., pd.DataFrame], schema: str, kind: str = "bigint") -> DataFrame:
@@ -122,18 +125,33 @@ def background(f: np.ndarray, p: np.ndarray, window: int = 101, order: int = 3,
     return np.exp(spline(x, bg, lf))
 
 
-def morlet(x: np.ndarray, dt: float = 60.0, n_freqs: int = 300, f_min: float = 1 / 14400, omega0: float = OMEGA0) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, complex coefficients) on a linear frequency grid up to Nyquist."""
-    n = len(x)
-    f = np.linspace(f_min, 0.5 / dt, n_freqs)
-    out = np.empty((n_freqs, n), complex)
+@lru_cache(maxsize=4)
+def _kernels(n: int, dt: float, n_freqs: int, f_min: float, omega0: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Frequencies, and for each padded size the rows of that size, their wavelets' spectra and first samples.
+
+    They depend on the length of a series only, so segments of one length share them.
+    """
+    f, by_size = np.linspace(f_min, 0.5 / dt, n_freqs), {}
     for k, s in enumerate((omega0 + math.sqrt(2 + omega0**2)) / (4 * np.pi * f * dt)):
         m = max(3, min(int(10 * s) * 2 + 1, n))
         t = (np.arange(m) - (m - 1) / 2) / s
         w = np.pi**-0.25 * np.exp(1j * omega0 * t - t**2 / 2) / math.sqrt(s)
         size = 1 << (n + m - 2).bit_length()
-        full = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(np.conj(w[::-1]), size))[: n + m - 1]
-        out[k] = full[(m - 1) // 2 : (m - 1) // 2 + n]
+        by_size.setdefault(size, []).append((k, np.fft.fft(np.conj(w[::-1]), size), (m - 1) // 2))
+    return f, [(size, np.array([r[0] for r in rows]), np.stack([r[1] for r in rows]), np.array([r[2] for r in rows])) for size, rows in by_size.items()]
+
+
+def morlet(x: np.ndarray, dt: float = 60.0, n_freqs: int = 300, f_min: float = 1 / 14400, omega0: float = OMEGA0) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, complex coefficients) on a linear frequency grid up to Nyquist.
+
+    The series is transformed once for each padded size, not once for each row.
+    """
+    n = len(x)
+    f, sizes = _kernels(n, dt, n_freqs, f_min, omega0)
+    out = np.empty((n_freqs, n), complex)
+    for size, rows, spectra_of, first in sizes:
+        full = np.fft.ifft(np.fft.fft(x, size) * spectra_of, axis=1)
+        out[rows] = np.take_along_axis(full, first[:, None] + np.arange(n), axis=1)
     return f, out
 
 
@@ -160,8 +178,8 @@ def red_noise(power: np.ndarray, f: np.ndarray, x: np.ndarray, dt: float) -> np.
     a = lag1(x)
     shape = (1 - a * a) / (1 + a * a - 2 * a * np.cos(2 * np.pi * f * dt))
     rows = noise_rows(f)
-    if not len(rows):
-        return np.full(len(f), float(np.median(power)) / math.log(2))
+    if not len(rows):  # levelled on all rows, in the shape of the noise
+        return shape * (float(np.median(power)) / math.log(2) / float(np.median(shape)))
     return shape * float(np.median(np.median(power[rows], axis=1) / math.log(2) / shape[rows]))
 
 
@@ -205,6 +223,19 @@ def mask_mad(amp: np.ndarray, f: np.ndarray, n_sigma: float) -> np.ndarray:
     return amp > (_by_log_period(f, 1 / f[rows], level)[:, None] if len(rows) else level[0])
 
 
+def sigma_at(amp: np.ndarray, f: np.ndarray, period: float, first: int, last: int) -> float | None:
+    """Deviations of the greatest amplitude at a period within samples first..last over the noise rows' level there; None without noise."""
+    rows = noise_rows(f)
+    if not len(rows):
+        return None
+    med = np.median(amp[rows], axis=1)
+    mad = np.median(np.abs(amp[rows] - med[:, None]), axis=1)
+    order = np.argsort(1 / f[rows])
+    level, spread = (float(np.interp(math.log10(period), np.log10(1 / f[rows])[order], v[order])) for v in (med, mad))
+    top = float(amp[int(np.argmin(np.abs(1 / f - period))), first : last + 1].max())
+    return (top - level) / (MAD_TO_SIGMA * spread) if spread > 0 else None
+
+
 def mask_pooled(amp: np.ndarray, f: np.ndarray, archive: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], region: str, n_sigma: float) -> np.ndarray:
     """Amplitudes above a region's archived median and spread (periods, medians, MADs); KeyError for an unknown region."""
     periods, med, mad = archive[region]
@@ -243,18 +274,43 @@ def labels(mask: np.ndarray) -> np.ndarray:
 
 
 def vertex(amp: np.ndarray, f: np.ndarray, r: int, t: int) -> float:
-    """Period at the vertex of the parabola through three rows' log power over log period."""
-    period = 1 / f[r]
-    if 0 < r < len(f) - 1 and (amp[r - 1 : r + 2, t] > 0).all():
-        x, y = -np.log(f[r - 1 : r + 2]), 2 * np.log(amp[r - 1 : r + 2, t])
-        a, b, _ = np.polyfit(x - x[1], y, 2)
-        if a < 0 and abs(-b / (2 * a)) <= max(abs(x - x[1])):
-            period = math.exp(x[1] - b / (2 * a))
-    return float(period)
-
-
-def ridges(amp: np.ndarray, f: np.ndarray, mask: np.ndarray, dt: float, min_s: float = 7200.0, min_pixels: int = 10, edge: np.ndarray | None = None) -> list[dict]:
-    """Connected significant regions of the search band as peaks with times, period and widths."""
+    """Period at the vertex of the parabola through three rows' log amplitude, in rows and log period.
+
+    A vertex more than half a row away belongs to another row; then, and at the grid's edge, the
+    row's own period stands.
+    """
+    if not 0 < r < len(f) - 1 or not (amp[r - 1 : r + 2, t] > 0).all():
+        return float(1 / f[r])
+    below, here, above = np.log(amp[r - 1 : r + 2, t])
+    bend = below - 2 * here + above
+    step = 0.5 * (below - above) / bend if bend else 1.0
+    if abs(step) > 0.5:
+        return float(1 / f[r])
+    towards = r + 1 if step >= 0 else r - 1
+    return float(math.exp(-math.log(f[r]) - abs(step) * math.log(f[towards] / f[r])))
+
+
+def prominent(x: np.ndarray, least: float) -> list[int]:
+    """Places of the inner maxima of ``x`` that stand out by ``least``: above the higher of the two minima that part them from higher values."""
+    rising = np.flatnonzero(np.diff(x) > 0) + 1
+    out = []
+    for i in rising.tolist():
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if j + 1 == len(x) or x[j + 1] > x[i]:
+            continue  # no maximum, or one at the end
+        left = np.flatnonzero(x[:i] > x[i])
+        right = np.flatnonzero(x[j + 1 :] > x[i])
+        before = x[(left[-1] if len(left) else 0) : i].min()
+        after = x[j + 1 : (j + 1 + right[0] if len(right) else len(x))].min()
+        if x[i] - max(before, after) >= least:
+            out.append((i + j) // 2)
+    return out
+
+
+def ridges(amp: np.ndarray, f: np.ndarray, mask: np.ndarray, dt: float, min_s: float = 7200.0, min_pixels: int = 10, edge: np.ndarray | None = None, split: bool = True) -> list[dict]:
+    """Connected significant regions of the search band as peaks with times, period and widths; fused ones are split."""
     period = 1 / f
     rows = (period >= SEARCH_S[0]) & (period < SEARCH_S[1])
     mask = mask & rows[:, None]
@@ -268,29 +324,24 @@ def ridges(amp: np.ndarray, f: np.ndarray, mask: np.ndarray, dt: float, min_s: f
         pr, pt = int(r[top]), int(t[top])
         above = period[rows][amp[rows, pt] >= amp[rows, pt].max() / 2]
         found.append({"i0": int(t.min()), "i1": int(t.max()), "i": pt, "row": pr, "period": vertex(amp, f, pr, pt), "power": float(amp[pr, pt]), "fwhm": float(above.max() - above.min()), "pixels": len(r)})
+    found = [x for r in found for x in split_ridge(amp, r, dt, min_s)] if split else found
     return sorted(found, key=lambda x: x["i"])
 
 
 def split_ridge(amp: np.ndarray, ridge: dict, dt: float, min_s: float = 7200.0) -> list[dict]:
-    """A ridge cut where its power falls below half of the lower of two neighbouring maxima."""
-    a, b = ridge["i0"], ridge["i1"] + 1
-    p = amp[ridge["row"], a:b]
-    peaks = [i for i in range(1, len(p) - 1) if p[i] >= p[i - 1] and p[i] > p[i + 1]]
-    kept: list[int] = []
-    cuts: list[int] = []
-    for i in peaks:
-        if kept:
-            j = kept[-1] + int(np.argmin(p[kept[-1] : i + 1]))
-            if p[j] < 0.5 * min(p[kept[-1]], p[i]):
-                kept.append(i)
-                cuts.append(j)
-            elif p[i] > p[kept[-1]]:
-                kept[-1] = i
-        else:
-            kept.append(i)
-    edges = [0, *cuts, len(p)]
-    parts = [ridge | {"i0": a + lo, "i1": a + hi - 1, "i": a + lo + int(np.argmax(p[lo:hi])), "power": float(p[lo:hi].max())} for lo, hi in zip(edges, edges[1:], strict=False) if (hi - lo) * dt >= min_s]
-    return parts if len(cuts) and parts else [ridge]
+    """A ridge cut at the minima between those maxima of its row that stand out by half power; parts that are too short go."""
+    a = ridge["i0"]
+    row = amp[ridge["row"], a : ridge["i1"] + 1]
+    tops = prominent(row, HALF_POWER * float(row.max()))
+    if len(tops) < 2:
+        return [ridge]
+    cuts = [0, *(i + int(np.argmin(row[i : j + 1])) for i, j in zip(tops, tops[1:], strict=False)), len(row) - 1]
+    parts = []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi - lo + 1 >= math.ceil(min_s / dt):
+            top = lo + int(np.argmax(row[lo : hi + 1]))
+            parts.append(ridge | {"i0": a + lo, "i1": a + hi, "i": a + top, "power": float(row[top])})
+    return parts or [ridge]
 
 
 def band_name(period: float) -> str | None:
@@ -369,6 +420,16 @@ def wavelet_coherence(w1: np.ndarray, w2: np.ndarray, f: np.ndarray, dt: float)
     return np.clip(np.abs(cross) ** 2 / np.maximum(a * b, 1e-300), 0, 1), np.angle(cross)
 
 
+def phase_shift(x: np.ndarray, y: np.ndarray, dt: float, period: float) -> tuple[float, float]:
+    """(delay in seconds, phase in degrees) at the lag of greatest correlation over all lags."""
+    u, v = x - x.mean(), y - y.mean()
+    size = 1 << (2 * len(u) - 2).bit_length()
+    full = np.fft.irfft(np.fft.rfft(u, size) * np.conj(np.fft.rfft(v, size)), size)
+    r = np.concatenate([full[size - len(u) + 1 :], full[: len(u)]])
+    delay = (int(np.argmax(r)) - (len(u) - 1)) * dt
+    return delay, (delay / period * 360.0) % 360.0
+
+
 def running_phase(x: np.ndarray, y: np.ndarray, window: int, step: int, period: float) -> list[tuple[int, float]]:
     """(first sample, phase in degrees) of the lag of greatest correlation in sliding windows."""
     out = []
