@@ -1,84 +1,154 @@
-"""As-of, nearest and interval joins as bucketed equi-joins: no nested loops at any size.
+"""As-of, nearest and interval joins: no nested loops and no one-task windows at any size.
 
-Times are numbers (POSIX seconds). The intervals' side is exploded into buckets of a fixed
-width, both sides meet on the bucket, and the range test is the join's residual condition.
+Times are numbers (POSIX seconds). As-of joins deal the union of both sides into ranges of
+(keys, time) that hold about equally many rows, carry the last or next right row within each
+range by a window, and hand each range the right row nearest to it from the others. So the work
+grows with the rows, however dense they are. Interval joins explode the intervals' side into
+buckets of a fixed width; both sides meet on the bucket, and the range test is the residual.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range, how many ranges there may be, and sampled rows per range.
+ROWS_PER_PART = 20_000
+MOST_PARTS = 1 << 16
+SAMPLED = 8
+
 
 def bucket(t: Column, width: float) -> Column:
     return F.floor(t / width).cast("long")
 
 
-def intervals(points: DataFrame, t: str, keys: list[str] | None = None, end: Column | None = None, forward: bool = False) -> DataFrame:
-    """``points`` with ``lo`` and ``hi``: to the next point, or from the one before if ``forward``.
+def ranges(rows: DataFrame, order: list[str], rows_per_part: int = ROWS_PER_PART) -> tuple[Callable[..., Column], int]:
+    """A function from columns in ``order`` to the number of their range, and how many ranges there are.
+
+    The bounds come from a sample that is a fixed multiple of the number of ranges; results
+    don't depend on where they lie.
+    """
+    n = rows.count()
+    parts = max(1, min(MOST_PARTS, n // rows_per_part))
+    sample = rows.select(*order).dropna().sample(min(1.0, SAMPLED * parts / max(n, 1)), 1).distinct() if parts > 1 else rows.limit(0)
+    found = sorted(tuple(r) for r in sample.collect())[SAMPLED::SAMPLED] if parts > 1 else []
+    if not found:
+        return lambda *_: F.lit(0), 1
+    kinds = ",".join(f"c{k}:{rows.schema[c].dataType.simpleString()}" for k, c in enumerate(order))
+    bounds = F.from_json(F.lit(json.dumps([{f"c{k}": v for k, v in enumerate(x)} for x in found])), f"array<struct<{kinds}>>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(found).bit_length()))])
+
+    def part(*columns: Column) -> Column:
+        """Binary search for the number of bounds at or below the key."""
+        key = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
+        return F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(bounds, low + s - 1) <= key, low + s).otherwise(low))
+
+    return part, len(found) + 1
+
+
+def _from_others(edges: DataFrame, value: str, n: int, after: bool) -> DataFrame:
+    """(part, value) for every range: ``value`` of the nearest range before (or ``after``) it that has one.
+
+    The window runs over one row per range.
+    """
+    w = Window.orderBy(F.desc("part") if after else "part").rowsBetween(Window.unboundedPreceding, -1)
+    every = edges.sparkSession.range(n).select(F.col("id").cast("int").alias("part"))
+    return every.join(edges, "part", "left").select("part", F.last(value, ignorenulls=True).over(w).alias(value))
+
+
+def neighbours(
+    left: DataFrame, right: DataFrame, t: str, rt: str, keys: list[str] | None = None, strict: bool = False, before: bool = True, after: bool = False, rows_per_part: int = ROWS_PER_PART
+) -> DataFrame:
+    """Left rows as struct ``l`` with structs ``before`` and ``after``: the right rows next to their time.
 
-    Without keys the window runs over all points, which must then be few (crossings, flags).
+    A right row at the very time counts as before, with ``strict`` as after. Of right rows at
+    one time the last in order counts before and the first after. Rows without a time or a key
+    have no neighbours.
     """
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(t)
-    if forward:
-        return points.withColumn("lo", F.lag(t).over(w)).withColumn("hi", F.col(t))
-    return points.withColumn("lo", F.col(t)).withColumn("hi", F.coalesce(F.lead(t).over(w), end if end is not None else F.lit(None)))
+    keys = keys or []
+    names, k = [c for c in right.columns if c not in keys], [f"k{i}" for i in range(len(keys))]
+    own = lambda df, time: [*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(time).cast("double").alias("at")]
+    r = right.filter(F.col(rt).isNotNull()).select(*own(right, rt), F.struct(*names).alias("r"))
+    part, n = ranges(left.select(*own(left, t)).unionByName(r.select(*k, "at")), [*k, "at"], rows_per_part)
+    keyed = part(*[F.col(c) for c in (*k, "at")]).alias("part")
+    ls = left.select(F.struct(*left.columns).alias("l"), *own(left, t)).select("*", keyed).withColumn("side", F.lit(0 if strict else 2))
+    rs = r.select("*", keyed).withColumn("side", F.lit(1))
+    both = ls.unionByName(rs, allowMissingColumns=True)
+    where, out = Window.partitionBy("part", *k), []
+    for wanted, name, order in ((before, "before", ["at", "side", "r"]), (after, "after", [F.desc("at"), F.desc("side"), F.desc("r")])):
+        if not wanted:
+            continue
+        rows = where.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn(name, F.last("r", ignorenulls=True).over(rows))
+        if n == 1:  # no other range to look into
+            out.append((name, None))
+            continue
+        pick = F.min if name == "after" else F.max
+        edge = rs.groupBy("part").agg(pick(F.struct(*k, "at", "r")).alias("edge"))
+        out.append((name, _from_others(edge, "edge", n, name == "after").withColumnRenamed("edge", f"{name}_edge")))
+    both = both.filter("side <> 1")
+    known = F.col("at").isNotNull()
+    for c in k:
+        known = known & F.col(c).isNotNull()
+    for name, edge in out:
+        value = F.col(name)
+        if edge is not None:
+            both = both.join(F.broadcast(edge), "part", "left")  # one row per range
+            same = F.lit(True)
+            for c in k:
+                same = same & (F.col(c) == F.col(f"{name}_edge.{c}"))
+            value = F.coalesce(name, F.when(same, F.col(f"{name}_edge.r")))
+        both = both.withColumn(name, F.when(known, value))
+    return both.select("l", *[name for name, _ in out])
+
+
+def intervals(points: DataFrame, t: str, keys: list[str] | None = None, end: Column | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``points`` with ``lo`` and ``hi``: from each point to the next one of its keys, the last to ``end``."""
+    keys = keys or []
+    part, n = ranges(points.withColumn("at", F.col(t).cast("double")), [*keys, "at"], rows_per_part)
+    rows = points.withColumn("part", part(*[F.col(c) for c in keys], F.col(t).cast("double")))
+    w = Window.partitionBy("part", *keys).orderBy(t)
+    hi = F.lead(t).over(w)
+    if n > 1:
+        first = rows.groupBy("part").agg(F.min(F.struct(*keys, F.col(t).alias("at"))).alias("edge"))
+        rows = rows.withColumn("hi", hi).join(F.broadcast(_from_others(first, "edge", n, after=True)), "part", "left")  # one row per range
+        same = F.lit(True)
+        for c in keys:
+            same = same & (F.col(c) == F.col(f"edge.{c}"))
+        hi = F.coalesce("hi", F.when(same, F.col("edge.at")))
+    return rows.select(*points.columns, F.col(t).alias("lo"), F.coalesce(hi, end if end is not None else F.lit(None)).alias("hi"))
 
 
-def _bounded(left: DataFrame, t: str) -> tuple[float, float]:
-    r = left.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()  # one row
-    return r.a, r.b
+def _flat(rows: DataFrame, left: DataFrame, names: list[str], value: Column) -> DataFrame:
+    return rows.select(*[F.col(f"l.`{c}`").alias(c) for c in left.columns], *[value[c].alias(c) for c in names])
 
 
-def asof_backward(left: DataFrame, right: DataFrame, t: str, rt: str, keys: list[str] | None = None, strict: bool = True, width: float = 86400.0) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, t: str, rt: str, keys: list[str] | None = None, strict: bool = True, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Left rows with the columns of the last right row before (``strict``) or at their time; null if none.
 
     ``right`` must have no column names of ``left`` but the keys. With equal right times the
     last one in order counts.
     """
-    keys = keys or []
-    first, last = _bounded(left, t)
-    if first is None:
-        return left.join(right.limit(0).drop(*keys), F.lit(False), "left")
-    spans = intervals(right, rt, keys, F.lit(last + 1.0)).filter((F.col("hi") > F.col("lo")) & (F.col("hi") >= first) & (F.col("lo") <= last))
-    lo = F.greatest(F.col("lo"), F.lit(first - 1.0))
-    spans = spans.withColumn("b", F.explode(F.sequence(bucket(lo, width), bucket(F.least(F.col("hi"), F.lit(last + 1.0)), width))))
-    for k in keys:
-        spans = spans.withColumnRenamed(k, f"r_{k}")
-    at = F.col(t)
-    inside = (at > F.col("lo")) & (at <= F.col("hi")) if strict else (at >= F.col("lo")) & (at < F.col("hi"))
-    on = (bucket(at, width) == F.col("b")) & inside
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"r_{k}"))
-    return left.join(spans, on, "left").drop("lo", "hi", "b", *[f"r_{k}" for k in keys])
+    out = neighbours(left, right, t, rt, keys, strict, rows_per_part=rows_per_part)
+    return _flat(out, left, [c for c in right.columns if c not in (keys or [])], F.col("before"))
 
 
-def asof_forward(left: DataFrame, right: DataFrame, t: str, rt: str, clamp: bool = True, width: float = 86400.0) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, t: str, rt: str, clamp: bool = True, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Left rows with the columns of the first right row at or after their time; after the last, the last if ``clamp``."""
-    first, last = _bounded(left, t)
-    if first is None:
-        return left.join(right.limit(0), F.lit(False), "left")
-    spans = intervals(right, rt, forward=True).withColumn("lo", F.coalesce("lo", F.lit(first - 1.0)))
-    spans = spans.filter((F.col("hi") > F.col("lo")) & (F.col("hi") >= first) & (F.col("lo") <= last))
-    spans = spans.withColumn("b", F.explode(F.sequence(bucket(F.greatest("lo", F.lit(first - 1.0)), width), bucket(F.least("hi", F.lit(last + 1.0)), width))))
-    on = (bucket(F.col(t), width) == F.col("b")) & (F.col(t) > F.col("lo")) & (F.col(t) <= F.col("hi"))
-    out = left.join(spans, on, "left").drop("lo", "hi", "b")
-    if not clamp:
-        return out
-    final = right.orderBy(F.desc(rt)).limit(1).select(*[F.col(c).alias(f"last_{c}") for c in right.columns])  # one row
-    out = out.join(F.broadcast(final), F.lit(True), "left")
-    return out.select(*left.columns, *[F.coalesce(c, f"last_{c}").alias(c) for c in right.columns])
-
-
-def nearest(left: DataFrame, right: DataFrame, t: str, rt: str, width: float = 86400.0) -> DataFrame:
+    out = neighbours(left, right, t, rt, strict=True, before=clamp, after=True, rows_per_part=rows_per_part)
+    value = F.coalesce("after", F.when(F.col(f"l.`{t}`").isNotNull(), F.col("before"))) if clamp else F.col("after")
+    return _flat(out, left, right.columns, value)
+
+
+def nearest(left: DataFrame, right: DataFrame, t: str, rt: str, keys: list[str] | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Left rows with the columns of the right row nearest in time; the earlier one of two as near."""
-    names = right.columns
-    before = asof_backward(left, right, t, rt, strict=False, width=width)
-    before = before.select(*left.columns, *[F.col(c).alias(f"before_{c}") for c in names])
-    both = asof_forward(before, right, t, rt, clamp=False, width=width)
-    gap_b, gap_a = F.col(t) - F.col(f"before_{rt}"), F.col(rt) - F.col(t)
-    take = F.col(rt).isNull() | (gap_b <= gap_a)
-    return both.select(*left.columns, *[F.when(take, F.col(f"before_{c}")).otherwise(F.col(c)).alias(c) for c in names])
+    out = neighbours(left, right, t, rt, keys, after=True, rows_per_part=rows_per_part)
+    at = F.col(f"l.`{t}`")
+    take = F.col("after").isNull() | (at - F.col(f"before.`{rt}`") <= F.col(f"after.`{rt}`") - at)
+    return _flat(out, left, [c for c in right.columns if c not in (keys or [])], F.when(take, F.col("before")).otherwise(F.col("after")))
 
 
 def in_intervals(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, keys: list[str] | None = None, how: str = "inner", width: float = 3600.0) -> DataFrame:

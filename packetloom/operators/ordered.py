@@ -1,10 +1,16 @@
-"""Ordered logic: strides, running means, gaps, resampling, greedy de-duplication by islands."""
+"""Ordered logic: strides, running means, gaps, resampling, dense numbers, cumulated sums, greedy de-duplication."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators import joins
+
 
 def stride(df: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame:
     """Every ``k``-th row of each key in order, from the first."""
@@ -25,70 +31,118 @@ def running_mean(df: DataFrame, v: str, width: int, keys: list[str], order: list
     return df.withColumn(out, (inner + left * F.first(v).over(whole) + right * F.last(v).over(whole)) / n)
 
 
-def islands(df: DataFrame, t: str, keys: list[str], gap: float, order: list[str], inclusive: bool = False) -> DataFrame:
-    """``df`` with ``island``: a new one where the gap to the row before exceeds (or reaches) ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    step = F.col(t) - F.lag(t).over(w)
+def islands(df: DataFrame, t: str, keys: list[str], gap: float, inclusive: bool = False) -> DataFrame:
+    """``df`` with ``island``, the time at which it begins: a new one where the step in time exceeds (or reaches) ``gap``.
+
+    Times are dealt by ranges, so neither a dense key nor a table without keys is one task.
+    """
+    times = df.select(*keys, t).distinct()
+    before = joins.neighbours(times, times.withColumnRenamed(t, "island"), t, "island", keys, strict=True)
+    step = F.col(f"l.`{t}`") - F.col("before.island")
     new = F.coalesce((step >= gap) if inclusive else (step > gap), F.lit(True))
-    return df.withColumn("island_new", new.cast("int")).withColumn("island", F.sum("island_new").over(w)).drop("island_new")
+    starts = before.filter(new).select(*[F.col(f"l.`{c}`").alias(c) for c in keys], F.col(f"l.`{t}`").alias("island"))
+    return joins.asof_backward(df, starts, t, "island", keys, strict=False)
 
 
-def _fold_catalogue(rows: Column, dt: float, tol: float) -> Column:
-    """Ids of the kept representatives of one island, rows (t, id, period, q) in time order.
+def _walked(rows: DataFrame, keys: list[str], values: list[str], start, step, end) -> DataFrame:
+    """Ids that a walk over each island's rows in time order keeps; what it holds is bounded by its window, not by the island.
 
-    Walk back over the kept list until the time gap exceeds ``dt``; a match with a higher q
-    takes the representative's place in the list.
+    ``step(state, *values)`` and ``end(state)`` return ids that are decided.
     """
-    kept_type = "array<struct<t:double,id:bigint,p:double,q:double>>"
-
-    def match(kept: Column, x: Column) -> Column:
-        """1-based place from the end of the first match before the walk ends, or null."""
-        back = F.reverse(kept)
-        step = lambda a, r: F.when(a["done"], a).when(
-            x["t"] - r["t"] > dt, F.struct(F.lit(True).alias("done"), a["n"].alias("n"), a["hit"].alias("hit"))
-        ).when(
-            F.abs(x["p"] - r["p"]) / r["p"] <= tol, F.struct(F.lit(True).alias("done"), a["n"].alias("n"), (a["n"] + 1).alias("hit"))
-        ).otherwise(F.struct(F.lit(False).alias("done"), (a["n"] + 1).alias("n"), a["hit"].alias("hit")))
-        return F.aggregate(back, F.struct(F.lit(False).alias("done"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("hit")), step)["hit"]
+    group = [*keys, "island"]
 
-    def one(kept: Column, x: Column) -> Column:
-        def placed(hits: Column) -> Column:
-            at = F.size(kept) - hits
-            new = F.struct(x["t"].alias("t"), x["id"].alias("id"), x["p"].alias("p"), x["q"].alias("q"))
-            swapped = F.transform(kept, lambda r, i: F.when((i == at) & (x["q"] > r["q"]), new).otherwise(r))
-            return F.when(hits.isNull(), F.concat(kept, F.array(new))).otherwise(swapped)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state = None, start()
+        for b in batches:
+            kept = []
+            for key, *row in zip(zip(*[b[c] for c in group], strict=True), *[b[v] for v in values], strict=True):
+                if key != own:
+                    kept += end(state)
+                    own, state = key, start()
+                kept += step(state, *row)
+            yield pd.DataFrame({"kept_id": np.array(kept, np.int64)})
+        yield pd.DataFrame({"kept_id": np.array(end(state), np.int64)})
 
-        return F.element_at(F.transform(F.array(match(kept, x)), placed), 1)
-
-    return F.transform(F.aggregate(rows, F.array().cast(kept_type), one), lambda r: r["id"])
+    dealt = rows.select(*group, *values).repartition(*group).sortWithinPartitions(*group, *values)
+    return dealt.mapInPandas(run, "kept_id bigint")
 
 
 def tag_duplicates(catalogue: DataFrame, dt: float = 7200.0, tol: float = 0.10, keys: list[str] | None = None) -> DataFrame:
     """Catalogue (event_id, t, period_min, q_factor) with ``is_duplicate``.
 
-    Greedy in time order: an event within ``dt`` and within ``tol`` of a kept event's period is
-    its duplicate; the larger q stays, the earlier of equals. Islands wider apart than ``dt``
-    don't touch, so each is folded on its own. ``keys`` partitions where a dense catalogue
-    would be one island.
+    Greedy in time order: walking back over the kept events until the gap exceeds ``dt``, the
+    first within ``tol`` of its period makes an event a duplicate; the larger q takes the place
+    in the list, the earlier of equals. Islands wider apart than ``dt`` don't touch, so each is
+    walked on its own. ``keys`` partitions where a dense catalogue would be one island.
     """
-    keys = keys or []
-    marked = islands(catalogue, "t", keys, dt, ["t", "event_id"])
-    rows = F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("event_id").alias("id"), F.col("period_min").alias("p"), F.col("q_factor").alias("q"))))
-    kept = marked.groupBy(*keys, "island").agg(rows.alias("rows")).select(*keys, F.explode(_fold_catalogue(F.col("rows"), dt, tol)).alias("kept_id"))
-    out = catalogue.join(kept.select("kept_id"), catalogue["event_id"] == F.col("kept_id"), "left")
+
+    def step(kept: list, t: float, i: int, p: float, q: float) -> list[int]:
+        for k in range(len(kept) - 1, -1, -1):
+            if t - kept[k][0] > dt:  # no later walk gets past this one
+                done = [x[1] for x in kept[: k + 1]]
+                kept[: k + 1] = []
+                kept.append((t, i, p, q))
+                return done
+            if abs(p - kept[k][2]) / kept[k][2] <= tol:
+                if q > kept[k][3]:
+                    kept[k] = (t, i, p, q)
+                return []
+        kept.append((t, i, p, q))
+        return []
+
+    marked = islands(catalogue, "t", keys or [], dt)
+    kept = _walked(marked, keys or [], ["t", "event_id", "period_min", "q_factor"], list, step, lambda kept: [x[1] for x in kept])
+    out = catalogue.join(kept, catalogue["event_id"] == F.col("kept_id"), "left")
     return out.select(*catalogue.columns, F.col("kept_id").isNull().alias("is_duplicate"))
 
 
 def dedup_peaks(peaks: DataFrame, keys: list[str], dt: float = 7200.0, octave: float = 0.5) -> DataFrame:
     """Peaks of each key without those close to an earlier kept one: strictly within ``dt`` and ``octave``; null periods stay."""
-    live = peaks.filter("period_min IS NOT NULL")
-    marked = islands(live, "t", keys, dt, ["t", "event_id"], inclusive=True)
-    rows = F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("event_id").alias("id"), F.col("period_min").alias("p"))))
-    near = lambda r, x: (x["t"] - r["t"] < dt) & (F.abs(F.log2(x["p"] / r["p"])) < octave)
-    step = lambda kept, x: F.when(F.exists(kept, lambda r: near(r, x)), kept).otherwise(F.concat(kept, F.array(x)))
-    folded = F.aggregate(F.col("rows"), F.array().cast("array<struct<t:double,id:bigint,p:double>>"), step)
-    kept = marked.groupBy(*keys, "island").agg(rows.alias("rows")).select(F.explode(folded).alias("r")).select(F.col("r.id").alias("event_id"))
-    return peaks.join(kept, "event_id", "left_semi").unionByName(peaks.filter("period_min IS NULL"))
+
+    def step(kept: list, t: float, i: int, p: float) -> list[int]:
+        kept[:] = [x for x in kept if t - x[0] < dt]
+        if any(abs(np.log2(p / x[1])) < octave for x in kept):
+            return []
+        kept.append((t, p))
+        return [i]
+
+    marked = islands(peaks.filter("period_min IS NOT NULL"), "t", keys, dt, inclusive=True)
+    kept = _walked(marked, keys, ["t", "event_id", "period_min"], list, step, lambda _: [])
+    return peaks.join(kept.withColumnRenamed("kept_id", "event_id"), "event_id", "left_semi").unionByName(peaks.filter("period_min IS NULL"))
+
+
+def numbered(df: DataFrame, order: list[str], out: str, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
+    """``df`` with dense numbers from 0 in an order, nulls first: each range is numbered and shifted by what comes before it."""
+    part, n = joins.ranges(df, order, rows_per_part)
+    x = df.withColumn("part", part(*[F.col(c) for c in order]))
+    x = x.withColumn(out, F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    if n > 1:
+        w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = df.withColumn("part", part(*[F.col(c) for c in order])).groupBy("part").count()  # one row per range
+        before = before.select("part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
+        x = x.join(F.broadcast(before), "part").withColumn(out, F.col(out) + F.col("before"))
+    return x.select(*df.columns, F.col(out).cast("long").alias(out))
+
+
+def cumulated(df: DataFrame, v: str, keys: list[str], sums: list[str], rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
+    """``df`` (one row per key and value) with ``upto_x`` and ``all_x`` of each x in ``sums``: running and whole totals of its key in order of ``v``.
+
+    The order is dealt by ranges of (keys, v), so a few large keys are many tasks.
+    """
+    part, _ = joins.ranges(df, [*keys, v], rows_per_part)
+    x = df.withColumn("part", part(*[F.col(c) for c in (*keys, v)]))
+    held = x.groupBy(*keys, "part").agg(*[F.sum(c).alias(c) for c in sums])
+    every = Window.partitionBy(*(keys or [F.lit(0)]))  # a row per key and range
+    before = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(
+        F.col("part").alias("of_part"), *[F.col(c).alias(f"of_{c}") for c in keys], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in sums], *[F.sum(c).over(every).alias(f"all_{c}") for c in sums]
+    )
+    on = F.col("part") == F.col("of_part")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    w = Window.partitionBy("part", *keys).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", *[F.sum(c).over(w).alias(f"upto_{c}") for c in sums]).join(offsets, on)
+    return x.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"before_{c}")).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
 
 def resample(df: DataFrame, t: str, v: str, step: float, keys: list[str]) -> DataFrame:
@@ -120,6 +174,7 @@ def fill(df: DataFrame, v: str, keys: list[str], order: list[str], how: str) ->
     d = df.withColumn("place", F.row_number().over(w))
     known = F.when(F.col(v).isNotNull(), F.struct(F.col("place").alias("p"), F.col(v).alias("v")))
     d = d.withColumn("a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that looks ahead costs the square
+    d = d.withColumn("b", F.last(known, ignorenulls=True).over(back))
     between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * F.try_divide((F.col("place") - F.col("a.p")).cast("double"), (F.col("b.p") - F.col("a.p")).cast("double"))
     return d.withColumn(v, F.coalesce(F.col(v), between, F.col("a.v"), F.col("b.v"))).drop("a", "b", "place")

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from math import pi, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.joins import intervals
+from packetloom.operators.ordered import cumulated
+
+#: Most groups of a comparison.
+MOST_GROUPS = 1000
+
 
 def separations(events: DataFrame, t: str, most_hours: float, keys: list[str] | None = None) -> DataFrame:
     """Hours between consecutive events, of 0 < gap <= ``most_hours``."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(t)
-    gap = (F.col(t) - F.lag(t).over(w)) / 3600.0
-    return events.select(*(keys or []), gap.alias("hours")).filter((F.col("hours") > 0) & (F.col("hours") <= most_hours))
+    if keys:
+        gap = (F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))) / 3600.0
+        hours = events.select(*keys, gap.alias("hours"))
+    else:
+        hours = intervals(events.select(F.col(t).alias("at_time")), "at_time").select(((F.col("hi") - F.col("lo")) / 3600.0).alias("hours"))
+    return hours.filter((F.col("hours") > 0) & (F.col("hours") <= most_hours))
 
 
 def separation_stats(hours: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -38,11 +49,15 @@ def kde(values: DataFrame, v: str, lo: float, hi: float, points: int, bandwidth:
     """
     s = values.agg(F.stddev_samp(v).alias("s"), F.count(v).alias("n")).first()  # one row
     h = bandwidth * (s.s or 1.0)
-    grid = values.sparkSession.range(points).select(F.col("id").cast("int").alias("i"), (lo + F.col("id") * ((hi - lo) / (points - 1))).alias("x"))
     counted = values.filter(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("m"))
-    reach = counted.crossJoin(F.broadcast(grid))  # the grid has a fixed number of points
-    u = (F.col("x") - F.col(v)) / h
-    return reach.groupBy("i").agg((F.sum(F.col("m") * F.exp(-0.5 * u * u)) / (s.n * h * sqrt(2 * pi))).alias("density"))
+    step, reach = (hi - lo) / (points - 1), 9 * h  # beyond nine deviations the kernel is nil to double precision
+    first = F.greatest(F.ceil((F.col(v) - reach - lo) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col(v) + reach - lo) / step), F.lit(points - 1)).cast("int")
+    at = counted.withColumn("first", first).withColumn("last", last).filter("first <= last").withColumn("i", F.explode(F.sequence("first", "last")))
+    u = (lo + F.col("i") * step - F.col(v)) / h
+    got = at.groupBy("i").agg((F.sum(F.col("m") * F.exp(-0.5 * u * u)) / ((s.n or 1) * h * sqrt(2 * pi))).alias("density"))
+    grid = values.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
+    return grid.join(got, "i", "left").select("i", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def rayleigh(df: DataFrame, angle: Column, keys: list[str]) -> DataFrame:
@@ -54,24 +69,69 @@ def rayleigh(df: DataFrame, angle: Column, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n", "r", z.alias("z"), F.least(F.lit(1.0), p).alias("p"))
 
 
+def quantiles(df: DataFrame, v: Column, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between ranks) and the count ``n`` of each key's values, for keys of any size.
+
+    Values are counted, the counts cumulated over ranges, and the two ranks about each quantile
+    picked; no task holds the values of a key. Keys without values are left out.
+    """
+    counted = df.select(*keys, v.cast("double").alias("value")).filter("value IS NOT NULL").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
+    x = cumulated(counted, "value", keys, ["m"])
+    at = {name: (F.col("all_m") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    holds = lambda rank: F.when((rank >= F.col("upto_m") - F.col("m")) & (rank < F.col("upto_m")), F.col("value"))
+    picked = [F.max(holds(f(rank))).alias(f"{name}_{side}") for name, rank in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    g = x.groupBy(*keys).agg(F.max("all_m").alias("all_m"), *picked)
+    between = lambda name: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at[name] - F.floor(at[name]))
+    return g.select(*keys, *[between(name).alias(name) for name in probs], F.col("all_m").alias("n"))
+
+
+def median_and_spread(df: DataFrame, v: Column, keys: list[str]) -> DataFrame:
+    """(keys, med, mad) of keys that are short rows each, such as those of one segment."""
+    x = df.select(*keys, v.alias("x")).withColumn("med", F.percentile("x", 0.5).over(Window.partitionBy(*keys)))
+    return x.groupBy(*keys).agg(F.max("med").alias("med"), F.percentile(F.abs(F.col("x") - F.col("med")), 0.5).alias("mad"))
+
+
+def folded(df: DataFrame, keys: list[str], b: str, n: int) -> DataFrame:
+    """Rows per bin 0..n-1 of each key, empty bins too."""
+    counts = df.groupBy(*keys).agg(*[F.count_if(F.col(b) == k).alias(f"b{k}") for k in range(n)])
+    each = F.posexplode(F.array(*[f"b{k}" for k in range(n)])).alias(b, "n")
+    return counts.select(*keys, each)
+
+
+def paired(df: DataFrame, x: str, y: str, keys: list[str], least: int = 3) -> DataFrame:
+    """Rows with both values; ValueError if a key has fewer than ``least`` of them."""
+    out = df.dropna(subset=[x, y])
+    short = df.groupBy(*keys).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n")).filter(F.col("n") < least)
+    if rows := short.limit(5).collect():
+        raise ValueError(f"fewer than {least} rows with both values: {[tuple(r)[:-1] for r in rows]}")
+    return out
+
+
 def ks_distance(df: DataFrame, v: str, group: str, reference: str) -> DataFrame:
     """Largest gap between each group's distribution and the reference group's, at distinct values."""
-    ref = df.filter(F.col(group) == reference).groupBy(v).agg(F.count(F.lit(1)).alias("m"))
-    others = df.filter(F.col(group) != reference).groupBy(group, v).agg(F.count(F.lit(1)).alias("n"))
-    names = others.select(group).distinct()
-    spread = ref.crossJoin(F.broadcast(names))  # a few comparison groups
-    both = others.select(group, v, "n", F.lit(0).cast("long").alias("m")).unionByName(spread.select(group, v, F.lit(0).cast("long").alias("n"), "m")).groupBy(group, v).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    w = Window.partitionBy(group).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(group)
-    f = lambda c: F.sum(c).over(w) / F.sum(c).over(every)
-    return both.select(group, F.abs(f("n") - f("m")).alias("gap")).groupBy(group).agg(F.max("gap").alias("ks"))
+    counted = df.filter(F.col(v).isNotNull() & F.col(group).isNotNull()).groupBy(group, v).agg(F.count(F.lit(1)).alias("n"))
+    names = [r[0] for r in counted.filter(F.col(group) != reference).select(group).distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(names) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups to compare")
+    none = F.lit(0).cast("long")
+    others = counted.filter(F.col(group) != reference).select(group, v, "n", none.alias("m"))
+    every = F.explode(F.array(*[F.lit(n) for n in names])) if names else F.lit(None).cast("string")
+    spread = counted.filter(F.col(group) == reference).select(every.alias(group), v, none.alias("n"), F.col("n").alias("m")).filter(F.col(group).isNotNull())
+    both = others.unionByName(spread).groupBy(group, v).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    x = cumulated(both, v, [group], ["n", "m"])
+    gap = F.abs(F.try_divide(F.col("upto_n"), F.col("all_n")) - F.try_divide(F.col("upto_m"), F.col("all_m")))
+    return x.groupBy(group).agg(F.max(gap).alias("ks"))
 
 
 def average_ranks(df: DataFrame, v: str, keys: list[str], out: str) -> DataFrame:
     """Ranks from 1 with ties at their mean, per key."""
-    w = Window.partitionBy(*keys).orderBy(v)
-    same = Window.partitionBy(*keys, v)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
+    counted = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("m"))
+    x = cumulated(counted, v, keys, ["m"])
+    ranks = x.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, v)], (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(out))
+    on = F.lit(True)
+    for c in (*keys, v):
+        on = on & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return df.join(ranks, on).select(*df.columns, out)
 
 
 def power_law(df: DataFrame, f: str, p: str, keys: list[str]) -> DataFrame:
@@ -81,6 +141,32 @@ def power_law(df: DataFrame, f: str, p: str, keys: list[str]) -> DataFrame:
     return g.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))
 
 
+def spectral_slopes(df: DataFrame, f: str, p: str, keys: list[str], bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """(keys, name, slope, n): the power law's slope in each named range of frequency, ends included; ranges may overlap."""
+    hit = F.array_compact(F.array(*[F.when(F.col(f).between(lo, hi), F.lit(n)) for n, (lo, hi) in bands.items()]))
+    return power_law(df.withColumn("name", F.explode(hit)), f, p, [*keys, "name"]).drop("intercept")
+
+
+def power_law_degree(df: DataFrame, f: str, p: str, keys: list[str], degree: int) -> DataFrame:
+    """(keys, coefficients, n): least-squares polynomial of log power over log frequency, lowest power first.
+
+    The sums that the normal equations need are aggregated first, so the fit itself sees one row per key.
+    """
+    x, y = F.ln(F.col(f)), F.ln(F.col(p))
+    sums = [F.sum(F.pow(x, F.lit(float(k)))).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(F.pow(x, F.lit(float(k))) * y).alias(f"t{k}") for k in range(degree + 1)]
+    g = df.filter((F.col(f) > 0) & (F.col(p) > 0)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+    def solved(s: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(s, t, strict=True):
+            m = np.array([[a[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+            out.append(np.linalg.lstsq(m, np.asarray(b), rcond=None)[0].tolist())
+        return pd.Series(out)
+
+    fit = F.pandas_udf(solved, "array<double>")
+    return g.select(*keys, fit(F.array(*[f"s{k}" for k in range(2 * degree + 1)]), F.array(*[f"t{k}" for k in range(degree + 1)])).alias("coefficients"), "n")
+
+
 def stokes(df: DataFrame, re1: Column, im1: Column, re2: Column, im2: Column, keys: list[str]) -> DataFrame:
     """I, Q, U, V averaged over the rows of each key, and the degree of polarisation."""
     a, b = re1 * re1 + im1 * im1, re2 * re2 + im2 * im2

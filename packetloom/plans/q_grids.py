@@ -98,14 +98,16 @@ def agg_bincache(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg_dwell_driver", f"""WITH g AS (SELECT CAST(year(make_timestamp(CAST(t AS BIGINT) * 1000000)) AS INTEGER) AS year, code, count(*) AS n FROM {B} WHERE in_range GROUP BY ALL)
-SELECT year, code, n, round(100.0 * n / sum(n) OVER (PARTITION BY year), 6) AS percent FROM g""")
+SELECT year, code, n, round(100.0 * n / sum(n) OVER (PARTITION BY year), 6) AS percent, CAST(date_diff('hour', make_date(year, 1, 1), make_date(year + 1, 1, 1)) AS INTEGER) AS expected_hours FROM g""")
 def agg_dwell_driver(spark: SparkSession, d: str) -> DataFrame:
-    """All years in one job, with each region's share of its year."""
+    """All years in one job, with each region's share of its year and the hours the year has."""
     from pyspark.sql import Window
 
     b = binned(spark, d).filter("in_range").withColumn("year", F.year(F.timestamp_seconds(F.col("t").cast("long"))))
     g = b.groupBy("year", "code").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("year")), 6))
+    day = lambda y: F.make_date(y, F.lit(1), F.lit(1))
+    g = g.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("year")), 6))
+    return g.withColumn("expected_hours", F.date_diff(day(F.col("year") + 1), day(F.col("year"))) * 24)
 
 
 _HITS = f"(SELECT DISTINCT s.event_id, c.band FROM {EV} s JOIN {CAT} c ON s.user_id = c.segment_idx AND s.t >= c.t0 AND s.t <= c.t1 WHERE c.band IS NOT NULL)"
@@ -113,10 +115,17 @@ _HITS = f"(SELECT DISTINCT s.event_id, c.band FROM {EV} s JOIN {CAT} c ON s.user
 
 def band_minutes(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (sample, band) inside any event of the band, and the union of all bands as band "any"."""
-    from packetloom.plans.q_joins import join_interval_event
+    spans = cat(spark, d).filter("band IS NOT NULL").select(F.col("segment_idx").alias("user_id"), "t0", "t1", "band")
+    hit = joins.in_intervals(ev(spark, d).select("event_id", "user_id", "t"), spans, "t", "t0", "t1", ["user_id"])
+    bands = hit.groupBy("event_id").agg(F.collect_set("band").alias("bands"))  # a handful of bands
+    return bands.select("event_id", F.explode(F.concat("bands", F.array(F.lit("any")))).alias("band"))
+
 
-    hit = join_interval_event(spark, d)
-    return hit.unionByName(hit.select("event_id").distinct().withColumn("band", F.lit("any")))
+@query("agg_trace_loss", f"SELECT code, count(*) AS n, round(100.0 * (1 - count(*) FILTER (WHERE disc < 0.08) / count(*)), 6) AS loss FROM {B} WHERE in_range GROUP BY 1")
+def agg_trace_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each region's mapped time whose line isn't closed and so is missing from the traced grid."""
+    b = binned(spark, d).filter("in_range").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("disc") < 0.08).alias("closed"))
+    return b.select("code", "n", r6(100.0 * (1 - F.col("closed") / F.col("n")), "loss"))
 
 
 @query("agg_event_grid", f"""WITH h AS (SELECT * FROM {_HITS} UNION ALL SELECT DISTINCT event_id, 'any' FROM {_HITS})

@@ -49,29 +49,48 @@ def join_region_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Code of the nearest flag of the event's own segment; the first of two as near."""
     e = ev(spark, d)
     s = e.filter("event_type = 'purchase'").select("event_id", "user_id", "t")
-    f = e.filter("event_type = 'error'").select(F.col("event_id").alias("fid"), "user_id", F.col("t").alias("ft"), (F.col("k") % 4).alias("code"))
-    j = s.join(f, "user_id", "left").groupBy("event_id").agg(F.min_by("code", F.struct(F.abs(F.col("ft") - F.col("t")), "fid")).alias("code"))
-    return j.select("event_id", F.coalesce("code", F.lit(9)).alias("code"))
+    f = e.filter("event_type = 'error'").groupBy("user_id", F.col("t").alias("ft")).agg(F.min_by("k", "event_id").alias("k"), F.min("event_id").alias("fid"))
+    out = joins.neighbours(s, f, "t", "ft", ["user_id"], after=True)
+    at = F.col("l.t")
+    gap = lambda n: F.abs(F.col(f"{n}.ft") - at)
+    closer = F.col("after").isNull() | (gap("before") < gap("after")) | ((gap("before") == gap("after")) & (F.col("before.fid") < F.col("after.fid")))
+    code = F.when(closer, F.col("before.k")).otherwise(F.col("after.k")) % 4
+    return out.select("l.event_id", F.coalesce(code, F.lit(9)).alias("code"))
 
 
-@query("join_phase_index", f"""WITH p AS (SELECT user_id, list(value ORDER BY t, event_id) AS a, min(t) AS t0 FROM {EV} WHERE event_type = 'view' GROUP BY user_id)
-SELECT e.event_id, round(a[CAST(least(greatest(round_even((t - t0) / 36000.0, 0), 0), len(a) - 1) AS INTEGER) + 1], 6) AS phase FROM {EV} e JOIN p USING (user_id) WHERE event_type = 'click'""")
+_PHASES = {"n": "value", "s": "(k * 7.5) % 360", "nd": "event_id % 360", "sd": "(k * 3) % 360"}
+
+
+@query("join_phase_index", f"""WITH p AS (SELECT user_id, {', '.join(f'list(CAST({e} AS DOUBLE) ORDER BY t, event_id) AS a_{n}' for n, e in _PHASES.items())}, min(t) AS t0 FROM {EV} WHERE event_type = 'view' GROUP BY user_id),
+x AS (SELECT e.event_id, p.*, CAST(least(greatest(round_even((t - t0) / 36000.0, 0), 0), len(a_n) - 1) AS INTEGER) + 1 AS ix FROM {EV} e JOIN p USING (user_id) WHERE event_type = 'click')
+SELECT event_id, {', '.join(f'round(a_{n}[ix], 6) AS phase_{n}' for n in _PHASES)} FROM x""")
 def join_phase_index(spark: SparkSession, d: str) -> DataFrame:
-    """Value of the segment's array at the elapsed time over the cadence, rounded half to even and clamped."""
-    e = ev(spark, d)
-    arrays = e.filter("event_type = 'view'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))).alias("a"), F.min("t").alias("t0"))
+    """Values of the segment's four arrays at the elapsed time over the cadence, rounded half to even and clamped."""
+    e, c = ev(spark, d), F.col
+    made = {"n": c("value"), "s": F.pmod(c("k") * F.lit(7.5), F.lit(360.0)), "nd": (c("event_id") % 360).cast("double"), "sd": ((c("k") * 3) % 360).cast("double")}
+    row = F.struct("t", "event_id", *[v.alias(n) for n, v in made.items()])
+    arrays = e.filter("event_type = 'view'").groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("a"), F.min("t").alias("t0"))
     j = e.filter("event_type = 'click'").join(arrays, "user_id")
-    k = F.least(F.greatest(F.bround((F.col("t") - F.col("t0")) / 36000.0, 0), F.lit(0.0)), (F.size("a") - 1).cast("double")).cast("int")
-    return j.select("event_id", r6(F.get("a", k)["value"], "phase"))
+    k = F.least(F.greatest(F.bround((c("t") - c("t0")) / 36000.0, 0), F.lit(0.0)), (F.size("a") - 1).cast("double")).cast("int")
+    return j.select("event_id", *[r6(F.get("a", k)[n], f"phase_{n}") for n in made])
+
+
+_AT = {"r": "max(value)", "lat": "degrees(min(value) / 200)", "lt": "(degrees(max(k) / 20.0) / 15 + 12) % 24", "phase_n": "max(k * 7.5 % 360)", "phase_s": "min(k * 3.5 % 360)", "phase_nd": "max(event_id % 360)", "phase_sd": "min(event_id % 180)"}
 
 
-@query("join_peak_enrich", f"""WITH s AS (SELECT user_id, CAST(floor(t / 3600) AS BIGINT) AS slot, max(value) AS r, min(k) AS code FROM {EV} GROUP BY 1, 2)
-SELECT c.event_id, round(s.r, 6) AS r, s.code FROM {CAT} c JOIN s ON c.segment_idx = s.user_id AND s.slot = CAST(floor((c.t0 + c.t1) / 2 / 3600) AS BIGINT)""")
+@query("join_peak_enrich", f"""WITH s AS (SELECT user_id, CAST(floor(t / 3600) AS BIGINT) AS slot, min(k) AS code, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _AT.items())} FROM {EV} GROUP BY 1, 2)
+SELECT c.event_id, {', '.join(f'round(s.{n}, 6) AS {n}' for n in _AT)}, s.code % 4 AS region FROM {CAT} c JOIN s ON c.segment_idx = s.user_id AND s.slot = CAST(floor((c.t0 + c.t1) / 2 / 3600) AS BIGINT)""")
 def join_peak_enrich(spark: SparkSession, d: str) -> DataFrame:
-    """Sample columns at the rounded time of each event's peak."""
-    s = ev(spark, d).groupBy("user_id", F.floor(F.col("t") / 3600).alias("slot")).agg(F.max("value").alias("r"), F.min("k").alias("code"))
-    c = cat(spark, d).withColumn("slot", F.floor((F.col("t0") + F.col("t1")) / 2 / 3600))
-    return c.join(s, (c["segment_idx"] == s["user_id"]) & (c["slot"] == s["slot"])).select("event_id", r6(F.col("r"), "r"), "code")
+    """Distance, latitude, local time, region and four phases of the sample at each event's peak, its time rounded to the samples' step."""
+    c, turn = F.col, lambda v: F.pmod(v.cast("double"), F.lit(360.0))
+    at = {
+        "r": F.max("value"), "lat": F.degrees(F.min("value") / 200), "lt": F.pmod(F.degrees(F.max("k") / 20.0) / 15 + 12, F.lit(24.0)), "phase_n": F.max(turn(c("k") * 7.5)), "phase_s": F.min(turn(c("k") * 3.5)),
+        "phase_nd": F.max((c("event_id") % 360).cast("double")), "phase_sd": F.min((c("event_id") % 180).cast("double")),
+    }
+    s = ev(spark, d).groupBy("user_id", F.floor(c("t") / 3600).alias("slot")).agg(F.min("k").alias("code"), *[v.alias(n) for n, v in at.items()])
+    x = cat(spark, d).withColumn("slot", F.floor((c("t0") + c("t1")) / 2 / 3600))
+    j = x.join(s, (x["segment_idx"] == s["user_id"]) & (x["slot"] == s["slot"]))
+    return j.select("event_id", *[r6(c(n), n) for n in at], (c("code") % 4).alias("region"))
 
 
 _HIT = f"SELECT DISTINCT s.event_id, c.band FROM {EV} s JOIN {CAT} c ON s.user_id = c.segment_idx AND s.t >= c.t0 AND s.t <= c.t1 WHERE c.band IS NOT NULL"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import coords
-from packetloom.operators import ordered
+from packetloom.operators import ordered, stats
 from packetloom.plans.q_stats import SIG, quads, signal
 from packetloom.plans.registry import CAT, EV, cat, crossings, ev, query, r6
 
@@ -131,16 +131,9 @@ def win_ridge_interp(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sort_event_ids", f"SELECT event_id, row_number() OVER (ORDER BY (t0 + t1) / 2, segment_idx, event_id) - 1 AS id FROM {CAT}")
 def sort_event_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Dense numbers by peak time: range-partitioned sort, then each part's offset, so no task holds the whole table."""
+    """Dense numbers by peak time, so that no task holds the whole table."""
     x = cat(spark, d).select("event_id", "segment_idx", ((c("t0") + c("t1")) / 2).alias("peak"))
-    parts = 16
-    lo, hi = x.agg(F.min("peak"), F.max("peak")).first()  # one row
-    width = ((hi or 0.0) - (lo or 0.0)) / parts or 1.0
-    x = x.withColumn("part", F.floor((c("peak") - (lo or 0.0)) / width))
-    sizes = x.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    w = Window.partitionBy("part").orderBy("peak", "segment_idx", "event_id")
-    return x.withColumn("rn", F.row_number().over(w)).join(before, "part").select("event_id", (c("before") + c("rn") - 1).alias("id"))
+    return ordered.numbered(x, ["peak", "segment_idx", "event_id"], "id").select("event_id", "id")
 
 
 @query("topk_examples", f"""SELECT pool, event_id FROM (SELECT CASE WHEN k >= 80 THEN 'circular' WHEN k <= 20 THEN 'linear' END AS pool, event_id, band, period_min FROM {CAT}) WHERE pool IS NOT NULL
@@ -154,7 +147,7 @@ def topk_examples(spark: SparkSession, d: str) -> DataFrame:
 @query("topk_vmax", f"SELECT event_type, round(quantile_cont(value, 0.99), 6) AS hi, round(quantile_cont(value, 0.05), 6) AS lo FROM {EV} WHERE isfinite(value) GROUP BY 1")
 def topk_vmax(spark: SparkSession, d: str) -> DataFrame:
     e = ev(spark, d).filter(~F.isnan("value") & (F.abs("value") < float("inf")))
-    return e.groupBy("event_type").agg(r6(F.percentile("value", 0.99), "hi"), r6(F.percentile("value", 0.05), "lo"))
+    return stats.quantiles(e, c("value"), ["event_type"], {"hi": 0.99, "lo": 0.05}).select("event_type", r6(c("hi"), "hi"), r6(c("lo"), "lo"))
 
 
 @query("set_union_flags", f"SELECT event_id, 'range_change' AS flag FROM {EV} WHERE k % 10 = 1 UNION ALL SELECT event_id, 'mode_change' FROM {EV} WHERE k % 10 = 2 UNION ALL SELECT event_id, 'calibration' FROM {EV} WHERE k % 5 = 1")
