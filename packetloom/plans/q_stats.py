@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.operators import scoring, stats
+from packetloom.functions.bands import band_of
+from packetloom.operators import joins, scoring, stats
 from packetloom.plans.q_joins import _DET, _TRUTH, detections, truth
 from packetloom.plans.registry import CAT, EV, cat, ev, query, r6, table
 
@@ -66,9 +67,9 @@ def agg_kde(spark: SparkSession, d: str) -> DataFrame:
 @query("agg_quantile_spectra", "SELECT l_linenumber % 4 AS quadrant, CAST(l_quantity AS INTEGER) AS f, round(quantile_cont(l_extendedprice, 0.5), 4) AS med, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def agg_quantile_spectra(spark: SparkSession, d: str) -> DataFrame:
     """Exact quartiles by quadrant and frequency."""
-    li = table(spark, d, "lineitem").groupBy((c("l_linenumber") % 4).alias("quadrant"), c("l_quantity").cast("int").alias("f"))
-    q = lambda p, n: F.round(F.percentile("l_extendedprice", p), 4).alias(n)
-    return li.agg(q(0.5, "med"), q(0.25, "q1"), q(0.75, "q3"), F.count(F.lit(1)).alias("n"))
+    li = table(spark, d, "lineitem").select((c("l_linenumber") % 4).alias("quadrant"), c("l_quantity").cast("int").alias("f"), "l_extendedprice")
+    q = stats.quantiles(li, c("l_extendedprice"), ["quadrant", "f"], {"med": 0.5, "q1": 0.25, "q3": 0.75})
+    return q.select("quadrant", "f", *[F.round(x, 4).alias(x) for x in ("med", "q1", "q3")], "n")
 
 
 _MED = "(SELECT CAST(l_quantity AS INTEGER) AS f, CAST(l_quantity AS INTEGER) % 5 AS band, quantile_cont(l_extendedprice * (1 + l_tax), 0.5) AS m FROM lineitem GROUP BY 1, 2)"
@@ -79,7 +80,8 @@ SELECT band, round(any_value(top), 4) AS top, CASE WHEN count(*) FILTER (WHERE m
   CASE WHEN count(*) FILTER (WHERE m >= top / 2) > 1 THEN CAST(max(f) FILTER (WHERE m >= top / 2) AS DOUBLE) ELSE any_value(peak) * 1.2 END AS hi FROM m GROUP BY band""")
 def agg_band_fwhm(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies above half the maximum of each band's median; a fifth around the peak if it stands alone."""
-    m = table(spark, d, "lineitem").groupBy(c("l_quantity").cast("int").alias("f")).agg(F.percentile(c("l_extendedprice") * (1 + c("l_tax")), 0.5).alias("m")).withColumn("band", c("f") % 5)
+    li = table(spark, d, "lineitem").select(c("l_quantity").cast("int").alias("f"), (c("l_extendedprice") * (1 + c("l_tax"))).alias("p"))
+    m = stats.quantiles(li, c("p"), ["f"], {"m": 0.5}).withColumn("band", c("f") % 5)
     m = m.withColumn("top", F.max("m").over(Window.partitionBy("band")))
     half = c("m") >= c("top") / 2
     g = m.groupBy("band").agg(F.max("top").alias("top"), F.max_by("f", "m").alias("peak"), F.count_if(half).alias("n"), F.min(F.when(half, c("f"))).alias("a"), F.max(F.when(half, c("f"))).alias("b"))
@@ -100,6 +102,17 @@ def agg_rayleigh(spark: SparkSession, d: str) -> DataFrame:
     return r.select("band", "n", *[r6(c(x), x) for x in ("r", "z", "p")])
 
 
+_FOLD = f"(SELECT CAST(n AS VARCHAR) AS phase, band, CAST(floor(((k * n * 7.5) % 360) / 15) AS INTEGER) AS bin FROM {CAT}, (VALUES (1), (2)) v(n) WHERE band IS NOT NULL)"
+
+
+@query("agg_phase_fold", f"""SELECT p.phase, p.band, CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT phase, band FROM {_FOLD}) p CROSS JOIN range(0, 24) r(b) LEFT JOIN (SELECT phase, band, bin, count(*) AS n FROM {_FOLD} GROUP BY 1, 2, 3) f ON f.phase = p.phase AND f.band = p.band AND f.bin = b""")
+def agg_phase_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Events per 15 degrees of each phase and band, empty bins too."""
+    phase = lambda n: F.struct(F.lit(str(n)).alias("phase"), F.floor(F.pmod(c("k") * n * F.lit(7.5), F.lit(360.0)) / 15).cast("int").alias("bin"))
+    x = cat(spark, d).filter("band IS NOT NULL").select("band", F.explode(F.array(phase(1), phase(2))).alias("p")).select("p.phase", "band", "p.bin")
+    return stats.folded(x, ["phase", "band"], "bin", 24)
+
+
 _LABELS = ("all", "short", "long", "high_q", "late")
 _CONDS = {"all": "true", "short": "period_min < 20", "long": "period_min >= 20", "high_q": "q_factor > 5", "late": "event_id % 3 = 2"}
 
@@ -110,8 +123,10 @@ def agg_region_groups(spark: SparkSession, d: str) -> DataFrame:
     x = cat(spark, d)
     total = x.count()
     labels = F.array_compact(F.array(*[F.when(F.expr(w), F.lit(n)) for n, w in _CONDS.items()]))
-    g = x.withColumn("grp", F.explode(labels)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), r6(F.percentile("period_min", 0.5), "med"), F.count_if(c("band") == "QP15").alias("b"))
-    return g.select("grp", "n", "med", r6(100.0 * c("b") / c("n"), "qp15"), r6(100.0 * c("n") / total, "retained"))
+    x = x.withColumn("grp", F.explode(labels)).select("grp", "period_min", "band")
+    g = x.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("band") == "QP15").alias("b"))
+    mid = stats.quantiles(x, c("period_min"), ["grp"], {"med": 0.5}).select("grp", "med")
+    return g.join(mid, "grp", "left").select("grp", "n", r6(c("med"), "med"), r6(100.0 * c("b") / c("n"), "qp15"), r6(100.0 * c("n") / total, "retained"))
 
 
 @query("agg_ks", f"""WITH v AS (SELECT event_type, value, count(*) AS n FROM {EV} GROUP BY 1, 2), r AS (SELECT value, n FROM v WHERE event_type = 'error'), t AS (SELECT event_type, sum(n) AS n FROM v GROUP BY 1),
@@ -153,7 +168,7 @@ def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
 SELECT event_type, count(*) AS n, round(corr(value, k), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")
 def agg_corr(spark: SparkSession, d: str) -> DataFrame:
     """Pearson and Spearman correlations over rows with both values; Spearman's from mean ranks."""
-    e = ev(spark, d).dropna(subset=["value", "k"])
+    e = stats.paired(ev(spark, d), "value", "k", ["event_type"])
     e = stats.average_ranks(stats.average_ranks(e, "value", ["event_type"], "a"), "k", ["event_type"], "b")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("value", "k"), "pearson"), r6(F.corr("a", "b"), "spearman"))
 
@@ -182,6 +197,27 @@ def agg_powerlaw(spark: SparkSession, d: str) -> DataFrame:
     return out.select("seg", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), "n")
 
 
+_NAMED = {"low": (1, 10), "high": (10, 40)}
+
+
+@query("agg_powerlaw_bands", " UNION ALL ".join(f"SELECT seg, '{n}' AS name, round(regr_slope(ln(p), ln(f)), 5) AS slope, count(*) AS n FROM {_PL} WHERE f >= {lo} AND f <= {hi} GROUP BY 1" for n, (lo, hi) in _NAMED.items()))
+def agg_powerlaw_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes in named ranges of frequency."""
+    s = signal(spark, d).select("seg", c("i").cast("double").alias("f"), (c("v") * c("v")).alias("p"))
+    return stats.spectral_slopes(s, "f", "p", ["seg"], _NAMED).select("seg", "name", F.round("slope", 5).alias("slope"), "n")
+
+
+_DET3 = "({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+@query("agg_powerlaw_degree2", f"""WITH m AS (SELECT seg, count(*) AS s0, sum(x) AS s1, sum(x*x) AS s2, sum(x*x*x) AS s3, sum(x*x*x*x) AS s4, sum(y) AS t0, sum(x*y) AS t1, sum(x*x*y) AS t2 FROM (SELECT seg, ln(f) AS x, ln(p) AS y FROM {_PL}) GROUP BY 1)
+SELECT seg, round({_DET3.format(a="s0", b="s1", c="t0", d="s1", e="s2", f="t1", g="s2", h="s3", i="t2")} / {_DET3.format(a="s0", b="s1", c="s2", d="s1", e="s2", f="s3", g="s2", h="s3", i="s4")}, 3) AS bend FROM m""")
+def agg_powerlaw_degree2(spark: SparkSession, d: str) -> DataFrame:
+    """Bend of a second-degree fit in log power over log frequency."""
+    s = signal(spark, d).select("seg", c("i").cast("double").alias("f"), (c("v") * c("v")).alias("p"))
+    return stats.power_law_degree(s, "f", "p", ["seg"], 2).select("seg", F.round(F.get("coefficients", F.lit(2)), 3).alias("bend"))
+
+
 @query("agg_powerlaw_bg", f"""WITH b AS (SELECT seg, regr_slope(ln(p), ln(f)) AS s, regr_intercept(ln(p), ln(f)) AS a FROM {_PL} WHERE f < 20 OR f >= 40 GROUP BY 1)
 SELECT seg, CAST(f AS INTEGER) AS f, round(p / exp(a + s * ln(f)), 3) AS ratio FROM {_PL} JOIN b USING (seg)""")
 def agg_powerlaw_bg(spark: SparkSession, d: str) -> DataFrame:
@@ -234,13 +270,22 @@ def agg_ar1(spark: SparkSession, d: str) -> DataFrame:
 _ROWS = f"(SELECT seg, label, CAST(floor(i / 8) AS BIGINT) AS f, quantile_cont(abs(v), 0.5) AS med FROM {SIG} GROUP BY 1, 2, 3)"
 
 
-@query("agg_bg_archive", f"SELECT label AS region, f, count(*) AS n, round(quantile_cont(med, 0.16), 6) AS p16, round(quantile_cont(med, 0.5), 6) AS p50, round(quantile_cont(med, 0.84), 6) AS p84 FROM {_ROWS} GROUP BY 1, 2")
+_AMP = "(SELECT a.seg, a.label, CAST(floor(a.i / 8) AS BIGINT) AS f, sqrt(abs(a.v) * abs(b.v)) AS x FROM {s} a JOIN {s} b ON a.seg = b.seg AND b.i = a.i + 32)".format(s=SIG)
+_STAT = f"(SELECT r.label, r.f, r.seg, r.med, quantile_cont(abs(x.x - r.med), 0.5) AS mad FROM (SELECT label, f, seg, quantile_cont(x, 0.5) AS med FROM {_AMP} GROUP BY 1, 2, 3) r JOIN {_AMP} x USING (label, f, seg) GROUP BY 1, 2, 3, 4)"
+
+
+@query("agg_bg_archive", " UNION ALL ".join(f"SELECT label AS region, f, '{w}' AS what, count(*) AS n, round(quantile_cont({w}, 0.16), 6) AS p16, round(quantile_cont({w}, 0.5), 6) AS p50, round(quantile_cont({w}, 0.84), 6) AS p84 FROM {_STAT} GROUP BY 1, 2" for w in ("med", "mad")))
 def agg_bg_archive(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles over segments of each row's median, by region."""
-    rows = signal(spark, d).groupBy("seg", "label", F.floor(c("i") / 8).alias("f")).agg(F.percentile(F.abs("v"), 0.5).alias("med"))
-    q = F.percentile("med", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    g = rows.groupBy(c("label").alias("region"), "f").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    return g.select("region", "f", "n", *[r6(F.get("q", F.lit(k)), n) for k, n in enumerate(("p16", "p50", "p84"))])
+    """Percentiles over segments, by region, of the median and MAD of each row of the two components' geometric mean.
+
+    A vector's halves are its components here; a row is eight samples.
+    """
+    v = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.sqrt(F.abs(F.get("embedding", k)).cast("double") * F.abs(F.get("embedding", k + 32)).cast("double")))
+    x = table(spark, d, "embeddings").select(c("vec_id").alias("seg"), "label", F.posexplode(v).alias("i", "x")).withColumn("f", F.floor(c("i") / 8))
+    rows = stats.median_and_spread(x, c("x"), ["seg", "label", "f"])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), c(n).alias("x")) for n in ("med", "mad")])).alias("e")
+    q = stats.quantiles(rows.select(c("label").alias("region"), "f", each).select("region", "f", "e.*"), c("x"), ["region", "f", "what"], {"p16": 0.16, "p50": 0.5, "p84": 0.84})
+    return q.select("region", "f", "what", "n", *[r6(c(x), x) for x in ("p16", "p50", "p84")])
 
 
 @query("agg_field_range", f"SELECT seg, round(greatest(max(a) - min(a), max(b) - min(b), max(c) - min(c)), 6) AS span, round(least(min(a), min(b), min(c)), 6) AS lo, round(greatest(max(a), max(b), max(c)), 6) AS hi FROM {_Q3} GROUP BY 1")
@@ -255,6 +300,15 @@ def agg_dup_report(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("percent", r6(100.0 * c("dups") / c("n"), "percent"))
 
 
+@query("agg_peer_counts", f"""WITH c AS (SELECT *, k % 9 = 0 AS dup FROM {CAT}), p AS (SELECT a.event_id, count(*) AS n FROM c a JOIN c b ON a.segment_idx = b.segment_idx AND a.event_id <> b.event_id AND NOT a.dup AND NOT b.dup AND least(a.t1, b.t1) > greatest(a.t0, b.t0)
+  AND a.t1 > a.t0 AND b.t1 > b.t0 AND (least(a.t1, b.t1) - greatest(a.t0, b.t0)) / least(a.t1 - a.t0, b.t1 - b.t0) >= 0.5 GROUP BY 1)
+SELECT CAST(coalesce(p.n, 0) AS INTEGER) AS peers, count(*) AS n FROM c LEFT JOIN p USING (event_id) GROUP BY 1""")
+def agg_peer_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many events have how many peers."""
+    x = joins.peers(cat(spark, d).withColumn("is_duplicate", c("k") % 9 == 0))
+    return x.groupBy(F.size("peer_event_ids").alias("peers")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("agg_cutoff_curve", f"SELECT CAST(cut AS DOUBLE) AS cut, count(*) FILTER (WHERE k / 100.0 >= cut) AS kept, round(100.0 * count(*) FILTER (WHERE k / 100.0 >= cut) / count(*), 6) AS percent FROM {CAT}, (VALUES (0.5), (0.6), (0.7), (0.8), (0.9)) v(cut) GROUP BY 1")
 def agg_cutoff_curve(spark: SparkSession, d: str) -> DataFrame:
     x = cat(spark, d).withColumn("cut", F.explode(F.array(*[F.lit(v) for v in (0.5, 0.6, 0.7, 0.8, 0.9)])))
@@ -274,28 +328,50 @@ def agg_phase_frac(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", ok("x", "circular"), ok("y", "opposed"), "n")
 
 
+_CLS = f"(SELECT CASE WHEN abs({_PHS} - 90) < 30 OR abs({_PHS} - 270) < 30 THEN 'circular' WHEN {_PHS} < 30 OR {_PHS} > 330 OR abs({_PHS} - 180) < 30 THEN 'linear' ELSE 'mixed' END AS cls, abs(value / 100) AS ell FROM {EV})"
+
+
+@query("agg_phase_crosstab", f"SELECT cls, CASE WHEN ell >= 0.5 THEN 'round' WHEN ell >= 0.2 THEN 'oval' ELSE 'flat' END AS shape, count(*) AS n, round(avg(ell), 6) AS mean FROM {_CLS} GROUP BY 1, 2")
+def agg_phase_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    """Classes by phase against classes by ellipticity."""
+    p, ell = F.pmod(c("k") * F.lit(7.5), F.lit(360.0)), F.abs(c("value") / 100)
+    near = lambda x: F.abs(p - x) < 30
+    cls = F.when(near(90.0) | near(270.0), "circular").when((p < 30) | (p > 330) | near(180.0), "linear").otherwise("mixed")
+    shape = F.when(ell >= 0.5, "round").when(ell >= 0.2, "oval").otherwise("flat")
+    return ev(spark, d).groupBy(cls.alias("cls"), shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(ell), "mean"))
+
+
 @query("agg_selfcheck", f"SELECT band, round(sum(t1 - t0) / 60 + count(*), 3) AS expected, round(min(period_min), 6) AS lo, round(quantile_cont(period_min, 0.5), 6) AS med, round(max(period_min), 6) AS hi, abs(sum(t1 - t0) / 60 - count(*) * 10) > 60 AS warn FROM {CAT} WHERE band IS NOT NULL GROUP BY 1")
 def agg_selfcheck(spark: SparkSession, d: str) -> DataFrame:
-    total = F.sum(c("t1") - c("t0")) / 60
-    return cat(spark, d).filter("band IS NOT NULL").groupBy("band").agg(
-        F.round(total + F.count(F.lit(1)), 3).alias("expected"), r6(F.min("period_min"), "lo"), r6(F.percentile("period_min", 0.5), "med"), r6(F.max("period_min"), "hi"),
-        (F.abs(total - F.count(F.lit(1)) * 10) > 60).alias("warn"),
+    total, x = F.sum(c("t1") - c("t0")) / 60, cat(spark, d).filter("band IS NOT NULL")
+    g = x.groupBy("band").agg(
+        F.round(total + F.count(F.lit(1)), 3).alias("expected"), r6(F.min("period_min"), "lo"), r6(F.max("period_min"), "hi"), (F.abs(total - F.count(F.lit(1)) * 10) > 60).alias("warn"),
     )
+    mid = stats.quantiles(x, c("period_min"), ["band"], {"med": 0.5}).select("band", r6(c("med"), "med"))
+    return g.join(mid, "band").select("band", "expected", "lo", "med", "hi", "warn")
 
 
 _MATCH = f"""(SELECT tid, did, ds, iou FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY iou DESC, did) AS a FROM (SELECT tid, did, ds, greatest(least(a1, b1) - greatest(a0, b0), 0) / (greatest(a1, b1) - least(a0, b0)) AS iou FROM {_TRUTH} JOIN {_DET} USING (ds))) WHERE a = 1 AND iou > 0.1)"""
 
 
+def score_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases as truth, one in seven a decoy, and views as detections, by user."""
+    e = ev(spark, d)
+    more = e.select(c("event_id").alias("id"), c("value").alias("period"), band_of(c("value") * 60).alias("band"), F.element_at(F.array(*[F.lit(g) for g in scoring.DIFFICULTIES]), (c("k") % 4 + 1).cast("int")).alias("difficulty"), (c("k") % 7 == 0).alias("decoy"), c("t").alias("peak"))
+    t = truth(spark, d).join(more.drop("peak"), c("tid") == c("id")).drop("id")
+    return scoring.scores(t, detections(spark, d).join(more.select("id", "period", "band", "peak"), c("did") == c("id")).drop("id"))
+
+
 @query("agg_score")
 def agg_score(spark: SparkSession, d: str) -> DataFrame:
-    """Precision, recall, F1, mean overlap and onset error per data set, from the optimal assignment; 1 for empty denominators."""
-    t, f = truth(spark, d), detections(spark, d)
-    m = scoring.assign(t, f).join(t.select("tid", "a0"), "tid").join(f.select("did", "b0"), "did")
-    hits = m.groupBy("ds").agg(F.count(F.lit(1)).alias("hits"), F.avg("iou").alias("mean_iou"), F.avg(F.abs(c("a0") - c("b0"))).alias("latency"))
-    g = t.groupBy("ds").agg(F.count(F.lit(1)).alias("n_truth")).join(f.groupBy("ds").agg(F.count(F.lit(1)).alias("n_found")), "ds", "full").join(hits, "ds", "left")
-    h = F.coalesce("hits", F.lit(0)).cast("double")
-    p, r = F.coalesce(F.try_divide(h, c("n_found").cast("double")), F.lit(1.0)), F.coalesce(F.try_divide(h, c("n_truth").cast("double")), F.lit(1.0))
-    return g.select("ds", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), "mean_iou", "latency")
+    """Every measure of each data set, from the optimal assignment."""
+    return score_rows(spark, d)
+
+
+@query("agg_score_suite")
+def agg_score_suite(spark: SparkSession, d: str) -> DataFrame:
+    """Totals over all data sets, in four tiers."""
+    return scoring.suite(score_rows(spark, d), c("ds") % 4)
 
 
 @query("agg_score_decoys", f"SELECT ds, count(*) AS n, round(avg(CASE WHEN best > 0.1 THEN 0.0 ELSE 1.0 END), 6) AS rejected FROM (SELECT tid, ds, coalesce(max(iou), 0) AS best FROM {_TRUTH} t LEFT JOIN (SELECT tid AS x, iou FROM {_MATCH}) m ON m.x = t.tid GROUP BY 1, 2) GROUP BY 1")
@@ -310,9 +386,10 @@ def agg_score_decoys(spark: SparkSession, d: str) -> DataFrame:
 _TIER = f"(SELECT k % 5 AS tier, count(*) AS n, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS hits, avg(value / 100) AS iou FROM {EV} GROUP BY 1)"
 
 
-@query("agg_score_suite", f"""SELECT CAST(sum(hits) AS BIGINT) AS hits, sum(n)::BIGINT AS n, round(sum(hits) / sum(n), 6) AS micro, round(count(*) / sum(1.0 / (hits / n)), 6) AS harmonic,
+@query("agg_composite", f"""SELECT CAST(sum(hits) AS BIGINT) AS hits, sum(n)::BIGINT AS n, round(sum(hits) / sum(n), 6) AS micro, round(count(*) / sum(1.0 / (hits / n)), 6) AS harmonic,
   round(1.0 / (0.35 / (sum(hits) / sum(n)) + 0.20 / avg(iou) + 0.15 / (sum(hits) / sum(n)) + 0.15 / avg(iou) + 0.15 / max(hits / n)), 6) AS composite FROM {_TIER}""")
-def agg_score_suite(spark: SparkSession, d: str) -> DataFrame:
+def agg_composite(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted harmonic composite of totals by tier."""
     g = ev(spark, d).groupBy((c("k") % 5).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("value") > 10).alias("hits"), F.avg(c("value") / 100).alias("iou"))
     recall = F.try_divide(c("hits").cast("double"), c("n"))
     s = g.agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), (F.count(F.lit(1)) / F.sum(1.0 / recall)).alias("harmonic"), F.avg("iou").alias("iou"), F.max(recall).alias("best"))
@@ -331,12 +408,12 @@ def trace_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg_arc_length", f"""WITH s AS (SELECT line, i, sqrt(x*x+y*y+z*z) AS r, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS ds FROM {_PTS} WINDOW w AS (PARTITION BY line ORDER BY i))
-SELECT line, round(coalesce(sum(ds), 0), 4) AS length, round(max(r), 4) AS l, arg_max(i, r) AS equator FROM s GROUP BY 1""")
+SELECT line, round(coalesce(sum(ds), 0), 4) AS length, round(max(r), 4) AS l, arg_max(i, r) AS equator, round(any_value(foot), 6) AS foot FROM s JOIN (SELECT line AS fl, degrees(asin(arg_min(z / sqrt(x*x+y*y+z*z), i))) AS foot FROM {_PTS} GROUP BY 1) f ON fl = line GROUP BY 1""")
 def agg_arc_length(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("line").orderBy("i")
     step = F.sqrt(sum((F.pow(c(a) - F.lag(a).over(w), F.lit(2.0)) for a in "yz"), F.pow(c("x") - F.lag("x").over(w), F.lit(2.0))))
     s = trace_points(spark, d).withColumn("ds", step).withColumn("r", F.sqrt(c("x") * c("x") + c("y") * c("y") + c("z") * c("z")))
-    return s.groupBy("line").agg(F.round(F.coalesce(F.sum("ds"), F.lit(0.0)), 4).alias("length"), F.round(F.max("r"), 4).alias("l"), F.max_by("i", "r").alias("equator"))
+    return s.groupBy("line").agg(F.round(F.coalesce(F.sum("ds"), F.lit(0.0)), 4).alias("length"), F.round(F.max("r"), 4).alias("l"), F.max_by("i", "r").alias("equator"), r6(F.degrees(F.asin(F.min_by(c("z") / c("r"), "i"))), "foot"))
 
 
 @query("agg_conj_lat", f"SELECT line, CASE WHEN min(abs(r - 30)) <= 0.5 THEN round(arg_min(lat, abs(r - 30)), 6) END AS lat FROM (SELECT line, sqrt(x*x+y*y+z*z) AS r, degrees(asin(z / sqrt(x*x+y*y+z*z))) AS lat FROM {_PTS}) GROUP BY 1")
