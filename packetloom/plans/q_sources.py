@@ -9,7 +9,7 @@ from packetloom.functions.bands import crossing_region
 from packetloom.functions.times import parse_doy
 from packetloom.plans.q_grids import _FOOT, DW, KEYS, binned, footprint
 from packetloom.plans.q_stats import _ROWS, signal
-from packetloom.plans.registry import CAT, EV, cat, ev, query, r6, table
+from packetloom.plans.registry import CAT, EV, SQL, cat, ev, query, r6, table
 from packetloom.operators import grids
 from packetloom.session import scratch
 from packetloom.sources import tables as src
@@ -48,6 +48,20 @@ def src_tab_read(spark: SparkSession, d: str) -> DataFrame:
     return mag(src.read_table(spark, path, "KSM", "1994-01-01 00:00:00", "1998-01-01 00:00:00"))
 
 
+@query("src_tab_resolution", f"""WITH f AS (SELECT user_id, CAST(floor(t) AS BIGINT) AS s, round(value, 6) AS v, row_number() OVER (PARTITION BY user_id ORDER BY floor(t), round(value, 6)) - 1 AS rn FROM {EV}),
+g AS (SELECT *, max(CASE WHEN rn = 1 THEN s END) OVER (PARTITION BY user_id) - max(CASE WHEN rn = 0 THEN s END) OVER (PARTITION BY user_id) AS dt FROM f)
+SELECT user_id, s, v FROM g WHERE rn % CAST(CASE WHEN dt > 0 THEN greatest(1, floor(90000.0 / dt)) ELSE 1 END AS BIGINT) = 0""")
+def src_tab_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Text tables, one of each user, at a resolution of 25 hours: every k-th line, k by the table's own step."""
+    path = scratch(spark, "tab")
+    stamp = F.date_format(F.timestamp_seconds(F.floor("t").cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.concat_ws(" ", stamp, F.round("value", 6).cast("string"), *[F.lit("0")] * 6)
+    ev(spark, d).select("user_id", line.alias("value")).write.partitionBy("user_id").text(path)
+    rows = src.parse_table(spark.read.text(path), "KSM", keep=["user_id"])
+    out = src.thinned(rows, ["user_id"], ["ts", "bx"], "ts", 90000.0)
+    return out.select(c("user_id").cast("long").alias("user_id"), unix("ts").alias("s"), c("bx").alias("v"))
+
+
 @query("src_tab_layout", " UNION ALL ".join(f"SELECT '{n}' AS name, '{u}' AS units, count(*) AS n FROM {_MAG}" for n, u in zip("bx by bz btot x y z".split(), "nT nT nT nT R R R".split(), strict=True)))
 def src_tab_layout(spark: SparkSession, d: str) -> DataFrame:
     """Name, units and filled values of every column of the layout that a text table was read with."""
@@ -94,11 +108,13 @@ def src_year_pos(spark: SparkSession, d: str) -> DataFrame:
     return m.select("s", r6(c("x"), "x"), F.round(F.sqrt(c("x") * c("x") + c("y") * c("y") + c("z") * c("z")), 4).alias("r"))
 
 
-@query("src_mission", f"SELECT CAST(floor(s / 31557600) AS BIGINT) AS y, count(*) AS n, CAST(min(s) AS BIGINT) AS a, CAST(max(s) AS BIGINT) AS b FROM {_MAG} GROUP BY 1")
+@query("src_mission", f"SELECT CAST(year(make_timestamp(CAST(s AS BIGINT) * 1000000)) AS INTEGER) AS year, count(*) AS n, CAST(min(s) AS BIGINT) AS a, CAST(max(s) AS BIGINT) AS b FROM {_MAG} WHERE s >= 725846400 AND s < 883612800 GROUP BY 1")
 def src_mission(spark: SparkSession, d: str) -> DataFrame:
-    """All years as one trajectory; sorted only where order is used."""
-    m = mag(src.parse_table(mag_lines(spark, d), "KSM"))
-    return m.groupBy(F.floor(c("s") / 31557600).alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
+    """Years 1993 to 1997 as one trajectory; sorted only where order is used."""
+    path = scratch(spark, "years")
+    src.write_years(src.parse_table(mag_lines(spark, d), "KSM"), path)
+    m = src.load_mission(spark, path, 1993, 1997).select(unix("ts").alias("s"), "year")
+    return m.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
 
 
 _XSQL = f"(SELECT CAST(floor(t / 60) AS BIGINT) * 60 AS s, CASE WHEN k % 2 = 0 THEN 'BS' ELSE 'MP' END AS kind, CASE k % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'O' ELSE 'E_SW' END AS dir, round(value, 6) AS x FROM {EV} WHERE event_type = 'error')"
@@ -131,25 +147,37 @@ def flags(df: DataFrame) -> DataFrame:
     return df.select(unix("start_time").alias("a"), unix("end_time").alias("b"), "flag_type", "sensor", "severity", "description")
 
 
-@query("src_qflags_timing", f"SELECT {_S} AS a, {_S} + k AS b, 'timing_error' AS flag_type, 'FGM' AS sensor, 'negligible' AS severity, 'backwards timing: user ' || user_id AS description FROM {EV} WHERE k % 5 <> 0")
-def src_qflags_timing(spark: SparkSession, d: str) -> DataFrame:
+def timing(spark: SparkSession, d: str) -> DataFrame:
     iso = lambda t: F.date_format(F.timestamp_seconds(t.cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
     line = F.concat_ws(",", F.lit("/a/b.txt"), iso(F.floor("t")), F.when(c("k") % 5 == 0, "none").otherwise(iso(F.floor("t") + c("k"))), F.concat(F.lit(" user "), c("user_id").cast("string")))
-    return flags(src.parse_timing(ev(spark, d).select(line.alias("value"))))
+    return src.parse_timing(ev(spark, d).select(line.alias("value")))
+
+
+@query("src_qflags_timing", f"SELECT {_S} AS a, {_S} + k AS b, 'timing_error' AS flag_type, 'FGM' AS sensor, 'negligible' AS severity, 'backwards timing: user ' || user_id AS description FROM {EV} WHERE k % 5 <> 0")
+def src_qflags_timing(spark: SparkSession, d: str) -> DataFrame:
+    return flags(timing(spark, d))
+
+
+def ranges(spark: SparkSession, d: str) -> DataFrame:
+    who = F.when(c("k") % 3 == 0, "FGM").when(c("k") % 3 == 1, "VHM").otherwise("VHM FGM")
+    line = F.concat(doy(c("t")), F.lit(".000,  "), who, F.lit(" changed to "), F.when(c("k") % 7 == 0, "another").otherwise(F.concat(F.lit("Range "), (c("k") % 4).cast("string"))))
+    return src.parse_ranges(ev(spark, d).select(F.when(c("k") % 11 == 0, "Each line has a time").otherwise(line).alias("value")))
 
 
 @query("src_qflags_range", f"""SELECT {_S} AS a, {_S} + 60 AS b, 'range_change' AS flag_type, s AS sensor, 'critical' AS severity, s || ' to range ' || CASE WHEN k % 7 = 0 THEN '?' ELSE CAST(k % 4 AS VARCHAR) END AS description
 FROM (SELECT *, CASE k % 3 WHEN 0 THEN 'FGM' WHEN 1 THEN 'VHM' ELSE 'ALL' END AS s FROM {EV} WHERE k % 11 <> 0)""")
 def src_qflags_range(spark: SparkSession, d: str) -> DataFrame:
-    who = F.when(c("k") % 3 == 0, "FGM").when(c("k") % 3 == 1, "VHM").otherwise("VHM FGM")
-    line = F.concat(doy(c("t")), F.lit(".000,  "), who, F.lit(" changed to "), F.when(c("k") % 7 == 0, "another").otherwise(F.concat(F.lit("Range "), (c("k") % 4).cast("string"))))
-    return flags(src.parse_ranges(ev(spark, d).select(F.when(c("k") % 11 == 0, "Each line has a time").otherwise(line).alias("value"))))
+    return flags(ranges(spark, d))
+
+
+def spurious(spark: SparkSession, d: str) -> DataFrame:
+    line = F.when(c("event_type") == "error", doy(c("t"))).otherwise("no time here")
+    return src.parse_spurious(ev(spark, d).select(line.alias("value")))
 
 
 @query("src_qflags_spurious", f"SELECT {_S} AS a, {_S} + 60 AS b, 'spurious_range' AS flag_type, 'FGM' AS sensor, 'low' AS severity, 'corrupted range vector' AS description FROM {EV} WHERE event_type = 'error'")
 def src_qflags_spurious(spark: SparkSession, d: str) -> DataFrame:
-    line = F.when(c("event_type") == "error", doy(c("t"))).otherwise("no time here")
-    return flags(src.parse_spurious(ev(spark, d).select(line.alias("value"))))
+    return flags(spurious(spark, d))
 
 
 def log_lines(spark: SparkSession, d: str, says) -> DataFrame:
@@ -163,49 +191,54 @@ def log_lines(spark: SparkSession, d: str, says) -> DataFrame:
 _SENS = "CASE k % 3 WHEN 0 THEN 'ALL' WHEN 1 THEN 'VHM' ELSE 'FGM' END"
 
 
+def modes(spark: SparkSession, d: str) -> DataFrame:
+    says = F.when(c("k") % 4 == 0, "instrument turns off").when(c("k") % 4 == 1, "now Scalar/Vector").when(c("k") % 4 == 2, "maintenance").otherwise("something")
+    return src.parse_modes(log_lines(spark, d, says), "o", keys=["user_id"])
+
+
 @query("src_qflags_mode", f"""SELECT {_S} AS a, {_S} + CASE k % 4 WHEN 0 THEN 600 WHEN 1 THEN 120 ELSE 300 END AS b, 'mode_change' AS flag_type, {_SENS} AS sensor, CASE k % 4 WHEN 0 THEN 'critical' ELSE 'high' END AS severity,
   CASE k % 4 WHEN 0 THEN 'instrument off' WHEN 1 THEN 'mode switch: scalar/vector' WHEN 2 THEN 'instrument maintenance' ELSE 'mode change' END AS description FROM {EV}""")
 def src_qflags_mode(spark: SparkSession, d: str) -> DataFrame:
-    says = F.when(c("k") % 4 == 0, "instrument turns off").when(c("k") % 4 == 1, "now Scalar/Vector").when(c("k") % 4 == 2, "maintenance").otherwise("something")
-    return flags(src.parse_modes(log_lines(spark, d, says), "o", keys=["user_id"]))
+    return flags(modes(spark, d))
+
+
+def calibrations(spark: SparkSession, d: str) -> DataFrame:
+    says = F.when(c("k") % 2 == 0, "SCAS commences").otherwise("SCAS ceases")
+    lines = log_lines(spark, d, says).filter("o % 2 = 0")
+    return src.parse_calibrations(lines, "o", keys=["user_id"])
 
 
 @query("src_qflags_calib", f"""WITH l AS (SELECT *, k % 2 = 0 AS opens, lead(k % 2 = 1) OVER w AS shut, lead({_S}) OVER w AS nxt FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
 SELECT {_S} AS a, CASE WHEN shut THEN nxt ELSE {_S} + 3600 END AS b, 'calibration' AS flag_type, {_SENS} AS sensor, 'high' AS severity, CASE WHEN shut THEN 'SCAS activity' ELSE 'calibration (no end time)' END AS description FROM l WHERE opens""")
 def src_qflags_calib(spark: SparkSession, d: str) -> DataFrame:
-    says = F.when(c("k") % 2 == 0, "SCAS commences").otherwise("SCAS ceases")
-    lines = log_lines(spark, d, says).filter("o % 2 = 0")
-    return flags(src.parse_calibrations(lines, "o", keys=["user_id"]))
+    return flags(calibrations(spark, d))
 
 
-_ALL = f"(SELECT {_S} AS a, {_S} + 60 AS b, 'spurious_range' AS flag_type, 'low' AS severity FROM {EV} WHERE event_type = 'error' UNION ALL SELECT {_S}, {_S} + k, 'timing_error', 'negligible' FROM {EV} WHERE k % 5 <> 0)"
+_ALL = "(" + " UNION ALL ".join(f"SELECT a, b, flag_type, severity FROM ({SQL[f'src_qflags_{n}']})" for n in ("timing", "range", "spurious", "mode", "calib")) + ")"
+MISSION_HOURS = 744.0
 
 
-def two_sources(spark: SparkSession, d: str) -> list[DataFrame]:
-    iso = lambda t: F.date_format(F.timestamp_seconds(t.cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
-    line = F.concat_ws(",", F.lit("f"), iso(F.floor("t")), F.when(c("k") % 5 == 0, "none").otherwise(iso(F.floor("t") + c("k"))), F.lit("x"))
-    spurious = F.when(c("event_type") == "error", doy(c("t"))).otherwise("no time here")
-    e = ev(spark, d)
-    return [src.parse_spurious(e.select(spurious.alias("value"))), src.parse_timing(e.select(line.alias("value")))]
+def five_sources(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [f(spark, d) for f in (timing, ranges, spurious, modes, calibrations)]
 
 
 @query("src_qflags_all", f"SELECT a, b, flag_type FROM {_ALL} WHERE b >= 1704240000 AND a < 1705276800")
 def src_qflags_all(spark: SparkSession, d: str) -> DataFrame:
-    f = src.all_flags(two_sources(spark, d), "2024-01-03 00:00:00", "2024-01-15 00:00:00")
+    f = src.all_flags(five_sources(spark, d), "2024-01-03 00:00:00", "2024-01-15 00:00:00")
     return f.select(unix("start_time").alias("a"), unix("end_time").alias("b"), "flag_type")
 
 
 @query("io_qflags_csv", f"SELECT a, b, flag_type FROM {_ALL}")
 def io_qflags_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "flags")
-    src.all_flags(two_sources(spark, d)).write.option("header", "true").csv(path)
+    src.all_flags(five_sources(spark, d)).write.option("header", "true").csv(path)
     f = spark.read.schema(src.FLAGS).option("header", "true").csv(path)
     return f.select(unix("start_time").alias("a"), unix("end_time").alias("b"), "flag_type")
 
 
-@query("rpt_qflags", " UNION ALL ".join(f"SELECT '{n}' AS by, CAST({e} AS VARCHAR) AS value, count(*) AS n, round(sum(b - a) / 3600.0, 6) AS hours FROM {_ALL} GROUP BY 2" for n, e in (("flag_type", "flag_type"), ("severity", "severity"), ("year", "year(make_timestamp(a * 1000000))"))))
+@query("rpt_qflags", " UNION ALL ".join(f"SELECT '{n}' AS by, CAST({e} AS VARCHAR) AS value, count(*) AS n, round(sum(b - a) / 3600.0, 6) AS hours, round(100.0 * round(sum(b - a) / 3600.0, 6) / {MISSION_HOURS}, 4) AS percent FROM {_ALL} GROUP BY 2" for n, e in (("flag_type", "flag_type"), ("severity", "severity"), ("year", "year(make_timestamp(a * 1000000))"), ("total", "'all'"))))
 def rpt_qflags(spark: SparkSession, d: str) -> DataFrame:
-    return src.flag_report(src.all_flags(two_sources(spark, d)))
+    return src.flag_report(src.all_flags(five_sources(spark, d)), MISSION_HOURS)
 
 
 @query("src_doy_parse", f"SELECT event_id, CASE WHEN k % 4 <> 3 THEN {_S} * 1000000 + CASE WHEN k % 4 = 1 THEN 250000 ELSE 0 END END AS us FROM {EV}")
@@ -221,11 +254,19 @@ def src_segments_tbl(spark: SparkSession, d: str) -> DataFrame:
     return g.filter(F.year(F.timestamp_seconds(F.floor("t0").cast("long"))) == 2024).select("user_id", "n", F.round("t0", 3).alias("t0"))
 
 
-@query("src_positions", f"SELECT id, n, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM (SELECT l_orderkey AS id, l_linenumber AS n, l_quantity - 25.5 AS x, l_extendedprice / 3989 - 13.1123 AS y, l_tax * 200 - 8.3 AS z FROM lineitem)")
+_POS11 = {"ts": "epoch_us(l_shipdate) / 1000000", "bx": "l_discount * 10", "by_": "l_tax * 10", "bz": "l_quantity / 10", "btot": "sqrt(l_discount * l_discount * 100 + l_tax * l_tax * 100 + l_quantity * l_quantity / 100)", "x": "l_quantity - 25.5", "y": "l_extendedprice / 3989 - 13.1123", "z": "l_tax * 200 - 8.3"}
+
+
+@query("src_positions", f"SELECT l_orderkey AS id, l_linenumber AS n, CAST({_POS11['ts']} AS BIGINT) AS ts, {', '.join(f'round({e}, 6) AS {n}' for n, e in _POS11.items() if n != 'ts')}, l_linenumber % 2 = 0 AS in_0, l_linenumber % 3 = 0 AS in_1, l_linenumber % 5 = 0 AS in_2 FROM lineitem")
 def src_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The table of times, fields, positions and three location flags, with the row's key."""
     path, li = scratch(spark, "positions"), table(spark, d, "lineitem")
-    li.select(c("l_orderkey").alias("id"), c("l_linenumber").alias("n"), (c("l_quantity") - 25.5).alias("x"), (c("l_extendedprice") / 3989 - 13.1123).alias("y"), (c("l_tax") * 200 - 8.3).alias("z")).write.parquet(path)
-    return spark.read.parquet(path).select("id", "n", *[r6(c(v), v) for v in "xyz"])
+    bx, by, bz = c("l_discount") * 10, c("l_tax") * 10, c("l_quantity") / 10
+    at = [(c("l_quantity") - 25.5).alias("x"), (c("l_extendedprice") / 3989 - 13.1123).alias("y"), (c("l_tax") * 200 - 8.3).alias("z")]
+    field = [bx.alias("bx"), by.alias("by_"), bz.alias("bz"), F.sqrt(bx * bx + by * by + bz * bz).alias("btot")]
+    inside = [(c("l_linenumber") % k == 0).alias(f"in_{j}") for j, k in enumerate((2, 3, 5))]
+    li.select(c("l_orderkey").alias("id"), c("l_linenumber").alias("n"), c("l_shipdate").cast("timestamp").alias("ts"), *field, *at, *inside).write.parquet(path)
+    return spark.read.parquet(path).select("id", "n", unix("ts").alias("ts"), *[r6(c(v), v) for v in ("bx", "by_", "bz", "btot", "x", "y", "z")], "in_0", "in_1", "in_2")
 
 
 def events_table(spark: SparkSession, d: str) -> DataFrame:
@@ -304,6 +345,17 @@ def io_manifest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("dataset_id", "event_id", F.nullif("band", F.lit("")).alias("band"), r6(c("period_min"), "period_min"))
 
 
+@query("io_manifest_csv", f"SELECT 'ds' || segment_idx AS dataset_id, event_id, band, round(period_min * 60, 6) AS period_sec, t0 AS start_sec, t1 AS end_sec, k % 7 <> 0 AS should_detect FROM {CAT}")
+def io_manifest_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of all datasets' events through typed CSV."""
+    path = scratch(spark, "manifest")
+    rows = cat(spark, d).select(
+        F.concat(F.lit("ds"), c("segment_idx").cast("string")).alias("dataset_id"), "event_id", "band", (c("period_min") * 60).alias("period_sec"), c("t0").alias("start_sec"), c("t1").alias("end_sec"), (c("k") % 7 != 0).alias("should_detect"),
+    )
+    src.write_manifest_csv(rows, path)
+    return src.read_manifest_csv(spark, path, rows.schema).withColumn("period_sec", F.round("period_sec", 6))
+
+
 @query("sink_scoreboard", f"SELECT band, count(*) AS n FROM {CAT} WHERE band IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM {CAT}")
 def sink_scoreboard(spark: SparkSession, d: str) -> DataFrame:
     path, x = scratch(spark, "scores"), cat(spark, d)

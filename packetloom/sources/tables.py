@@ -27,18 +27,37 @@ FLAGS = T.StructType([T.StructField("start_time", T.TimestampType()), T.StructFi
 REQUIRED = ("event_id", "segment_idx", "band", "peak_time", "date_from", "date_to", "period_min", "q_factor")
 
 
-def parse_table(lines: DataFrame, coords: str, value: str = "value") -> DataFrame:
-    """Typed rows of whitespace text; unreadable fields are null, NaN too."""
+def parse_table(lines: DataFrame, coords: str, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Typed rows of whitespace text, with the columns ``keep`` before them; unreadable fields are null, NaN too."""
+    keep = keep or []
     parts = F.split(F.trim(F.col(value)), r"\s+")
     layout = LAYOUTS[coords]
     first = F.coalesce(F.try_to_timestamp(F.get(parts, F.lit(0))), parse_doy(F.get(parts, F.lit(0))))
-    typed = lines.select(first.alias("ts"), *[clean(F.get(parts, F.lit(k)).try_cast("double")).alias(f.name) for k, f in enumerate(layout.fields) if k])
-    return typed.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in layout.fields])
+    typed = lines.select(*keep, first.alias("ts"), *[clean(F.get(parts, F.lit(k)).try_cast("double")).alias(f.name) for k, f in enumerate(layout.fields) if k])
+    return typed.select(*keep, *[F.col(f.name).alias(f.name, metadata=f.metadata) for f in layout.fields])
 
 
-def read_table(spark: SparkSession, paths: list[str] | str, coords: str, date_from=None, date_to=None) -> DataFrame:
-    """Text tables as typed rows within an inclusive range of times."""
-    df = parse_table(spark.read.text(paths), coords)
+def thinned(rows: DataFrame, file: list[str], order: list[str], ts: str, resolution_s: float) -> DataFrame:
+    """Every k-th row of each file in order, for the largest k that keeps a step of at most ``resolution_s``.
+
+    A file's own step is that between its first two rows; one without a positive step stays whole.
+    """
+    w = Window.partitionBy(*file).orderBy(*order)
+    x = rows.withColumn("rn", F.row_number().over(w) - 1)
+    of = lambda k: F.max(F.when(F.col("rn") == k, seconds(F.col(ts)))).over(Window.partitionBy(*file))
+    step = of(1) - of(0)
+    x = x.withColumn("k", F.when(step > 0, F.greatest(F.lit(1), F.floor(resolution_s / step))).otherwise(1))
+    return x.filter(F.col("rn") % F.col("k") == 0).select(*rows.columns)
+
+
+def read_table(spark: SparkSession, paths: list[str] | str, coords: str, date_from=None, date_to=None, resolution_s: float | None = None) -> DataFrame:
+    """Text tables as typed rows within an inclusive range of times, thinned to a resolution if one is given."""
+    lines = spark.read.text(paths)
+    if resolution_s is None:
+        df = parse_table(lines, coords)
+    else:
+        df = parse_table(lines.withColumn("file", F.input_file_name()), coords, keep=["file"])
+        df = thinned(df, ["file"], ["ts", *[f.name for f in LAYOUTS[coords].fields[1:]]], "ts", resolution_s).drop("file")
     if date_from is not None:
         df = df.filter(F.col("ts") >= F.lit(date_from))
     return df.filter(F.col("ts") <= F.lit(date_to)) if date_to is not None else df
@@ -49,12 +68,27 @@ def write_years(samples: DataFrame, path: str, keys: tuple[str, ...] = ()) -> No
     samples.withColumn("year", F.year("ts")).write.partitionBy(*keys, "year").parquet(path)
 
 
-def select_data(spark: SparkSession, path: str, date_from: str, date_to: str, margin_s: int = 0) -> DataFrame:
-    """Rows within a range, widened by a margin at both ends; years outside it aren't opened."""
+def select_data(spark: SparkSession, path: str, date_from: str, date_to: str, margin_s: int = 0, coords: str | None = None, resolution_s: float | None = None) -> DataFrame:
+    """Rows within a range, widened by a margin at both ends, of one layout and at a resolution if given; years outside aren't opened.
+
+    ``coords`` is a key of ``write_years``. Resolution thins each year by itself, before the range is cut.
+    """
     margin = F.expr(f"INTERVAL {int(margin_s)} SECONDS")
     lo, hi = F.lit(date_from).cast("timestamp") - margin, F.lit(date_to).cast("timestamp") + margin
     df = spark.read.parquet(path)
-    return df.filter((F.col("year") >= F.year(lo)) & (F.col("year") <= F.year(hi)) & F.col("ts").between(lo, hi))
+    df = df.filter(F.col("coords") == coords) if coords is not None else df
+    df = df.filter((F.col("year") >= F.year(lo)) & (F.col("year") <= F.year(hi)))
+    if resolution_s is not None:
+        df = thinned(df, ["year"], ["ts", *[c for c in df.columns if c not in ("ts", "year", "coords")]], "ts", resolution_s)
+    return df.filter(F.col("ts").between(lo, hi))
+
+
+def load_mission(spark: SparkSession, path: str, year_from: int, year_to: int) -> DataFrame:
+    """All years of a range as one trajectory, unsorted; ValueError if there are no rows."""
+    df = spark.read.parquet(path).filter(F.col("year").between(year_from, year_to))
+    if df.isEmpty():
+        raise ValueError(f"no rows in the years {year_from} to {year_to}")
+    return df
 
 
 def read_segment(df: DataFrame, coords: str) -> tuple[DataFrame, float]:
@@ -118,6 +152,7 @@ MODE_TEXTS = (
     ("unmuted", "instrument unmuted"), ("reset", "instrument reset"), ("no data", "no data"), ("scalar/vector", "VHM→SHM switch"), ("vector/vector", "SHM→VHM switch"),
     ("science packets recommence", "science data resumes"), ("maintenance", "instrument maintenance"),
 )
+#: Words that make a mode change critical.
 CRITICAL = ("turns off", "turns on", "sick", "sleep", "muted", "unmuted", "reset", "no data", "no science")
 
 
@@ -173,12 +208,13 @@ def all_flags(parts: list[DataFrame], t_min=None, t_max=None) -> DataFrame:
     return out.orderBy("start_time")
 
 
-def flag_report(flags: DataFrame) -> DataFrame:
-    """Counts and hours by type, severity and year in one pass over grouping sets."""
+def flag_report(flags: DataFrame, mission_hours: float) -> DataFrame:
+    """Counts, hours and percent of the mission by type, severity and year and in all, in one pass."""
     hours = (seconds(F.col("end_time")) - seconds(F.col("start_time"))) / 3600
-    f = flags.select("flag_type", "severity", F.year("start_time").alias("year"), hours.alias("h"))
-    by = F.explode(F.array(*[F.struct(F.lit(n).alias("by"), F.col(n).cast("string").alias("value")) for n in ("flag_type", "severity", "year")]))
-    return f.select(by.alias("g"), "h").groupBy("g.by", "g.value").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("h"), 6).alias("hours"))
+    f = flags.select("flag_type", "severity", F.year("start_time").alias("year"), F.lit("all").alias("total"), hours.alias("h"))
+    by = F.explode(F.array(*[F.struct(F.lit(n).alias("by"), F.col(n).cast("string").alias("value")) for n in ("flag_type", "severity", "year", "total")]))
+    g = f.select(by.alias("g"), "h").groupBy("g.by", "g.value").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("h"), 6).alias("hours"))
+    return g.withColumn("percent", F.round(100.0 * F.col("hours") / mission_hours, 4))
 
 
 def write_events(events: DataFrame, path: str, **attrs: str) -> None:
@@ -229,6 +265,15 @@ def manifest_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path).select("dataset_id", F.explode("events").alias("e")).select("dataset_id", "e.*")
 
 
+def write_manifest_csv(events: DataFrame, path: str) -> None:
+    """Ground truth as one flat table with a header; nulls are empty fields."""
+    events.write.option("header", "true").csv(path)
+
+
+def read_manifest_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
 def append_score(row: DataFrame, path: str) -> None:
     row.write.mode("append").option("sep", "\t").option("header", "true").csv(path)
 

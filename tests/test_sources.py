@@ -94,3 +94,24 @@ def test_event_record_refuses_taken_names(spark):
 
 def test_background_missing(spark, tmp_path):
     assert src.background(spark, str(tmp_path / "none")) is None
+
+
+def test_resolution_keeps_every_kth_line_of_each_file(spark, tmp_path):
+    line = lambda m: f"2004-01-0{1 + m // 1440}T{m // 60 % 24:02d}:{m % 60:02d}:00 {m} 0 0 0 0 0 0"
+    for name, step in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.TAB").write_text("\n".join(line(m) for m in range(0, 60, step)) + "\n")
+    rows = src.read_table(spark, str(tmp_path), "KSM", resolution_s=300.0).collect()
+    assert sorted(r.bx for r in rows) == sorted([*range(0, 60, 5), *range(0, 60, 4)])
+    same = src.read_table(spark, str(tmp_path), "KSM", resolution_s=1.0)
+    assert same.count() == 90
+    src.write_years(src.read_table(spark, str(tmp_path / "a.TAB"), "KSM").selectExpr("*", "'KSM' AS coords"), str(tmp_path / "years"), ("coords",))
+    got = src.select_data(spark, str(tmp_path / "years"), "2004-01-01 00:10:00", "2004-01-01 00:20:00", 300, "KSM", 300.0)
+    assert sorted(r.bx for r in got.collect()) == [5, 10, 15, 20, 25]
+    assert src.select_data(spark, str(tmp_path / "years"), "2004-01-01 00:10:00", "2004-01-01 00:20:00", coords="KSO").count() == 0
+
+
+def test_mission_without_rows_is_an_error(spark, tmp_path):
+    src.write_years(spark.sql("SELECT TIMESTAMP '2005-03-01 00:00:00' AS ts, 1.0 AS x"), str(tmp_path / "m"))
+    assert src.load_mission(spark, str(tmp_path / "m"), 2004, 2005).count() == 1
+    with pytest.raises(ValueError, match="no rows"):
+        src.load_mission(spark, str(tmp_path / "m"), 2010, 2012)
