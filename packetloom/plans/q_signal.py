@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from packetloom.functions import coords
 from packetloom.functions.bands import polarization_class
 from packetloom.operators import signal as sg
-from packetloom.operators import tracing
-from packetloom.operators.ordered import stride
+from packetloom.operators import stats, tracing
+from packetloom.operators.ordered import numbered, stride
 from packetloom.plans.q_stats import SIG, signal
 from packetloom.plans.registry import ev, pos, query, table
+from packetloom.session import scratch
 
 c = F.col
 DT = 60.0
@@ -49,13 +50,24 @@ def sig_spectrogram(spark: SparkSession, d: str) -> DataFrame:
     return sg.per_segment(signal(spark, d), "seg", "i", ["v"], one, "t bigint, f bigint, psd double").withColumn("psd", F.round("psd", 5))
 
 
-def waves(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of 1536 samples in three components, from 72 vectors each: (seg, i, p, a, b)."""
+SAMPLES = 1536  # of a segment
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's values at their place: 72 vectors are a segment of 1536 samples in three components (seg, comp, i, v)."""
     e = table(spark, d, "embeddings").select(F.floor(c("vec_id") / 72).alias("seg"), (c("vec_id") % 3).alias("comp"), (F.floor(c("vec_id") % 72 / 3) * 64).alias("at"), F.posexplode("embedding").alias("j", "v"))
-    e = e.groupBy("seg", (c("at") + c("j")).alias("i")).agg(*[F.max(F.when(c("comp") == k, c("v").cast("double"))).alias(n) for k, n in enumerate("pab")])
-    w = F.sin(c("i") * (2 * 3.141592653589793 / 60)) * F.exp(-0.5 * F.pow((c("i") - 760) / 160.0, F.lit(2.0)))
-    v = F.cos(c("i") * (2 * 3.141592653589793 / 60)) * F.exp(-0.5 * F.pow((c("i") - 760) / 160.0, F.lit(2.0)))
-    return e.dropna().select("seg", "i", "p", (c("a") + w).alias("a"), (c("b") + v).alias("b"))
+    return e.select("seg", "comp", (c("at") + c("j")).alias("i"), c("v").cast("double").alias("v"))
+
+
+def waves(spark: SparkSession, d: str) -> DataFrame:
+    """The segments with their components side by side: (seg, i, p, a, b); a component that ends early is zero from there."""
+    return _placed(spark, d).groupBy("seg", "i").agg(*[F.coalesce(F.max(F.when(c("comp") == k, c("v"))), F.lit(0.0)).alias(n) for k, n in enumerate("pab")])
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    """(seg, region): the label of each segment's first vector."""
+    e = table(spark, d, "embeddings").select(F.floor(c("vec_id") / 72).alias("seg"), "vec_id", "label")
+    return e.groupBy("seg").agg(F.min_by("label", "vec_id").cast("double").alias("region"))
 
 
 def _wave(name: str, values: list[str], one, schema: str):
@@ -63,12 +75,25 @@ def _wave(name: str, values: list[str], one, schema: str):
     query(name)(lambda spark, d: sg.per_segment(waves(spark, d), "seg", "i", values, one, schema))
 
 
+def each_component(spark: SparkSession, d: str, one, schema: str) -> DataFrame:
+    """``one`` on every component of every segment: (seg, comp, its columns)."""
+    x = _placed(spark, d).select((c("seg") * 3 + c("comp")).alias("key"), "i", "v")
+    out = sg.per_segment(x, "key", "i", ["v"], one, schema)
+    name = F.element_at(F.array(*[F.lit(n) for n in "pab"]), (c("key") % 3 + 1).cast("int"))
+    return out.select(F.floor(c("key") / 3).alias("seg"), name.alias("comp"), *[x for x in out.columns if x != "key"])
+
+
+def _each(name: str, one, schema: str):
+    """Register a grouped-map query over every component by itself."""
+    query(name)(lambda spark, d: each_component(spark, d, one, schema))
+
+
 def _background(v: np.ndarray) -> pd.DataFrame:
     f, p = sg.welch(v, DT, 512)
     return pd.DataFrame({"f": f[1:], "psd": p[1:], "background": sg.background(f[1:], p[1:], 51)})
 
 
-_wave("sig_background", ["a"], _background, "f double, psd double, background double")
+_each("sig_background", _background, "f double, psd double, background double")
 
 
 def _ratio(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
@@ -89,15 +114,15 @@ def _analyze(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 _wave("sig_analyze", ["p", "a", "b"], _analyze, _RATIO)
-_wave("sig_savgol", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.savgol(v, 21, 3)}), "i bigint, s double")
+_each("sig_savgol", lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.savgol(v, 21, 3)}), "i bigint, s double")
 
 
 def _cwt(v: np.ndarray) -> pd.DataFrame:
-    f, w = sg.morlet(v, DT, 500)  # the reference's rows for the bare transform; masks and coherence have 300
+    f, w = sg.morlet(v, DT, 500)  # masks and coherence have 300 rows
     return pd.DataFrame({"f": f, "mean_power": np.mean(np.abs(w) ** 2, axis=1), "top": np.argmax(np.abs(w), axis=1)})
 
 
-_wave("sig_cwt", ["a"], _cwt, "f double, mean_power double, top bigint")
+_each("sig_cwt", _cwt, "f double, mean_power double, top bigint")
 
 
 @query("sig_xcorr", f"SELECT a.seg, CAST(l AS INTEGER) AS lag, round(sum(a.v * b.v), 5) AS r FROM {SIG} a, range(-5, 6) r(l), {SIG} b WHERE b.seg = a.seg AND b.i = a.i + l GROUP BY 1, 2")
@@ -136,31 +161,59 @@ def _percycle(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 _wave("sig_percycle_ell", ["a", "b"], _percycle, "median double, iqr double, cycles bigint")
-_wave("sig_bandpass", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.bandpass(v, 1 / 7200, 1 / 1800, DT)}), "i bigint, s double")
-_wave("sig_envelope", ["a"], lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": np.abs(sg.analytic(sg.bandpass(v, 1 / 7200, 1 / 1800, DT)))}), "i bigint, s double")
+_each("sig_bandpass", lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.bandpass(v, 1 / 7200, 1 / 1800, DT)}), "i bigint, s double")
+_each("sig_envelope", lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": np.abs(sg.analytic(sg.bandpass(v, 1 / 7200, 1 / 1800, DT)))}), "i bigint, s double")
 
 
-def _frequency(v: np.ndarray) -> pd.DataFrame:
+def _band_frequency(v: np.ndarray) -> np.ndarray:
     phase = np.unwrap(np.angle(sg.analytic(sg.bandpass(v, 1 / 7200, 1 / 1800, DT))))
-    f = np.gradient(phase, DT) / (2 * np.pi)
+    return np.gradient(phase, DT) / (2 * np.pi)
+
+
+def _frequency(v: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"median_hz": [float(np.median(_band_frequency(v)))]}) if len(v) >= 8 else pd.DataFrame({"median_hz": []})
+
+
+def _drift(v: np.ndarray) -> pd.DataFrame:
+    """Linear trend of the instantaneous frequency, held to half the band's lower and twice its upper edge; none below 8 samples."""
+    if len(v) < 8:
+        return pd.DataFrame({"hz_per_s": [0.0], "start_hz": [None]})
+    f = np.clip(_band_frequency(v), 0.5 / 7200, 2 / 1800)
     slope, level = np.polyfit(np.arange(len(f)) * DT, f, 1)
-    return pd.DataFrame({"median_hz": [float(np.median(f))], "drift": [float(slope)], "start_hz": [float(level)]})
+    return pd.DataFrame({"hz_per_s": [float(slope)], "start_hz": [float(level)]})
+
+
+_each("sig_inst_freq", _frequency, "median_hz double")
+_each("sig_drift", _drift, "hz_per_s double, start_hz double")
 
 
-_wave("sig_inst_freq", ["a"], _frequency, "median_hz double, drift double, start_hz double")
-_wave("sig_drift", ["b"], _frequency, "median_hz double, drift double, start_hz double")
+@query("sig_phase_shift")
+def sig_phase_shift(spark: SparkSession, d: str) -> DataFrame:
+    """Delay and phase between the transverse components, at an hour's period."""
+    one = lambda a, b: pd.DataFrame([sg.phase_shift(a, b, DT, 3600.0)], columns=["delay_sec", "phase_deg"])
+    return sg.per_segment(waves(spark, d), "seg", "i", ["a", "b"], one, "delay_sec double, phase_deg double")
 
-_TOP = f"(SELECT seg, max(abs(v)) AS top, arg_max(i, abs(v)) AS pk FROM {SIG} GROUP BY 1)"
 
+_ENV = f"(SELECT seg, i, abs(v) AS x, max(abs(v)) OVER (PARTITION BY seg) AS hi, min(abs(v)) OVER (PARTITION BY seg) AS lo, arg_max(i, abs(v)) OVER (PARTITION BY seg) AS pk FROM {SIG})"
 
-@query("sig_rise_fall", f"""SELECT s.seg, any_value(pk) - max(i) FILTER (WHERE i < pk AND abs(v) < 0.1 * top) AS rise, min(i) FILTER (WHERE i > pk AND abs(v) < 0.1 * top) - any_value(pk) AS fall FROM {SIG} s JOIN {_TOP} t ON s.seg = t.seg GROUP BY 1""")
+
+@query("sig_rise_fall", f"""WITH e AS (SELECT *, lo + 0.1 * (hi - lo) AS l10, lo + 0.9 * (hi - lo) AS l90 FROM {_ENV}),
+g AS (SELECT seg, any_value(pk) AS pk, min(i) FILTER (WHERE i <= pk AND x >= l10) AS u10, min(i) FILTER (WHERE i <= pk AND x >= l90) AS u90, min(i) FILTER (WHERE i >= pk AND x <= l90) AS d90, min(i) FILTER (WHERE i >= pk AND x <= l10) AS d10, max(i) AS top FROM e GROUP BY 1 HAVING any_value(pk) > 0 AND any_value(pk) < max(i) AND any_value(hi) > any_value(lo))
+SELECT seg, CAST(greatest(u90 - u10, 1) * 60 AS BIGINT) AS rise, CAST(CASE WHEN d90 IS NULL THEN top - pk WHEN d10 IS NULL THEN top + 1 - d90 ELSE greatest(d10 - d90, 1) END * 60 AS BIGINT) AS fall FROM g""")
 def sig_rise_fall(spark: SparkSession, d: str) -> DataFrame:
-    """Samples from a tenth of the peak up to it and down again."""
+    """Seconds from 10 to 90 % of an envelope's span before its peak, and back after it; none for a peak at an end or a flat envelope."""
     w = Window.partitionBy("seg")
-    s = signal(spark, d).withColumn("i", c("i").cast("long")).withColumn("top", F.max(F.abs("v")).over(w)).withColumn("at", F.max_by("i", F.abs("v")).over(w))
-    low = F.abs("v") < F.lit(0.1) * c("top")
-    g = s.groupBy("seg").agg(F.max("at").alias("at"), F.max(F.when((c("i") < c("at")) & low, c("i"))).alias("a"), F.min(F.when((c("i") > c("at")) & low, c("i"))).alias("b"))
-    return g.select("seg", (c("at") - c("a")).alias("rise"), (c("b") - c("at")).alias("fall"))
+    s = signal(spark, d).select("seg", c("i").cast("long").alias("i"), F.abs("v").alias("x"))
+    s = s.select("*", F.max("x").over(w).alias("hi"), F.min("x").over(w).alias("lo"), F.max_by("i", "x").over(w).alias("pk"))
+    level = lambda k: c("lo") + F.lit(k) * (c("hi") - c("lo"))
+    first = lambda cond: F.min(F.when(cond, c("i")))
+    up, down = c("i") <= c("pk"), c("i") >= c("pk")
+    g = s.groupBy("seg").agg(
+        F.max("pk").alias("pk"), F.max("i").alias("top"), (F.max("hi") > F.max("lo")).alias("ok"), first(up & (c("x") >= level(0.1))).alias("u10"), first(up & (c("x") >= level(0.9))).alias("u90"),
+        first(down & (c("x") <= level(0.9))).alias("d90"), first(down & (c("x") <= level(0.1))).alias("d10"),
+    )
+    fall = F.when(c("d90").isNull(), c("top") - c("pk")).when(c("d10").isNull(), c("top") + 1 - c("d90")).otherwise(F.greatest(c("d10") - c("d90"), F.lit(1)))
+    return g.filter((c("pk") > 0) & (c("pk") < c("top")) & c("ok")).select("seg", (F.greatest(c("u90") - c("u10"), F.lit(1)) * 60).cast("long").alias("rise"), (fall * 60).cast("long").alias("fall"))
 
 
 @query("sig_harmonic", f"""WITH p AS (SELECT seg, kf, pow(sum(v * w * cos(2 * pi() * kf * i / 64)), 2) + pow(sum(v * w * sin(2 * pi() * kf * i / 64)), 2) AS p FROM (SELECT seg, i, v, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM {SIG}), range(6, 19) k(kf) GROUP BY 1, 2)
@@ -205,29 +258,55 @@ def _matched(v: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"peak": [float(snr.max())], "at": [int(snr.argmax())], "median": [float(np.median(snr))]})
 
 
-_wave("sig_matched", ["a"], _matched, "peak double, at bigint, median double")
+_each("sig_matched", _matched, "peak double, at bigint, median double")
 
 
 def _masked(kind: str):
     def one(v: np.ndarray) -> pd.DataFrame:
         f, w = sg.morlet(v, DT)
         amp = np.abs(w)
-        if kind == "mad":
-            m = sg.mask_mad(amp, f, sg.sigma_for(f, len(v), DT))
-        elif kind == "pooled":  # the segment's own noise rows as its archive
-            rows = sg.noise_rows(f)
-            med = np.median(amp[rows], axis=1)
-            archive = {"x": (1 / f[rows], med, np.median(np.abs(amp[rows] - med[:, None]), axis=1))}
-            m = sg.mask_pooled(amp, f, archive, "x", sg.sigma_for(f, len(v), DT))
-        else:
-            m = (sg.mask_chi2 if kind == "chi2" else sg.mask_fdr)(amp, f, v, DT)
+        m = sg.mask_mad(amp, f, sg.sigma_for(f, len(v), DT)) if kind == "mad" else (sg.mask_chi2 if kind == "chi2" else sg.mask_fdr)(amp, f, v, DT)
         return pd.DataFrame({"f": f, "cells": m.sum(axis=1)})
 
     return one
 
 
-for _kind in ("mad", "chi2", "fdr", "pooled"):
-    _wave(f"sig_mask_{_kind}", ["a"], _masked(_kind), "f double, cells bigint")
+for _kind in ("mad", "chi2", "fdr"):
+    _each(f"sig_mask_{_kind}", _masked(_kind), "f double, cells bigint")
+
+
+def _noise(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Median and MAD of the noise rows' transverse amplitude, the geometric mean of both components."""
+    (f, wa), (_, wb) = sg.morlet(a, DT), sg.morlet(b, DT)
+    rows = sg.noise_rows(f)
+    amp = np.sqrt(np.abs(wa[rows]) * np.abs(wb[rows]) + 1e-30)
+    med = np.median(amp, axis=1)
+    return pd.DataFrame({"f": f[rows], "med": med, "mad": np.median(np.abs(amp - med[:, None]), axis=1)})
+
+
+def noise_archive(spark: SparkSession, d: str) -> DataFrame:
+    """The stored archive (region, f, med, mad): medians over all segments of a region."""
+    path = scratch(spark, "archive")
+    x = sg.per_segment(waves(spark, d), "seg", "i", ["a", "b"], _noise, "f double, med double, mad double").join(regions(spark, d), "seg")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), c(n).alias("x")) for n in ("med", "mad")])).alias("e")
+    mid = stats.quantiles(x.select("region", "f", each).select("region", "f", "e.*"), c("x"), ["region", "f", "what"], {"mid": 0.5})
+    mid.groupBy("region", "f").agg(*[F.max(F.when(c("what") == n, c("mid"))).alias(n) for n in ("med", "mad")]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("sig_mask_pooled")
+def sig_mask_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the transverse amplitude above the stored noise of the segment's region."""
+    rows = sorted(noise_archive(spark, d).collect(), key=lambda r: r.f)  # noise rows by region: neither grows with the segments
+    archive = {k: tuple(np.array([r[n] for r in rows if r.region == k]) for n in ("f", "med", "mad")) for k in {r.region for r in rows}}
+    archive = {k: (1 / f, med, mad) for k, (f, med, mad) in archive.items()}
+
+    def one(a: np.ndarray, b: np.ndarray, region: np.ndarray) -> pd.DataFrame:
+        (f, wa), (_, wb) = sg.morlet(a, DT), sg.morlet(b, DT)
+        m = sg.mask_pooled(np.sqrt(np.abs(wa) * np.abs(wb) + 1e-30), f, archive, region[0], sg.sigma_for(f, len(a), DT))
+        return pd.DataFrame({"f": f, "cells": m.sum(axis=1)})
+
+    return sg.per_segment(waves(spark, d).join(regions(spark, d), "seg"), "seg", "i", ["a", "b", "region"], one, "f double, cells bigint")
 
 
 @query("sig_bonferroni")
@@ -246,8 +325,7 @@ def _ridges(split: bool):
     def one(v: np.ndarray) -> pd.DataFrame:
         f, w = sg.morlet(v, DT)
         amp = np.abs(w)
-        found = sg.ridges(amp, f, sg.mask_chi2(amp, f, v, DT), DT, edge=sg.coi(f, len(v), DT))
-        found = [x for r in found for x in sg.split_ridge(amp, r, DT)] if split else found
+        found = sg.ridges(amp, f, sg.mask_chi2(amp, f, v, DT), DT, edge=sg.coi(f, len(v), DT), split=split)
         names = ["i0", "i1", "i", "period", "power", "fwhm", "pixels"]
         return pd.DataFrame([[r[n] for n in names] for r in found], columns=names)
 
@@ -255,76 +333,81 @@ def _ridges(split: bool):
 
 
 _RIDGE = "i0 bigint, i1 bigint, i bigint, period double, power double, fwhm double, pixels bigint"
-_wave("sig_ridges", ["a"], _ridges(False), _RIDGE)
-_wave("sig_ridge_split", ["b"], _ridges(True), _RIDGE)
+_each("sig_ridges", _ridges(False), _RIDGE)
+_each("sig_ridge_split", _ridges(True), _RIDGE)
 
 
 @query("sig_packets")
 def sig_packets(spark: SparkSession, d: str) -> DataFrame:
     from packetloom.functions.bands import band_of
 
-    out = sg.per_segment(waves(spark, d), "seg", "i", ["a"], _ridges(False), _RIDGE)
-    return out.withColumn("band", band_of(c("period")))
+    return each_component(spark, d, _ridges(True), _RIDGE).withColumn("band", band_of(c("period")))
 
 
 def _detect(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(sg.detect(p, a, b, DT), columns=sg.EVENT_NAMES)
 
 
+def detections(spark: SparkSession, d: str) -> DataFrame:
+    return sg.per_segment(waves(spark, d), "seg", "i", ["p", "a", "b"], _detect, sg.EVENT_SCHEMA)
+
+
 @query("sig_detect")
 def sig_detect(spark: SparkSession, d: str) -> DataFrame:
-    return sg.per_segment(waves(spark, d), "seg", "i", ["p", "a", "b"], _detect, sg.EVENT_SCHEMA)
+    return detections(spark, d)
 
 
 @query("sig_sweep")
 def sig_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """All segments: valid ones detected, peaks of the owned window kept under the amplitude cap, numbered by time."""
+    """All segments: valid ones detected, peaks of the owned window kept under the amplitude cap, enriched at their peak, numbered by time."""
     w = waves(spark, d)
     valid = w.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).filter("n >= 1080").select("seg")
     found = sg.per_segment(w.join(valid, "seg", "left_semi"), "seg", "i", ["p", "a", "b"], _detect, sg.EVENT_SCHEMA)
     own = found.filter((c("i") >= 256) & (c("i") < 1280) & (F.greatest("amp_par", "amp1", "amp2") <= 10))
-    t = c("seg") * 1536 + c("i")
-    return own.withColumn("t", t).withColumn("event_id", F.row_number().over(Window.orderBy("t", "period_sec")) - 1)  # the catalogue, not samples
+    own = own.withColumn("t", c("seg") * SAMPLES + c("i")).withColumn("vec_id", c("seg") * 72 + F.floor(c("i") / 64) * 3)
+    at = w.select("seg", "i", c("p").alias("b_par"), c("a").alias("b_perp1"), c("b").alias("b_perp2"), F.sqrt(c("p") * c("p") + c("a") * c("a") + c("b") * c("b")).alias("size"))
+    own = own.join(at, ["seg", "i"]).join(table(spark, d, "embeddings").select("vec_id", c("label").alias("region")), "vec_id", "left").drop("vec_id")
+    return numbered(own, ["t", "period_sec"], "event_id")
 
 
 @query("sig_peak_sigma")
 def sig_peak_sigma(spark: SparkSession, d: str) -> DataFrame:
-    """Deviations by which each detected peak stands above its row's median."""
+    """Deviations of each detected event's transverse amplitudes above the noise at its period, within its own window."""
 
-    def one(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        rows, (f, w) = sg.detect(p, a, b, DT), sg.morlet(a, DT)
-        out = []
-        for x in rows:
-            r = np.abs(w[int(np.argmin(np.abs(f - 1 / x["period_sec"])))])
-            mad = float(np.median(np.abs(r - np.median(r)))) or 1.0
-            out.append((x["i"], x["period_sec"], float((r[x["i"]] - np.median(r)) / (sg.MAD_TO_SIGMA * mad))))
-        return pd.DataFrame(out, columns=["i", "period_sec", "sigma"])
+    def one(events: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
+        out, series = [], series.sort_values("i")
+        if len(events) and len(series):
+            amps = {n: sg.morlet(series[n].to_numpy(), DT) for n in "ab"}
+            for x in events.itertuples(index=False):
+                each = [sg.sigma_at(np.abs(w), f, x.period_sec, int(x.i0), int(x.i1)) for f, w in amps.values()]
+                out.append((x.seg, x.i, x.period_sec, *each))
+        return pd.DataFrame(out, columns=["seg", "i", "period_sec", "sigma1", "sigma2"])
 
-    return sg.per_segment(waves(spark, d), "seg", "i", ["p", "a", "b"], one, "i bigint, period_sec double, sigma double")
+    by = lambda df: df.groupBy("seg")
+    return by(detections(spark, d)).cogroup(by(waves(spark, d))).applyInPandas(one, "seg bigint, i bigint, period_sec double, sigma1 double, sigma2 double")
 
 
 @query("sig_event_psd")
 def sig_event_psd(spark: SparkSession, d: str) -> DataFrame:
-    """Spectrum of the hourly series about each purchase, line removed, by period; at least 24 samples."""
-    from packetloom.operators.joins import in_intervals
-    from packetloom.operators.ordered import resample
-
-    grid = resample(ev(spark, d), "t", "value", 3600.0, ["user_id"])
-    spans = ev(spark, d).filter("event_type = 'purchase'").select(c("event_id").alias("peak"), "user_id", (c("t") - 43200).alias("lo"), (c("t") + 43200).alias("hi"))
-    j = in_intervals(grid.select("user_id", "t_grid", "value"), spans, "t_grid", "lo", "hi", ["user_id"], width=43200.0)
+    """Spectra of the components within twelve hours of each segment's largest transverse sample, lines removed, by period; at least 64 samples."""
 
-    def one(v: np.ndarray) -> pd.DataFrame:
-        if len(v) < 24:
-            return pd.DataFrame({"period_h": [], "psd": []})
-        x = np.arange(len(v))
-        f, p = sg.welch(v - np.polyval(np.polyfit(x, v, 1), x), 3600.0)
-        return pd.DataFrame({"period_h": 1 / f[:0:-1] / 3600, "psd": p[:0:-1]})
+    def one(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        at = int(np.argmax(np.hypot(a, b)))
+        lo, hi = max(0, at - 720), min(len(a), at + 721)
+        if hi - lo < 64:
+            return pd.DataFrame({"at": [], "period_min": [], "par": [], "perp1": [], "perp2": []})
+        x = np.arange(hi - lo)
+        f, each = None, []
+        for v in (p[lo:hi], a[lo:hi], b[lo:hi]):
+            f, psd_of = sg.welch(v - np.polyval(np.polyfit(x, v, 1), x), DT, 720)
+            each.append(psd_of[:0:-1])
+        return pd.DataFrame({"at": at, "period_min": 1 / f[:0:-1] / 60, **dict(zip(("par", "perp1", "perp2"), each, strict=True))})
 
-    return sg.per_segment(j, "peak", "t_grid", ["value"], one, "period_h double, psd double")
+    return sg.per_segment(waves(spark, d), "seg", "i", ["p", "a", "b"], one, "at bigint, period_min double, par double, perp1 double, perp2 double")
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    return pos(spark, d).filter("code < 3").select("id", "n", "t", c("x"), c("y"), c("z"))
+    return pos(spark, d).select("id", "n", "t", "x", "y", "z")
 
 
 @query("enr_trace_dipole")

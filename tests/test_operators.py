@@ -14,7 +14,7 @@ from packetloom.operators import grids, joins, ordered, scoring, signal, stats,
 def test_asof_is_strict_and_repeats_nothing(spark):
     left = spark.createDataFrame([(float(t),) for t in (0, 5, 9.999, 10, 15, 20, 25, 30, 35, 1e6)], "t double")
     right = spark.createDataFrame([(10.0, 1), (20.0, 2), (30.0, 3)], "ct double, code int")
-    got = [r.code if r.code is not None else 9 for r in joins.asof_backward(left, right, "t", "ct", width=7.0).orderBy("t").collect()]
+    got = [r.code if r.code is not None else 9 for r in joins.asof_backward(left, right, "t", "ct", rows_per_part=3).orderBy("t").collect()]
     assert got == [9, 9, 9, 9, 1, 1, 2, 2, 3, 3]
     assert joins.asof_backward(left.limit(0), right, "t", "ct").count() == 0
     assert joins.asof_backward(left, right.limit(0), "t", "ct").filter("code IS NULL").count() == 10
@@ -41,6 +41,31 @@ def test_keyed_asof_matches_plain_python(spark):
     assert {r.i: r.v for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("rows_per_part", [7, 60, 10_000])
+def test_neighbours_over_many_ranges_match_plain_python(spark, keys, rows_per_part):
+    """Dense and empty stretches, repeated times, missing times and keys, ranges without right rows."""
+    rng = random.Random(rows_per_part)
+    time = lambda: float(rng.choice((rng.randrange(50), rng.randrange(50), rng.randrange(10_000))))
+    a = [(rng.choice((1, 2, 3, None)), None if i % 40 == 0 else time(), i) for i in range(400)]
+    b = [(rng.choice((1, 2)), time(), i) for i in range(60)]
+    left, right = spark.createDataFrame(a, "k int, t double, i int"), spark.createDataFrame(b, "k int, rt double, v int")
+    right = right if keys else right.drop("k")
+    ok = lambda k, kk: not keys or k == kk
+    before = {i: max([(rt, v) for kk, rt, v in b if ok(k, kk) and t is not None and rt < t], default=(None, None))[1] for k, t, i in a}
+    assert {r.i: r.v for r in joins.asof_backward(left, right, "t", "rt", keys, rows_per_part=rows_per_part).collect()} == before
+    near = {i: min([(abs(rt - t), rt, v) for kk, rt, v in b if ok(k, kk) and t is not None], default=(None, None, None))[:2] for k, t, i in a}
+    got = joins.nearest(left, right, "t", "rt", keys, rows_per_part=rows_per_part).collect()
+    assert {r.i: (abs(r.rt - r.t) if r.rt is not None else None, r.rt) for r in got} == near
+    if not keys:
+        last = max(rt for _, rt, _ in b)
+        want = {i: (min([rt for _, rt, _ in b if rt >= t], default=last) if t is not None else None) for _, t, i in a}
+        assert {r.i: r.rt for r in joins.asof_forward(left, right, "t", "rt", rows_per_part=rows_per_part).collect()} == want
+    hops = {v: min([x for kk, x, _ in b if ok(k, kk) and x > rt], default=-1.0) for k, rt, v in b}
+    spans = joins.intervals(right, "rt", keys, F.lit(-1.0), rows_per_part).collect()
+    assert {r.v: r.hi for r in spans if r.hi != r.lo} == {v: h for v, h in hops.items() if v in {r.v for r in spans if r.hi != r.lo}} and len(spans) == 60
+
+
 def test_crossing_grid(spark):
     c = spark.createDataFrame([(3600.0, 1, "BSI"), (5000.0, 2, "BSO"), (6000.0, 0, None)], "t double, code int, label string")
     rows = joins.crossing_fill(c, 0.0, 3 * 3600.0, 3600.0).orderBy("t").collect()
@@ -187,6 +212,50 @@ def test_perfect_detections_score_one(spark):
     assert sorted((r.tid, r.did, r.iou) for r in scoring.assign(t, d).collect()) == [(i, i, 1.0) for i in range(3)]
 
 
+def plain_scores(truth, found):
+    """The measures of one data set in plain Python, over the whole overlap matrix."""
+    real, decoys = [t for t in truth if not t["decoy"]], [t for t in truth if t["decoy"]]
+    iou = lambda t, d: max(0.0, min(t["a1"], d["b1"]) - max(t["a0"], d["b0"])) / (max(t["a1"], d["b1"]) - min(t["a0"], d["b0"]))
+    m = np.array([[iou(t, d) for d in found] for t in real]).reshape(len(real), len(found))
+    pairs = [] if not m.size else [(j, i) for i, j in scoring.hungarian(-m.T)] if len(real) > len(found) else scoring.hungarian(-m)
+    tp = lambda v: sum(m[i, j] >= v for i, j in pairs)
+    f1 = lambda n: (lambda p, r: 2 * p * r / (p + r) if p + r else 0.0)(n / len(found) if found else 1.0, n / len(real) if real else 1.0)
+    hits = [(real[i], found[j], m[i, j]) for i, j in pairs if m[i, j] >= 0.2]
+    errors = [abs(d["period"] - t["period"]) / t["period"] * 100 for t, d, _ in hits]
+    seen = sum(any(iou(t, d) > 0.1 for d in found) for t in decoys)
+    out = {"tp": len(hits), "f1": f1(len(hits)), "band_accuracy": sum(t["band"] == d["band"] for t, d, _ in hits) / len(hits) if hits else 1.0, "decoy_rejection": 1 - seen / len(decoys) if decoys else 1.0}
+    out |= {"period_error_mean": float(np.mean(errors)) if hits else 0.0, "period_error_median": float(np.median(errors)) if hits else 0.0, "mean_iou": float(np.mean([x[2] for x in hits])) if hits else 0.0}
+    out |= {"mean_latency": float(np.mean([d["peak"] - (t["a0"] + t["a1"]) / 2 for t, d, _ in hits])) if hits else 0.0}
+    out |= {f"f1_{round(100 * v)}": f1(tp(v)) if real and found else 0.0 for v in (0.1, 0.2, 0.3, 0.5)}
+    for g in scoring.DIFFICULTIES:
+        n = sum(t["difficulty"] == g for t in real)
+        out[f"recall_{g}"] = sum(t["difficulty"] == g for t, *_ in hits) / n if n else None
+    return out
+
+
+def test_scores_match_plain_python(spark):
+    rng = random.Random(12)
+    truth = [{"tid": i, "ds": rng.randrange(5), "a0": (a := rng.uniform(0, 3e5)), "a1": a + rng.uniform(3e3, 2e4), "period": rng.uniform(10, 100), "band": rng.choice("AB"), "difficulty": rng.choice(scoring.DIFFICULTIES[:3]), "decoy": rng.random() < 0.2} for i in range(80)]
+    found = [{"did": i, "ds": rng.choice((0, 1, 2, 3, 6)), "b0": (b := rng.uniform(0, 3e5)), "b1": b + rng.uniform(3e3, 2e4), "period": rng.uniform(10, 100), "band": rng.choice("AB"), "peak": b + 1e3} for i in range(70)]
+    rows = lambda x, schema: spark.createDataFrame([tuple(r.values()) for r in x], schema)
+    t = rows(truth, "tid bigint, ds bigint, a0 double, a1 double, period double, band string, difficulty string, decoy boolean")
+    f = rows(found, "did bigint, ds bigint, b0 double, b1 double, period double, band string, peak double")
+    got = {r.ds: r for r in scoring.scores(t, f).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 6]
+    want = {k: plain_scores([x for x in truth if x["ds"] == k], [x for x in found if x["ds"] == k]) for k in got}
+    for k, w in want.items():
+        for n, v in w.items():
+            assert (got[k][n] is None) == (v is None) and (v is None or got[k][n] == pytest.approx(v)), (k, n)
+    s = scoring.suite(scoring.scores(t, f), F.col("ds") % 2).first()
+    tp, n_real = sum(w["tp"] for w in want.values()), sum(not x["decoy"] for x in truth)
+    p, r = tp / len(found), tp / n_real
+    assert s.f1 == pytest.approx(2 * p * r / (p + r)) and s.f1_30 == pytest.approx(np.mean([w["f1_30"] for w in want.values()]))
+    period = 1 - sum(w["period_error_mean"] * w["tp"] for w in want.values()) / tp / 100
+    five = [s.f1, s.band_accuracy, max(0.0, period), s.decoy_rejection, np.mean([w["mean_iou"] for w in want.values() if w["mean_iou"] > 0])]
+    assert s.composite == pytest.approx(1 / sum(a / max(b, 1e-10) for a, b in zip(scoring.WEIGHTS, five, strict=True)))
+    assert [x.tier for x in s.tiers] == ["0", "1"]
+
+
 def test_welch_of_a_sine():
     x = 2 * np.sin(2 * np.pi * np.arange(2160) / 60)
     f, p = signal.welch(x, 60.0, 720)
@@ -260,3 +329,100 @@ def test_segments_stay_whole_over_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     sizes = {k: sum(r[0] == k for r in rows) for k in range(40)}
     assert got == {k: (n, k * 1000.0, True) for k, n in sizes.items() if n > 5}
+
+
+@pytest.mark.parametrize("rows_per_part", [9, 10_000])
+def test_quantiles_ranks_and_numbers_over_ranges(spark, rows_per_part, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_PER_PART", rows_per_part)
+    for f in (joins.ranges, ordered.cumulated, ordered.numbered):
+        monkeypatch.setattr(f, "__defaults__", tuple(rows_per_part if x == 20_000 else x for x in f.__defaults__))
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice((None, float(rng.randrange(30)), rng.random())), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, i bigint")
+    got = {r.g: r for r in stats.quantiles(df, F.col("v"), ["g"], {"q1": 0.25, "med": 0.5, "top": 1.0}).collect()}
+    for g in "ab":
+        own = [v for k, v, _ in rows if k == g and v is not None]
+        assert got[g].n == len(own) and (got[g].q1, got[g].med, got[g].top) == pytest.approx(tuple(np.quantile(own, (0.25, 0.5, 1.0))))
+    live = df.dropna()
+    ranks = {r.i: r.a for r in stats.average_ranks(live, "v", ["g"], "a").collect()}
+    for k, v, i in rows:
+        if v is not None:
+            own = [x for g, x, _ in rows if g == k and x is not None]
+            assert ranks[i] == sum(x < v for x in own) + (1 + sum(x == v for x in own)) / 2
+    numbers = {r.i: r.n for r in ordered.numbered(df, ["v", "i"], "n").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+    assert numbers == {r[2]: k for k, r in enumerate(order)}
+
+
+def test_pairs_need_three_rows(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 3.0), ("a", None, 1.0)], "g string, x double, y double")
+    with pytest.raises(ValueError, match="fewer than 3"):
+        stats.paired(df, "x", "y", ["g"])
+
+
+def test_second_degree_fit(spark):
+    df = spark.range(1, 30).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("f"), F.exp(2 + 0.5 * F.ln("id") - 0.3 * F.ln("id") * F.ln("id")).alias("p"))
+    assert stats.power_law_degree(df, "f", "p", ["g"], 2).first().coefficients == pytest.approx([2, 0.5, -0.3])
+
+
+def test_fused_packets_are_split():
+    """Maxima whose valley lies half power below the higher one are two packets; shallower ones are one."""
+    n = 2000
+    bump = lambda at: np.exp(-0.5 * ((np.arange(n) - at) / 150) ** 2)
+    for low, parts in ((0.6, 2), (0.8, 1)):
+        row = np.maximum(np.maximum(bump(600), 0.98 * bump(1400)), low * (np.abs(np.arange(n) - 1000) < 400))
+        got = signal.split_ridge(row[None, :], {"i0": 0, "i1": n - 1, "row": 0, "i": 600, "power": 1.0}, 60.0)
+        assert len(got) == parts
+        if parts == 2:
+            assert [x["i"] for x in got] == [600, 1400] and got[0]["i1"] == got[1]["i0"] and got[0]["power"] == pytest.approx(1.0)
+    short = signal.split_ridge(np.array([[0.0, 1, 0, 1, 0]]), {"i0": 0, "i1": 4, "row": 0, "i": 1, "power": 1.0}, 60.0)
+    assert len(short) == 1 and short[0]["i1"] == 4  # parts that are too short don't replace the ridge
+
+
+def test_two_packets_are_two_events():
+    rng, n = np.random.default_rng(3), 2160
+    i = np.arange(n)
+    env = 1.5 * (np.exp(-0.5 * ((i - 650) / 120) ** 2) + np.exp(-0.5 * ((i - 1500) / 120) ** 2)) + 0.25
+    a, b = (f(2 * np.pi * i / 60) * env + rng.normal(size=n) / 10 for f in (np.sin, np.cos))
+    found = sorted(x["i"] for x in signal.detect(rng.normal(size=n) / 10, a, b))
+    assert len(found) == 2 and abs(found[0] - 650) < 60 and abs(found[1] - 1500) < 60
+
+
+def test_prominence_of_plateaus_and_ends():
+    x = np.array([3.0, 1, 2, 2, 1, 0, 2.5, 0.5, 4])
+    assert signal.prominent(x, 0.5) == [2, 6] and signal.prominent(x, 1.5) == [6] and signal.prominent(np.ones(5), 0.0) == []
+
+
+def test_vertex_stays_within_half_a_row():
+    f = np.linspace(1e-4, 1e-3, 10)
+    level = lambda *v: np.array([[x] for x in np.exp(v)])
+    amp = np.ones((10, 1))
+    amp[3:6] = level(0.0, 1.0, 0.9)
+    p = signal.vertex(amp, f, 4, 0)
+    assert 1 / f[5] < p < 1 / f[4]
+    amp[3:6] = level(0.0, 0.1, 5.0)
+    assert signal.vertex(amp, f, 4, 0) == 1 / f[4] and signal.vertex(amp, f, 0, 0) == 1 / f[0]
+
+
+def test_phase_shift_of_a_lag():
+    t = np.arange(1200) * 60.0
+    delay, phase = signal.phase_shift(np.sin(2 * np.pi * (t - 900) / 3600), np.sin(2 * np.pi * t / 3600), 60.0, 3600.0)
+    assert delay == 900 and phase == pytest.approx(90)
+
+
+def test_red_noise_keeps_its_shape_without_noise_rows():
+    f = np.linspace(1 / 5000, 1 / 4000, 20)
+    x = np.cumsum(np.random.default_rng(1).normal(size=500))
+    level = signal.red_noise(np.random.default_rng(2).exponential(size=(20, 500)), f, x, 60.0)
+    assert (np.diff(level) < 0).all()
+
+
+def test_islands_without_keys_span_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice((float(rng.randrange(400)), 1000.0 + 3 * rng.randrange(40))), i) for i in range(200)]
+    got = ordered.islands(spark.createDataFrame(rows, "t double, i int"), "t", [], 2.0).collect()
+    start, last, want = None, None, {}
+    for t, i in sorted(rows):
+        start = t if last is None or t - last > 2.0 else start
+        want[i], last = start, t
+    assert {r.i: r.island for r in got} == want
