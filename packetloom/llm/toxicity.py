@@ -2,11 +2,13 @@
 
 Terms are words and their heads of three to nine letters. A bounded sample of labelled documents picks the
 terms whose presence tells the labels apart, and only those make up the vectors; frequencies of
-those terms are counted over all documents. What the selection costs and gains is in the README. The examples' unit vectors form an inverted index in blocks of similar examples;
-for each term a block's largest weight bounds what its members can reach, and blocks are
-evaluated from the highest bound down until no bound beats the worst of the nearest found, so
-the nearest are exact. Their votes, weighted by cosine against a prior, go through a logistic
-curve fitted on the examples themselves, each without its own vote.
+those terms are counted over all documents. What the selection costs and gains is in the README.
+The examples' unit vectors form an inverted index in blocks of similar examples; for each term a
+block's largest weight bounds what its members can reach, and blocks are evaluated from the
+highest bound down until no bound beats the worst of the nearest found, so the nearest are exact.
+Their votes, weighted by cosine against a prior, go through a logistic curve fitted on the
+examples themselves, each without its own vote. When all documents are scored, an example meets
+itself like any other text as near: ids are no input of a score.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from packetloom.llm.line_quality import labelled
 
 #: Most labelled documents of each label.
 SAMPLE = 4000
-#: Most terms, and how many standard errors apart the labels' shares must be for each.
+#: Most terms, how many standard errors apart the labels' shares must be for each, and how
+#: closely its presence must go with the label (a correlation), which doesn't grow with the sample.
 TERMS = 20_000
 APART = 4.0
+EFFECT = 0.07
 #: In how many examples a term must be.
 LEAST = 6
 NEAREST = 15
@@ -139,34 +143,40 @@ def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.
     return t, w / (norm or 1.0)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def scored(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, most_terms: int = TERMS, apart: float = APART, least: int = LEAST, effect: float = EFFECT
+) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of ``docs``.
 
-    ``evidence`` lists the ids of the nearest toxic examples among the neighbours. A text
-    without any of the terms (null and empty texts too) scores as the examples without any do.
-    Repeated rows are scored each on their own. Without labelled rows all scores are alike.
-    Other columns of ``docs`` aren't read; of ``labels`` only doc_id and toxic are.
+    ``evidence`` lists the ids of the nearest toxic examples among the neighbours. The fit is
+    bounded by ``sample`` documents of each label, ``most_terms`` terms, and the terms' limits
+    ``apart``, ``effect`` and ``least``; every text is scored. A text without any of the terms (null and
+    empty texts too) scores as the examples without any do. Repeated rows are scored each on
+    their own; of several texts under one labelled id the first in order is the example. Without
+    labelled rows all scores are alike. Other columns of ``docs`` aren't read, and of ``labels``
+    only doc_id and toxic are, so their names don't matter.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def termed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "term": [terms(t) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "term": [terms(t) for t in b["text"]]})
 
-    examples = written(labelled(docs, labels, "toxic", sample).mapInPandas(termed, f"doc_id {kind}, y int, term array<string>"), "examples")
+    examples = written(labelled(docs, labels, "toxic", sample), "examples")
     of = {r.y: r.n for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = of.get(0, 0), of.get(1, 0)
     all_of = {r[0]: r[1] for r in labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("toxic").count().collect()}
     weight_of = {y: max(1, all_of.get(y, 1)) / max(1, of.get(y, 1)) for y in (0, 1)}
-    stats = examples.select("y", F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
+    stats = examples.mapInPandas(termed, "y int, term array<string>").select("y", F.explode("term").alias("term"))  # terms of the sample only
+    stats = stats.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("n1") + 0.5) / (n0 + 1.0)
     p = (F.col("n") + 1.0) / (n0 + n1 + 2.0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n1 + 1.0) + 1 / (n0 + 1.0)))
-    chosen = stats.filter(F.col("n") >= LEAST).withColumn("z", F.abs(z)).filter(F.col("z") >= APART)
-    best = [r.term for r in chosen.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
+    chosen = stats.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= max(apart, effect * math.sqrt(n0 + n1)))
+    best = [r.term for r in chosen.orderBy(F.desc("z"), "term").limit(most_terms).collect()]
     vocabulary = {t: k for k, t in enumerate(sorted(best))}
-    shared = spark.sparkContext.broadcast(vocabulary)  # at most TERMS words
+    shared = spark.sparkContext.broadcast(vocabulary)  # at most ``most_terms`` words
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Known(shared.value)
@@ -180,16 +190,23 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
                 items = sorted(own.items())
                 t.append([x for x, _ in items])
                 n.append([x for _, x in items])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "t": t, "n": n})
+            yield pd.DataFrame({**{c: b[c] for c in b.columns if c != "text"}, "t": t, "n": n})
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """In how many documents of the task each term is: a row per term, none per document."""
+        n = np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            n += np.bincount(np.concatenate([np.empty(0, np.int64), *b["t"]]).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"t": at, "n": n[at]})
 
     rows = written(docs.select("doc_id", "text").mapInPandas(counted, f"doc_id {kind}, t array<int>, n array<int>"), "counted")
     total = rows.count()
     df = np.zeros(len(vocabulary))
-    for r in rows.select(F.explode("t").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
+    for r in rows.select("t").mapInPandas(summed, "t int, n bigint").groupBy("t").agg(F.sum("n")).collect():  # at most ``most_terms`` rows
         df[r[0]] = r[1]
     idf = np.log((1 + total) / (1 + df)) + 1
-    picked = examples.select(F.col("doc_id").alias("of_id"), "y").distinct()
-    vectors = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("of_id")).select("of_id", "y", "t", "n").dropDuplicates(["of_id"])
+    vectors = examples.select(F.col("doc_id").alias("of_id"), "y", "text").mapInPandas(counted, f"of_id {kind}, y int, t array<int>, n array<int>")
     got = sorted(vectors.collect(), key=lambda r: r.of_id)  # at most 2 * sample short vectors
     units = [unit(np.array(r.t, np.int64), np.array(r.n, float), idf) for r in got]
     index = Index(np.array([r.of_id for r in got]), np.array([r.y for r in got]), units, np.array([weight_of[r.y] for r in got]), len(vocabulary))
@@ -200,7 +217,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
         truth.append(r.y)
         heavy.append(weight_of[r.y])
     slope, offset = _curve(np.array(raws), np.array(truth, float), np.array(heavy))
-    sent = spark.sparkContext.broadcast((index, idf, slope, offset))  # at most 2 * sample examples of TERMS terms
+    sent = spark.sparkContext.broadcast((index, idf, slope, offset))  # at most 2 * sample examples of ``most_terms`` terms
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, idf, slope, offset = sent.value

@@ -51,3 +51,18 @@ def test_nearest_are_exact():
         all_c = dense[:, q[0]] @ q[1] if len(t) else np.zeros(len(dense))
         e, c = index.nearest(*q)
         assert np.allclose(c, np.sort(all_c[all_c > 0])[::-1][: toxicity.NEAREST]) and np.allclose(all_c[e], c)
+
+
+def test_clashing_label_columns_and_ids_with_two_texts(spark):
+    docs, labels = toy(spark)
+    twice = docs.unionByName(docs.filter("doc_id < 40").selectExpr("doc_id", "concat('plunkor ', text) AS text"))
+    odd = labels.selectExpr("doc_id", "toxic", "1 AS y", "'t' AS text", "2 AS label_id", "3 AS n", "4 AS place")
+    of = lambda parts: sorted((r.doc_id, r.score) for r in toxicity.scored(twice.repartition(parts), odd).collect())
+    assert of(2) == of(5) and len(of(2)) == 440
+
+
+def test_counts_make_no_row_per_document_and_term(spark):
+    """Document frequencies are summed within tasks: no generator over the documents' terms."""
+    import inspect
+
+    assert inspect.getsource(toxicity.scored).count("F.explode") == 1  # the bounded sample's
