@@ -70,6 +70,11 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("seg").agg(F.min_by("label", "vec_id").cast("double").alias("region"))
 
 
+# the same in SQL: components in rows and side by side
+PLACED = "(SELECT vec_id // 72 AS seg, vec_id % 3 AS comp, vec_id % 72 // 3 * 64 + r.j - 1 AS i, CAST(embedding[r.j] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(j))"
+WAVES = "(SELECT seg, i, {} FROM {} GROUP BY 1, 2)".format(", ".join(f"coalesce(max(CASE WHEN comp = {k} THEN v END), 0) AS {n}" for k, n in enumerate("pab")), PLACED)
+
+
 def _wave(name: str, values: list[str], one, schema: str):
     """Register a grouped-map query over the wave segments: its result is rows of each segment's own samples."""
     query(name)(lambda spark, d: sg.per_segment(waves(spark, d), "seg", "i", values, one, schema))
@@ -114,7 +119,17 @@ def _analyze(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 _wave("sig_analyze", ["p", "a", "b"], _analyze, _RATIO)
-_each("sig_savgol", lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.savgol(v, 21, 3)}), "i bigint, s double")
+_SMOOTH = ", ".join(f"({k - 10}, {float(w)!r})" for k, w in enumerate(np.linalg.pinv(np.vander(np.arange(-10, 11), 4, increasing=True))[0]))
+
+
+@query("sig_savgol", f"""WITH x AS (SELECT *, max(i) OVER (PARTITION BY seg, comp) AS last FROM {PLACED})
+SELECT a.seg, ['p', 'a', 'b'][a.comp + 1] AS comp, a.i, round(sum(k.w * b.v), 6) + 0.0 AS s FROM x a CROSS JOIN (VALUES {_SMOOTH}) k(o, w) JOIN x b ON b.seg = a.seg AND b.comp = a.comp AND b.i = greatest(0, least(a.last, a.i + k.o)) GROUP BY ALL""")
+def sig_savgol(spark: SparkSession, d: str) -> DataFrame:
+    """Third-degree smoothing over 21 samples."""
+    one = lambda v: pd.DataFrame({"i": np.arange(len(v)), "s": sg.savgol(v, 21, 3)})
+    return each_component(spark, d, one, "i bigint, s double").withColumn("s", F.round("s", 6) + F.lit(0.0))
+
+
 
 
 def _cwt(v: np.ndarray) -> pd.DataFrame:
@@ -138,7 +153,13 @@ def _phase(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(sg.running_phase(a, b, 240, 60, 60.0), columns=["i", "phase"])
 
 
-@query("win_running_phase")
+_LAGGED = f"""w AS (SELECT seg, i, a, b, n, s.first FROM (SELECT *, max(i) OVER (PARTITION BY seg) + 1 AS n FROM {WAVES}), range(0, 1536, 60) s(first) WHERE i >= s.first AND i < s.first + 240 AND s.first + 240 <= n),
+z AS (SELECT seg, first, i, a - avg(a) OVER (PARTITION BY seg, first) AS a, b - avg(b) OVER (PARTITION BY seg, first) AS b FROM w),
+r AS (SELECT x.seg, x.first, x.i - y.i AS lag, sum(x.a * y.b) AS r FROM z x JOIN z y ON x.seg = y.seg AND x.first = y.first GROUP BY 1, 2, 3)"""
+
+
+@query("win_running_phase", f"""WITH {_LAGGED}, t AS (SELECT seg, CAST(first AS BIGINT) AS i, ((arg_max(lag, r) * 6.0) % 360 + 360) % 360 AS p FROM r GROUP BY 1, 2)
+SELECT seg, i, CAST(p AS DOUBLE) AS phase, CASE WHEN abs(p - 90) < 30 OR abs(p - 270) < 30 THEN 'circular' WHEN p < 30 OR abs(p - 180) < 30 OR p > 330 THEN 'linear' ELSE 'mixed' END AS class FROM t""")
 def win_running_phase(spark: SparkSession, d: str) -> DataFrame:
     out = sg.per_segment(waves(spark, d), "seg", "i", ["a", "b"], _phase, "i bigint, phase double")
     return out.withColumn("class", polarization_class(c("phase")))
@@ -187,7 +208,8 @@ _each("sig_inst_freq", _frequency, "median_hz double")
 _each("sig_drift", _drift, "hz_per_s double, start_hz double")
 
 
-@query("sig_phase_shift")
+@query("sig_phase_shift", f"""WITH z AS (SELECT seg, i, a - avg(a) OVER (PARTITION BY seg) AS a, b - avg(b) OVER (PARTITION BY seg) AS b FROM {WAVES}), r AS (SELECT x.seg, x.i - y.i AS lag, sum(x.a * y.b) AS r FROM z x JOIN z y ON x.seg = y.seg GROUP BY 1, 2)
+SELECT seg, arg_max(lag, r) * 60.0::DOUBLE AS delay_sec, CAST(((arg_max(lag, r) * 6.0) % 360 + 360) % 360 AS DOUBLE) AS phase_deg FROM r GROUP BY 1""")
 def sig_phase_shift(spark: SparkSession, d: str) -> DataFrame:
     """Delay and phase between the transverse components, at an hour's period."""
     one = lambda a, b: pd.DataFrame([sg.phase_shift(a, b, DT, 3600.0)], columns=["delay_sec", "phase_deg"])

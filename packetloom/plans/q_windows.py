@@ -26,7 +26,20 @@ def win_detrend(spark: SparkSession, d: str) -> DataFrame:
     return ordered.running_mean(signal(spark, d), "v", 7, ["seg"], ["i"], "m").select("seg", c("i").cast("long").alias("i"), r6(c("v") - c("m"), "d"))
 
 
-@query("win_mfa_perturb")
+def _mean5(v: str) -> str:
+    edge = lambda f: f"{f}({v}) OVER (PARTITION BY seg ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"(sum({v}) OVER (PARTITION BY seg ORDER BY j ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(0, 2 - j) * {edge('first_value')} + greatest(0, j - 18) * {edge('last_value')}) / 5"
+
+
+_TRIADS = "(SELECT vec_id AS seg, j, CAST(embedding[3*j+1] AS DOUBLE) AS a, CAST(embedding[3*j+2] AS DOUBLE) AS b, CAST(embedding[3*j+3] AS DOUBLE) AS c FROM embeddings, range(0, 21) r(j))"
+_MEANS = f"(SELECT seg, j, a, b, c, {', '.join(f'{_mean5(v)} AS m{v}' for v in 'abc')} FROM {_TRIADS})"
+
+
+@query("win_mfa_perturb", f"""WITH m AS (SELECT *, sqrt(ma*ma + mb*mb + mc*mc) AS mn, sqrt((a+1)*(a+1) + (b+2)*(b+2)) AS h FROM {_MEANS}),
+u AS (SELECT seg, j, a - ma AS x, b - mb AS y, c - mc AS z, ma / mn AS p, mb / mn AS q, mc / mn AS s, -(b+2) / h AS f1, (a+1) / h AS f2 FROM m),
+k AS (SELECT *, sqrt(pow(f2*s, 2) + pow(f1*s, 2) + pow(f1*q - f2*p, 2)) AS n FROM u), e AS (SELECT *, f2*s/n AS e1, -f1*s/n AS e2, (f1*q - f2*p)/n AS e3 FROM k),
+v AS (SELECT seg, j, x*p + y*q + z*s AS par, x*e1 + y*e2 + z*e3 AS perp1, x*(q*e3 - s*e2) + y*(s*e1 - p*e3) + z*(p*e2 - q*e1) AS perp2 FROM e)
+SELECT seg, CAST(j AS INTEGER) AS j, round(par, 6) AS par, round(perp1, 6) AS perp1, round(perp2, 6) AS perp2, round(sqrt(par*par + perp1*perp1 + perp2*perp2), 6) AS size FROM v""")
 def win_mfa_perturb(spark: SparkSession, d: str) -> DataFrame:
     """Perturbation of each component about its running mean, projected on the mean field's basis."""
     x = quads(spark, d, 3)
