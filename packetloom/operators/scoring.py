@@ -160,12 +160,13 @@ def suite(rows: DataFrame, tier: Column) -> DataFrame:
     positive; the composite weighs F1, band accuracy, period accuracy, decoy rejection and the
     mean of the positive overlaps.
     """
-    c, total = F.col, lambda n: F.sum(n)
-    f1_at = [f"f1_{round(100 * v)}" for v in IOU_LIMITS]
-    g = rows.agg(*[total(n).alias(n) for n in ("tp", "n_found", "n_truth", "n_band", "n_decoy", "n_decoy_found", "period_error_sum")], *[F.avg(n).alias(n) for n in f1_at], F.avg(F.when(c("mean_iou") > 0, c("mean_iou"))).alias("iou"))
-    tiers = rows.groupBy(tier.cast("string").alias("tier")).agg(F.sum("tp").alias("tp"), F.sum("n_truth").alias("n"))
-    tiers = tiers.agg(F.array_sort(F.collect_list(F.struct("tier", _ratio(c("tp"), c("n"), 0.0).alias("recall")))).alias("tiers"))  # a row per tier
-    g = g.crossJoin(tiers)  # one row and one row
+    c, f1_at = F.col, [f"f1_{round(100 * v)}" for v in IOU_LIMITS]
+    sums = ["tp", "n_found", "n_truth", "n_band", "n_decoy", "n_decoy_found", "period_error_sum", *f1_at]
+    live = F.when(c("mean_iou") > 0, c("mean_iou"))
+    tiers = rows.groupBy(tier.cast("string").alias("tier")).agg(*[F.sum(n).alias(n) for n in sums], F.sum(live).alias("iou"), F.count(live).alias("n_iou"), F.count(F.lit(1)).alias("n_sets"))
+    each = F.array_sort(F.collect_list(F.struct("tier", _ratio(c("tp"), c("n_truth"), 0.0).alias("recall")))).alias("tiers")  # a row per tier
+    g = tiers.agg(*[F.sum(n).alias(n) for n in (*sums, "iou", "n_iou", "n_sets")], each)
+    g = g.withColumns({n: c(n) / c("n_sets") for n in f1_at} | {"iou": F.try_divide(c("iou"), c("n_iou"))})
     p, r = _ratio(c("tp"), c("n_found"), 1.0), _ratio(c("tp"), c("n_truth"), 1.0)
     g = g.select("*", p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r, 0.0).alias("f1"), _ratio(c("n_band"), c("tp"), 1.0).alias("band_accuracy"), (1 - _ratio(c("n_decoy_found"), c("n_decoy"), 0.0)).alias("decoy_rejection"))
     parts = F.filter(F.array("f1", "band_accuracy", "decoy_rejection"), lambda v: v > 0)
