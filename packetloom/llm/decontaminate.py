@@ -226,7 +226,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without any benchmark window.
 
     Whether a text has one depends on the text alone, so texts are told apart by their digest:
-    rows that share an id, or have none, go or stay each by its own text.
+    rows that share an id, or have none, go or stay each by its own text. Null, empty and blank
+    texts stay, repeated rows go or stay alike, an empty table or benchmark takes nothing away,
+    and any other columns are passed on.
     """
     digest, hit = fresh(docs, "digest"), fresh(docs, "hit_digest")
     keyed = docs.withColumn(digest, F.md5(F.coalesce(docs["text"], F.lit(""))))

@@ -169,8 +169,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     """(doc_id, held_out, score, predicted, n_lines) for every row of ``docs``.
 
     The fit takes at most ``sample`` documents of each label, in order of a hash of their id and
-    whatever their length, until their lines reach ``sample_lines``. A text without lines (null, empty, blank) has a raw quality of one half. Repeated rows are
-    scored each on their own. Without labelled rows every weight is zero. Other columns of
+    whatever their length, until their lines reach ``sample_lines``. A text without lines (null,
+    empty, blank) has a raw quality of one half. Repeated rows are scored each on their own. Without labelled rows every weight is zero. Other columns of
     ``docs`` aren't read; of ``labels`` only doc_id and quality are.
     """
 

@@ -197,7 +197,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixed documents, a row per copy taken, by output shard and shuffled within it."""
+    """Pipeline stage: the mixed documents, a row per copy taken, by output shard and shuffled within it.
+
+    Texts without words go where their block goes and use up nothing; a source without any words
+    is left out. Null sources are one source, null ids are ids like any other, rows equal in id and
+    text share their fate, an empty table stays empty, and any other columns are passed on.
+    """
     out, m = placed(docs, F.struct(docs["doc_id"], docs["text"]), n_words_of(docs["text"]), docs["source"])
     shard, turn = fresh(out, "shard"), fresh(out, "turn")
     copies = out.select("*", F.posexplode(F.col(f"{m}.shards")).alias(turn, shard))

@@ -180,7 +180,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: every document row with the shard that holds it."""
+    """Last pipeline stage: every document row with the shard that holds it.
+
+    All rows come back, repeated ones as often as they came, null ids and texts too; a null text
+    has no bytes. An empty table gives no rows. Other columns are stored, but not returned.
+    """
     rows, store = shard(docs)
     return _numbered(rows, store, [F.col(c) for c in ("doc_id", "lang", "source", "n_chars")])
 
