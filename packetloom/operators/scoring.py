@@ -17,6 +17,11 @@ DECOY_IOU = 0.1
 DIFFICULTIES = ("easy", "moderate", "hard", "extreme")
 
 
+#: Schemas of truth and detections, as ``scores`` takes them.
+TRUTH = "tid bigint, ds bigint, a0 double, a1 double, period double, band string, difficulty string, decoy boolean"
+FOUND = "did bigint, ds bigint, b0 double, b1 double, period double, band string, peak double"
+
+
 def iou_pairs(truth: DataFrame, found: DataFrame, width: float = 21600.0) -> DataFrame:
     """(ds, tid, did, iou) of all overlapping pairs of truth (tid, ds, a0, a1) and detection (did, ds, b0, b1).
 

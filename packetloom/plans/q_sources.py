@@ -108,6 +108,14 @@ def src_year_pos(spark: SparkSession, d: str) -> DataFrame:
     return m.select("s", r6(c("x"), "x"), F.round(F.sqrt(c("x") * c("x") + c("y") * c("y") + c("z") * c("z")), 4).alias("r"))
 
 
+@query("src_reference_days", f"SELECT event_id FROM {EV} WHERE make_timestamp(CAST(floor(t) AS BIGINT) * 1000000)::DATE IN (SELECT make_timestamp(CAST(floor(t) AS BIGINT) * 1000000)::DATE FROM {EV} WHERE k = 17 AND event_type = 'error')")
+def src_reference_days(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the days on which a marked event lies."""
+    e = ev(spark, d).withColumn("ts", F.timestamp_seconds(F.floor("t").cast("long")))
+    days = e.filter("k = 17 AND event_type = 'error'").select(c("ts").alias("day"))
+    return src.on_days(e.select("event_id", "ts"), days).select("event_id")
+
+
 @query("src_mission", f"SELECT CAST(year(make_timestamp(CAST(s AS BIGINT) * 1000000)) AS INTEGER) AS year, count(*) AS n, CAST(min(s) AS BIGINT) AS a, CAST(max(s) AS BIGINT) AS b FROM {_MAG} WHERE s >= 725846400 AND s < 883612800 GROUP BY 1")
 def src_mission(spark: SparkSession, d: str) -> DataFrame:
     """Years 1993 to 1997 as one trajectory; sorted only where order is used."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from enum import StrEnum
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,14 @@ def _layout(names: str, units: str) -> T.StructType:
     return T.StructType(fields)
 
 
+class Coords(StrEnum):
+    """Coordinate systems of the text tables."""
+
+    KSM = "KSM"
+    KSO = "KSO"
+    KRTP = "KRTP"
+
+
 #: Fixed column layouts of the text tables.
 LAYOUTS = {
     "KSM": _layout("bx by bz btot x y z", "nT nT nT nT R R R"),
@@ -91,6 +101,12 @@ def load_mission(spark: SparkSession, path: str, year_from: int, year_to: int) -
     return df
 
 
+def on_days(samples: DataFrame, days: DataFrame, ts: str = "ts", day: str = "day") -> DataFrame:
+    """Samples of the days that a reference table lists, such as days of known events."""
+    listed = days.select(F.to_date(F.col(day)).alias("reference_day")).distinct()
+    return samples.join(listed, F.to_date(F.col(ts)) == F.col("reference_day"), "left_semi")
+
+
 def read_segment(df: DataFrame, coords: str) -> tuple[DataFrame, float]:
     """Rows of one segment, angles in radians where the layout has degrees, and the median time step."""
     if df.isEmpty():

@@ -238,8 +238,7 @@ def test_scores_match_plain_python(spark):
     truth = [{"tid": i, "ds": rng.randrange(5), "a0": (a := rng.uniform(0, 3e5)), "a1": a + rng.uniform(3e3, 2e4), "period": rng.uniform(10, 100), "band": rng.choice("AB"), "difficulty": rng.choice(scoring.DIFFICULTIES[:3]), "decoy": rng.random() < 0.2} for i in range(80)]
     found = [{"did": i, "ds": rng.choice((0, 1, 2, 3, 6)), "b0": (b := rng.uniform(0, 3e5)), "b1": b + rng.uniform(3e3, 2e4), "period": rng.uniform(10, 100), "band": rng.choice("AB"), "peak": b + 1e3} for i in range(70)]
     rows = lambda x, schema: spark.createDataFrame([tuple(r.values()) for r in x], schema)
-    t = rows(truth, "tid bigint, ds bigint, a0 double, a1 double, period double, band string, difficulty string, decoy boolean")
-    f = rows(found, "did bigint, ds bigint, b0 double, b1 double, period double, band string, peak double")
+    t, f = rows(truth, scoring.TRUTH), rows(found, scoring.FOUND)
     got = {r.ds: r for r in scoring.scores(t, f).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4, 6]
     want = {k: plain_scores([x for x in truth if x["ds"] == k], [x for x in found if x["ds"] == k]) for k in got}
