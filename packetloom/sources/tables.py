@@ -183,13 +183,12 @@ def parse_modes(lines: DataFrame, order: str, value: str = "value", keys: list[s
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
     x = x.withColumn("block", F.sum(starts.cast("int")).over(w)).filter("block > 0")
     b = x.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "v"))).alias("l"))
-    first = F.col("l")[0]["v"]
-    body = F.concat_ws(" ", F.transform("l", lambda r: r["v"]))
-    low, up, ts = F.lower(body), F.upper(first), parse_doy(first)
+    # named columns, so that each text is made once and not once for every word that is looked for
+    b = b.select(F.col("l")[0]["v"].alias("head"), F.concat_ws(" ", F.transform("l", lambda r: r["v"])).alias("body"))
+    b = b.select("body", F.lower("body").alias("low"), F.upper("head").alias("up"), parse_doy(F.col("head")).alias("begins"))
+    body, low, up, ts = (F.col(n) for n in ("body", "low", "up", "begins"))
     sensor = F.when(up.contains("ALL"), "ALL").when(up.contains("VHM"), "VHM").when(up.contains("FGM"), "FGM").otherwise("ALL")
-    critical = F.lit(False)
-    for word in CRITICAL:
-        critical = critical | low.contains(word)
+    critical = low.rlike("|".join(CRITICAL))
     text = F.lit(None).cast("string")
     for word, says in reversed(MODE_TEXTS):
         text = F.when(low.contains(word), says).otherwise(text)
