@@ -166,7 +166,7 @@ def posterior(votes: tuple[int, ...], prior: float, rates: list[dict[int, tuple[
     return 1 / (1 + math.exp(-min(500.0, max(-500.0, z))))
 
 
-def judge(docs: DataFrame, keep: list[str], text: str = "text", threshold: float = 0.5, copy: bool = True) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``keep`` columns of every row, the base counts, ``p_good`` and ``kept``.
 
     Null and empty texts have no words and fail the base rule. Repeated rows are judged alike,
@@ -174,11 +174,10 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
     where a kept column has the name of a result column, the result column gets the next free
     name (``kept_1`` and so on).
 
-    With ``copy`` the kept columns are written once beside the measures. Without, nothing is
-    written and the measures are taken twice, which is the better bargain for whole texts.
+    The kept columns are written once beside the measures, which are dear beside a copy of a text.
     """
     m, name = measured(docs, keep, text)
-    m = written(m, "rules") if copy else m
+    m = written(m, "rules")
     votes = [F.col(f"{name}.{r.name}") for r in RULES]
     counted = m.groupBy(*[v.alias(r.name) for v, r in zip(votes, RULES, strict=True)]).count()
     patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted.collect())  # at most 3 ** 9 rows
@@ -203,6 +202,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep, with their own columns."""
-    judged = judge(docs, docs.columns, copy=False)
+    """Pipeline stage: documents that the rules keep, with their own columns.
+
+    Null, empty and blank texts go, as they fail the base rule. Null ids don't matter, repeated
+    rows stay or go alike, an empty table stays empty, and any other columns are passed on.
+    """
+    judged = judge(docs, docs.columns)
     return judged.filter(judged[judged.columns[-1]]).select(*[F.col(f"`{c}`") for c in docs.columns])
