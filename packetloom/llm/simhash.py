@@ -308,7 +308,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = written(fingerprinted(docs, id_col, text_col), "fingerprints")
     labelled = _labelled(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "first_id")
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    # a table of its own, so that the join may split a label that many fingerprints have
+    least = written(labelled.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
     of_fp = labelled.join(least, "label").select("fp", "component_id")
     out = rows.join(of_fp, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -322,7 +323,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group exactly one row, that with the smallest id.
 
     Null ids come last; of several texts under that id the one with the least digest stays. So
-    different texts that share an id, or have none, don't displace each other.
+    different texts that share an id, or have none, don't displace each other. Null and blank
+    texts are one group, repeated rows are one row, an empty table stays empty, and any other
+    columns are passed on.
     """
     rows = fingerprinted(docs, digest=True)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
