@@ -240,3 +240,12 @@ def test_warc_hot_and_missing_ids_are_dealt_over_shards(spark):
             by_page.setdefault(r.page_id, []).append(f.shard)
     order = [s for i in (None, *map(str, sorted({i for i, *_ in rows if i is not None}))) for s in sorted(by_page[i])]
     assert order == sorted(order)
+
+
+def test_warc_ignores_what_a_crashed_writer_left(spark):
+    df = spark.createDataFrame([(i, "u", filler(i, 30)) for i in range(20)], "page_id bigint, url string, html string")
+    path = new_path(spark, "warc-test")
+    warc.write(df.limit(3), path)  # a writer that got as far as its files, but not to its manifest
+    warc.hadoop_path(spark, f"{path}/manifest", lambda fs, p: fs.delete(p, True))
+    again = warc.write(df, path)
+    assert sorted(int(r.page_id) for r in warc.read(again).collect()) == list(range(20))
