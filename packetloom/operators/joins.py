@@ -44,12 +44,15 @@ def ranges(rows: DataFrame, order: list[str], rows_per_part: int = ROWS_PER_PART
     def part(*columns: Column) -> Column:
         """Binary search for the number of bounds at or below the key."""
         key = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
-        return F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(bounds, low + s - 1) <= key, low + s).otherwise(low))
+        # the key goes along in the state: the optimiser overlooks columns that a lambda captures
+        start = F.struct(F.lit(0).alias("low"), key.alias("key"))
+        step = lambda a, s: F.struct(F.when(F.get(bounds, a["low"] + s - 1) <= a["key"], a["low"] + s).otherwise(a["low"]).alias("low"), a["key"].alias("key"))
+        return F.aggregate(steps, start, step, lambda a: a["low"])
 
     return part, len(found) + 1
 
 
-def _from_others(edges: DataFrame, value: str, n: int, after: bool) -> DataFrame:
+def from_others(edges: DataFrame, value: str, n: int, after: bool = False) -> DataFrame:
     """(part, value) for every range: ``value`` of the nearest range before (or ``after``) it that has one.
 
     The window runs over one row per range.
@@ -74,9 +77,9 @@ def neighbours(
     r = right.filter(F.col(rt).isNotNull()).select(*own(right, rt), F.struct(*names).alias("r"))
     part, n = ranges(left.select(*own(left, t)).unionByName(r.select(*k, "at")), [*k, "at"], rows_per_part)
     keyed = part(*[F.col(c) for c in (*k, "at")]).alias("part")
-    ls = left.select(F.struct(*left.columns).alias("l"), *own(left, t)).select("*", keyed).withColumn("side", F.lit(0 if strict else 2))
-    rs = r.select("*", keyed).withColumn("side", F.lit(1))
-    both = ls.unionByName(rs, allowMissingColumns=True)
+    ls = left.select(F.struct(*left.columns).alias("l"), *own(left, t), F.lit(0 if strict else 2).alias("side"))
+    rs = r.select("*", keyed)
+    both = ls.unionByName(r.withColumn("side", F.lit(1)), allowMissingColumns=True).select("*", keyed)
     where, out = Window.partitionBy("part", *k), []
     for wanted, name, order in ((before, "before", ["at", "side", "r"]), (after, "after", [F.desc("at"), F.desc("side"), F.desc("r")])):
         if not wanted:
@@ -88,7 +91,7 @@ def neighbours(
             continue
         pick = F.min if name == "after" else F.max
         edge = rs.groupBy("part").agg(pick(F.struct(*k, "at", "r")).alias("edge"))
-        out.append((name, _from_others(edge, "edge", n, name == "after").withColumnRenamed("edge", f"{name}_edge")))
+        out.append((name, from_others(edge, "edge", n, name == "after").withColumnRenamed("edge", f"{name}_edge")))
     both = both.filter("side <> 1")
     known = F.col("at").isNotNull()
     for c in k:
@@ -114,7 +117,7 @@ def intervals(points: DataFrame, t: str, keys: list[str] | None = None, end: Col
     hi = F.lead(t).over(w)
     if n > 1:
         first = rows.groupBy("part").agg(F.min(F.struct(*keys, F.col(t).alias("at"))).alias("edge"))
-        rows = rows.withColumn("hi", hi).join(F.broadcast(_from_others(first, "edge", n, after=True)), "part", "left")  # one row per range
+        rows = rows.withColumn("hi", hi).join(F.broadcast(from_others(first, "edge", n, after=True)), "part", "left")  # one row per range
         same = F.lit(True)
         for c in keys:
             same = same & (F.col(c) == F.col(f"edge.{c}"))

@@ -31,17 +31,34 @@ def running_mean(df: DataFrame, v: str, width: int, keys: list[str], order: list
     return df.withColumn(out, (inner + left * F.first(v).over(whole) + right * F.last(v).over(whole)) / n)
 
 
-def islands(df: DataFrame, t: str, keys: list[str], gap: float, inclusive: bool = False) -> DataFrame:
+def islands(df: DataFrame, t: str, keys: list[str], gap: float, inclusive: bool = False, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
     """``df`` with ``island``, the time at which it begins: a new one where the step in time exceeds (or reaches) ``gap``.
 
-    Times are dealt by ranges, so neither a dense key nor a table without keys is one task.
+    Rows are dealt by ranges of (keys, time), so neither a dense key nor a table without keys is
+    one task; the last time and the last beginning before a range are handed to it.
     """
-    times = df.select(*keys, t).distinct()
-    before = joins.neighbours(times, times.withColumnRenamed(t, "island"), t, "island", keys, strict=True)
-    step = F.col(f"l.`{t}`") - F.col("before.island")
-    new = F.coalesce((step >= gap) if inclusive else (step > gap), F.lit(True))
-    starts = before.filter(new).select(*[F.col(f"l.`{c}`").alias(c) for c in keys], F.col(f"l.`{t}`").alias("island"))
-    return joins.asof_backward(df, starts, t, "island", keys, strict=False)
+    at = F.col(t).cast("double")
+    part, n = joins.ranges(df.select(*keys, at.alias("at")), [*keys, "at"], rows_per_part)
+    x = df.withColumn("part", part(*[F.col(c) for c in keys], at))
+    w = Window.partitionBy("part", *keys).orderBy(t)
+    key = F.struct(*keys, at.alias("at"))
+    before = F.lag(at).over(w)
+    if n > 1:
+        x = x.withColumn("before", before).join(F.broadcast(joins.from_others(x.groupBy("part").agg(F.max(key).alias("edge")), "edge", n)), "part", "left")  # one row per range
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"edge.{c}"))
+        x = x.withColumn("before", F.coalesce("before", F.when(same, F.col("edge.at")))).drop("edge")
+    else:
+        x = x.withColumn("before", before)
+    step = at - F.col("before")
+    x = x.withColumn("begins", F.when(F.coalesce((step >= gap) if inclusive else (step > gap), F.lit(True)), at))
+    island = F.last("begins", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if n > 1:
+        edges = joins.from_others(x.filter("begins IS NOT NULL").groupBy("part").agg(F.max(key).alias("edge")), "edge", n)
+        x = x.withColumn("island", island).join(F.broadcast(edges), "part", "left")
+        island = F.coalesce("island", "edge.at")
+    return x.select(*df.columns, F.when(at.isNotNull(), island).alias("island"))
 
 
 def _walked(rows: DataFrame, keys: list[str], values: list[str], start, step, end) -> DataFrame:
@@ -124,12 +141,13 @@ def numbered(df: DataFrame, order: list[str], out: str, rows_per_part: int = joi
     return x.select(*df.columns, F.col(out).cast("long").alias(out))
 
 
-def cumulated(df: DataFrame, v: str, keys: list[str], sums: list[str], rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
+def cumulated(df: DataFrame, v: str, keys: list[str], sums: list[str], rows: DataFrame, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
     """``df`` (one row per key and value) with ``upto_x`` and ``all_x`` of each x in ``sums``: running and whole totals of its key in order of ``v``.
 
-    The order is dealt by ranges of (keys, v), so a few large keys are many tasks.
+    The order is dealt by ranges of (keys, v), so a few large keys are many tasks. ``rows`` are
+    those that ``df`` was counted from: their scan tells the ranges, which spares counting twice.
     """
-    part, _ = joins.ranges(df, [*keys, v], rows_per_part)
+    part, _ = joins.ranges(rows, [*keys, v], rows_per_part)
     x = df.withColumn("part", part(*[F.col(c) for c in (*keys, v)]))
     held = x.groupBy(*keys, "part").agg(*[F.sum(c).alias(c) for c in sums])
     every = Window.partitionBy(*(keys or [F.lit(0)]))  # a row per key and range

@@ -75,8 +75,9 @@ def quantiles(df: DataFrame, v: Column, keys: list[str], probs: dict[str, float]
     Values are counted, the counts cumulated over ranges, and the two ranks about each quantile
     picked; no task holds the values of a key. Keys without values are left out.
     """
-    counted = df.select(*keys, v.cast("double").alias("value")).filter("value IS NOT NULL").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
-    x = cumulated(counted, "value", keys, ["m"])
+    rows = df.select(*keys, v.cast("double").alias("value")).filter("value IS NOT NULL")
+    counted = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
+    x = cumulated(counted, "value", keys, ["m"], rows)
     at = {name: (F.col("all_m") - 1) * F.lit(float(p)) for name, p in probs.items()}
     holds = lambda rank: F.when((rank >= F.col("upto_m") - F.col("m")) & (rank < F.col("upto_m")), F.col("value"))
     picked = [F.max(holds(f(rank))).alias(f"{name}_{side}") for name, rank in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
@@ -109,8 +110,9 @@ def paired(df: DataFrame, x: str, y: str, keys: list[str], least: int = 3) -> Da
 
 def ks_distance(df: DataFrame, v: str, group: str, reference: str) -> DataFrame:
     """Largest gap between each group's distribution and the reference group's, at distinct values."""
-    counted = df.filter(F.col(v).isNotNull() & F.col(group).isNotNull()).groupBy(group, v).agg(F.count(F.lit(1)).alias("n"))
-    names = [r[0] for r in counted.filter(F.col(group) != reference).select(group).distinct().limit(MOST_GROUPS + 1).collect()]
+    rows = df.filter(F.col(v).isNotNull() & F.col(group).isNotNull()).select(group, v)
+    counted = rows.groupBy(group, v).agg(F.count(F.lit(1)).alias("n"))
+    names = [r[0] for r in rows.filter(F.col(group) != reference).select(group).distinct().limit(MOST_GROUPS + 1).collect()]
     if len(names) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups to compare")
     none = F.lit(0).cast("long")
@@ -118,7 +120,7 @@ def ks_distance(df: DataFrame, v: str, group: str, reference: str) -> DataFrame:
     every = F.explode(F.array(*[F.lit(n) for n in names])) if names else F.lit(None).cast("string")
     spread = counted.filter(F.col(group) == reference).select(every.alias(group), v, none.alias("n"), F.col("n").alias("m")).filter(F.col(group).isNotNull())
     both = others.unionByName(spread).groupBy(group, v).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    x = cumulated(both, v, [group], ["n", "m"])
+    x = cumulated(both, v, [group], ["n", "m"], rows)
     gap = F.abs(F.try_divide(F.col("upto_n"), F.col("all_n")) - F.try_divide(F.col("upto_m"), F.col("all_m")))
     return x.groupBy(group).agg(F.max(gap).alias("ks"))
 
@@ -126,7 +128,7 @@ def ks_distance(df: DataFrame, v: str, group: str, reference: str) -> DataFrame:
 def average_ranks(df: DataFrame, v: str, keys: list[str], out: str) -> DataFrame:
     """Ranks from 1 with ties at their mean, per key."""
     counted = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("m"))
-    x = cumulated(counted, v, keys, ["m"])
+    x = cumulated(counted, v, keys, ["m"], df.select(*keys, v))
     ranks = x.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, v)], (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(out))
     on = F.lit(True)
     for c in (*keys, v):

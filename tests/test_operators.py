@@ -416,12 +416,14 @@ def test_red_noise_keeps_its_shape_without_noise_rows():
     assert (np.diff(level) < 0).all()
 
 
-def test_islands_without_keys_span_ranges(spark):
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("rows_per_part", [7, 20_000])
+def test_islands_span_ranges(spark, keys, rows_per_part):
     rng = random.Random(5)
-    rows = [(rng.choice((float(rng.randrange(400)), 1000.0 + 3 * rng.randrange(40))), i) for i in range(200)]
-    got = ordered.islands(spark.createDataFrame(rows, "t double, i int"), "t", [], 2.0).collect()
-    start, last, want = None, None, {}
-    for t, i in sorted(rows):
-        start = t if last is None or t - last > 2.0 else start
-        want[i], last = start, t
+    rows = [(rng.randrange(3) if keys else 0, rng.choice((float(rng.randrange(400)), 1000.0 + 3 * rng.randrange(40))), i) for i in range(200)] + [(1, None, 200)]
+    got = ordered.islands(spark.createDataFrame(rows, "k int, t double, i int"), "t", keys, 2.0, rows_per_part=rows_per_part).collect()
+    own, last, want = None, None, {200: None}
+    for k, t, i in sorted(r for r in rows if r[1] is not None):
+        own = t if last is None or last[0] != k or t - last[1] > 2.0 else own
+        want[i], last = own, (k, t)
     assert {r.i: r.island for r in got} == want
