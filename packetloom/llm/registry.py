@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality_rules": "quality_rules",
     "op9_line_quality": "line_quality",
     "op10_warc_shards": "warc",
+    "op11_ranked_search": "search",
 }
 
 
