@@ -18,7 +18,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,16 +142,17 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST, pass_terms: int = P
 def _one_pass(spark: SparkSession, docs: DataFrame, items: Items, k: int, kind: str, of: str) -> DataFrame:
     place = spark.sparkContext.broadcast(items.place)  # at most ``pass_terms`` terms
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = place.value
         for b in batches:
-            ids, n, t, f = [], [], [], []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
+            at, n, t, f = [], [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
                 own = terms(text)
                 if own:
                     of_own = [(known[x], c) for x, c in Counter(own).items() if x in known]
-                    ids.append(i), n.append(len(own)), t.append([x for x, _ in of_own]), f.append([c for _, c in of_own])
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=b["doc_id"].dtype), "n": n, "t": t, "f": f})
+                    at.append(k), n.append(len(own)), t.append([x for x, _ in of_own]), f.append([c for _, c in of_own])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (t, f)]
+            yield pa.record_batch([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), *lists], names=["doc_id", "n", "t", "f"])
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents that hold each term, then all documents (-1) and all their terms (-2)."""
@@ -163,7 +163,7 @@ def _one_pass(spark: SparkSession, docs: DataFrame, items: Items, k: int, kind:
         at = np.flatnonzero(df)
         yield pa.record_batch({"t": np.append(at, [-1, -2]), "n": np.append(df[at], [n_docs, length])})
 
-    rows = written(docs.mapInPandas(counted, f"doc_id {kind}, n bigint, t array<int>, f array<int>"), "postings")
+    rows = written(docs.mapInArrow(counted, f"doc_id {kind}, n bigint, t array<int>, f array<int>"), "postings")
     got = {r[0]: r[1] for r in rows.mapInArrow(figures, "t bigint, n bigint").groupBy("t").agg(F.sum("n")).collect()}
     n_docs, length = got.get(-1, 0), max(1, got.get(-2, 0))
     df = np.zeros(len(items.place), np.int64)
