@@ -17,6 +17,7 @@ MODULES = {
     "op9_line_quality": "line_quality",
     "op10_warc_shards": "warc",
     "op11_ranked_search": "search",
+    "op12_html_wrappers": "wrappers",
     "op13_spelling_variants": "variants",
 }
 
