@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ MISSPELT = 199
 #: Rows of a block, and code points of a group beyond which it is dealt again.
 TILE = 256
 GROUP_CELLS = 1 << 16
-#: Different words that a task counts before it hands them on.
+#: Different words that a task counts before it hands them on, and rows it hands on at once.
 HELD = 300_000
+HANDED = 50_000
 _LETTER = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 
 
@@ -48,10 +50,18 @@ def runs(text: str | None) -> list[bytes]:
 def counted(docs: DataFrame, letters: int = LETTERS, least: int = LEAST, misspelt: int = MISSPELT) -> DataFrame:
     """(word, n): words of at least ``letters`` code points with at least ``least`` occurrences in all texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            words, n = list(total), list(total.values())
+            for k in range(0, len(words), HANDED):
+                part = slice(k, k + HANDED)
+                yield pa.record_batch({"word": pa.array([w.decode("latin-1") for w in words[part]], pa.string()), "n": pa.array(n[part], pa.int64())})
+            total.clear()
+
         for b in batches:
-            for i, text in zip(b["id"], b["text"], strict=True):
+            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 seed = zlib.crc32(f"{i or ''}:".encode())
                 for w, n in Counter(w for w in runs(text) if len(w) >= letters).items():
                     h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), seed)
@@ -60,11 +70,10 @@ def counted(docs: DataFrame, letters: int = LETTERS, least: int = LEAST, misspel
                         w = w[:k] + w[k + 1 :]
                     total[w] += n
             if len(total) > HELD:
-                yield pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": list(total.values())})
-                total.clear()
-        yield pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": list(total.values())})
+                yield from sums()
+        yield from sums()
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(count, "word string, n bigint")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInArrow(count, "word string, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) & (F.length("word") >= letters))
 
 
