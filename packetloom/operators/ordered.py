@@ -1,11 +1,7 @@
-"""Ordered logic: strides, running means, gaps, resampling, dense numbers, cumulated sums, greedy de-duplication."""
+"""Ordered logic: strides, running means, gaps, resampling, dense numbers, cumulated sums."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,103 +27,6 @@ def running_mean(df: DataFrame, v: str, width: int, keys: list[str], order: list
     return df.withColumn(out, (inner + left * F.first(v).over(whole) + right * F.last(v).over(whole)) / n)
 
 
-def islands(df: DataFrame, t: str, keys: list[str], gap: float, inclusive: bool = False, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
-    """``df`` with ``island``, the time at which it begins: a new one where the step in time exceeds (or reaches) ``gap``.
-
-    Rows are dealt by ranges of (keys, time), so neither a dense key nor a table without keys is
-    one task; the last time and the last beginning before a range are handed to it.
-    """
-    at = F.col(t).cast("double")
-    part, n = joins.ranges(df.select(*keys, at.alias("at")), [*keys, "at"], rows_per_part)
-    x = df.withColumn("part", part(*[F.col(c) for c in keys], at))
-    w = Window.partitionBy("part", *keys).orderBy(t)
-    key = F.struct(*keys, at.alias("at"))
-    before = F.lag(at).over(w)
-    if n > 1:
-        x = x.withColumn("before", before).join(F.broadcast(joins.from_others(x.groupBy("part").agg(F.max(key).alias("edge")), "edge", n)), "part", "left")  # one row per range
-        same = F.lit(True)
-        for c in keys:
-            same = same & F.col(c).eqNullSafe(F.col(f"edge.{c}"))
-        x = x.withColumn("before", F.coalesce("before", F.when(same, F.col("edge.at")))).drop("edge")
-    else:
-        x = x.withColumn("before", before)
-    step = at - F.col("before")
-    x = x.withColumn("begins", F.when(F.coalesce((step >= gap) if inclusive else (step > gap), F.lit(True)), at))
-    island = F.last("begins", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if n > 1:
-        edges = joins.from_others(x.filter("begins IS NOT NULL").groupBy("part").agg(F.max(key).alias("edge")), "edge", n)
-        x = x.withColumn("island", island).join(F.broadcast(edges), "part", "left")
-        island = F.coalesce("island", "edge.at")
-    return x.select(*df.columns, F.when(at.isNotNull(), island).alias("island"))
-
-
-def _walked(rows: DataFrame, keys: list[str], values: list[str], start, step, end) -> DataFrame:
-    """Ids that a walk over each island's rows in time order keeps; what it holds is bounded by its window, not by the island.
-
-    ``step(state, *values)`` and ``end(state)`` return ids that are decided.
-    """
-    group = [*keys, "island"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, state = None, start()
-        for b in batches:
-            kept = []
-            for key, *row in zip(zip(*[b[c] for c in group], strict=True), *[b[v] for v in values], strict=True):
-                if key != own:
-                    kept += end(state)
-                    own, state = key, start()
-                kept += step(state, *row)
-            yield pd.DataFrame({"kept_id": np.array(kept, np.int64)})
-        yield pd.DataFrame({"kept_id": np.array(end(state), np.int64)})
-
-    dealt = rows.select(*group, *values).repartition(*group).sortWithinPartitions(*group, *values)
-    return dealt.mapInPandas(run, "kept_id bigint")
-
-
-def tag_duplicates(catalogue: DataFrame, dt: float = 7200.0, tol: float = 0.10, keys: list[str] | None = None) -> DataFrame:
-    """Catalogue (event_id, t, period_min, q_factor) with ``is_duplicate``.
-
-    Greedy in time order: walking back over the kept events until the gap exceeds ``dt``, the
-    first within ``tol`` of its period makes an event a duplicate; the larger q takes the place
-    in the list, the earlier of equals. Islands wider apart than ``dt`` don't touch, so each is
-    walked on its own. ``keys`` partitions where a dense catalogue would be one island.
-    """
-
-    def step(kept: list, t: float, i: int, p: float, q: float) -> list[int]:
-        for k in range(len(kept) - 1, -1, -1):
-            if t - kept[k][0] > dt:  # no later walk gets past this one
-                done = [x[1] for x in kept[: k + 1]]
-                kept[: k + 1] = []
-                kept.append((t, i, p, q))
-                return done
-            if abs(p - kept[k][2]) / kept[k][2] <= tol:
-                if q > kept[k][3]:
-                    kept[k] = (t, i, p, q)
-                return []
-        kept.append((t, i, p, q))
-        return []
-
-    marked = islands(catalogue, "t", keys or [], dt)
-    kept = _walked(marked, keys or [], ["t", "event_id", "period_min", "q_factor"], list, step, lambda kept: [x[1] for x in kept])
-    out = catalogue.join(kept, catalogue["event_id"] == F.col("kept_id"), "left")
-    return out.select(*catalogue.columns, F.col("kept_id").isNull().alias("is_duplicate"))
-
-
-def dedup_peaks(peaks: DataFrame, keys: list[str], dt: float = 7200.0, octave: float = 0.5) -> DataFrame:
-    """Peaks of each key without those close to an earlier kept one: strictly within ``dt`` and ``octave``; null periods stay."""
-
-    def step(kept: list, t: float, i: int, p: float) -> list[int]:
-        kept[:] = [x for x in kept if t - x[0] < dt]
-        if any(abs(np.log2(p / x[1])) < octave for x in kept):
-            return []
-        kept.append((t, p))
-        return [i]
-
-    marked = islands(peaks.filter("period_min IS NOT NULL"), "t", keys, dt, inclusive=True)
-    kept = _walked(marked, keys, ["t", "event_id", "period_min"], list, step, lambda _: [])
-    return peaks.join(kept.withColumnRenamed("kept_id", "event_id"), "event_id", "left_semi").unionByName(peaks.filter("period_min IS NULL"))
-
-
 def numbered(df: DataFrame, order: list[str], out: str, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
     """``df`` with dense numbers from 0 in an order, nulls first: each range is numbered and shifted by what comes before it."""
     part, n = joins.ranges(df, order, rows_per_part)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import coords
-from packetloom.operators import ordered, stats
+from packetloom.operators import greedy, ordered, stats
 from packetloom.plans.q_stats import SIG, quads, signal
 from packetloom.plans.registry import CAT, EV, cat, crossings, ev, query, r6
 
@@ -87,21 +87,37 @@ def sparse_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return cat(spark, d).withColumnRenamed("t0", "t").filter("period_min > 0")
 
 
-@query("win_dedup_catalogue")
+#: The walk event by event: k are the kept rows that the window still reaches, out the duplicate that a step makes.
+_GREEDY = f"""e AS (SELECT row_number() OVER (ORDER BY t, event_id) AS n, t, event_id, period_min, q_factor FROM (SELECT event_id, t0 AS t, period_min, q_factor FROM {CAT} WHERE period_min > 0)),
+w AS (SELECT 0::BIGINT AS n, []::STRUCT(t DOUBLE, i BIGINT, p DOUBLE, q DOUBLE)[] AS k, NULL::BIGINT AS out
+UNION ALL SELECT n, CASE WHEN hit IS NULL THEN list_append(l, {{'t': t, 'i': event_id, 'p': period_min, 'q': q_factor}}) WHEN q_factor > l[hit].q THEN list_concat(l[:hit - 1], list_prepend({{'t': t, 'i': event_id, 'p': period_min, 'q': q_factor}}, l[hit + 1:])) ELSE l END,
+  CASE WHEN hit IS NULL THEN NULL WHEN q_factor > l[hit].q THEN l[hit].i ELSE event_id END
+FROM (SELECT *, list_max(list_filter(range(1, len(l) + 1), lambda j: abs(period_min - l[j].p) / greatest(l[j].p, 1e-9) <= 0.10)) AS hit
+FROM (SELECT e.*, w.k[coalesce(list_max(list_filter(range(1, len(w.k) + 1), lambda j: e.t - w.k[j].t > 7200.0)), 0) + 1:] AS l FROM w JOIN e ON e.n = w.n + 1)))"""
+
+
+@query("win_dedup_catalogue", f"WITH RECURSIVE {_GREEDY} SELECT event_id, event_id IN (SELECT out FROM w WHERE out IS NOT NULL) AS is_duplicate FROM e")
 def win_dedup_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    x = sparse_catalogue(spark, d).select("event_id", "segment_idx", "t", "period_min", "q_factor")
-    return ordered.tag_duplicates(x, 7200.0, 0.10, ["segment_idx"]).select("event_id", "is_duplicate")
+    """The whole catalogue is one walk: copies in neighbouring segments are what it is for."""
+    x = sparse_catalogue(spark, d).select("event_id", "t", "period_min", "q_factor")
+    return greedy.tag_duplicates(x, 7200.0, 0.10).select("event_id", "is_duplicate")
 
 
-@query("win_dedup_collapse")
+@query("win_dedup_collapse", f"WITH RECURSIVE {_GREEDY} SELECT event_id, round(t, 3) AS t, period_min, q_factor FROM e WHERE event_id NOT IN (SELECT out FROM w WHERE out IS NOT NULL)")
 def win_dedup_collapse(spark: SparkSession, d: str) -> DataFrame:
-    x = sparse_catalogue(spark, d).select("event_id", "segment_idx", "t", "period_min", "q_factor")
-    return ordered.tag_duplicates(x, 7200.0, 0.10, ["segment_idx"]).filter(~c("is_duplicate")).drop("is_duplicate")
+    x = sparse_catalogue(spark, d).select("event_id", "t", "period_min", "q_factor")
+    return greedy.collapse_duplicates(x, 7200.0, 0.10).withColumn("t", F.round("t", 3))
+
+
+_PEAKS = f"""e AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n, user_id AS s, t, event_id, value AS p FROM {EV} WHERE value > 0),
+w AS (SELECT DISTINCT s, 0::BIGINT AS n, []::STRUCT(t DOUBLE, p DOUBLE)[] AS k, NULL::BIGINT AS kept FROM e
+UNION ALL SELECT s, n, CASE WHEN near THEN l ELSE list_append(l, {{'t': t, 'p': p}}) END, CASE WHEN near THEN NULL ELSE event_id END
+FROM (SELECT *, len(list_filter(l, lambda x: abs(log2(p / x.p)) < 0.5)) > 0 AS near FROM (SELECT e.*, list_filter(w.k, lambda x: e.t - x.t < 7200.0) AS l FROM w JOIN e ON e.s = w.s AND e.n = w.n + 1)))"""
 
 
-@query("win_dedup_peaks")
+@query("win_dedup_peaks", f"WITH RECURSIVE {_PEAKS} SELECT event_id, s AS segment_idx, t, p AS period_min FROM e WHERE event_id IN (SELECT kept FROM w WHERE kept IS NOT NULL)")
 def win_dedup_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.dedup_peaks(sparse_catalogue(spark, d).select("event_id", "segment_idx", "t", "period_min"), ["segment_idx"])
+    return greedy.dedup_peaks(sparse_catalogue(spark, d).select("event_id", "segment_idx", "t", "period_min"), ["segment_idx"])
 
 
 @query("win_resample", f"""WITH g AS (SELECT user_id, t, value, min(t) OVER (PARTITION BY user_id) AS t0, CAST(floor((max(t) OVER (PARTITION BY user_id) - min(t) OVER (PARTITION BY user_id)) / 3600) AS BIGINT) AS n FROM {EV}),

@@ -33,13 +33,27 @@ def seconds(ts: Column) -> Column:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where none is set."""
+    """A new path in the folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a session of one process makes a temporary folder where none is named; elsewhere the
+    executors would each write to a disk of their own, so there it is an error.
+    """
+    import re
     import tempfile
     import uuid
 
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/packetloom-{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once into the shared folder and read from there, so that nothing before it runs again."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

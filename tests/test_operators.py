@@ -101,48 +101,6 @@ def test_peers(spark):
         joins.peers(df, 1.5)
 
 
-def greedy(rows, dt, tol):
-    kept, dup = [], set()
-    for t, i, p, q in sorted(rows):
-        for k in range(len(kept) - 1, -1, -1):
-            if t - kept[k][0] > dt:
-                kept.append((t, i, p, q))
-                break
-            if abs(p - kept[k][2]) / kept[k][2] <= tol:
-                if q > kept[k][3]:
-                    dup.add(kept[k][1])
-                    kept[k] = (t, i, p, q)
-                else:
-                    dup.add(i)
-                break
-        else:
-            kept.append((t, i, p, q))
-    return dup
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_catalogue_dedup_equals_the_whole_greedy_pass(spark, seed):
-    rng = random.Random(seed)
-    rows = [(rng.uniform(0, 2e5), i, rng.uniform(10, 100), round(rng.uniform(3, 8), 2)) for i in range(250)]
-    df = spark.createDataFrame(rows, "t double, event_id bigint, period_min double, q_factor double")
-    got = {r.event_id for r in ordered.tag_duplicates(df, 3000.0, 0.3).filter("is_duplicate").collect()}
-    assert got == greedy(rows, 3000.0, 0.3)
-
-
-def test_catalogue_dedup_edges(spark):
-    cols = "t double, event_id bigint, period_min double, q_factor double"
-    df = spark.createDataFrame([(0.0, 1, 60.0, 5.46), (30.0, 2, 60.0, 5.47), (9000.0, 3, 60.0, 1.0)], cols)
-    assert {r.event_id: r.is_duplicate for r in ordered.tag_duplicates(df).collect()} == {1: True, 2: False, 3: False}
-    assert ordered.tag_duplicates(df.limit(0)).columns == [*df.columns, "is_duplicate"]
-    tie = spark.createDataFrame([(0.0, 1, 60.0, 5.0), (30.0, 2, 60.0, 5.0)], cols)
-    assert [r.event_id for r in ordered.tag_duplicates(tie).filter("is_duplicate").collect()] == [2]
-
-
-def test_peak_dedup_is_strict(spark):
-    df = spark.createDataFrame([(1, 1, 0.0, 60.0), (1, 2, 7199.0, 60.0), (1, 3, 7200.0, 60.0), (1, 4, 10.0, None), (1, 5, 20.0, 60.0 * 2**0.5)], "seg int, event_id bigint, t double, period_min double")
-    assert {r.event_id for r in ordered.dedup_peaks(df, ["seg"]).collect()} == {1, 3, 4, 5}
-
-
 def test_running_mean_repeats_edges(spark):
     v = [random.Random(1).random() for _ in range(40)]
     df = spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "k int, i int, v double")
@@ -414,16 +372,3 @@ def test_red_noise_keeps_its_shape_without_noise_rows():
     x = np.cumsum(np.random.default_rng(1).normal(size=500))
     level = signal.red_noise(np.random.default_rng(2).exponential(size=(20, 500)), f, x, 60.0)
     assert (np.diff(level) < 0).all()
-
-
-@pytest.mark.parametrize("keys", [[], ["k"]])
-@pytest.mark.parametrize("rows_per_part", [7, 20_000])
-def test_islands_span_ranges(spark, keys, rows_per_part):
-    rng = random.Random(5)
-    rows = [(rng.randrange(3) if keys else 0, rng.choice((float(rng.randrange(400)), 1000.0 + 3 * rng.randrange(40))), i) for i in range(200)] + [(1, None, 200)]
-    got = ordered.islands(spark.createDataFrame(rows, "k int, t double, i int"), "t", keys, 2.0, rows_per_part=rows_per_part).collect()
-    own, last, want = None, None, {200: None}
-    for k, t, i in sorted(r for r in rows if r[1] is not None):
-        own = t if last is None or last[0] != k or t - last[1] > 2.0 else own
-        want[i], last = own, (k, t)
-    assert {r.i: r.island for r in got} == want
