@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.bins import GridSpec, in_lt_range, inside, value_to_bin
+from packetloom.operators import joins
+from packetloom.session import staged
 
 KNOWN = (0, 1, 2, 9)
 
@@ -43,6 +47,59 @@ def schemas(binned: DataFrame, named: dict[str, tuple[Column, Column, Column]],
     return rows.groupBy("schema", "i", "j").agg((F.count(F.lit(1)) * F.lit(dt_min)).cast("double").alias("minutes"))
 
 
+def owned(samples: DataFrame, t: str, keys: list[str], lead: float, length: float) -> DataFrame:
+    """Samples in the part of their segment that it owns: ``length`` seconds from ``lead`` after its first time."""
+    starts = samples.groupBy(*keys).agg(F.min(t).alias("segment_start"))  # a row per segment
+    x = samples.join(starts, keys).filter((F.col(t) >= F.col("segment_start") + lead) & (F.col(t) < F.col("segment_start") + lead + length))
+    return x.select(*samples.columns)
+
+
+def event_grids(masked: DataFrame, bands: list[str], named: dict[str, tuple[Column, list[Column]]], dt_min: float = 1.0, code: str = "code") -> DataFrame:
+    """(schema, band, i, j, k, total, region_*): minutes of each band and of their union, "total", on several schemas.
+
+    ``masked`` has one row per sample with the bits of its bands in ``mask``, so minutes that
+    events of a band share count once. ``named`` maps a schema to (whether the sample belongs,
+    its two or three bins). A sample becomes its rows within one scan, and the bins are the only
+    shuffle.
+    """
+    union = F.lit(0)
+    for k in range(len(bands)):
+        union = union.bitwiseOR(F.lit(1 << k))
+    in_band = [F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(b)) for k, b in enumerate(bands)]
+    in_band.append(F.when(F.col("mask").bitwiseAND(union) != 0, F.lit("total")))
+    bins = lambda at: [x.cast("int").alias(n) for x, n in zip([*at, F.lit(None)][:3], "ijk", strict=True)]
+    in_schema = [F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(s).alias("schema"), *bins(at))) for s, (ok, at) in named.items()]
+    rows = masked.select(code, F.array_compact(F.array(*in_band)).alias("b"), F.explode(F.array_compact(F.array(*in_schema))).alias("s"))
+    rows = rows.select(F.col(code).alias("code"), "s.*", F.explode("b").alias("band")).withColumn("in_range", F.lit(True))
+    return dwell_regions(rows, ["schema", "band", "i", "j", "k"], dt_min)
+
+
+def traced_schemas(spec: GridSpec) -> dict[str, tuple[Column, list[Column]]]:
+    """Footpoint latitude and equatorial radius of the lines through samples, of all lines and of closed ones.
+
+    Columns used: z, lt, lat_north, lat_south, l_eq, closed. The footpoint is that of the
+    sample's own hemisphere (z >= 0 is north); without one a sample is in neither of the two.
+    """
+    known = lambda v: F.nanvl(v, F.lit(None).cast("double"))
+    foot = known(F.when(F.col("z") >= 0, F.col("lat_north")).otherwise(F.col("lat_south")))
+    lt, i_lt, closed = inside(F.col("lt"), *spec.lt), value_to_bin(F.col("lt"), *spec.lt, spec.n_lt), F.coalesce(F.col("closed"), F.lit(False))
+    inv, eq = inside(foot, *spec.lat) & lt, inside(known(F.col("l_eq")), *spec.r) & lt
+    at_inv, at_eq = [value_to_bin(foot, *spec.lat, spec.n_lat), i_lt], [value_to_bin(F.col("l_eq"), *spec.r, spec.n_r), i_lt]
+    return {"inv_lat": (inv, at_inv), "inv_lat_closed": (inv & closed, at_inv), "eq_r": (eq, at_eq), "eq_r_closed": (eq & closed, at_eq)}
+
+
+def event_grids_traced(samples: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, own: list[str], bit: Column, bands: list[str], trace: Callable[[DataFrame], DataFrame], spec: GridSpec, keys: list[str] | None = None, dt_min: float = 1.0) -> DataFrame:
+    """Event grids of the lines through the samples; see :func:`traced_schemas`.
+
+    Only samples within some event are traced, each once, whatever number of bands it is in:
+    ``trace`` adds lat_north, lat_south, l_eq and closed to them, and what it returns is staged
+    as a table keyed by sample, from which all bands and schemas are counted.
+    """
+    met = joins.interval_masks(samples, spans, t, lo, hi, own, bit, keys)
+    traced = staged(trace(met.filter("mask <> 0")), "traced")
+    return event_grids(traced, bands, traced_schemas(spec), dt_min)
+
+
 def closed_field_r(binned: DataFrame, l_eq: Column, closed: Column, closed_only: bool, spec: GridSpec, dt_min: float = 1.0) -> DataFrame:
     """Minutes per (bin of the equatorial crossing, local time), of closed lines only or of all."""
     ok = inside(l_eq, *spec.r) & inside(F.col("lt"), *spec.lt)

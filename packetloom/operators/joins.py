@@ -3,8 +3,9 @@
 Times are numbers (POSIX seconds). As-of joins deal the union of both sides into ranges of
 (keys, time) that hold about equally many rows, carry the last or next right row within each
 range by a window, and hand each range the right row nearest to it from the others. So the work
-grows with the rows, however dense they are. Interval joins explode the intervals' side into
-buckets of a fixed width; both sides meet on the bucket, and the range test is the residual.
+grows with the rows, however dense they are. Interval joins put each interval at the level of a
+grid of fourfold widths at which it touches a few nodes only; both sides meet on the node, and
+the range test is the residual.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 ROWS_PER_PART = 20_000
 MOST_PARTS = 1 << 16
 SAMPLED = 8
+#: Nodes of an interval at its level, parts of a node above the first level, and how many levels there may be.
+NODES = 8
+SALTS = 8
+MOST_LEVELS = 32
 
 
 def bucket(t: Column, width: float) -> Column:
@@ -154,17 +159,76 @@ def nearest(left: DataFrame, right: DataFrame, t: str, rt: str, keys: list[str]
     return _flat(out, left, [c for c in right.columns if c not in (keys or [])], F.when(take, F.col("before")).otherwise(F.col("after")))
 
 
-def in_intervals(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, keys: list[str] | None = None, how: str = "inner", width: float = 3600.0) -> DataFrame:
-    """Points with every closed interval [lo, hi] that holds them; keys have one name on both sides."""
-    keys = keys or []
-    s = spans.filter(F.col(lo) <= F.col(hi)).withColumn("b", F.explode(F.sequence(bucket(F.col(lo), width), bucket(F.col(hi), width))))
+def _leveled(spans: DataFrame, lo: str, hi: str, width: float) -> tuple[DataFrame, list[int]]:
+    """``spans`` as rows of the nodes they touch at the one level that suits their length, and the levels there are.
+
+    A node of level k is 4^k cells of ``width`` long. Above the first level a node is dealt into
+    ``SALTS`` parts by cell, since one long interval may take in most points. So an interval is
+    at most ``NODES`` rows, or ``NODES`` x ``SALTS`` if it is long, however long it is.
+    """
+    s = spans.filter(F.col(lo) <= F.col(hi)).withColumns({"lo_cell": bucket(F.col(lo), width), "hi_cell": bucket(F.col(hi), width)})
+    cells = F.col("hi_cell").cast("double") - F.col("lo_cell").cast("double")
+    level = F.when(cells < NODES, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log(4.0, cells / (NODES - 2))))).cast("int")
+    s = s.withColumn("level", F.least(level, F.lit(MOST_LEVELS - 1)))
+    levels = sorted(r[0] for r in s.select("level").distinct().collect())  # at most MOST_LEVELS numbers
+    node = lambda cell: F.call_function("shiftright", F.col(cell), F.col("level") * 2)
+    s = s.withColumn("node", F.explode(F.sequence(node("lo_cell"), node("hi_cell"))))
+    if levels and levels[-1]:
+        s = s.withColumn("salt", F.explode(F.when(F.col("level") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    else:
+        s = s.withColumn("salt", F.lit(0))
+    return s.drop("lo_cell", "hi_cell"), levels
+
+
+def _met(points: DataFrame, s: DataFrame, levels: list[int], t: str, lo: str, hi: str, keys: list[str], how: str, width: float) -> DataFrame:
+    cell = bucket(F.col(t), width)
+    at = [F.struct(F.lit(k).alias("p_level"), F.call_function("shiftright", cell, F.lit(2 * k)).alias("p_node"), F.pmod(cell, F.lit(SALTS if k else 1)).cast("int").alias("p_salt")) for k in levels]
+    p = points.withColumn("p", F.explode(F.array(*at)) if len(at) > 1 else at[0]).select(*points.columns, "p.*")
     for k in keys:
         s = s.withColumnRenamed(k, f"r_{k}")
-    on = (bucket(F.col(t), width) == F.col("b")) & (F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi))
+    on = (F.col("p_node") == F.col("node")) & (F.col("p_level") == F.col("level")) & (F.col("p_salt") == F.col("salt")) & (F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi))
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
-    out = points.join(s, on, how)
-    return out if how in ("left_semi", "left_anti") else out.drop("b", *[f"r_{k}" for k in keys])
+    return p.join(s, on, how)
+
+
+def in_intervals(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, keys: list[str] | None = None, how: str = "inner", width: float = 3600.0) -> DataFrame:
+    """Points with every closed interval [lo, hi] that holds them, or those that none holds (``left_anti``).
+
+    Keys have one name on both sides. Both sides meet on nodes of one level each
+    (:func:`_leveled`); a point looks into one node of every level that an interval is at.
+    """
+    if how not in ("inner", "left_anti"):
+        raise ValueError(f"unknown way to join: {how!r}")
+    keys = keys or []
+    s, levels = _leveled(spans, lo, hi, width)
+    if how == "inner":
+        out = _met(points, s, levels or [0], t, lo, hi, keys, how, width)
+        return out.drop("p_level", "p_node", "p_salt", "level", "node", "salt", *[f"r_{k}" for k in keys])
+    out = points
+    for k in levels:  # a point stays if no level has an interval for it
+        out = _met(out, s.filter(F.col("level") == k), [k], t, lo, hi, keys, how, width).select(*points.columns)
+    return out
+
+
+def interval_masks(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, own: list[str], bit: Column, keys: list[str] | None = None, width: float = 3600.0) -> DataFrame:
+    """Points in some interval, once each, with ``mask``: the bits of all intervals that hold them.
+
+    ``own`` tells points apart. The bits are gathered where points and intervals have met, so a
+    point in many intervals doesn't leave its task as many rows; where intervals are at several
+    levels, a second step brings the levels' masks together.
+    """
+    keys = keys or []
+    s, levels = _leveled(spans.withColumn("bit", bit.cast("long")).select(*keys, lo, hi, "bit"), lo, hi, width)
+    met = _met(points, s, levels or [0], t, lo, hi, keys, "inner", width)
+    rest = [c for c in points.columns if c not in own and c not in keys]
+    one = lambda df, group, mask: df.groupBy(*group).agg(F.bit_or(mask).alias("mask"), F.first(F.struct(*rest)).alias("rest"))
+    out = one(met, list(dict.fromkeys([*keys, "p_node", "p_level", "p_salt", *own])), "bit")
+    flat = [*dict.fromkeys([*keys, *own]), *[f"rest.{c}" for c in rest], "mask"]
+    out = out.select(*flat)
+    if len(levels) > 1:
+        out = one(out, list(dict.fromkeys([*keys, *own])), "mask").select(*flat)
+    return out.select(*points.columns, "mask")
 
 
 def crossing_fill(crossings: DataFrame, t0: float, t1: float, step: float, t: str = "t", code: str = "code", label: str = "label", unknown: int = 9) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions import coords
@@ -113,12 +113,32 @@ def agg_dwell_driver(spark: SparkSession, d: str) -> DataFrame:
 _HITS = f"(SELECT DISTINCT s.event_id, c.band FROM {EV} s JOIN {CAT} c ON s.user_id = c.segment_idx AND s.t >= c.t0 AND s.t <= c.t1 WHERE c.band IS NOT NULL)"
 
 
-def band_minutes(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (sample, band) inside any event of the band, and the union of all bands as band "any"."""
-    spans = cat(spark, d).filter("band IS NOT NULL").select(F.col("segment_idx").alias("user_id"), "t0", "t1", "band")
-    hit = joins.in_intervals(ev(spark, d).select("event_id", "user_id", "t"), spans, "t", "t0", "t1", ["user_id"])
-    bands = hit.groupBy("event_id").agg(F.collect_set("band").alias("bands"))  # a handful of bands
-    return bands.select("event_id", F.explode(F.concat("bands", F.array(F.lit("any")))).alias("band"))
+BANDS = ["QP15", "QP30", "QP60", "QP120"]
+#: What a segment owns of its samples, in seconds: all but two days at its start and what lies beyond 29 days.
+LEAD, LENGTH = 2 * 86400.0, 27 * 86400.0
+OWNED = f"(SELECT e.* FROM {EVP} e JOIN (SELECT user_id, min(t) AS a FROM {EVP} GROUP BY 1) g USING (user_id) WHERE t >= a + {LEAD} AND t < a + {LEAD + LENGTH})"
+
+
+def band_spans(spark: SparkSession, d: str) -> DataFrame:
+    return cat(spark, d).filter("band IS NOT NULL").select(F.col("segment_idx").alias("user_id"), "t0", "t1", "band")
+
+
+def band_bit() -> Column:
+    """The band's bit in a mask."""
+    return F.call_function("shiftleft", F.lit(1), F.array_position(F.array(*[F.lit(b) for b in BANDS]), F.col("band")).cast("int") - 1)
+
+
+def owned_samples(spark: SparkSession, d: str) -> DataFrame:
+    return grids.owned(event_positions(spark, d), "t", ["user_id"], LEAD, LENGTH)
+
+
+def event_grid(spark: SparkSession, d: str) -> DataFrame:
+    met = joins.interval_masks(owned_samples(spark, d), band_spans(spark, d), "t", "t0", "t1", ["event_id"], band_bit(), ["user_id"])
+    b = grids.with_bins(met, SPEC).withColumn("inv", coords.invariant_latitude(F.col("x"), F.col("y"), F.col("z")))
+    lt, inv = (F.col("lt") >= 0) & (F.col("lt") < 24), (F.col("inv") >= -90) & (F.col("inv") < 90)
+    flat = [value_to_bin(F.col("inv"), -90.0, 90.0, 18), F.col("i_lt")]
+    named = {"position": (F.col("in_range"), [F.col("i_r"), F.col("i_lat"), F.col("i_lt")]), "inv_lat": (inv & lt, flat), "weak_field": (inv & lt & (F.col("k") / 25 < 2), flat)}
+    return grids.event_grids(b, BANDS, named)
 
 
 @query("agg_trace_loss", f"SELECT code, count(*) AS n, round(100.0 * (1 - count(*) FILTER (WHERE disc < 0.08) / count(*)), 6) AS loss FROM {B} WHERE in_range GROUP BY 1")
@@ -128,10 +148,17 @@ def agg_trace_loss(spark: SparkSession, d: str) -> DataFrame:
     return b.select("code", "n", r6(100.0 * (1 - F.col("closed") / F.col("n")), "loss"))
 
 
-@query("agg_event_grid", f"""WITH h AS (SELECT * FROM {_HITS} UNION ALL SELECT DISTINCT event_id, 'any' FROM {_HITS})
-SELECT band, {CELLS}, CAST(count(*) AS DOUBLE) AS total, {_REG} FROM h JOIN {BE} b USING (event_id) WHERE in_range GROUP BY band, {CELLS}""")
+_OWN_HITS = f"(SELECT DISTINCT s.event_id, c.band FROM {OWNED} s JOIN {CAT} c ON s.user_id = c.segment_idx AND s.t >= c.t0 AND s.t <= c.t1 WHERE c.band IS NOT NULL)"
+_MINUTES = f"(SELECT h.band, b.* FROM (SELECT * FROM {_OWN_HITS} UNION ALL SELECT DISTINCT event_id, 'total' FROM {_OWN_HITS}) h JOIN {BE} b USING (event_id))"
+_FLAT = f"CAST(floor(({_INV} + 90) / 10) AS INTEGER) AS i, i_lt AS j, -1 AS k, CAST(count(*) AS DOUBLE) AS total, {_REG}"
+
+
+@query("agg_event_grid", f"""WITH m AS {_MINUTES} SELECT 'position' AS schema, band, i_r AS i, i_lat AS j, i_lt AS k, CAST(count(*) AS DOUBLE) AS total, {_REG} FROM m WHERE in_range GROUP BY band, i_r, i_lat, i_lt
+UNION ALL SELECT 'inv_lat', band, {_FLAT} FROM m WHERE {_INV} >= -90 AND {_INV} < 90 AND lt >= 0 AND lt < 24 GROUP BY band, 3, 4
+UNION ALL SELECT 'weak_field', band, {_FLAT} FROM m WHERE {_INV} >= -90 AND {_INV} < 90 AND lt >= 0 AND lt < 24 AND m.k / 25.0 < 2 GROUP BY band, 3, 4""")
 def agg_event_grid(spark: SparkSession, d: str) -> DataFrame:
-    return grids.dwell_regions(event_binned(spark, d).join(band_minutes(spark, d), "event_id"), ["band", *KEYS])
+    """Owned minutes within events of each band and of any, on three schemas, in total and by region; k is -1 where a schema has two bins."""
+    return event_grid(spark, d).withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
 @query("agg_event_grid_mission", f"SELECT band, i_r, i_lt, CAST(count(*) AS DOUBLE) AS minutes FROM {_HITS} h JOIN {BE} b USING (event_id) WHERE in_range GROUP BY ALL")
@@ -141,14 +168,27 @@ def agg_event_grid_mission(spark: SparkSession, d: str) -> DataFrame:
     return grids.dwell(event_binned(spark, d).join(join_interval_event(spark, d), "event_id"), ["band", "i_r", "i_lt"])
 
 
-@query("agg_event_grid_traced", f"""SELECT band, i_lat, i_lt, CAST(count(*) AS DOUBLE) * 3 AS minutes FROM {_HITS} h JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS rn FROM {BE}) b USING (event_id) WHERE in_range AND rn % 3 = 0 GROUP BY ALL""")
-def agg_event_grid_traced(spark: SparkSession, d: str) -> DataFrame:
-    """Every third sample of a segment stands for three."""
-    from packetloom.operators.ordered import stride
-    from packetloom.plans.q_joins import join_interval_event
+def _stored_trace(x: DataFrame) -> DataFrame:
+    """Footpoints, crossing and whether the line is closed, by rules that SQL can follow, in place of a tracer."""
+    return x.withColumns({"lat_north": F.abs("y") * 6.1, "lat_south": -F.abs("x") * 3.3, "l_eq": F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) * 1.1, "closed": F.col("k") % 5 != 0})
+
+
+def traced_grid(spark: SparkSession, d: str) -> DataFrame:
+    x = event_positions(spark, d).withColumn("lt", coords.local_time(F.col("x"), F.col("y")))
+    return grids.event_grids_traced(x, band_spans(spark, d), "t", "t0", "t1", ["event_id"], band_bit(), BANDS, _stored_trace, SPEC, ["user_id"])
 
-    b = stride(event_binned(spark, d), 3, ["user_id"], ["t", "event_id"])
-    return grids.dwell(b.join(join_interval_event(spark, d), "event_id"), ["band", "i_lat", "i_lt"], 3.0)
+
+_EQ = "(sqrt(x*x + y*y) * 1.1)"
+_TR = lambda name, i, ok: f"SELECT '{name}' AS schema, band, CAST(floor({i}) AS INTEGER) AS i, i_lt AS j, CAST(count(*) AS DOUBLE) AS total, {_REG} FROM m WHERE lt >= 0 AND lt < 24 AND {ok} GROUP BY band, 3, 4"
+_ON_FOOT, _ON_EQ = f"{_FOOTLAT} >= -90 AND {_FOOTLAT} < 90", f"{_EQ} >= 0 AND {_EQ} < 40"
+
+
+@query("agg_event_grid_traced", f"""WITH m AS (SELECT h.band, b.* FROM (SELECT * FROM {_HITS} UNION ALL SELECT DISTINCT event_id, 'total' FROM {_HITS}) h JOIN {BE} b USING (event_id))
+{_TR('inv_lat', f'({_FOOTLAT} + 90) / 10', _ON_FOOT)} UNION ALL {_TR('inv_lat_closed', f'({_FOOTLAT} + 90) / 10', _ON_FOOT + ' AND m.k % 5 <> 0')}
+UNION ALL {_TR('eq_r', f'{_EQ} / 2', _ON_EQ)} UNION ALL {_TR('eq_r_closed', f'{_EQ} / 2', _ON_EQ + ' AND m.k % 5 <> 0')}""")
+def agg_event_grid_traced(spark: SparkSession, d: str) -> DataFrame:
+    """Footpoint latitude and equatorial crossing of the lines within events, all and closed ones."""
+    return traced_grid(spark, d).drop("k")
 
 
 @query("agg_walk_bins", f"""WITH w AS (SELECT c.event_id AS ev, b.i_r, b.i_lt, 1.0::DOUBLE AS m FROM {CAT} c JOIN {BE} b ON b.user_id = c.segment_idx AND b.t >= c.t0 AND b.t <= c.t1 WHERE c.k % 10 <> 0 AND in_range),

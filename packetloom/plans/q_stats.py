@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.bands import band_of
 from packetloom.operators import joins, scoring, stats
+from packetloom.plans.q_grids import _MINUTES, event_grid
 from packetloom.plans.q_joins import _DET, _TRUTH, detections, truth
 from packetloom.plans.registry import CAT, EV, cat, ev, query, r6, table
 
@@ -341,14 +342,21 @@ def agg_phase_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return ev(spark, d).groupBy(cls.alias("cls"), shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(ell), "mean"))
 
 
-@query("agg_selfcheck", f"SELECT band, round(sum(t1 - t0) / 60 + count(*), 3) AS expected, round(min(period_min), 6) AS lo, round(quantile_cont(period_min, 0.5), 6) AS med, round(max(period_min), 6) AS hi, abs(sum(t1 - t0) / 60 - count(*) * 10) > 60 AS warn FROM {CAT} WHERE band IS NOT NULL GROUP BY 1")
+_CHECKED = f"(SELECT band, t0, t1, period_min FROM {CAT} WHERE band IS NOT NULL UNION ALL SELECT 'total', t0, t1, period_min FROM {CAT} WHERE band IS NOT NULL)"
+
+
+@query("agg_selfcheck", f"""WITH m AS {_MINUTES}, g AS (SELECT band, CAST(count(*) FILTER (WHERE in_range) AS DOUBLE) AS grid FROM m GROUP BY 1),
+e AS (SELECT band, sum(t1 - t0) / 60 + count(*) AS x, round(min(period_min), 6) AS lo, round(quantile_cont(period_min, 0.5), 6) AS med, round(max(period_min), 6) AS hi FROM {_CHECKED} GROUP BY 1)
+SELECT band, round(x, 3) AS expected, coalesce(grid, 0) AS grid, round(coalesce(grid, 0) - x, 3) AS diff, abs(coalesce(grid, 0) - x) > 60 AS warn, lo, med, hi FROM e LEFT JOIN g USING (band)""")
 def agg_selfcheck(spark: SparkSession, d: str) -> DataFrame:
-    total, x = F.sum(c("t1") - c("t0")) / 60, cat(spark, d).filter("band IS NOT NULL")
-    g = x.groupBy("band").agg(
-        F.round(total + F.count(F.lit(1)), 3).alias("expected"), r6(F.min("period_min"), "lo"), r6(F.max("period_min"), "hi"), (F.abs(total - F.count(F.lit(1)) * 10) > 60).alias("warn"),
-    )
+    """The event grid's minutes against the events' own: their lengths and one closing minute each; a warning beyond an hour."""
+    x = cat(spark, d).filter("band IS NOT NULL").withColumn("band", F.explode(F.array("band", F.lit("total"))))
+    e = x.groupBy("band").agg((F.sum(c("t1") - c("t0")) / 60 + F.count(F.lit(1))).alias("x"), r6(F.min("period_min"), "lo"), r6(F.max("period_min"), "hi"))
     mid = stats.quantiles(x, c("period_min"), ["band"], {"med": 0.5}).select("band", r6(c("med"), "med"))
-    return g.join(mid, "band").select("band", "expected", "lo", "med", "hi", "warn")
+    g = event_grid(spark, d).filter("schema = 'position'").groupBy("band").agg(F.sum("total").alias("grid"))
+    out = e.join(mid, "band").join(g, "band", "left").withColumn("grid", F.coalesce("grid", F.lit(0.0)))
+    diff = c("grid") - c("x")
+    return out.select("band", F.round("x", 3).alias("expected"), "grid", F.round(diff, 3).alias("diff"), (F.abs(diff) > 60).alias("warn"), "lo", "med", "hi")
 
 
 _MATCH = f"""(SELECT tid, did, ds, iou FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY iou DESC, did) AS a FROM (SELECT tid, did, ds, greatest(least(a1, b1) - greatest(a0, b0), 0) / (greatest(a1, b1) - least(a0, b0)) AS iou FROM {_TRUTH} JOIN {_DET} USING (ds))) WHERE a = 1 AND iou > 0.1)"""
