@@ -13,6 +13,7 @@ from packetloom.plans.registry import CAT, EV, SQL, cat, ev, query, r6, table
 from packetloom.operators import grids
 from packetloom.session import scratch
 from packetloom.sources import tables as src
+from packetloom.sources.series_files import read_series
 
 c = F.col
 
@@ -25,12 +26,21 @@ def unix(name: str):
     return F.unix_seconds(name)
 
 
-def mag_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as whitespace text of the KSM layout."""
-    li = table(spark, d, "lineitem")
+def mag_lines(spark: SparkSession, d: str, column: str | None = None):
+    """Order lines as whitespace text of the KSM layout; with ``column`` the expression alone, under that name."""
     stamp = F.date_format(F.timestamp_micros(F.unix_micros(c("l_shipdate").cast("timestamp")) + c("l_linenumber") * 60_000_000), "yyyy-MM-dd'T'HH:mm:ss")
     fields = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_partkey", "l_suppkey"]
-    return li.select(F.concat_ws("  ", F.concat(F.lit(" "), stamp), *[c(f).cast("string") for f in fields]).alias("value"))
+    line = F.concat_ws("  ", F.concat(F.lit(" "), stamp), *[c(f).cast("string") for f in fields])
+    return line.alias(column) if column else table(spark, d, "lineitem").select(line.alias("value"))
+
+
+def mag_files(spark: SparkSession, d: str) -> str:
+    """The same lines as text files, one a year, each in order of time."""
+    path = scratch(spark, "tab")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", mag_lines(spark, d, "text"), (F.unix_seconds(c("l_shipdate").cast("timestamp")) + c("l_linenumber") * 60).alias("s"))
+    li = li.withColumn("year", F.year(F.timestamp_seconds("s"))).repartition("year").sortWithinPartitions("year", "s", "l_orderkey", "l_linenumber")
+    li.select("year", c("text").alias("value")).write.partitionBy("year").text(path)
+    return path
 
 
 _MAG = "(SELECT epoch_us(l_shipdate) / 1000000 + l_linenumber * 60 AS s, l_quantity AS bx, l_extendedprice AS by_, l_discount AS bz, l_tax AS btot, CAST(l_orderkey AS DOUBLE) AS x, CAST(l_partkey AS DOUBLE) AS y, CAST(l_suppkey AS DOUBLE) AS z FROM lineitem)"
@@ -43,12 +53,10 @@ def mag(df: DataFrame) -> DataFrame:
 
 @query("src_tab_read", f"SELECT {_MAGC} FROM {_MAG} WHERE s BETWEEN 757382400 AND 883612800")
 def src_tab_read(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "tab")
-    mag_lines(spark, d).write.text(path)
-    return mag(src.read_table(spark, path, "KSM", "1994-01-01 00:00:00", "1998-01-01 00:00:00"))
+    return mag(read_series(spark, mag_files(spark, d), "KSM", "1994-01-01", "1998-01-01"))
 
 
-@query("src_tab_resolution", f"""WITH f AS (SELECT user_id, CAST(floor(t) AS BIGINT) AS s, round(value, 6) AS v, row_number() OVER (PARTITION BY user_id ORDER BY floor(t), round(value, 6)) - 1 AS rn FROM {EV}),
+@query("src_tab_resolution", f"""WITH f AS (SELECT user_id, CAST(floor(t) AS BIGINT) AS s, round(value, 6) AS v, row_number() OVER (PARTITION BY user_id ORDER BY floor(t), event_id) - 1 AS rn FROM {EV}),
 g AS (SELECT *, max(CASE WHEN rn = 1 THEN s END) OVER (PARTITION BY user_id) - max(CASE WHEN rn = 0 THEN s END) OVER (PARTITION BY user_id) AS dt FROM f)
 SELECT user_id, s, v FROM g WHERE rn % CAST(CASE WHEN dt > 0 THEN greatest(1, floor(90000.0 / dt)) ELSE 1 END AS BIGINT) = 0""")
 def src_tab_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -56,10 +64,10 @@ def src_tab_resolution(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "tab")
     stamp = F.date_format(F.timestamp_seconds(F.floor("t").cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
     line = F.concat_ws(" ", stamp, F.round("value", 6).cast("string"), *[F.lit("0")] * 6)
-    ev(spark, d).select("user_id", line.alias("value")).write.partitionBy("user_id").text(path)
-    rows = src.parse_table(spark.read.text(path), "KSM", keep=["user_id"])
-    out = src.thinned(rows, ["user_id"], ["ts", "bx"], "ts", 90000.0)
-    return out.select(c("user_id").cast("long").alias("user_id"), unix("ts").alias("s"), c("bx").alias("v"))
+    rows = ev(spark, d).select("user_id", F.floor("t").alias("s"), "event_id", line.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "s", "event_id")
+    rows.select("user_id", "value").write.partitionBy("user_id").text(path)
+    out = read_series(spark, path, "KSM", resolution_s=90000.0)
+    return out.select(F.regexp_extract("file", "user_id=([0-9]+)", 1).cast("long").alias("user_id"), unix("ts").alias("s"), c("bx").alias("v"))
 
 
 @query("src_tab_layout", " UNION ALL ".join(f"SELECT '{n}' AS name, '{u}' AS units, count(*) AS n FROM {_MAG}" for n, u in zip("bx by bz btot x y z".split(), "nT nT nT nT R R R".split(), strict=True)))
@@ -80,8 +88,21 @@ def src_path_prune(spark: SparkSession, d: str) -> DataFrame:
     return mag(spark.read.parquet(path).filter("year = 1996"))
 
 
-@query("src_select", f"SELECT {_MAGC} FROM {_MAG} WHERE s BETWEEN 820454400 - 86400 AND 855100800 + 86400")
+_RANGE = "s BETWEEN 820454400 - 86400 AND 855100800 + 86400"
+
+
+@query("src_select", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY year(make_timestamp(CAST(s AS BIGINT) * 1000000)) ORDER BY s, o, n) - 1 AS line, year(make_timestamp(CAST(s AS BIGINT) * 1000000)) AS y FROM
+(SELECT epoch_us(l_shipdate) / 1000000 + l_linenumber * 60 AS s, l_orderkey AS o, l_linenumber AS n, l_quantity AS bx, l_extendedprice AS by_, l_discount AS bz, l_tax AS btot, CAST(l_orderkey AS DOUBLE) AS x, CAST(l_partkey AS DOUBLE) AS y_, CAST(l_suppkey AS DOUBLE) AS z FROM lineitem)),
+g AS (SELECT *, max(CASE WHEN line = 1 THEN s END) OVER (PARTITION BY y) - max(CASE WHEN line = 0 THEN s END) OVER (PARTITION BY y) AS dt FROM m)
+SELECT CAST(s AS BIGINT) AS s, bx, by_, bz, btot, x, y_ AS y, z FROM g WHERE {_RANGE} AND line % CAST(CASE WHEN dt > 0 THEN greatest(1, floor(600 / dt)) ELSE 1 END AS BIGINT) = 0""")
 def src_select(spark: SparkSession, d: str) -> DataFrame:
+    """A range and a day to each side of it, at a resolution of ten minutes by each file's own lines."""
+    return mag(read_series(spark, mag_files(spark, d), "KSM", "1996-01-01", "1997-02-05", 86400, 600.0))
+
+
+@query("src_path_range", f"SELECT {_MAGC} FROM {_MAG} WHERE {_RANGE}")
+def src_path_range(spark: SparkSession, d: str) -> DataFrame:
+    """The same range of a Parquet table by year."""
     path = scratch(spark, "years")
     src.write_years(src.parse_table(mag_lines(spark, d), "KSM"), path)
     return mag(src.select_data(spark, path, "1996-01-01 00:00:00", "1997-02-05 00:00:00", 86400))
