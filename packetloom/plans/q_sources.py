@@ -12,6 +12,7 @@ from packetloom.plans.q_stats import _ROWS, signal
 from packetloom.plans.registry import CAT, EV, SQL, cat, ev, query, r6, table
 from packetloom.operators import grids
 from packetloom.session import scratch
+from packetloom.sources import event_catalogue as catalogue
 from packetloom.sources import tables as src
 from packetloom.sources.series_files import read_series
 
@@ -299,25 +300,43 @@ def src_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_table(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue's columns; amplitudes and polarisation from the event's own numbers."""
     at = lambda n: F.timestamp_micros(F.round(c(n) * 1e6).cast("long"))
-    return cat(spark, d).select("event_id", "segment_idx", "band", at("t0").alias("peak_time"), at("t0").alias("date_from"), at("t1").alias("date_to"), "period_min", "q_factor")
+    k, p = c("k"), c("period_min")
+    shape = {"mva_par_frac": k / 100, "stokes_d": k / 200, "b_perp1_amp": k / 50, "b_perp2_amp": k / 80, "b_par_amp": k / 90, "stokes_i": 1 + k, "stokes_q": k / 2, "stokes_u": k / 3, "stokes_v": k / 4}
+    shape |= {"ellipticity": k / 400, "inclination_deg": k * 1.0, "polarized_fraction": k / 200, "period_fwhm_min": p / 5, "duration_minutes": (c("t1") - c("t0")) / 60, "r_distance": p / 10}
+    return cat(spark, d).select("event_id", c("segment_idx").alias("segment_id"), "band", at("t0").alias("peak_time"), at("t0").alias("date_from"), at("t1").alias("date_to"), "period_min", "q_factor", *[v.alias(n) for n, v in shape.items()], "k")
+
+
+def written_catalogue(spark: SparkSession, d: str) -> str:
+    """A catalogue of all three versions: a third of the segments each, the last with peers."""
+    path, e = scratch(spark, "events"), events_table(spark, d)
+    third = lambda n: e.filter(c("segment_id") % 3 == n)
+    peers = {"peer_event_ids": F.array("event_id"), "peer_periods_min": F.array("period_min"), "peer_overlap_frac": F.array(c("k") / 100)}
+    catalogue.write_catalogue(third(0).select(*catalogue.required("1"), "r_distance"), path, "1", origin="old")
+    catalogue.write_catalogue(third(1).drop("k"), path, "2", origin="new")
+    catalogue.write_catalogue(catalogue.record(third(2), peers).drop("k"), path)
+    return path
+
+
+_NUMBERS = ("period_min", "q_factor", "period_fwhm_min", "duration_minutes", "mva_par_frac", "stokes_i", "ellipticity", "r_distance")
 
 
-@query("sink_events", f"SELECT event_id, band, round(period_min, 6) AS period_min FROM {CAT}")
+@query("sink_events", f"""SELECT event_id, segment_idx AS segment_id, band, CAST(floor(t0) AS BIGINT) AS peak, round(period_min, 6) AS period_min, round(q_factor, 6) AS q_factor, round(period_min / 5, 6) AS period_fwhm_min, round((t1 - t0) / 60, 6) AS duration_minutes,
+round(k / 100.0, 6) AS mva_par_frac, CASE WHEN segment_idx % 3 > 0 THEN CAST(1 + k AS DOUBLE) END AS stokes_i, CASE WHEN segment_idx % 3 > 0 THEN round(k / 400.0, 6) END AS ellipticity, round(period_min / 10, 6) AS r_distance,
+CASE WHEN segment_idx % 3 = 2 THEN event_id ELSE -1 END AS peer, CASE WHEN segment_idx % 3 = 2 THEN k / 100.0 END AS overlap FROM {CAT}""")
 def sink_events(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "events")
-    src.write_events(events_table(spark, d), path, version="1")
-    rows, _ = src.read_events(spark, path)
-    return rows.select("event_id", "band", r6(c("period_min"), "period_min"))
+    """Rows of three schema versions read back as one table, null where an older version has no such column."""
+    rows, _ = catalogue.read_catalogue(spark, written_catalogue(spark, d))
+    return rows.select("event_id", "segment_id", "band", unix("peak_time").alias("peak"), *[r6(c(n), n) for n in _NUMBERS], F.coalesce(F.get("peer_event_ids", F.lit(0)), F.lit(-1)).alias("peer"), F.get("peer_overlap_frac", F.lit(0)).alias("overlap"))
 
 
-@query("src_events", f"SELECT count(*) AS n, 8 AS n_columns, true AS same FROM {CAT}")
+@query("src_events", f"SELECT count(*) AS n, 26 AS n_columns, '1,2,3' AS versions, 'new' AS origin, true AS same FROM {CAT}")
 def src_events(spark: SparkSession, d: str) -> DataFrame:
-    """The sidecar of a written catalogue against its rows."""
-    path = scratch(spark, "events")
-    src.write_events(events_table(spark, d), path, version="1")
-    rows, attrs = src.read_events(spark, path)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.lit(len(attrs["columns"])).alias("n_columns"), (F.count(F.lit(1)) == attrs["n_rows"]).alias("same"))
+    """What the sidecars of a catalogue tell, against its rows."""
+    rows, about = catalogue.read_catalogue(spark, written_catalogue(spark, d))
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("n"), F.lit(len(about["columns"])).alias("n_columns"), F.lit(",".join(about["versions"])).alias("versions"), F.lit(about["attrs"]["origin"]).alias("origin"), (n == about["n_rows"]).alias("same"))
 
 
 def nested(spark: SparkSession, d: str) -> DataFrame:

@@ -34,7 +34,6 @@ LAYOUTS = {
     "KRTP": _layout("br bth bphi btot r th phi lt", "nT nT nT nT R deg deg h"),
 }
 FLAGS = T.StructType([T.StructField("start_time", T.TimestampType()), T.StructField("end_time", T.TimestampType())] + [T.StructField(n, T.StringType()) for n in ("flag_type", "sensor", "severity", "description")])
-REQUIRED = ("event_id", "segment_idx", "band", "peak_time", "date_from", "date_to", "period_min", "q_factor")
 
 
 def parse_table(lines: DataFrame, coords: str, value: str = "value", keep: list[str] | None = None) -> DataFrame:
@@ -232,19 +231,6 @@ def flag_report(flags: DataFrame, mission_hours: float) -> DataFrame:
     return g.withColumn("percent", F.round(100.0 * F.col("hours") / mission_hours, 4))
 
 
-def write_events(events: DataFrame, path: str, **attrs: str) -> None:
-    """A catalogue with its required columns, and a one-row JSON sidecar of rows, columns and attributes."""
-    require_columns(events, *REQUIRED)
-    events.write.parquet(f"{path}/rows")
-    n = events.sparkSession.read.parquet(f"{path}/rows").count()
-    side = [F.lit(n).alias("n_rows"), F.array(*[F.lit(c) for c in events.columns]).alias("columns"), *[F.lit(v).alias(k) for k, v in attrs.items()]]
-    events.sparkSession.range(1).select(*side).write.json(f"{path}/attrs")
-
-
-def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(f"{path}/rows"), spark.read.json(f"{path}/attrs").first().asDict()  # one row
-
-
 def event_record(detections: DataFrame, extras: dict[str, Column] | None = None) -> DataFrame:
     """Nested detections (struct ``peak``) as flat rows in minutes; ValueError if an extra's name is taken."""
     inner = detections.schema["peak"].dataType.fieldNames()

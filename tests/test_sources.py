@@ -75,16 +75,6 @@ def test_flags_window_and_csv(spark):
     assert src.all_flags([empty]).count() == 0
 
 
-def test_catalogue_sidecar(spark):
-    cols = [F.lit(1).alias("event_id"), F.lit(2).alias("segment_idx"), F.lit("QP60").alias("band"), *[F.current_timestamp().alias(n) for n in ("peak_time", "date_from", "date_to")], F.lit(60.0).alias("period_min"), F.lit(5.0).alias("q_factor")]
-    df, path = spark.range(3).select(*cols), scratch(spark, "events")
-    src.write_events(df, path, version="7")
-    rows, attrs = src.read_events(spark, path)
-    assert rows.count() == attrs["n_rows"] == 3 and attrs["version"] == "7" and attrs["columns"] == df.columns
-    with pytest.raises(ValueError, match="q_factor"):
-        src.write_events(df.drop("q_factor"), path)
-
-
 def test_event_record_refuses_taken_names(spark):
     df = spark.range(1).select(F.col("id"), F.struct(F.lit(3600.0).alias("period_sec"), F.lit("QP60").alias("band")).alias("peak"))
     assert src.event_record(df).first().asDict() == {"id": 0, "period_min": 60.0, "band": "QP60"}
