@@ -1,12 +1,13 @@
 """License scan by conditional compression.
 
-Candidate blocks are the lines of a text that speak of licences, with as many words before and
-after them as the longest template has, so that a notice wrapped over lines is whole. A block of any length is cut into overlapping windows of words. A window is compressed plain and
-once with each template as a raw zstandard dictionary; the templates that shrink it most are its
-best explanations and come first. Every template is then compared word by word at every place
-where it may fit: a licence is confirmed if nearly all of the template's words stand there in
-order and none of the words that tell licences apart (names, versions, anything with a digit)
-differs. The compression orders the licences and rates them; it rules none out.
+Candidate blocks are the words about a cue: for each template a few of its words of which one must
+stand in every notice that its wording would bear out, whatever words are changed, wrapped or
+spaced otherwise. A block of any length is cut into overlapping windows of words. A window is
+compressed plain and once with each template as a raw zstandard dictionary; the template that
+saves most is the best explanation. The winner is confirmed by wording: nearly all of its words
+stand there in order, and none of the words that tell licences apart (names, versions, anything
+with a digit) differs. If they do, the next in rank is asked. What a confirmed notice explains is
+masked, and the rest of the window is compressed and ranked again, until no template saves a byte.
 """
 
 from __future__ import annotations
@@ -59,31 +60,48 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 )
-#: Parts of words that make a line a candidate.
-CUES = ("licen", "copyright", "permission is hereby", "redistribut", "public domain", "released under", "permission to use", "free software",
-        "gnu ", "apache", "mozilla", "eclipse public", "creative commons", "boost software", "derived from this software", "without restriction", "unencumbered")
 #: Words that must not differ, beside those with a digit.
 NAMES = frozenset("apache mit bsd isc gnu general lesser affero mozilla eclipse boost creative commons attribution sharealike noncommercial noderivatives cc by nc sa nd cc0 unencumbered public".split())
+#: Names that ordinary text has too.
+COMMON = frozenset("general public creative by".split())
 SHARE = 0.85
 LEVEL = 3
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def most_missing(template: list[str]) -> int:
+    """How many of a template's words a notice may lack."""
+    return int((1 - SHARE) * len(template) + 1e-9)
+
+
+def cues_of(template: list[str]) -> list[str]:
+    """Words of which at least one stands in every notice that bears the template out.
+
+    A name may not differ, so one is enough; else one word more than may be missing. Long words
+    are rarer in other text.
+    """
+    most, names = most_missing(template), [w for w in template if w in NAMES - COMMON]
+    pool = names if names and most else template
+    return sorted(set(pool), key=lambda w: (-len(w), w))[: 1 if names or not most else most + 1]
 
 
 _WORDS = [words(t) for _, t in TEMPLATES]
 _NORMAL = [" ".join(w) for w in _WORDS]
 LONGEST = max(len(w) for w in _WORDS)
-#: Words of a window and from one window to the next: the overlap holds every template twice.
-WINDOW = 4 * LONGEST
-STEP = WINDOW // 2
+CUES = frozenset(c for t in _WORDS for c in cues_of(t))
+#: Words about a cue, of a window, and from one window to the next: the overlap holds every template.
+REACH = LONGEST + 2
+WINDOW = 2 * REACH
+STEP = REACH
 
 
 def windows(block: list[str]) -> Iterator[list[str]]:
     """Overlapping windows of a block's words; a block of up to WINDOW words is one."""
-    for at in range(0, max(1, len(block) - WINDOW + STEP), STEP):
+    for at in range(0, max(1, len(block) - STEP), STEP):
         yield block[at : at + WINDOW]
 
 
@@ -102,22 +120,40 @@ class Scanner:
         saved = [(plain - len(c.compress(data)), k) for k, c in enumerate(self.given)]
         return [(s / plain, k) for s, k in sorted(saved, key=lambda x: (-x[0], x[1]))]
 
-    def confirmed(self, block: list[str]) -> list[tuple[str, float, int]]:
-        """(identifier, share of bytes saved, differing words) of each licence that the block's wording bears out."""
-        out: dict[str, tuple[float, int]] = {}
-        for window in windows(block):
-            own = set(window)
-            for saved, k in self.ranked(window):
-                differing = difference(window, _WORDS[k], own)
-                name = TEMPLATES[k][0]
-                if differing is not None and (name not in out or (differing, -saved) < (out[name][1], -out[name][0])):
-                    out[name] = (saved, differing)
-        return sorted((n, s, d) for n, (s, d) in out.items())
-
-
-def difference(block: list[str], template: list[str], words_of_block: set[str]) -> int | None:
-    """Words of the template that the block lacks where the template fits best; None if it isn't borne out anywhere."""
-    most, size = int((1 - SHARE) * len(template) + 1e-9), len(template) + 2
+    def explained(self, window: list[str]) -> Iterator[tuple[int, float, int, int, int]]:
+        """(template, share of bytes saved, differing words, first word, end) of each notice, the best explanation of what is left first."""
+        left = list(window)
+        while True:
+            own = set(left)
+            for saved, k in self.ranked(left):
+                if saved <= 0:
+                    return
+                if found := placed(left, _WORDS[k], own):
+                    break
+            else:
+                return
+            missing, a, b = found
+            yield k, saved, missing, a, b
+            left[a:b] = [""] * (b - a)  # places stay, and nothing reaches across
+
+    def confirmed(self, block: list[str]) -> list[tuple[str, float, int, int, int]]:
+        """(identifier, share of bytes saved, differing words, first word, end) of each notice that the block's wording bears out.
+
+        Of a notice that two windows see, one whole and one in part, the whole one counts.
+        """
+        found = set()
+        for n, window in enumerate(windows(block)):
+            found |= {(d, -(b - a), a + n * STEP, b + n * STEP, TEMPLATES[k][0], s) for k, s, d, a, b in self.explained(window)}
+        out: list[tuple[str, float, int, int, int]] = []
+        for d, _, a, b, name, s in sorted(found):
+            if not any(name == x[0] and a < x[4] and x[3] < b for x in out):
+                out.append((name, s, d, a, b))
+        return sorted(out)
+
+
+def placed(block: list[str], template: list[str], words_of_block: set[str]) -> tuple[int, int, int] | None:
+    """(words of the template that the block lacks where it fits best, first word, end); None if it isn't borne out anywhere."""
+    most, size = most_missing(template), len(template) + 2
     own = set(template)
     if len(own - words_of_block) > most:
         return None
@@ -125,58 +161,58 @@ def difference(block: list[str], template: list[str], words_of_block: set[str])
     for at in range(len(block)):  # only places with enough of the template's words can bear it out
         if count[min(at + size, len(block))] - count[at] < len(template) - most:
             continue
-        missing = _missing(block[at : at + size], template)
-        if missing is not None and missing <= most and (best is None or missing < best):
-            best = missing
-            if not best:
+        fit = _fit(block[at : at + size], template)
+        if fit is not None and fit[0] <= most and (best is None or fit[0] < best[0]):
+            best = (fit[0], at + fit[1], at + fit[2])
+            if not best[0]:
                 break
     return best
 
 
-def _missing(window: list[str], template: list[str]) -> int | None:
-    """Words of the template that the window lacks; None if words that tell licences apart differ."""
+def _fit(window: list[str], template: list[str]) -> tuple[int, int, int] | None:
+    """(words of the template that the window lacks, first word in common, end of the last); None if words that tell licences apart differ."""
     same = SequenceMatcher(None, window, template, autojunk=False)
-    missing = 0
+    missing, first, last = 0, None, 0
     for tag, a, b, c, d in same.get_opcodes():
         if tag == "equal":
+            first, last = a if first is None else first, b
             continue
         ends = tag == "delete" and b == len(window)  # words after the notice
         if tag in ("replace", "insert"):
             missing += d - c
         if not ends and any(w in NAMES or any(x.isdigit() for x in w) for w in (*window[a:b], *template[c:d])):
             return None
-    return missing
+    return None if first is None else (missing, first, last)
+
+
+def _missing(window: list[str], template: list[str]) -> int | None:
+    fit = _fit(window, template)
+    return None if fit is None else fit[0]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks of a text, in code points."""
+def blocks(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
+    """(words, their places in code points) of each candidate block of a text: what stands within REACH words of a cue."""
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
-    lines, out = text.split("\n"), []
-    for k in (k for k, line in enumerate(lines) if any(c in line.lower() for c in CUES)):
-        first, n = k, 0
-        while first > 0 and n < LONGEST and not (out and first <= out[-1][1]):
-            first -= 1
-            n += len(lines[first].split())
-        last, n = k, 0
-        while last + 1 < len(lines) and n < LONGEST:
-            last += 1
-            n += len(lines[last].split())
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(last, out[-1][1]))
+    found = list(_WORD.finditer(text))
+    own = [m.group().lower() for m in found]
+    spans: list[list[int]] = []
+    for k in (k for k, w in enumerate(own) if w in CUES):
+        if spans and k - REACH <= spans[-1][1]:
+            spans[-1][1] = k + REACH + 1
         else:
-            out.append((first, last))
-    starts = [0, *accumulate(len(line) + 1 for line in lines)]
-    return [(starts[first], starts[last + 1] - 1) for first, last in out]
+            spans.append([max(0, k - REACH), k + REACH + 1])
+    return [(own[a:b], [m.span() for m in found[a:b]]) for a, b in spans]
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_blocks, licenses, n_exact, saved, spans) for every row of ``docs``.
 
     ``licenses`` are the confirmed identifiers, sorted and comma-joined; ``n_exact`` those
-    without any differing word; ``saved`` the largest share of bytes saved in a confirmed window;
-    ``spans`` lists identifier:start:end of the confirmed blocks. Null, empty and silent texts
+    without any differing word; ``saved`` the largest share of bytes that a confirmed template saved;
+    ``spans`` lists identifier:start:end of the notices in order of place (code points, end
+    exclusive). Texts of any length are scanned whole. Null, empty and silent texts
     have no blocks. Repeated rows each give a row. Other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -188,12 +224,12 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for text in b["text"]:
                 text, found, exact, saved = text or "", set(), set(), 0.0
                 spans, own = [], blocks(text)
-                for a, e in own:
-                    for name, share, differing in scanner.confirmed(words(text[a:e])):
+                for block, places in own:
+                    for name, share, differing, first, end in sorted(scanner.confirmed(block), key=lambda x: x[3:]):
                         found.add(name)
                         exact |= {name} if not differing else set()
                         saved = max(saved, share)
-                        spans.append(f"{name}:{a}:{e}")
+                        spans.append(f"{name}:{places[first][0]}:{places[end - 1][1]}")
                 out.append((len(own), ",".join(sorted(found)), len(exact), saved, ",".join(spans)))
             names = ["n_blocks", "licenses", "n_exact", "saved", "spans"]
             yield pd.concat([b[["id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
