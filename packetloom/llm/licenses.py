@@ -8,6 +8,7 @@ saves most is the best explanation. The winner is confirmed by wording: nearly a
 stand there in order, and none of the words that tell licences apart (names, versions, anything
 with a digit) differs. If they do, the next in rank is asked. What a confirmed notice explains is
 masked, and the rest of the window is compressed and ranked again, until no template saves a byte.
+What is left then goes through narrower windows likewise.
 """
 
 from __future__ import annotations
@@ -97,12 +98,15 @@ CUES = frozenset(c for t in _WORDS for c in cues_of(t))
 REACH = LONGEST + 2
 WINDOW = 2 * REACH
 STEP = REACH
+#: Sizes of windows and steps from one to the next. What wide windows leave is ranked again in narrow
+#: ones, where other wording that is like a short notice can't hide what its template saves.
+SCALES = ((WINDOW, STEP), (32, 16), (16, 8))
 
 
-def windows(block: list[str]) -> Iterator[list[str]]:
-    """Overlapping windows of a block's words; a block of up to WINDOW words is one."""
-    for at in range(0, max(1, len(block) - STEP), STEP):
-        yield block[at : at + WINDOW]
+def windows(block: list[str], size: int = WINDOW, step: int = STEP) -> Iterator[tuple[int, list[str]]]:
+    """(first word, words) of a block's overlapping windows; a block of up to ``size`` words is one."""
+    for at in range(0, max(1, len(block) - (size - step)), step):
+        yield at, block[at : at + size]
 
 
 class Scanner:
@@ -120,15 +124,18 @@ class Scanner:
         saved = [(plain - len(c.compress(data)), k) for k, c in enumerate(self.given)]
         return [(s / plain, k) for s, k in sorted(saved, key=lambda x: (-x[0], x[1]))]
 
-    def explained(self, window: list[str]) -> Iterator[tuple[int, float, int, int, int]]:
-        """(template, share of bytes saved, differing words, first word, end) of each notice, the best explanation of what is left first."""
+    def explained(self, window: list[str], longest: int = LONGEST) -> Iterator[tuple[int, float, int, int, int]]:
+        """(template, share of bytes saved, differing words, first word, end) of each notice, the best explanation of what is left first.
+
+        Only templates of up to ``longest`` words count.
+        """
         left = list(window)
         while True:
             own = set(left)
             for saved, k in self.ranked(left):
                 if saved <= 0:
                     return
-                if found := placed(left, _WORDS[k], own):
+                if len(_WORDS[k]) <= longest and (found := placed(left, _WORDS[k], own)):
                     break
             else:
                 return
@@ -141,13 +148,17 @@ class Scanner:
 
         Of a notice that two windows see, one whole and one in part, the whole one counts.
         """
-        found = set()
-        for n, window in enumerate(windows(block)):
-            found |= {(d, -(b - a), a + n * STEP, b + n * STEP, TEMPLATES[k][0], s) for k, s, d, a, b in self.explained(window)}
-        out: list[tuple[str, float, int, int, int]] = []
-        for d, _, a, b, name, s in sorted(found):
-            if not any(name == x[0] and a < x[4] and x[3] < b for x in out):
-                out.append((name, s, d, a, b))
+        left, out = list(block), []
+        for size, step in SCALES:
+            found = set()
+            for at, window in windows(left, size, step):
+                if not CUES.isdisjoint(window):
+                    found |= {(d, a - b, a + at, b + at, TEMPLATES[k][0], s) for k, s, d, a, b in self.explained(window, step)}
+            for d, _, a, b, name, s in sorted(found):
+                if not any(name == x[0] and a < x[4] and x[3] < b for x in out):
+                    out.append((name, s, d, a, b))
+            for *_, a, b in out:
+                left[a:b] = [""] * (b - a)
         return sorted(out)
 
 
