@@ -66,7 +66,9 @@ NAMES = frozenset("apache mit bsd isc gnu general lesser affero mozilla eclipse
 #: Names that ordinary text has too.
 COMMON = frozenset("general public creative by".split())
 SHARE = 0.85
-LEVEL = 3
+#: Levels below search too little for matches as short as a notice; a dictionary as short as one is indexed in part only, so it holds its template thrice.
+LEVEL = 12
+REPEATED = 3
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -114,7 +116,7 @@ class Scanner:
 
     def __init__(self) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        dicts = [zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in _NORMAL]
+        dicts = [zstandard.ZstdCompressionDict(" ".join([t] * REPEATED).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in _NORMAL]
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in dicts]
 
     def ranked(self, window: list[str]) -> list[tuple[float, int]]:
