@@ -153,15 +153,23 @@ def coarsen(grid: DataFrame, axis: str, n: int, target: int, keys: list[str]) ->
     return df.groupBy(axis, *keys).agg(F.sum("minutes").alias("minutes"))
 
 
-def coverage(spans: DataFrame, lo: str, hi: str, keys: list[str]) -> DataFrame:
-    """Disjoint stretches [lo, hi] that closed intervals cover, per key, from running maxima of their ends."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(lo, hi)
-    before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", (before.isNull() | (F.col(lo) > before)).cast("int"))
-    island = marked.withColumn("island", F.sum("new").over(w))
-    return island.groupBy(*keys, "island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("island")
+def coverage(spans: DataFrame, lo: str, hi: str, keys: list[str], rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
+    """Disjoint stretches [lo, hi] that closed intervals cover, per key.
+
+    A sweep over the ends: a stretch begins where no interval is open before and ends where none
+    is after. The open ones are counted over ranges of (keys, time), so a key of any size is many tasks.
+    """
+    from packetloom.operators.ordered import cumulated
+
+    end = lambda c, n: F.struct(F.col(c).alias("at"), F.lit(n).cast("long").alias("d"), F.lit(int(n > 0)).cast("long").alias("b"))
+    ends = spans.filter(F.col(lo) <= F.col(hi)).select(*keys, F.explode(F.array(end(lo, 1), end(hi, -1))).alias("e")).select(*keys, "e.*")
+    counted = staged(ends.groupBy(*keys, "at").agg(F.sum("d").alias("d")), "ends")  # a row per key and time
+    swept = cumulated(counted, "at", keys, ["d"], counted, rows_per_part)
+    first = (F.col("upto_d") - F.col("d") == 0) & (F.col("d") >= 0)
+    marks = swept.filter(first | (F.col("upto_d") == 0)).select(*keys, "at", first.cast("long").alias("begins"))
+    marks = staged(marks, "marks")
+    numbered = cumulated(marks, "at", keys, ["begins"], marks, rows_per_part)
+    return numbered.groupBy(*keys, "upto_begins").agg(F.min("at").alias(lo), F.max("at").alias(hi)).select(*keys, lo, hi)
 
 
 def smooth(grid: DataFrame, i: str, j: str, value: str, sigma: float, n_i: int, n_j: int, wrap_j: bool = True) -> DataFrame:

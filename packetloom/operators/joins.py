@@ -113,20 +113,23 @@ def neighbours(
     return both.select("l", *[name for name, _ in out])
 
 
-def intervals(points: DataFrame, t: str, keys: list[str] | None = None, end: Column | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """``points`` with ``lo`` and ``hi``: from each point to the next one of its keys, the last to ``end``."""
+def intervals(points: DataFrame, t: str, keys: list[str] | None = None, end: Column | None = None, rows_per_part: int = ROWS_PER_PART, carry: str | None = None) -> DataFrame:
+    """``points`` with ``lo`` and ``hi``: from each point to the next one of its keys, the last to ``end``.
+
+    With ``carry`` ``hi`` is that column of the next point in place of its time.
+    """
     keys = keys or []
     part, n = ranges(points.withColumn("at", F.col(t).cast("double")), [*keys, "at"], rows_per_part)
     rows = points.withColumn("part", part(*[F.col(c) for c in keys], F.col(t).cast("double")))
     w = Window.partitionBy("part", *keys).orderBy(t)
-    hi = F.lead(t).over(w)
+    hi = F.lead(carry or t).over(w)
     if n > 1:
-        first = rows.groupBy("part").agg(F.min(F.struct(*keys, F.col(t).alias("at"))).alias("edge"))
+        first = rows.groupBy("part").agg(F.min(F.struct(*keys, F.col(t).alias("at"), F.col(carry or t).alias("of_next"))).alias("edge"))
         rows = rows.withColumn("hi", hi).join(F.broadcast(from_others(first, "edge", n, after=True)), "part", "left")  # one row per range
         same = F.lit(True)
         for c in keys:
             same = same & (F.col(c) == F.col(f"edge.{c}"))
-        hi = F.coalesce("hi", F.when(same, F.col("edge.at")))
+        hi = F.coalesce("hi", F.when(same, F.col("edge.of_next")))
     return rows.select(*points.columns, F.col(t).alias("lo"), F.coalesce(hi, end if end is not None else F.lit(None)).alias("hi"))
 
 
@@ -231,6 +234,23 @@ def interval_masks(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str
     return out.select(*points.columns, "mask")
 
 
+def at_index(points: DataFrame, series: DataFrame, t: str, keys: list[str], order: list[str], values: list[str], cadence: float, block: int = 4096, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Points with ``values`` of their key's series at place (time since its first row) / ``cadence``, rounded half to even and clamped.
+
+    A series is kept as arrays of ``block`` rows keyed by (keys, place div block), so no row grows
+    with its key. Points of a key without a series drop out.
+    """
+    from packetloom.operators.ordered import placed
+
+    rows, _ = placed(series, keys, order, rows_per_part)
+    size = rows.groupBy(*keys).agg(F.min(t).alias("t0"), F.count(F.lit(1)).alias("n_rows"))  # a row per key
+    blocks = rows.groupBy(*keys, F.floor(F.col("place") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", *values))).alias("held"))
+    k = F.least(F.greatest(F.bround((F.col(t) - F.col("t0")) / cadence, 0), F.lit(0.0)), (F.col("n_rows") - 1).cast("double")).cast("long")
+    at = points.join(size, keys).withColumn("at_place", k).withColumn("block", F.floor(F.col("at_place") / block))
+    out = at.join(blocks, [*keys, "block"]).withColumn("held", F.get("held", (F.col("at_place") % block).cast("int")))
+    return out.select(*points.columns, *[F.col(f"held.{v}").alias(v) for v in values])
+
+
 def crossing_fill(crossings: DataFrame, t0: float, t1: float, step: float, t: str = "t", code: str = "code", label: str = "label", unknown: int = 9) -> DataFrame:
     """State on a regular grid from t0 + step to just past t1, carried forward from the crossings.
 

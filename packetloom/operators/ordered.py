@@ -2,29 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators import joins
 
 
-def stride(df: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame:
+#: Rows of a block that a window runs over.
+BLOCK = 50_000
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return on
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], rows_per_part: int = joins.ROWS_PER_PART) -> tuple[DataFrame, int]:
+    """``df`` with ``place``, the row's number from 0 within its key, and among how many ranges the rows were dealt.
+
+    Ranges go by (keys, order), so only the first key of a range can have rows in the ranges
+    before it: what it adds to the numbers is one row per range at most.
+    """
+    part, n = joins.ranges(df, [*keys, *order], rows_per_part)
+    x = df.withColumn("part", part(*[F.col(c) for c in (*keys, *order)]))
+    x = x.withColumn("place", (F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)) - 1).cast("long"))
+    if n > 1:
+        held = df.withColumn("part", part(*[F.col(c) for c in (*keys, *order)])).groupBy(*keys, "part").count()
+        before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and range
+        shift = held.withColumn("before", F.sum("count").over(before)).filter("before > 0")
+        shift = shift.select(F.col("part").alias("of_part"), *[F.col(c).alias(f"of_{c}") for c in keys], "before")
+        x = x.join(F.broadcast(shift), (F.col("part") == F.col("of_part")) & _same(keys, "of_"), "left")  # one row per range
+        x = x.withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+    return x.select(*df.columns, "place"), n
+
+
+def haloed(x: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
+    """Placed rows with ``block`` and ``own``: each in its block of places, and within ``reach`` of an edge also in the neighbour's.
+
+    A window over (keys, block) then sees ``reach`` rows to each side of every row that is its own.
+    """
+    size = max(block, 4 * reach)
+    at, own = F.col("place") % size, F.floor(F.col("place") / size)
+    where = F.array_compact(F.array(own, F.when((at < reach) & (own > 0), own - 1), F.when(at >= size - reach, own + 1)))
+    return x.withColumn("own", own).withColumn("block", F.explode(where)).withColumn("own", F.col("own") == F.col("block"))
+
+
+def stride(df: DataFrame, k: int, keys: list[str], order: list[str], rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
     """Every ``k``-th row of each key in order, from the first."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w) - 1).filter(F.col("rn") % k == 0).drop("rn")
+    return placed(df, keys, order, rows_per_part)[0].filter(F.col("place") % k == 0).drop("place")
 
 
-def running_mean(df: DataFrame, v: str, width: int, keys: list[str], order: list[str], out: str) -> DataFrame:
+def running_mean(df: DataFrame, v: str, width: int, keys: list[str], order: list[str], out: str, rows_per_part: int = joins.ROWS_PER_PART, block: int = BLOCK) -> DataFrame:
     """Centred mean over an odd width; past the ends the end value is repeated."""
     h = (width + 1 - width % 2) // 2 if width % 2 == 0 else width // 2
     n = 2 * h + 1
-    w = Window.partitionBy(*keys).orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place, total = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    left = F.greatest(F.lit(0), h - (place - 1))
-    right = F.greatest(F.lit(0), h - (total - place))
-    inner = F.sum(v).over(w.rowsBetween(-h, h))
-    return df.withColumn(out, (inner + left * F.first(v).over(whole) + right * F.last(v).over(whole)) / n)
+    x, parts = placed(df, keys, order, rows_per_part)
+    if parts == 1:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        x = x.withColumns({"n_key": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "first_v": F.first(v).over(whole), "last_v": F.last(v).over(whole), "inner_v": F.sum(v).over(w.rowsBetween(-h, h))})
+    else:
+        ends = x.groupBy(*[F.col(c).alias(f"of_{c}") for c in keys]).agg(F.count(F.lit(1)).alias("n_key"), F.min_by(v, "place").alias("first_v"), F.max_by(v, "place").alias("last_v"))
+        w = Window.partitionBy(*keys, "block").orderBy("place").rowsBetween(-h, h)
+        x = haloed(x, h, block).withColumn("inner_v", F.sum(v).over(w)).filter("own").join(ends, _same(keys, "of_"))
+    left = F.greatest(F.lit(0), h - F.col("place"))
+    right = F.greatest(F.lit(0), h - (F.col("n_key") - 1 - F.col("place")))
+    mean = (F.col("inner_v") + left * F.col("first_v") + right * F.col("last_v")) / n
+    return x.select(*[c for c in df.columns if c != out], mean.alias(out))
 
 
 def numbered(df: DataFrame, order: list[str], out: str, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
@@ -62,16 +108,15 @@ def cumulated(df: DataFrame, v: str, keys: list[str], sums: list[str], rows: Dat
     return x.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"before_{c}")).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
 
-def resample(df: DataFrame, t: str, v: str, step: float, keys: list[str]) -> DataFrame:
+def resample(df: DataFrame, t: str, v: str, step: float, keys: list[str], rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
     """(keys, i, t, v): linear interpolation of each key's samples onto a grid from its first time, its end excluded.
 
     Each gap between neighbours fills the grid points it holds, so no grid is joined with samples.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
-    first = F.min(t).over(Window.partitionBy(*keys))
-    last = F.max(t).over(Window.partitionBy(*keys))
     g = df.groupBy(*keys, t).agg(F.avg(v).alias(v))
-    g = g.withColumns({"t0": first, "n": F.floor((last - first) / step), "nt": F.lead(t).over(w), "nv": F.lead(v).over(w)}).filter("nt IS NOT NULL")
+    gaps = joins.intervals(g.select(*keys, F.col(t).alias("ta"), F.struct(F.col(t).alias("t"), F.col(v).alias("v")).alias("a")), "ta", keys, rows_per_part=rows_per_part, carry="a")
+    ends = g.groupBy(*[F.col(c).alias(f"of_{c}") for c in keys]).agg(F.min(t).alias("t0"), F.max(t).alias("t1"))
+    g = gaps.filter("hi IS NOT NULL").join(ends, _same(keys, "of_")).select(*keys, "t0", F.floor((F.col("t1") - F.col("t0")) / step).alias("n"), F.col("a.t").alias(t), F.col("a.v").alias(v), F.col("hi.t").alias("nt"), F.col("hi.v").alias("nv"))
     lo, hi = F.ceil((F.col(t) - F.col("t0")) / step), F.ceil((F.col("nt") - F.col("t0")) / step) - 1
     g = g.withColumn("lo", lo).withColumn("hi", F.least(hi, F.col("n") - 1)).filter("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
     at = F.col("t0") + F.col("i") * step
@@ -79,19 +124,22 @@ def resample(df: DataFrame, t: str, v: str, step: float, keys: list[str]) -> Dat
     return g.select(*keys, "i", at.alias("at"), value.alias("value")).withColumnRenamed("at", "t_grid")
 
 
-def fill(df: DataFrame, v: str, keys: list[str], order: list[str], how: str) -> DataFrame:
-    """Nulls of a series as zero, its mean, or by linear interpolation over places with end values held."""
+def fill(df: DataFrame, v: str, keys: list[str], order: list[str], how: str, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
+    """Nulls of a series as zero, its mean, or by linear interpolation over places with end values held.
+
+    The known values about a hole are looked up by place, however far they are.
+    """
     if how == "zero":
         return df.withColumn(v, F.coalesce(v, F.lit(0.0)))
     if how == "mean":
-        return df.withColumn(v, F.coalesce(F.col(v), F.avg(v).over(Window.partitionBy(*keys))))
+        means = df.groupBy(*[F.col(c).alias(f"of_{c}") for c in keys]).agg(F.avg(v).alias("mean_v"))
+        return df.join(means, _same(keys, "of_")).select(*[F.coalesce(c, "mean_v").alias(c) if c == v else c for c in df.columns])
     if how != "linear":
         raise ValueError(f"unknown way to fill: {how!r}")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("place", F.row_number().over(w))
-    known = F.when(F.col(v).isNotNull(), F.struct(F.col("place").alias("p"), F.col(v).alias("v")))
-    d = d.withColumn("a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy(*keys).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that looks ahead costs the square
-    d = d.withColumn("b", F.last(known, ignorenulls=True).over(back))
-    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * F.try_divide((F.col("place") - F.col("a.p")).cast("double"), (F.col("b.p") - F.col("a.p")).cast("double"))
-    return d.withColumn(v, F.coalesce(F.col(v), between, F.col("a.v"), F.col("b.v"))).drop("a", "b", "place")
+    x, _ = placed(df, keys, order, rows_per_part)
+    known = x.filter(F.col(v).isNotNull()).select(*keys, F.col("place").alias("p"), F.col(v).alias("known_v"))
+    d = joins.neighbours(x, known, "place", "p", keys, after=True, rows_per_part=rows_per_part)
+    own, a, b = F.col(f"l.`{v}`"), F.col("before.known_v"), F.col("after.known_v")
+    share = F.try_divide((F.col("l.place") - F.col("before.p")).cast("double"), (F.col("after.p") - F.col("before.p")).cast("double"))
+    value = F.coalesce(own, a + (b - a) * share, a, b)
+    return d.select(*[value.alias(c) if c == v else F.col(f"l.`{c}`").alias(c) for c in df.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -36,53 +37,76 @@ def iou_pairs(truth: DataFrame, found: DataFrame, width: float = 21600.0) -> Dat
     return j.select("ds", "tid", "did", iou.alias("iou"))
 
 
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost assignment of all rows (no more than columns) by successive shortest paths."""
-    n, m = cost.shape
-    u, v, p, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+def matched(rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Places of the pairs of a one-to-one assignment of greatest total weight; a row or column may stay alone.
+
+    Shortest augmenting paths over the pairs there are, with potentials: memory grows with the
+    pairs, and a path looks no further than it must.
+    """
+    rows, cols = np.unique(rows, return_inverse=True)[1], np.unique(cols, return_inverse=True)[1]
+    order = np.argsort(rows, kind="stable")
+    start = np.searchsorted(rows[order], np.arange(int(rows.max(initial=-1)) + 2)).tolist()
+    pair, to, cost = order.tolist(), cols[order].tolist(), (-weight[order].astype(float)).tolist()
+    u, v = [0.0] * (len(start) - 1), [0.0] * (int(cols.max(initial=-1)) + 1)
+    row_of, pair_of = [-1] * len(v), [-1] * len(v)  # of each column, and the pair that holds it
+    for s in range(len(u)):
+        u[s] = min(0.0, min(cost[e] - v[to[e]] for e in range(start[s], start[s + 1])))
+        far, seen, heap, came = {s: 0.0}, {}, [], {}  # distances of rows, of settled columns; how a column was reached
+        best, alone = -u[s], s  # to leave a row alone costs nothing
+        now, i, goal = 0.0, s, -1
         while True:
-            used[j0] = True
-            free = ~used[1:]
-            step = cost[p[j0] - 1] - u[p[j0]] - v[1:]
-            better = free & (step < least[1:])
-            least[1:][better], way[1:][better] = step[better], j0
-            j1 = 1 + int(np.argmin(np.where(free, least[1:], np.inf)))
-            d = least[j1]
-            u[p[used]] += d
-            v[used] -= d
-            least[1:][free] -= d
-            j0 = j1
-            if p[j0] == 0:
+            for e in range(start[i], start[i + 1]):
+                j = to[e]
+                d = now + cost[e] - u[i] - v[j]
+                if j not in seen and (j not in came or d < came[j][0]) and d < best:
+                    came[j] = (d, i, e)
+                    heappush(heap, (d, j))
+            while heap and heap[0][1] in seen:
+                heappop(heap)
+            if not heap or heap[0][0] >= best:
+                now = best
                 break
-        while j0:
-            p[j0], j0 = p[way[j0]], way[j0]
-    return sorted((int(p[j]) - 1, j - 1) for j in range(1, m + 1) if p[j])
+            now, j = heappop(heap)
+            if row_of[j] < 0:
+                goal = j
+                break
+            seen[j], i = now, row_of[j]
+            far[i] = now
+            if now - u[i] < best:
+                best, alone = now - u[i], i
+        for r, d in far.items():
+            u[r] += now - d
+        for c, d in seen.items():
+            v[c] -= now - d
+        if goal < 0:  # a row on the way gives up its column
+            if alone == s:
+                continue
+            goal = next(c for c in seen if row_of[c] == alone)
+        while True:
+            _, i, e = came[goal]
+            before = next((c for c in seen if row_of[c] == i), -1) if i != s else -1
+            row_of[goal], pair_of[goal] = i, pair[e]
+            if i == s:
+                break
+            goal = before
+    return sorted(p for p in pair_of if p >= 0)
 
 
 def assign(truth: DataFrame, found: DataFrame, least_iou: float = 0.2) -> DataFrame:
     """(ds, tid, did, iou): the one-to-one assignment of greatest total overlap, pairs below the limit dropped.
 
-    Only overlapping pairs are gathered, per data set and per run of overlapping intervals, so a
-    group is one run of detections that touch, not a whole data set.
+    Only overlapping pairs are gathered, per data set and per run of intervals that touch one
+    another; a task holds one run's pairs, never a matrix.
     """
+    from packetloom.operators import joins
     from packetloom.operators.grids import coverage
 
     pairs = iou_pairs(truth, found)
     both = truth.select("ds", F.col("a0").alias("lo"), F.col("a1").alias("hi")).union(found.select("ds", F.col("b0").alias("lo"), F.col("b1").alias("hi")))
-    runs = coverage(both, "lo", "hi", ["ds"]).select("ds", F.col("lo").alias("run_lo"), F.col("hi").alias("run_hi"))
-    t = truth.join(runs, "ds").filter((F.col("a0") >= F.col("run_lo")) & (F.col("a1") <= F.col("run_hi"))).select("tid", "run_lo")
+    runs = coverage(both, "lo", "hi", ["ds"]).select("ds", F.col("lo").alias("run_lo"))
+    t = joins.asof_backward(truth.select("ds", "tid", "a0"), runs, "a0", "run_lo", ["ds"], strict=False).select("tid", "run_lo")
     pairs = pairs.join(t, "tid")
 
-    def one(ds: int, tid: np.ndarray, did: np.ndarray, iou: np.ndarray) -> list[tuple]:
-        rows, cols = np.unique(tid), np.unique(did)
-        m = np.zeros((len(rows), len(cols)))
-        m[np.searchsorted(rows, tid), np.searchsorted(cols, did)] = iou
-        hits = [(j, i) for i, j in hungarian(-m.T)] if len(rows) > len(cols) else hungarian(-m)
-        return [(ds, rows[i], cols[j], m[i, j]) for i, j in hits if m[i, j] >= least_iou]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One run of intervals after another; the last of a batch waits until it is whole."""
         names, rest = ["ds", "tid", "did", "iou"], None
@@ -91,7 +115,8 @@ def assign(truth: DataFrame, found: DataFrame, least_iou: float = 0.2) -> DataFr
             ds, at, tid, did, iou = (pdf[c].to_numpy() for c in ("ds", "run_lo", "tid", "did", "iou"))
             cuts = np.flatnonzero((ds[1:] != ds[:-1]) | (at[1:] != at[:-1])) + 1
             spans = zip([0, *cuts], [*cuts, len(pdf)], strict=True)
-            return pd.DataFrame([x for a, b in spans for x in one(ds[a], tid[a:b], did[a:b], iou[a:b])], columns=names)
+            kept = [a + p for a, b in spans for p in matched(tid[a:b], did[a:b], iou[a:b])]
+            return pdf.iloc[[p for p in kept if iou[p] >= least_iou]][names]
 
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
@@ -104,7 +129,7 @@ def assign(truth: DataFrame, found: DataFrame, least_iou: float = 0.2) -> DataFr
         if rest is not None and len(rest):
             yield done(rest)
 
-    dealt = pairs.repartition("ds", "run_lo").sortWithinPartitions("ds", "run_lo")
+    dealt = pairs.repartition("ds", "run_lo").sortWithinPartitions("ds", "run_lo", "tid", "did")
     return dealt.select("ds", "run_lo", "tid", "did", "iou").mapInPandas(run, "ds bigint, tid bigint, did bigint, iou double")
 
 

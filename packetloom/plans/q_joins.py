@@ -65,14 +65,12 @@ _PHASES = {"n": "value", "s": "(k * 7.5) % 360", "nd": "event_id % 360", "sd": "
 x AS (SELECT e.event_id, p.*, CAST(least(greatest(round_even((t - t0) / 36000.0, 0), 0), len(a_n) - 1) AS INTEGER) + 1 AS ix FROM {EV} e JOIN p USING (user_id) WHERE event_type = 'click')
 SELECT event_id, {', '.join(f'round(a_{n}[ix], 6) AS phase_{n}' for n in _PHASES)} FROM x""")
 def join_phase_index(spark: SparkSession, d: str) -> DataFrame:
-    """Values of the segment's four arrays at the elapsed time over the cadence, rounded half to even and clamped."""
+    """Values of the segment's four series at the elapsed time over the cadence, rounded half to even and clamped."""
     e, c = ev(spark, d), F.col
     made = {"n": c("value"), "s": F.pmod(c("k") * F.lit(7.5), F.lit(360.0)), "nd": (c("event_id") % 360).cast("double"), "sd": ((c("k") * 3) % 360).cast("double")}
-    row = F.struct("t", "event_id", *[v.alias(n) for n, v in made.items()])
-    arrays = e.filter("event_type = 'view'").groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("a"), F.min("t").alias("t0"))
-    j = e.filter("event_type = 'click'").join(arrays, "user_id")
-    k = F.least(F.greatest(F.bround((c("t") - c("t0")) / 36000.0, 0), F.lit(0.0)), (F.size("a") - 1).cast("double")).cast("int")
-    return j.select("event_id", *[r6(F.get("a", k)[n], f"phase_{n}") for n in made])
+    rows = e.filter("event_type = 'view'").select("user_id", "t", "event_id", *[v.alias(n) for n, v in made.items()])
+    got = joins.at_index(e.filter("event_type = 'click'").select("event_id", "user_id", "t"), rows, "t", ["user_id"], ["t", "event_id"], list(made), 36000.0)
+    return got.select("event_id", *[r6(c(n), f"phase_{n}") for n in made])
 
 
 _AT = {"r": "max(value)", "lat": "degrees(min(value) / 200)", "lt": "(degrees(max(k) / 20.0) / 15 + 12) % 24", "phase_n": "max(k * 7.5 % 360)", "phase_s": "min(k * 3.5 % 360)", "phase_nd": "max(event_id % 360)", "phase_sd": "min(event_id % 180)"}

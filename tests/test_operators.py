@@ -154,16 +154,6 @@ def test_eigenvalues(spark):
     assert tuple(got) == pytest.approx(np.linalg.eigvalsh(m))
 
 
-def test_assignment_is_optimal():
-    from itertools import permutations
-
-    rng = np.random.default_rng(4)
-    for n, m in ((3, 3), (3, 5), (1, 4), (5, 5)):
-        cost = rng.random((n, m))
-        got = sum(cost[i, j] for i, j in scoring.hungarian(cost))
-        assert got == pytest.approx(min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(m), n)))
-
-
 def test_perfect_detections_score_one(spark):
     t = spark.createDataFrame([(i, 1, 5e4 * i, 5e4 * i + 2e4) for i in range(3)], "tid bigint, ds bigint, a0 double, a1 double")
     d = t.toDF("did", "ds", "b0", "b1")
