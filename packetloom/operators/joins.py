@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a range, how many ranges there may be, and sampled rows per range.
-ROWS_PER_PART = 20_000
+ROWS_PER_PART = 100_000
 MOST_PARTS = 1 << 16
 SAMPLED = 8
 #: Nodes of an interval at its level, parts of a node above the first level, and how many levels there may be.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators import joins
+from packetloom.session import staged
 
 
 #: Rows of a block that a window runs over.
@@ -23,8 +24,11 @@ def placed(df: DataFrame, keys: list[str], order: list[str], rows_per_part: int
     """``df`` with ``place``, the row's number from 0 within its key, and among how many ranges the rows were dealt.
 
     Ranges go by (keys, order), so only the first key of a range can have rows in the ranges
-    before it: what it adds to the numbers is one row per range at most.
+    before it: what it adds to the numbers is one row per range at most. Where no key has more
+    rows than a range, each is numbered by itself.
     """
+    if keys and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= rows_per_part:
+        return df.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")), 1
     part, n = joins.ranges(df, [*keys, *order], rows_per_part)
     x = df.withColumn("part", part(*[F.col(c) for c in (*keys, *order)]))
     x = x.withColumn("place", (F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)) - 1).cast("long"))
@@ -74,7 +78,11 @@ def running_mean(df: DataFrame, v: str, width: int, keys: list[str], order: list
 
 
 def numbered(df: DataFrame, order: list[str], out: str, rows_per_part: int = joins.ROWS_PER_PART) -> DataFrame:
-    """``df`` with dense numbers from 0 in an order, nulls first: each range is numbered and shifted by what comes before it."""
+    """``df`` with dense numbers from 0 in an order, nulls first: each range is numbered and shifted by what comes before it.
+
+    ``df`` is staged, so what it takes to make it is done once.
+    """
+    df = staged(df, "unnumbered")
     part, n = joins.ranges(df, order, rows_per_part)
     x = df.withColumn("part", part(*[F.col(c) for c in order]))
     x = x.withColumn(out, F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)

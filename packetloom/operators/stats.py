@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators import joins
 from packetloom.operators.joins import intervals
-from packetloom.operators.ordered import cumulated
+from packetloom.operators.ordered import _same, cumulated
+from packetloom.session import staged
 
-#: Most groups of a comparison.
-MOST_GROUPS = 1000
+#: Accuracy of the sketches that bracket a quantile: a rank is off by one part in so many at most.
+SKETCH = 1000
+#: Values of all keys together that an aggregate may buffer.
+FEW = 1_000_000
 
 
 def separations(events: DataFrame, t: str, most_hours: float, keys: list[str] | None = None) -> DataFrame:
@@ -27,9 +31,17 @@ def separations(events: DataFrame, t: str, most_hours: float, keys: list[str] |
 
 
 def separation_stats(hours: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, median, mean, std, n) of the gaps; of no gaps at all without keys one row of zeros."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    aggs = [zero(F.percentile("hours", 0.5)).alias("median"), zero(F.avg("hours")).alias("mean"), zero(F.stddev_pop("hours")).alias("std"), F.count("hours").alias("n")]
-    return hours.groupBy(*keys).agg(*aggs) if keys else hours.agg(*aggs)
+    own = keys or ["every"]
+    x = hours if keys else hours.withColumn("every", F.lit(1))
+    g = x.groupBy(*own).agg(F.avg("hours").alias("mean"), F.stddev_pop("hours").alias("std"), F.count("hours").alias("n"))
+    mid = quantiles(x, F.col("hours"), own, {"median": 0.5}).select(*[F.col(c).alias(f"of_{c}") for c in own], "median")
+    g = g.join(mid, _same(own, "of_"), "left").select(*own, zero(F.col("median")).alias("median"), zero(F.col("mean")).alias("mean"), zero(F.col("std")).alias("std"), "n")
+    if keys:
+        return g
+    one = hours.sparkSession.range(1).select(F.lit(1).alias("every"))
+    return one.join(g, "every", "left").select(zero(F.col("median")).alias("median"), zero(F.col("mean")).alias("mean"), zero(F.col("std")).alias("std"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def histogram(values: DataFrame, v: str, lo: float, hi: float, n: int) -> DataFrame:
@@ -69,21 +81,50 @@ def rayleigh(df: DataFrame, angle: Column, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n", "r", z.alias("z"), F.least(F.lit(1.0), p).alias("p"))
 
 
-def quantiles(df: DataFrame, v: Column, keys: list[str], probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, v: Column, keys: list[str], probs: dict[str, float], few: int = FEW) -> DataFrame:
     """Exact quantiles (linear between ranks) and the count ``n`` of each key's values, for keys of any size.
 
-    Values are counted, the counts cumulated over ranges, and the two ranks about each quantile
-    picked; no task holds the values of a key. Keys without values are left out.
+    The values are staged, so what makes them runs once; up to ``few`` of them fit one buffer. Of
+    more, a first scan brackets each quantile by mergeable sketches, whose error is bounded; a second
+    counts what lies below each bracket and keeps the few values within. Those are counted by
+    value, and the ranks about each quantile picked from the counts cumulated over ranges, so no
+    task holds the values of a key. Keys without values are left out.
     """
-    rows = df.select(*keys, v.cast("double").alias("value")).filter("value IS NOT NULL")
-    counted = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
-    x = cumulated(counted, "value", keys, ["m"], rows)
-    at = {name: (F.col("all_m") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    holds = lambda rank: F.when((rank >= F.col("upto_m") - F.col("m")) & (rank < F.col("upto_m")), F.col("value"))
-    picked = [F.max(holds(f(rank))).alias(f"{name}_{side}") for name, rank in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
-    g = x.groupBy(*keys).agg(F.max("all_m").alias("all_m"), *picked)
-    between = lambda name: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at[name] - F.floor(at[name]))
-    return g.select(*keys, *[between(name).alias(name) for name in probs], F.col("all_m").alias("n"))
+    if any(not 0 <= p <= 1 for p in probs.values()):
+        raise ValueError("probabilities lie in [0, 1]")
+    rows = staged(df.select(*keys, v.cast("double").alias("value")).filter("value IS NOT NULL"), "values")
+    if rows.count() <= few:
+        return rows.groupBy(*keys).agg(*[F.percentile("value", p).alias(name) for name, p in probs.items()], F.count(F.lit(1)).alias("n")).filter("n > 0")
+    wide = 4.0 / SKETCH  # four times the sketch's greatest error in rank
+    at = [max(0.0, min(1.0, p + side)) for p in probs.values() for side in (-wide, wide)]
+    own = [F.col(c).alias(f"of_{c}") for c in keys]
+    sketch = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile_approx("value", at, SKETCH).alias("cut"))
+    short = F.col("n") < SKETCH  # of fewer values the ranks about a quantile are further apart than the sketch's error, so all are kept
+    ends = [(F.when(short | F.lit(at[2 * k] <= wide), F.col("least")).otherwise(F.get("cut", F.lit(2 * k))), F.when(short | F.lit(at[2 * k + 1] >= 1 - wide), F.col("most")).otherwise(F.get("cut", F.lit(2 * k + 1)))) for k in range(len(probs))]
+    cuts = staged(sketch.select(*[f"of_{c}" for c in keys], "n", F.array(*[F.struct(a.alias("lo"), b.alias("hi")) for a, b in ends]).alias("cut")), "cuts")  # a row per key
+    joined = rows.join(cuts, _same(keys, "of_")) if keys else rows.join(F.broadcast(cuts), F.lit(True))  # without keys one row
+    lo, hi = [[F.get("cut", F.lit(k))[side] for k in range(len(probs))] for side in ("lo", "hi")]
+    within = F.lit(False)
+    for a, b in zip(lo, hi, strict=True):
+        within = within | ((F.col("value") >= a) & (F.col("value") <= b))
+    counted = joined.groupBy(*keys, F.when(within, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("m"), *[F.count_if(F.col("value") < a).alias(f"below_{k}") for k, a in enumerate(lo)])
+    counted = staged(counted, "brackets")
+    below = counted.groupBy(*own).agg(*[F.sum(f"below_{k}").alias(f"below_{k}") for k in range(len(probs))])
+    kept = counted.filter("value IS NOT NULL").select(*keys, "value", "m")
+    x = kept.join(cuts, _same(keys, "of_")) if keys else kept.join(F.broadcast(cuts), F.lit(True))
+    # one series for each quantile: its bracket's values, from the rank below the bracket on
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of_prob"), ((F.col("value") >= lo[k]) & (F.col("value") <= hi[k])).alias("ok")) for k in range(len(probs))])).alias("q")
+    x = x.select(*keys, "value", "m", "n", each).filter("q.ok").select(*keys, "q.of_prob", "value", "m", "n")
+    x = cumulated(x, "value", [*keys, "of_prob"], ["m"], x)
+    x = x.join(below, _same(keys, "of_")) if keys else x.join(F.broadcast(below), F.lit(True))
+    done = []
+    for k, (name, p) in enumerate(probs.items()):
+        rank, upto = (F.col("n") - 1) * F.lit(float(p)), F.col("upto_m") + F.col(f"below_{k}")
+        holds = lambda r: F.when((F.col("of_prob") == k) & (r >= upto - F.col("m")) & (r < upto), F.col("value"))  # noqa: E731, B023
+        done += [F.max(holds(F.floor(rank))).alias(f"{name}_lo"), F.max(holds(F.ceil(rank))).alias(f"{name}_hi")]
+    g = x.groupBy(*keys, "n").agg(*done)
+    part = lambda p: (F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p)))
+    return g.select(*keys, *[(F.col(f"{m}_lo") + (F.col(f"{m}_hi") - F.col(f"{m}_lo")) * part(p)).alias(m) for m, p in probs.items()], "n")
 
 
 def median_and_spread(df: DataFrame, v: Column, keys: list[str]) -> DataFrame:
@@ -109,31 +150,32 @@ def paired(df: DataFrame, x: str, y: str, keys: list[str], least: int = 3) -> Da
 
 
 def ks_distance(df: DataFrame, v: str, group: str, reference: str) -> DataFrame:
-    """Largest gap between each group's distribution and the reference group's, at distinct values."""
-    rows = df.filter(F.col(v).isNotNull() & F.col(group).isNotNull()).select(group, v)
-    counted = rows.groupBy(group, v).agg(F.count(F.lit(1)).alias("n"))
-    names = [r[0] for r in rows.filter(F.col(group) != reference).select(group).distinct().limit(MOST_GROUPS + 1).collect()]
-    if len(names) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups to compare")
-    none = F.lit(0).cast("long")
-    others = counted.filter(F.col(group) != reference).select(group, v, "n", none.alias("m"))
-    every = F.explode(F.array(*[F.lit(n) for n in names])) if names else F.lit(None).cast("string")
-    spread = counted.filter(F.col(group) == reference).select(every.alias(group), v, none.alias("n"), F.col("n").alias("m")).filter(F.col(group).isNotNull())
-    both = others.unionByName(spread).groupBy(group, v).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    x = cumulated(both, v, [group], ["n", "m"], rows)
-    gap = F.abs(F.try_divide(F.col("upto_n"), F.col("all_n")) - F.try_divide(F.col("upto_m"), F.col("all_m")))
-    return x.groupBy(group).agg(F.max(gap).alias("ks"))
+    """Largest gap between each group's distribution and the reference group's, however many groups.
+
+    Between two of its values a group's share stands still, so the gap is greatest at one of them
+    or just before. The reference's share there is looked up, not copied to each group.
+    """
+    rows = df.filter(F.col(v).isNotNull() & F.col(group).isNotNull()).select(group, F.col(v).cast("double").alias("v"))
+    counted = staged(rows.groupBy(group, "v").agg(F.count(F.lit(1)).alias("n")), "counted")
+    ref, others = counted.filter(F.col(group) == reference), counted.filter(F.col(group) != reference)
+    total = ref.agg(F.sum("n")).first()[0]
+    own = cumulated(others, "v", [group], ["n"], others)
+    known = cumulated(ref, "v", [], ["n"], ref).select(F.col("v").alias("rv"), F.col("upto_n").alias("upto_r"), F.col("n").alias("r"))
+    x = joins.neighbours(own, known, "v", "rv")
+    upto = F.coalesce("before.upto_r", F.lit(0))
+    before = upto - F.coalesce(F.when(F.col("before.rv") == F.col("l.v"), F.col("before.r")), F.lit(0))
+    share = lambda n, m: F.try_divide(n.cast("double"), m)
+    m = F.lit(total).cast("double")
+    gap = F.greatest(F.abs(share(F.col("l.upto_n"), F.col("l.all_n")) - share(upto, m)), F.abs(share(F.col("l.upto_n") - F.col("l.n"), F.col("l.all_n")) - share(before, m)))
+    return x.groupBy(F.col(f"l.`{group}`").alias(group)).agg(F.max(F.when(m.isNotNull(), gap)).alias("ks"))
 
 
 def average_ranks(df: DataFrame, v: str, keys: list[str], out: str) -> DataFrame:
     """Ranks from 1 with ties at their mean, per key."""
-    counted = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("m"))
-    x = cumulated(counted, v, keys, ["m"], df.select(*keys, v))
+    counted = staged(df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("m")), "counted")
+    x = cumulated(counted, v, keys, ["m"], counted)
     ranks = x.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, v)], (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(out))
-    on = F.lit(True)
-    for c in (*keys, v):
-        on = on & F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    return df.join(ranks, on).select(*df.columns, out)
+    return df.join(ranks, _same([*keys, v], "of_")).select(*df.columns, out)
 
 
 def power_law(df: DataFrame, f: str, p: str, keys: list[str]) -> DataFrame:

@@ -122,12 +122,11 @@ _CONDS = {"all": "true", "short": "period_min < 20", "long": "period_min >= 20",
 def agg_region_groups(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping comparison groups in one pass: each event carries all labels that fit."""
     x = cat(spark, d)
-    total = x.count()
     labels = F.array_compact(F.array(*[F.when(F.expr(w), F.lit(n)) for n, w in _CONDS.items()]))
     x = x.withColumn("grp", F.explode(labels)).select("grp", "period_min", "band")
     g = x.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("band") == "QP15").alias("b"))
     mid = stats.quantiles(x, c("period_min"), ["grp"], {"med": 0.5}).select("grp", "med")
-    return g.join(mid, "grp", "left").select("grp", "n", r6(c("med"), "med"), r6(100.0 * c("b") / c("n"), "qp15"), r6(100.0 * c("n") / total, "retained"))
+    return g.join(mid, "grp", "left").select("grp", "n", r6(c("med"), "med"), r6(100.0 * c("b") / c("n"), "qp15"), r6(100.0 * c("n") / F.max(F.when(c("grp") == "all", c("n"))).over(Window.partitionBy(F.lit(0))), "retained"))  # a row per label
 
 
 @query("agg_ks", f"""WITH v AS (SELECT event_type, value, count(*) AS n FROM {EV} GROUP BY 1, 2), r AS (SELECT value, n FROM v WHERE event_type = 'error'), t AS (SELECT event_type, sum(n) AS n FROM v GROUP BY 1),

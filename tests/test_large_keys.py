@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import grids, joins, ordered, scoring
+from packetloom.operators import grids, joins, ordered, scoring, stats
 
 PARTS = [7, 60, 20_000]
 
@@ -26,7 +26,7 @@ def series(spark, seed, holes=0.0):
 def test_places_and_strides(spark, rows_per_part):
     rows, df = series(spark, 1)
     x, n = ordered.placed(df, ["k"], ["i"], rows_per_part)
-    assert (n > 1) == (rows_per_part < 310)
+    assert (n > 1) == (rows_per_part < 300)
     assert all(r.place == r.i for r in x.collect()) and x.count() == len(rows)
     got = sorted((r.k, r.i) for r in ordered.stride(df, 7, ["k"], ["i"], rows_per_part).collect())
     assert got == sorted((k, i) for k, i, _ in rows if i % 7 == 0)
@@ -162,3 +162,54 @@ def test_assignment_of_runs(spark):
         own = [r for r in got if r.ds == ds]
         assert sum(r.iou for r in own) == pytest.approx(sum(w[p] for p in scoring.matched(rows, cols, w)))
         assert len({r.tid for r in own}) == len({r.did for r in own}) == len(own)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+@pytest.mark.parametrize("values", ["distinct", "ties", "normal"])
+def test_quantiles_of_large_and_small_keys(spark, values, few):
+    rng = random.Random(9)
+    draw = {"distinct": lambda: rng.random(), "ties": lambda: float(rng.choice([0, 0, 0, 0, 1, 2, 3])), "normal": lambda: round(rng.gauss(0, 1), 2)}[values]
+    rows = [(k, draw()) for k, n in (("a", 6000), ("b", 40), ("c", 1), (None, 1500)) for _ in range(n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    probs = {"p0": 0.0, "p1": 0.001, "p2": 0.05, "p3": 0.5, "p4": 0.99, "p5": 1.0}
+    got = {r.k: r for r in stats.quantiles(df, F.col("v"), ["k"], probs, few).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, r in got.items():
+        own = [v for kk, v in rows if kk == k]
+        assert r.n == len(own) and [r[p] for p in probs] == pytest.approx(np.quantile(own, list(probs.values())))
+    whole = stats.quantiles(df, F.col("v"), [], probs, few).collect()
+    assert len(whole) == 1 and [whole[0][p] for p in probs] == pytest.approx(np.quantile([v for _, v in rows if v is not None], list(probs.values())))
+    assert stats.quantiles(df.limit(0), F.col("v"), ["k"], probs, few).count() == 0
+
+
+def test_distances_of_many_groups(spark):
+    rng = random.Random(10)
+    rows = [("ref", float(rng.randrange(60))) for _ in range(80)] + [(f"g{i}", float(rng.randrange(-5, 70))) for i in range(1200) for _ in range(1 + i % 4)] + [("g1", None), (None, 3.0)]
+    got = {r.g: r.ks for r in stats.ks_distance(spark.createDataFrame(rows, "g string, v double"), "v", "g", "ref").collect()}
+    by: dict = {}
+    for g, v in rows:
+        if g is not None and v is not None:
+            by.setdefault(g, []).append(v)
+    at = np.arange(-6.0, 71.0)
+    share = lambda v: np.searchsorted(np.sort(v), at, side="right") / len(v)
+    ref = share(by.pop("ref"))
+    assert got == pytest.approx({g: np.abs(share(v) - ref).max() for g, v in by.items()})
+    none = stats.ks_distance(spark.createDataFrame([("a", 1.0)], "g string, v double"), "v", "g", "ref").collect()
+    assert [(r.g, r.ks) for r in none] == [("a", None)]
+
+
+def test_inputs_of_numbers_and_distances_run_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(3000).selectExpr("id AS i", "cast(id % 2 AS string) AS g", "rand(3) AS v").mapInPandas(watched, "i bigint, g string, v double")
+    ordered.numbered(df, ["v", "i"], "n", 100).write.format("noop").mode("overwrite").save()
+    assert seen.value == 3000
+    stats.ks_distance(df, "v", "g", "0").collect()
+    assert seen.value == 6000
+    stats.average_ranks(df, "v", ["g"], "r").select("r").collect()
+    assert seen.value <= 12000  # ranks are joined to the rows
