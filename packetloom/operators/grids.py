@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.bins import GridSpec, in_lt_range, inside, value_to_bin
@@ -157,12 +157,20 @@ def coverage(spans: DataFrame, lo: str, hi: str, keys: list[str], rows_per_part:
     """Disjoint stretches [lo, hi] that closed intervals cover, per key.
 
     A sweep over the ends: a stretch begins where no interval is open before and ends where none
-    is after. The open ones are counted over ranges of (keys, time), so a key of any size is many tasks.
+    is after. The open ones are counted over ranges of (keys, time), so a key of any size is many
+    tasks. Where no key has more intervals than a range, a window over each finds them likewise.
     """
     from packetloom.operators.ordered import cumulated
 
+    spans = spans.filter(F.col(lo) <= F.col(hi)).select(*keys, lo, hi)
+    if keys and (spans.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= rows_per_part:
+        w = Window.partitionBy(*keys).orderBy(lo, hi)
+        before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = spans.withColumn("before", before).withColumn("island", F.sum((F.col("before").isNull() | (F.col(lo) > F.col("before"))).cast("int")).over(w))
+        return marked.groupBy(*keys, "island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).select(*keys, lo, hi)
+
     end = lambda c, n: F.struct(F.col(c).alias("at"), F.lit(n).cast("long").alias("d"), F.lit(int(n > 0)).cast("long").alias("b"))
-    ends = spans.filter(F.col(lo) <= F.col(hi)).select(*keys, F.explode(F.array(end(lo, 1), end(hi, -1))).alias("e")).select(*keys, "e.*")
+    ends = spans.select(*keys, F.explode(F.array(end(lo, 1), end(hi, -1))).alias("e")).select(*keys, "e.*")
     counted = staged(ends.groupBy(*keys, "at").agg(F.sum("d").alias("d")), "ends")  # a row per key and time
     swept = cumulated(counted, "at", keys, ["d"], counted, rows_per_part)
     first = (F.col("upto_d") - F.col("d") == 0) & (F.col("d") >= 0)
