@@ -2,14 +2,16 @@
 
 Words are hashed, five consecutive word hashes make a gram, and of every six consecutive grams
 the least (the last such) is kept. A shared span of ten words covers six grams, so document
-and item keep the same one there: no shared span of ten words or more is missed. Kept grams of
-documents and items are joined, each common gram is extended over equal words to both sides,
-and runs of ten words or more are hits. An item of fewer than ten words is one gram of its own
-length, looked for at every word.
-
-One pass reads the documents. Their text leaves it only for documents that have a gram in
-common with some item. The set of the items' grams goes to the executors to tell that, if it
-has at most ``broadcast_grams`` members; beyond that the join alone decides.
+and item keep the same one there: no shared span of ten words or more is missed. Where a kept gram
+of a document is one of the items', it is extended to the windows of ten words that hold it, and
+these are joined with the items' windows word by word; overlapping windows make one run. So a
+phrase shorter than a window, however many items and documents share it, joins nothing. An item of
+fewer than ten words is one gram and one window of its own length, looked for at every word.
+
+One pass reads the documents. What leaves it of a text are the windows about grams that some item
+has too. The set of the items' grams goes to the executors to tell that, if it has at most
+``broadcast_grams`` members; beyond that grams are joined, and the texts of documents that have
+one in common are extended in a second step.
 """
 
 from __future__ import annotations
@@ -69,64 +71,72 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(view)) + GRAMS - 1 - view[:, ::-1].argmin(axis=1))
 
 
-def _kept_grams(words: list[bytes], cache: _Hashes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes as int64, positions) of a document's grams: winnowed ones, and all of the short lengths."""
+def _kept_grams(words: list[bytes], cache: _Hashes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes as int64, positions, lengths of the windows meant) of a document's grams: winnowed ones, and all of the short lengths."""
     hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     grams = gram_hashes(hashes, GRAM)
     at = winnowed(grams)
-    found, places = [grams[at]], [at]
+    found, places, means = [grams[at]], [at], [np.full(len(at), WINDOW)]
     for n in lengths:
         short = gram_hashes(hashes, n)
         found.append(short + np.uint64(n))
         places.append(np.arange(len(short)))
-    return np.concatenate(found).view(np.int64), np.concatenate(places)
-
-
-def _runs(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the document, end exclusive, that equal a window of the item at some of the places."""
-    need, spans = min(WINDOW, len(item)), set()
-    reached: dict[int, int] = {}
-    for p, q in sorted(places):
-        if reached.get(p - q, -1) >= p:
-            continue
-        a, b = p, q
-        while a > 0 and b > 0 and doc[a - 1] == item[b - 1]:
-            a, b = a - 1, b - 1
-        c, d = p, q
-        while c < len(doc) and d < len(item) and doc[c] == item[d]:
-            c, d = c + 1, d + 1
-        reached[p - q] = c
-        if c > p and c - a >= need:
-            spans.add((a, c))
-    return sorted(spans)
+        means.append(np.full(len(short), n))
+    return np.concatenate(found).view(np.int64), np.concatenate(places), np.concatenate(means)
+
+
+def around(words: list[bytes], places: np.ndarray, means: np.ndarray) -> list[tuple[int, int, str]]:
+    """(first word, length, words) of the windows that hold the grams: all of ten words about a winnowed one, a short one itself."""
+    starts = {(int(p), int(n)) for p, n in zip(places, means, strict=True) if n < WINDOW}
+    starts |= {(a, WINDOW) for p, n in zip(places.tolist(), means.tolist(), strict=True) if n == WINDOW for a in range(max(0, p - GRAMS + 1), min(p, len(words) - WINDOW) + 1)}
+    return [(a, n, b" ".join(words[a : a + n]).decode("utf-8", "surrogatepass")) for a, n in sorted(starts)]
+
+
+WINDOWS = "array<struct<a:int,n:int,w:string>>"
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str, lengths: list[int], known: np.ndarray | None) -> DataFrame:
-    """(id, n_words, body, h, p) of each row; body, h and p only where a gram may be an item's."""
+    """(id, n_words, windows, body, h, p, n) of each row: windows where the items' grams are known, else the body and its grams."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Hashes()
-        grams_of_items = shared.value if shared is not None else None
+        of_items = shared.value if shared is not None else None
         for b in batches:
             out = []
             for text in b["text"]:
                 words = words_of(text)
-                h, p = _kept_grams(words, cache, lengths)
-                if grams_of_items is not None and len(h):
-                    at = np.searchsorted(grams_of_items, h)
-                    common = grams_of_items[np.minimum(at, len(grams_of_items) - 1)] == h if len(grams_of_items) else np.zeros(len(h), bool)
-                    h, p = h[common], p[common]
-                out.append((len(words), b" ".join(words).decode("utf-8", "surrogatepass") if len(h) else None, h if len(h) else None, p if len(h) else None))
-            yield pd.DataFrame({"id": b["id"], **{c: pd.Series([x[k] for x in out], dtype=object) for k, c in enumerate(("n_words", "body", "h", "p"))}})
+                h, p, n = _kept_grams(words, cache, lengths)
+                if of_items is None:
+                    body = b" ".join(words).decode("utf-8", "surrogatepass") if len(h) else None
+                    out.append((len(words), None, body, *((h, p, n) if len(h) else (None, None, None))))
+                    continue
+                common = of_items[np.minimum(np.searchsorted(of_items, h), len(of_items) - 1)] == h if len(of_items) else np.zeros(len(h), bool)
+                windows = [{"a": a, "n": m, "w": w} for a, m, w in around(words, p[common], n[common])] if common.any() else None
+                out.append((len(words), windows, None, None, None, None))
+            names = ("n_words", "windows", "body", "h", "p", "n")
+            yield pd.DataFrame({"id": b["id"], **{c: pd.Series([x[k] for x in out], dtype=object) for k, c in enumerate(names)}})
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_words bigint, body string, h array<bigint>, p array<bigint>")
+    return rows.mapInPandas(run, f"id {kind}, n_words bigint, windows {WINDOWS}, body string, h array<bigint>, p array<bigint>, n array<bigint>")
+
+
+def extended(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """(row, windows) of the scanned rows that have one of ``grams`` (h): each text goes once, to where its grams in common are."""
+    each = rows.filter("body IS NOT NULL").select("row", F.explode(F.arrays_zip("h", "p", "n")).alias("g")).select("row", "g.h", "g.p", "g.n")
+    common = each.join(grams, "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("at"), F.collect_list("n").alias("means"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            windows = [[{"a": a, "n": n, "w": w} for a, n, w in around(body.encode("utf-8", "surrogatepass").split(b" "), np.asarray(p), np.asarray(m))] for body, p, m in zip(b["body"], b["at"], b["means"], strict=True)]
+            yield pd.DataFrame({"row": b["row"], "windows": windows})
+
+    return common.join(rows.select("row", "body"), "row").select("row", "body", "at", "means").mapInPandas(run, f"row bigint, windows {WINDOWS}")
 
 
-def item_grams(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, body, n, h, p): the items' words and their kept grams; items without words or id have none."""
+def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, n, h, w): the items' kept grams and windows; items without words or id have none."""
     kind = items.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,30 +146,18 @@ def item_grams(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = words_of(text)
                 if not words:
                     continue
-                n = len(words)
-                hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-                if n < WINDOW:
-                    h, p = gram_hashes(hashes, n) + np.uint64(n), np.zeros(1, np.int64)
+                n = min(WINDOW, len(words))
+                hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+                if len(words) < WINDOW:
+                    h = gram_hashes(hashes, n) + np.uint64(n)
                 else:
                     grams = gram_hashes(hashes, GRAM)
-                    p = winnowed(grams)
-                    h = grams[p]
-                body = b" ".join(words).decode("utf-8", "surrogatepass")
-                yield pd.DataFrame({"item_id": [i], "body": [body], "n": [n], "h": [h.view(np.int64)], "p": [p]})
+                    h = np.unique(grams[winnowed(grams)])
+                windows = sorted({b" ".join(words[k : k + n]).decode("utf-8", "surrogatepass") for k in range(len(words) - n + 1)})
+                yield pd.DataFrame({"item_id": [i], "n": [n], "h": [h.view(np.int64)], "w": [windows]})
 
     rows = items.select(items[id_col].alias("id"), items[text_col].alias("text")).filter("id IS NOT NULL")
-    return rows.mapInPandas(run, f"item_id {kind}, body string, n bigint, h array<bigint>, p array<bigint>")
-
-
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for row, item_id, body, item, places in zip(b["row"], b["item_id"], b["body"], b["item"], b["places"], strict=True):
-            spans = _runs(body.encode("utf-8", "surrogatepass").split(b" "), item.encode("utf-8", "surrogatepass").split(b" "), [(x["p"], x["q"]) for x in places])
-            if spans:
-                out.append((row, item_id, [{"s": s, "e": e} for s, e in spans]))
-        if out:
-            yield pd.DataFrame(out, columns=["row", "item_id", "spans"])
+    return rows.mapInPandas(run, f"item_id {kind}, n bigint, h array<bigint>, w array<string>")
 
 
 def hits(
@@ -178,28 +176,23 @@ def hits(
     whose windows are those of all its rows. Repeated documents each give a row. Empty tables
     on either side give no hits. Other columns aren't read, so their names don't matter.
     """
-    grams = written(item_grams(benchmark, item_col, item_text).withColumn("item", F.monotonically_increasing_id()), "items")
-    lengths = sorted(r[0] for r in grams.filter(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 9
-    each = grams.select("item", F.explode(F.arrays_zip("h", "p")).alias("g")).select("item", F.col("g.h").alias("h"), F.col("g.p").alias("q"))
-    distinct = each.select("h").distinct()
+    items = written(item_windows(benchmark, item_col, item_text), "items")
+    lengths = sorted(r[0] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 9
+    grams = items.select(F.explode("h").alias("h")).distinct()
     known = None
-    if distinct.limit(broadcast_grams + 1).count() <= broadcast_grams:
-        known = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64))
+    if grams.limit(broadcast_grams + 1).count() <= broadcast_grams:
+        known = np.sort(np.array([r[0] for r in grams.collect()], dtype=np.int64))
     rows = written(scanned(docs, id_col, text_col, lengths, known).withColumn("row", F.monotonically_increasing_id()), "scanned")
-    some = rows.filter("body IS NOT NULL")
-    mine = some.select("row", F.explode(F.arrays_zip("h", "p")).alias("g")).select("row", F.col("g.h").alias("h"), F.col("g.p").alias("p"))
-    places = mine.join(each, "h").groupBy("row", "item").agg(F.collect_set(F.struct("p", "q")).alias("places"))
-    pairs = places.join(some.select("row", "body"), "row").join(grams.select("item", "item_id", F.col("body").alias("item_body")), "item")
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    found = pairs.select("row", "item_id", "body", F.col("item_body").alias("item"), "places").mapInPandas(
-        _verified, f"row bigint, item_id {kind}, spans array<struct<s:bigint,e:bigint>>"
-    )
+    mine = rows.filter("windows IS NOT NULL").select("row", "windows") if known is not None else extended(rows, grams)
+    mine = mine.select("row", F.explode("windows").alias("x")).select("row", "x.a", "x.n", "x.w")
+    theirs = items.select(F.col("item_id").cast("string").alias("item_id"), F.explode("w").alias("w")).distinct()
+    found = mine.join(theirs, "w").select("row", F.struct(F.col("a").cast("bigint").alias("s"), (F.col("a") + F.col("n")).cast("bigint").alias("e")).alias("span"), "item_id")
     merged = lambda spans: F.aggregate(
         F.array_sort(spans),
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("bigint"), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")),
     )["n"]
-    by_row = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    by_row = found.groupBy("row").agg(F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items"))
     by_row = by_row.select(
         "row",
         merged(F.col("spans")).alias("n_hit"),

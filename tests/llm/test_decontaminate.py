@@ -60,3 +60,25 @@ def test_stage_judges_rows_that_share_an_id_by_their_texts(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = dc.stage(spark, docs, str(tmp_path)).collect()
     assert sorted(map(repr, kept)) == sorted(map(repr, [r for r in docs.collect() if leak not in (r.text or "")]))
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_a_shared_phrase_shorter_than_a_window_joins_nothing(spark, limit, monkeypatch):
+    """300 items and 400 documents with one nine-word phrase in common, and a few true copies among them."""
+    phrase = filler(1, 9)
+    items = [(i, f"{filler(100 + i, 6)} {phrase} {filler(500 + i, 6)}") for i in range(300)]
+    docs = [(i, f"{filler(2000 + i, 12)} {phrase} {filler(4000 + i, 12)}" + (f" {items[i][1]}" if i % 50 == 0 and i < 300 else "")) for i in range(400)]
+    met = []
+    real = type(spark.range(1)).join
+
+    def join(self, other, on=None, how=None):
+        out = real(self, other, on, how)
+        if on == "w":
+            met.append(out.select("row", "item_id").distinct().count())
+        return out
+
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(d), "join", join)
+        got = {r.doc_id: tuple(r)[1:] for r in dc.hits(d, b, broadcast_grams=limit).collect()}
+    assert met == [6] and got == brute(docs, items)
