@@ -81,4 +81,5 @@ def test_a_shared_phrase_shorter_than_a_window_joins_nothing(spark, limit, monke
     with monkeypatch.context() as m:
         m.setattr(type(d), "join", join)
         got = {r.doc_id: tuple(r)[1:] for r in dc.hits(d, b, broadcast_grams=limit).collect()}
-    assert met == [6] and got == brute(docs, items)
+    want = brute(docs, items)
+    assert got == want and met == [sum(x[2] for x in want.values())] and met[0] < 1000
