@@ -67,6 +67,11 @@ def hadoop_path(spark: SparkSession, path: str, act):
     return act(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Hadoop takes it for, which on a cluster need not be the machine's own."""
+    return hadoop_path(spark, path, lambda fs, p: fs.makeQualified(p).toString())
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     """Rename a file or folder in one step; an error if that fails or the target exists."""
     jvm = spark._jvm.org.apache.hadoop.fs

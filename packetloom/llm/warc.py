@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm._shared import hadoop_path, new_path, rename, table, written
+from packetloom.llm._shared import hadoop_path, new_path, qualified, rename, table, written
+from packetloom.sources.series_files import opened_uri
 
 REVISIT_BYTES = 1000
 SHARD_BYTES = 64 << 20
@@ -74,7 +75,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
 def _opened(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(opened_uri(path))
 
 
 class _Writer:
@@ -187,9 +188,14 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_byte
     an empty payload, a null url gives no target header, rows without a page id come first and
     revisit a known one. Rows with equal ids and payloads stand in one shard. An empty table
     gives an empty manifest. Other columns aren't read. A path that has a manifest is refused
-    with FileExistsError; what an earlier writer left there without one does no harm.
+    with FileExistsError; what an earlier writer left there without one does no harm. The path
+    is taken as Hadoop takes it, and files are written through the same file system; one that
+    tasks can't open is refused with ValueError before anything is written. Payloads of any
+    length are one record, however large a shard or a file should be.
     """
     spark = pages.sparkSession
+    path = qualified(spark, path).rstrip("/")
+    opened_uri(path)
     if hadoop_path(spark, f"{path}/manifest", lambda fs, p: fs.exists(p)):
         raise FileExistsError(f"{path}/manifest")
     html = F.coalesce(pages["html"], F.lit(""))

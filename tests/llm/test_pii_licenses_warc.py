@@ -288,3 +288,20 @@ def test_warc_ignores_what_a_crashed_writer_left(spark):
     warc.hadoop_path(spark, f"{path}/manifest", lambda fs, p: fs.delete(p, True))
     again = warc.write(df, path)
     assert sorted(int(r.page_id) for r in warc.read(again).collect()) == list(range(20))
+
+
+def test_archive_paths_are_qualified_or_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (2, None, "<p>" + "y" * 5000)], "page_id bigint, url string, html string")
+    manifest = warc.write(pages, str(tmp_path / "plain"), shard_bytes=100, roll_bytes=100)
+    paths = [r.path for r in manifest.collect()]
+    assert paths and all(p.startswith("file:/") for p in paths)
+    got = warc.read(manifest, with_payload=True).collect()
+    assert sorted((r.page_id, len(r.payload)) for r in got) == [("1", 1), ("2", 5003)]  # longer than a shard and a file
+    clash = pages.selectExpr("*", "1 AS shard", "'a' AS digest", "2 AS kind", "3 AS turn", "'b' AS refers_to", "4 AS payload_bytes")
+    assert warc.read(warc.write(clash, str(tmp_path / "clash"))).count() == 2
+    from packetloom.sources.series_files import opened_uri
+
+    assert opened_uri("s3a://bucket/key") == "s3://bucket/key" and opened_uri("hdfs://name:8020/a") == "hdfs://name:8020/a"
+    for path in ("dbfs:/a", "wasbs://c@a/x", "/no/scheme"):
+        with pytest.raises(ValueError):
+            opened_uri(path)
