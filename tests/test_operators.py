@@ -154,6 +154,32 @@ def test_eigenvalues(spark):
     assert tuple(got) == pytest.approx(np.linalg.eigvalsh(m))
 
 
+def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Over the whole matrix: least-cost assignment of all rows (no more than columns) by successive shortest paths."""
+    n, m = cost.shape
+    u, v, p, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        p[0], j0 = i, 0
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while True:
+            used[j0] = True
+            free = ~used[1:]
+            step = cost[p[j0] - 1] - u[p[j0]] - v[1:]
+            better = free & (step < least[1:])
+            least[1:][better], way[1:][better] = step[better], j0
+            j1 = 1 + int(np.argmin(np.where(free, least[1:], np.inf)))
+            d = least[j1]
+            u[p[used]] += d
+            v[used] -= d
+            least[1:][free] -= d
+            j0 = j1
+            if p[j0] == 0:
+                break
+        while j0:
+            p[j0], j0 = p[way[j0]], way[j0]
+    return sorted((int(p[j]) - 1, j - 1) for j in range(1, m + 1) if p[j])
+
+
 def test_perfect_detections_score_one(spark):
     t = spark.createDataFrame([(i, 1, 5e4 * i, 5e4 * i + 2e4) for i in range(3)], "tid bigint, ds bigint, a0 double, a1 double")
     d = t.toDF("did", "ds", "b0", "b1")
@@ -165,7 +191,7 @@ def plain_scores(truth, found):
     real, decoys = [t for t in truth if not t["decoy"]], [t for t in truth if t["decoy"]]
     iou = lambda t, d: max(0.0, min(t["a1"], d["b1"]) - max(t["a0"], d["b0"])) / (max(t["a1"], d["b1"]) - min(t["a0"], d["b0"]))
     m = np.array([[iou(t, d) for d in found] for t in real]).reshape(len(real), len(found))
-    pairs = [] if not m.size else [(j, i) for i, j in scoring.hungarian(-m.T)] if len(real) > len(found) else scoring.hungarian(-m)
+    pairs = [] if not m.size else [(j, i) for i, j in hungarian(-m.T)] if len(real) > len(found) else hungarian(-m)
     tp = lambda v: sum(m[i, j] >= v for i, j in pairs)
     f1 = lambda n: (lambda p, r: 2 * p * r / (p + r) if p + r else 0.0)(n / len(found) if found else 1.0, n / len(real) if real else 1.0)
     hits = [(real[i], found[j], m[i, j]) for i, j in pairs if m[i, j] >= 0.2]
