@@ -133,4 +133,4 @@ def test_stages_in_order_and_whole(spark, tables):
 def test_registry_names_every_operator():
     from packetloom.llm import registry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
