@@ -4,8 +4,8 @@ Terms are words and their heads of three to nine letters. A bounded sample of la
 terms whose presence tells the labels apart, and only those make up the vectors; frequencies of
 those terms are counted over all documents. What the selection costs and gains is in the README.
 The examples' unit vectors form an inverted index in blocks of similar examples; for each term a
-block's largest weight bounds what its members can reach, and blocks are evaluated from the
-highest bound down until no bound beats the worst of the nearest found, so the nearest are exact.
+block's largest weight bounds what its members can reach. The blocks of highest bound are evaluated
+first, then all whose bound reaches the worst of the nearest found, so the nearest are exact.
 Their votes, weighted by cosine against a prior, go through a logistic curve fitted on the
 examples themselves, each without its own vote. When all documents are scored, an example meets
 itself like any other text as near: ids are no input of a score.
@@ -28,15 +28,15 @@ from packetloom.llm.line_quality import labelled
 
 #: Most labelled documents of each label.
 SAMPLE = 4000
-#: Most terms, how many standard errors apart the labels' shares must be for each, and how
-#: closely its presence must go with the label (a correlation), which doesn't grow with the sample.
+#: Most terms, and how many standard errors apart the labels' shares must be for each.
 TERMS = 20_000
 APART = 4.0
-EFFECT = 0.07
 #: In how many examples a term must be.
 LEAST = 6
 NEAREST = 15
 BLOCK = 32
+#: Blocks that are evaluated before any bound can be held against what was found.
+FIRST = 8
 HEADS = range(3, 10)
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -83,43 +83,40 @@ class Index:
         e = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order])
         by = np.lexsort((e, t))
         self.t, self.v, self.e = t[by], v[by], e[by]
-        self.from_term = np.searchsorted(self.t, np.arange(n_terms + 1))
-        starts = np.flatnonzero(np.diff(self.t * (self.n_blocks + 1) + self.e // BLOCK, prepend=-1))
-        self.slice_from = np.append(starts, len(self.t))
-        self.slice_block = (self.e // BLOCK)[starts] if len(starts) else np.empty(0, np.int64)
-        self.slice_most = np.maximum.reduceat(self.v, starts) if len(starts) else np.empty(0)
-        self.slices_of_term = np.searchsorted(self.t[starts], np.arange(n_terms + 1)) if len(starts) else np.zeros(n_terms + 1, np.int64)
+        slot = self.t * self.n_blocks + self.e // BLOCK
+        #: Postings of a term's block k are ``at[term * n_blocks + k]`` up to the next of ``at``.
+        self.at = np.searchsorted(slot, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
+        most = np.zeros(n_terms * self.n_blocks, np.float32)
+        held = np.flatnonzero(np.diff(self.at))
+        if len(held):  # rounded upwards, as a bound must be
+            most[held] = np.nextafter(np.maximum.reduceat(self.v, self.at[held]).astype(np.float32), np.float32(2))
+        self.most = most.reshape(n_terms, self.n_blocks)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the ``k`` nearest with a positive cosine, highest first, ties by place."""
-        spans = [(int(self.slices_of_term[x]), int(self.slices_of_term[x + 1]), z) for x, z in zip(t.tolist(), w.tolist(), strict=True)]
-        spans = [x for x in spans if x[1] > x[0]]
-        if not spans:
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
-        q = np.concatenate([np.full(b - a, z) for a, b, z in spans])
-        blocks = self.slice_block[at]
-        bound = np.bincount(blocks, q * self.slice_most[at], minlength=self.n_blocks)
-        order = np.argsort(blocks, kind="stable")
-        at, q, blocks = at[order], q[order], blocks[order]
-        first = np.searchsorted(blocks, np.arange(self.n_blocks + 1))
-        ranked = np.argsort(-bound, kind="stable")
-        ranked = ranked[: int(np.count_nonzero(bound > 0))]
-        found_e, found_c, worst, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
-        while done < len(ranked) and not (len(found_e) >= k and bound[ranked[done]] < worst - 1e-12):
-            some = ranked[done : done + step]
-            done, step = done + step, step * 2
-            mine = _ranges(first[some], first[some + 1])
-            i, j = self.slice_from[at[mine]], self.slice_from[at[mine] + 1]
-            posts = _ranges(i, j)
-            total = np.bincount(self.e[posts], np.repeat(q[mine], j - i) * self.v[posts])
+        found_e, found_c, worst = np.empty(0, np.int64), np.empty(0), 0.0
+        if not len(t) or not self.n_blocks:
+            return found_e, found_c
+        bound = (w.astype(np.float32) @ self.most[t]).astype(float) * (1 + 1e-4) + 1e-9  # more than single precision can be off
+        ranked = np.argsort(-bound)
+        rest = ranked[FIRST:]
+        for some in (ranked[:FIRST], rest):
+            if some is rest:
+                some = rest[bound[rest] >= worst]
+            places = ((t * self.n_blocks)[:, None] + some).ravel()
+            size = self.at[places + 1] - self.at[places]
+            held = np.flatnonzero(size)
+            if not len(held):
+                continue
+            posts = _ranges(self.at[places[held]].astype(np.int64), self.at[places[held] + 1].astype(np.int64))
+            total = np.bincount(self.e[posts], np.repeat(w[held // len(some)], size[held]) * self.v[posts])
             if 0 <= without < len(total):
                 total[without] = 0
-            hit = np.flatnonzero(total > 0)
+            hit = np.flatnonzero((total > 0) & (total >= worst))
             found_e, found_c = np.append(found_e, hit), np.append(found_c, total[hit])
             best = np.lexsort((found_e, -found_c))[:k]
             found_e, found_c = found_e[best], found_c[best]
-            worst = found_c[-1] if len(found_c) else 0.0
+            worst = found_c[-1] if len(found_c) >= k else 0.0
         return found_e, found_c
 
     def raw(self, e: np.ndarray, c: np.ndarray) -> float:
@@ -143,15 +140,26 @@ def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.
     return t, w / (norm or 1.0)
 
 
-def scored(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, most_terms: int = TERMS, apart: float = APART, least: int = LEAST, effect: float = EFFECT
-) -> DataFrame:
+def frequencies(n_terms: int):
+    """For ``mapInPandas``: in how many documents of the task each term is, a row per term and none per document."""
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(n_terms, np.int64)
+        for b in batches:
+            n += np.bincount(np.concatenate([np.empty(0, np.int64), *b["t"]]).astype(np.int64), minlength=n_terms)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"t": at, "n": n[at]})
+
+    return summed
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, most_terms: int = TERMS, apart: float = APART, least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of ``docs``.
 
     ``evidence`` lists the ids of the nearest toxic examples among the neighbours. The fit is
     bounded by ``sample`` documents of each label, ``most_terms`` terms, and the terms' limits
-    ``apart``, ``effect`` and ``least``; every text is scored. A text without any of the terms (null and
-    empty texts too) scores as the examples without any do. Repeated rows are scored each on
+    ``apart`` and ``least``; every text is scored, whatever its length. A text without any of the terms
+    (null and empty texts too) scores as the examples without any do. Repeated rows are scored each on
     their own; of several texts under one labelled id the first in order is the example. Without
     labelled rows all scores are alike. Other columns of ``docs`` aren't read, and of ``labels``
     only doc_id and toxic are, so their names don't matter.
@@ -166,14 +174,16 @@ def scored(
     examples = written(labelled(docs, labels, "toxic", sample), "examples")
     of = {r.y: r.n for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = of.get(0, 0), of.get(1, 0)
-    all_of = {r[0]: r[1] for r in labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("toxic").count().collect()}
+    train = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("y"))
+    known = train.join(docs.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi")  # labels of documents there are, each once
+    all_of = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("y").isin(0, 1)).collect()}
     weight_of = {y: max(1, all_of.get(y, 1)) / max(1, of.get(y, 1)) for y in (0, 1)}
     stats = examples.mapInPandas(termed, "y int, term array<string>").select("y", F.explode("term").alias("term"))  # terms of the sample only
     stats = stats.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("n1") + 0.5) / (n0 + 1.0)
     p = (F.col("n") + 1.0) / (n0 + n1 + 2.0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n1 + 1.0) + 1 / (n0 + 1.0)))
-    chosen = stats.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= max(apart, effect * math.sqrt(n0 + n1)))
+    chosen = stats.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= apart)
     best = [r.term for r in chosen.orderBy(F.desc("z"), "term").limit(most_terms).collect()]
     vocabulary = {t: k for k, t in enumerate(sorted(best))}
     shared = spark.sparkContext.broadcast(vocabulary)  # at most ``most_terms`` words
@@ -192,18 +202,10 @@ def scored(
                 n.append([x for _, x in items])
             yield pd.DataFrame({**{c: b[c] for c in b.columns if c != "text"}, "t": t, "n": n})
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """In how many documents of the task each term is: a row per term, none per document."""
-        n = np.zeros(len(shared.value), np.int64)
-        for b in batches:
-            n += np.bincount(np.concatenate([np.empty(0, np.int64), *b["t"]]).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"t": at, "n": n[at]})
-
     rows = written(docs.select("doc_id", "text").mapInPandas(counted, f"doc_id {kind}, t array<int>, n array<int>"), "counted")
     total = rows.count()
     df = np.zeros(len(vocabulary))
-    for r in rows.select("t").mapInPandas(summed, "t int, n bigint").groupBy("t").agg(F.sum("n")).collect():  # at most ``most_terms`` rows
+    for r in rows.select("t").mapInPandas(frequencies(len(vocabulary)), "t int, n bigint").groupBy("t").agg(F.sum("n")).collect():  # at most ``most_terms`` rows
         df[r[0]] = r[1]
     idf = np.log((1 + total) / (1 + df)) + 1
     vectors = examples.select(F.col("doc_id").alias("of_id"), "y", "text").mapInPandas(counted, f"of_id {kind}, y int, t array<int>, n array<int>")
