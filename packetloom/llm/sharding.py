@@ -2,7 +2,7 @@
 
 A store is a folder with ``data`` (immutable Parquet shards) and ``manifest`` (one folder per
 version: a table of the shards that make up that version). ``append`` writes arrivals as small
-shards without a shuffle. ``compact`` puts the shards of a version into tiers by size (all below
+shards without a shuffle, from tasks whose number follows the bytes and not the input's splits. ``compact`` puts the shards of a version into tiers by size (all below
 a sixteenth of the target are one tier), lines up each tier, cuts the line at the target size and
 rewrites every cut of at least ``FANOUT`` shards, or of half the target, as one shard, until no
 cut qualifies. A version is written under a temporary name and takes effect by one rename, which
@@ -29,12 +29,20 @@ ARRIVALS = 8
 KEPT = 2
 #: A shard of an arrival is closed at this many rows.
 ARRIVAL_ROWS = 100_000
+#: An append has at most this many writing tasks, or one for each ``WRITER_BYTES`` if that is more.
+WRITERS = 64
+WRITER_BYTES = 4 * TARGET_BYTES
 MANIFEST = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("arrival", T.StringType()),
     T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("version", T.LongType()),
 ])
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that needs no Python worker."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -55,7 +63,7 @@ class Store:
         """The shards of a version, the latest by default; none before the first commit."""
         version = max(self.versions(), default=0) if version is None else version
         if not version:
-            return self.spark.createDataFrame([], MANIFEST)
+            return no_rows(self.spark, MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v{version:08d}")
 
     def commit(self, shards: DataFrame, version: int) -> None:
@@ -68,12 +76,12 @@ class Store:
         """All rows of a version with their shard's path in the column ``self.shard``."""
         paths = [r.path for r in self.manifest(version).select("path").collect()]  # one per shard, as Spark's own listing
         if not paths:
-            return self.spark.createDataFrame([], self.schema).withColumn(self.shard, F.lit(None).cast("string"))
+            return no_rows(self.spark, self.schema).withColumn(self.shard, F.lit(None).cast("string"))
         return self.spark.read.schema(self.schema).parquet(*paths).withColumn(self.shard, F.col("_metadata.file_path"))
 
     @property
     def shard(self) -> str:
-        return fresh(self.spark.createDataFrame([], self.schema), "shard_path")
+        return fresh(no_rows(self.spark, self.schema), "shard_path")
 
     def _listed(self, folder: str, by: str, version: int) -> DataFrame:
         """Manifest rows of the files that one write left in ``folder``."""
@@ -88,11 +96,18 @@ class Store:
         return folder
 
     def append(self, rows: DataFrame, arrival: Column) -> None:
-        """Commit a version with the rows added, as the small shards of each arrival."""
+        """Commit a version with the rows added, as the small shards of each arrival.
+
+        Splits are put together without a shuffle (never taken apart), so an append leaves at
+        most as many files as writing tasks times arrivals, beside those that ``ARRIVAL_ROWS`` closes.
+        """
         version = max(self.versions(), default=0) + 1
         name = fresh(rows, "arrival")
-        folder = self._write(rows.withColumn(name, arrival), "arrival")
-        self.commit(self.manifest(version - 1).unionByName(self._listed(folder, name, version)) if not rows.isEmpty() else self.manifest(version - 1), version)
+        n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(f"`{self.size}`")), F.lit(0))).first()
+        if not n:
+            return self.commit(self.manifest(version - 1), version)
+        folder = self._write(rows.withColumn(name, arrival).coalesce(max(WRITERS, -(-total // WRITER_BYTES))), "arrival")
+        self.commit(self.manifest(version - 1).unionByName(self._listed(folder, name, version)), version)
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> None:
         """Merge similarly sized shards towards the target size, a version for each round."""

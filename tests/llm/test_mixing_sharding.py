@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -150,3 +151,36 @@ def test_readers_of_the_version_before_are_served(spark):
     store.append(df, F.lit("more"))
     store.vacuum(keep=1)
     assert store.versions() == [3] and store.rows().count() == 4000
+
+
+def test_files_of_an_append_do_not_follow_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "WRITERS", 3)
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"), F.lit(100).cast("long").alias("b"))
+    for splits in (12, 40):
+        store = sharding.Store(spark, sharding.new_path(spark, "store"), df.schema, "b")
+        store.append(df.repartition(splits), F.col("doc_id") % 4)
+        assert store.manifest().count() <= 3 * 4 and store.rows().count() == 1200
+    monkeypatch.setattr(sharding, "WRITER_BYTES", 10_000)  # 120,000 bytes: twelve tasks
+    store = sharding.Store(spark, sharding.new_path(spark, "store"), df.schema, "b")
+    store.append(df.repartition(40), F.lit("day"))
+    assert store.manifest().count() == 12 and store.rows().count() == 1200
+
+
+def test_an_empty_append_is_a_version_of_its_own(spark):
+    df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).cast("long").alias("b"))
+    store = sharding.Store(spark, sharding.new_path(spark, "store"), df.schema, "b")
+    store.append(df, F.lit("day"))
+    store.append(df.limit(0), F.lit("none"))
+    assert store.versions() == [1, 2] and store.rows().count() == 10
+
+
+def test_store_runs_without_python_workers(spark):
+    """All statements of an append, a compaction and a read are column functions."""
+    status = spark._jsparkSession.sharedState().statusStore()
+    before = status.executionsCount()
+    rows, store = sharding.shard(spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text")), target=100_000)
+    rows.count()
+    found = status.executionsList()
+    plans = [found.apply(k).physicalPlanDescription() for k in range(found.size())][before:]
+    assert len(plans) > 5 and any("InsertIntoHadoopFs" in p for p in plans)
+    assert not [p for p in plans if re.search("Python|Pandas|ArrowEval", p)]
