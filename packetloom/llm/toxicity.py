@@ -28,9 +28,11 @@ from packetloom.llm.line_quality import labelled
 
 #: Most labelled documents of each label.
 SAMPLE = 4000
-#: Most terms, and how many standard errors apart the labels' shares must be for each.
+#: Most terms, how many standard errors apart the labels' shares must be for each, and how
+#: closely its presence must go with the label (a correlation), which doesn't grow with the sample.
 TERMS = 20_000
 APART = 4.0
+EFFECT = 0.07
 #: In how many examples a term must be.
 LEAST = 6
 NEAREST = 15
@@ -153,12 +155,12 @@ def frequencies(n_terms: int):
     return summed
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, most_terms: int = TERMS, apart: float = APART, least: int = LEAST) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, most_terms: int = TERMS, apart: float = APART, least: int = LEAST, effect: float = EFFECT) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of ``docs``.
 
     ``evidence`` lists the ids of the nearest toxic examples among the neighbours. The fit is
     bounded by ``sample`` documents of each label, ``most_terms`` terms, and the terms' limits
-    ``apart`` and ``least``; every text is scored, whatever its length. A text without any of the terms
+    ``apart``, ``effect`` and ``least``; every text is scored, whatever its length. A text without any of the terms
     (null and empty texts too) scores as the examples without any do. Repeated rows are scored each on
     their own; of several texts under one labelled id the first in order is the example. Without
     labelled rows all scores are alike. Other columns of ``docs`` aren't read, and of ``labels``
@@ -183,7 +185,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("n1") + 0.5) / (n0 + 1.0)
     p = (F.col("n") + 1.0) / (n0 + n1 + 2.0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / (n1 + 1.0) + 1 / (n0 + 1.0)))
-    chosen = stats.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= apart)
+    chosen = stats.filter(F.col("n") >= least).withColumn("z", F.abs(z)).filter(F.col("z") >= max(apart, effect * math.sqrt(n0 + n1)))
     best = [r.term for r in chosen.orderBy(F.desc("z"), "term").limit(most_terms).collect()]
     vocabulary = {t: k for k, t in enumerate(sorted(best))}
     shared = spark.sparkContext.broadcast(vocabulary)  # at most ``most_terms`` words
