@@ -35,7 +35,7 @@ columns("fn_from_unix", "ev", "event_id", {"us": "CAST(round(t * 1e6) AS BIGINT)
 columns("fn_j2000", "ev", "event_id", {"s": R("t - 946728000")}, lambda: {"s": times.j2000(c("t"))})
 columns("fn_parse_dt", "ev", "event_id",
         {"s": "CAST(epoch(strptime(strftime(make_timestamp(CAST(t AS BIGINT) * 1000000), '%Y-%jT%H:%M:%S'), '%Y-%jT%H:%M:%S')) AS BIGINT)"},
-        lambda: {"s": F.unix_seconds(times.parse_datetime(F.date_format(F.timestamp_seconds(F.round(c("t")).cast("long")), "yyyy-DDD'T'HH:mm:ss")))})
+        lambda: {"s": F.unix_seconds(times.parse_datetime(F.date_format(F.timestamp_seconds(F.rint(c("t")).cast("long")), "yyyy-DDD'T'HH:mm:ss")))})
 _LEAPS = " + ".join(f"CAST(u >= {x} AS DOUBLE)" for x in times.LEAP_SECONDS)
 _EPOCH = f"CASE k % 4 WHEN 0 THEN u WHEN 1 THEN u + 32.184 WHEN 2 THEN u ELSE u + {_LEAPS} - 1072958367.816 END"
 columns("fn_epoch_j2000", "ev", "event_id", {"s": R(_EPOCH.replace("u", "(value * 1.3e7)"))},
