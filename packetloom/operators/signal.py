@@ -427,7 +427,7 @@ def phase_shift(x: np.ndarray, y: np.ndarray, dt: float, period: float) -> tuple
     full = np.fft.irfft(np.fft.rfft(u, size) * np.conj(np.fft.rfft(v, size)), size)
     r = np.concatenate([full[size - len(u) + 1 :], full[: len(u)]])
     delay = (int(np.argmax(r)) - (len(u) - 1)) * dt
-    return delay, (delay / period * 360.0) % 360.0
+    return delay, (delay * 360.0 / period) % 360.0  # whole degrees stay whole
 
 
 def running_phase(x: np.ndarray, y: np.ndarray, window: int, step: int, period: float) -> list[tuple[int, float]]:
