@@ -13,6 +13,9 @@ DIPOLE_MOMENT = 380.0
 FLATTENING = 0.09796
 MU0 = 1.25663706127e-6
 LIGHT = 299792458.0
+#: 45 and 135 degrees as doubles, what these doubles lack, and how near a diagonal counts as about it.
+DIAGONALS = ((0.7853981633974483, 3.061616997868383e-17), (2.356194490192345, 9.184850993605148e-17))
+ABOUT = 2.0**-20
 
 Vector = tuple[Column, Column, Column]
 
@@ -72,9 +75,28 @@ def lt_to_phi(lt: Column) -> Column:
     return (lt - 12.0) / 12.0 * pi
 
 
+def azimuth(x: Column, y: Column) -> Column:
+    """``atan2(y, x)``, about the diagonals rounded correctly.
+
+    There hours of local time begin, so a last digit that Java's function has wrong can put a
+    position into another one. The difference of the two lengths is exact there, so the angle from
+    the diagonal is a small number of full precision, and only its sum is rounded.
+    """
+    a, b = F.abs(x), F.abs(y)
+    u = F.try_divide(b - a, a + b)
+    off = u - u * u * u / 3
+    (near, near_rest), (far, far_rest) = DIAGONALS
+    size = F.when(x > 0, near + (near_rest + off)).otherwise(far + (far_rest - off))
+    return F.when(F.abs(u) < ABOUT, F.when(y < 0, -size).otherwise(size)).otherwise(F.atan2(y, x))
+
+
 def local_time(x: Column, y: Column) -> Column:
-    """Hours in [0, 24), noon along +x."""
-    return F.pmod(12.0 + F.atan2(y, x) * 12.0 / pi, F.lit(24.0))
+    """Hours in [0, 24), noon along +x.
+
+    A turn is added to all and not to negative ones only, so that a time just short of an hour is
+    rounded to it whatever the quadrant.
+    """
+    return ((12.0 + azimuth(x, y) * 12.0 / pi) % 24.0 + 24.0) % 24.0
 
 
 def _offset(x: Column, y: Column, z: Column, offset: float) -> tuple[Column, Column]:

@@ -107,3 +107,38 @@ def test_nan_is_null_and_columns_are_required(spark):
     assert one(spark, clean(F.lit(float("nan"))))[0] is None
     with pytest.raises(ValueError, match="b"):
         require_columns(spark.range(1).toDF("a"), "a", "b")
+
+
+def test_local_time_on_the_diagonals(spark):
+    """Positions on a diagonal but for the last digits of their difference stand in the hour that begins there, as in SQL."""
+    import duckdb
+
+    v = [(v / 100, k) for v in range(1020, 3040) for k in range(100) if abs(abs(v / 100 - 20.3) - abs(k / 5 - 10.1)) < 1e-9]
+    df = spark.createDataFrame(v, "v double, k int").select("v", "k", (F.col("v") - 20.3).alias("x"), (F.col("k") / 5.0 - 10.1).alias("y"))
+    got = {(r.v, r.k): (r.lt, r.a) for r in df.select("v", "k", coords.local_time(F.col("x"), F.col("y")).alias("lt"), coords.azimuth(F.col("x"), F.col("y")).alias("a")).collect()}
+    pairs = ", ".join(f"({a!r}::DOUBLE, {k})" for a, k in v)
+    want = duckdb.sql(f"SELECT v, k, ((12 + atan2(y, x) * 12 / pi()) % 24 + 24) % 24, atan2(y, x) FROM (SELECT v, k, v - 20.3 AS x, k / 5.0 - 10.1 AS y FROM (VALUES {pairs}) t(v, k))").fetchall()
+    assert len(want) > 150 and got == {(a, k): (lt, at) for a, k, lt, at in want}
+
+
+def test_a_half_second_is_parsed_to_the_even_one(spark, tmp_path):
+    import datetime
+
+    from packetloom.plans import catalogue
+
+    t = [datetime.datetime(2024, 1, 1, 0, 0, s, 500000) for s in (0, 1, 2, 3)]
+    rows = [(i, x, 1, "view", 1.0, '{"k": 1}') for i, x in enumerate(t)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.s - 1704067200 for r in catalogue.queries()["fn_parse_dt"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 3: 4}
+
+
+def test_phase_is_six_degrees_a_minute_of_lag():
+    import numpy as np
+
+    from packetloom.operators import signal
+
+    for lag in range(60):  # a pulse that comes later by the lag
+        x, y = np.zeros(512), np.zeros(512)
+        y[200], x[200 + lag] = 1.0, 1.0
+        assert signal.phase_shift(x, y, 60.0, 3600.0) == (lag * 60.0, (lag * 6.0) % 360)
