@@ -87,3 +87,47 @@ def test_odd_lines_and_missing_files(spark, tmp_path):
         sf.opened_uri("dbfs:/x")
     assert sf.opened_uri("s3a://b/k") == "s3://b/k" and sf.opened_uri("file:/a/b") == "file:///a/b"
     assert sf.read_time("2005-000T00:00:00") is None and sf.read_time("2005-032T01:02:03.5") == datetime.datetime(2005, 2, 1, 1, 2, 3, 500000) and sf.read_time("2005-01-01T01:00:00+01:00") == T0
+
+
+@pytest.mark.parametrize("resolution", [None, 120.0, 200.0])
+@pytest.mark.parametrize("span", [None, (3, 20)])
+def test_parts_of_a_folder_are_one_table(spark, tmp_path, resolution, span):
+    """Lines are numbered, thinned and cut off through the parts as in one file, whatever the first part holds."""
+    (tmp_path / "whole").mkdir()
+    write(tmp_path / "whole" / "2005_A.TAB", range(40))
+    lines = (tmp_path / "whole" / "2005_A.TAB").read_text().splitlines(keepends=True)
+    for y in ("year=2005", "year=2006"):
+        (tmp_path / "parts" / y).mkdir(parents=True)
+        for k, (a, b) in enumerate([(0, 1), (1, 1), (1, 14), (14, 29), (29, 40)]):
+            (tmp_path / "parts" / y / f"part-{k}.txt").write_text("".join(lines[a:b]))
+    first, last = (T0 + datetime.timedelta(minutes=m) for m in span) if span else (None, None)
+    df = sf.read_series(spark, str(tmp_path / "parts"), "KSM", first and first.isoformat(), last and last.isoformat(), resolution_s=resolution, layout="folder")
+    want = sorted(x[1:] for x in plain(tmp_path / "whole" / "2005_A.TAB", first, last, resolution))
+    years = ["year=2005"] if span else ["year=2005", "year=2006"]
+    for y in years:
+        assert sorted((r.line, r.ts) for r in df.filter(df.file.contains(y)).select("line", "ts").collect()) == want
+    assert df.rdd.getNumPartitions() == 5 * len(years)
+
+
+def test_tables_under_headings_in_one_file(spark, tmp_path):
+    """Each table goes by its own step and ends by itself; a file may hold any number of them."""
+    of = lambda minutes: "".join(f"{(T0 + datetime.timedelta(minutes=m)).isoformat()} {m} 2 3 4 5 6 7\\n" for m in minutes)
+    (tmp_path / "a.txt").write_text("# 17\\n" + of(range(10)) + "# 18\\n# 19\\n" + of([0, 5, 10, 15]) + "# 19\\n" + of([3]))
+    (tmp_path / "b.txt").write_text(of([1, 2]))
+    got = lambda **k: sorted(((r.table or ""), r.line, r.bx) for r in sf.read_series(spark, str(tmp_path), "KSM", layout="headed", **k).collect())
+    assert got(resolution_s=240.0) == [("", 0, 1.0), ("17", 0, 0.0), ("17", 4, 4.0), ("17", 8, 8.0), ("19", 0, 0.0), ("19", 0, 3.0), ("19", 1, 5.0), ("19", 2, 10.0), ("19", 3, 15.0)]
+    assert got(date_from="2005-01-01T00:03:00", date_to="2005-01-01T00:05:00") == [("17", 3, 3.0), ("17", 4, 4.0), ("17", 5, 5.0), ("19", 0, 3.0), ("19", 1, 5.0)]
+
+
+def test_files_follow_the_rows_and_not_the_segments(spark, tmp_path):
+    from packetloom.sources import tables
+
+    rows = spark.range(4000).selectExpr("id AS event_id", "id % 1000 AS user_id", "cast(-id AS double) AS t")
+    tables.write_segments(rows, str(tmp_path / "s"), "user_id", ["t", "event_id"])
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert len(back.inputFiles()) <= 4 and back.count() == 4000
+    at = back.selectExpr("user_id", "t", "_metadata.file_path AS f").collect()
+    assert len({(r.user_id, r.f) for r in at}) == 1000
+    for f in {r.f for r in at}:
+        own = [(r.user_id, r.t) for r in at if r.f == f]
+        assert own == sorted(own)
