@@ -111,8 +111,8 @@ def test_parts_of_a_folder_are_one_table(spark, tmp_path, resolution, span):
 
 def test_tables_under_headings_in_one_file(spark, tmp_path):
     """Each table goes by its own step and ends by itself; a file may hold any number of them."""
-    of = lambda minutes: "".join(f"{(T0 + datetime.timedelta(minutes=m)).isoformat()} {m} 2 3 4 5 6 7\\n" for m in minutes)
-    (tmp_path / "a.txt").write_text("# 17\\n" + of(range(10)) + "# 18\\n# 19\\n" + of([0, 5, 10, 15]) + "# 19\\n" + of([3]))
+    of = lambda minutes: "".join(f"{(T0 + datetime.timedelta(minutes=m)).isoformat()} {m} 2 3 4 5 6 7\n" for m in minutes)
+    (tmp_path / "a.txt").write_text("# 17\n" + of(range(10)) + "# 18\n# 19\n" + of([0, 5, 10, 15]) + "# 19\n" + of([3]))
     (tmp_path / "b.txt").write_text(of([1, 2]))
     got = lambda **k: sorted(((r.table or ""), r.line, r.bx) for r in sf.read_series(spark, str(tmp_path), "KSM", layout="headed", **k).collect())
     assert got(resolution_s=240.0) == [("", 0, 1.0), ("17", 0, 0.0), ("17", 4, 4.0), ("17", 8, 8.0), ("19", 0, 0.0), ("19", 0, 3.0), ("19", 1, 5.0), ("19", 2, 10.0), ("19", 3, 15.0)]
