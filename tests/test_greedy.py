@@ -85,3 +85,31 @@ def test_registered_query_is_one_pass_over_the_whole_table(spark):
     rows = [tuple(r) for r in sparse_catalogue(spark, d).select("t", "event_id", "period_min", "q_factor").collect()]
     got = {r.event_id for r in catalogue.queries()["win_dedup_catalogue"](spark, d).filter("is_duplicate").collect()}
     assert got == one_pass(rows, 7200.0, 0.10) and got
+
+
+@pytest.mark.parametrize("tol", [0.0, 0.02, 0.10, 0.6, 1.5])
+def test_window_by_period_walks_as_the_loop_does(tol):
+    """Dense, repeated, tiny, huge and missing periods, against the row by row walk back."""
+    rng = random.Random(int(tol * 100))
+    odd = [1e-9, 1e-7, 1e-6, 1e13, math.nan]
+    rows = sorted((float(rng.randrange(0, 40_000, 20)), i, rng.choice(odd) if i % 29 == 0 else math.exp(rng.uniform(-3, 7)) if i % 3 else round(rng.uniform(10, 40)) * 1.0, round(rng.uniform(3, 8), 1)) for i in range(4000))
+    rule = greedy.Duplicates(3000.0, tol)
+    held, kept = rule.begin([]), []
+    for n, row in enumerate(rows):
+        kept += rule.take(held, *row)
+        if n % 500 == 0:
+            held = rule.begin([list(x) for x in rule.state(held)])  # as it is handed on
+    assert set(kept) | set(rule.rest(held)) == {r[1] for r in rows} - one_pass(rows, 3000.0, tol)
+
+
+def test_ranges_last_many_windows_however_dense_the_rows_are(spark, monkeypatch):
+    """The rounds of the walk don't grow with the rows: a range isn't shorter than what a walk takes to forget its beginning."""
+    from packetloom.operators import joins
+
+    asked = []
+    ranges = joins.ranges
+    monkeypatch.setattr(joins, "ROWS_PER_PART", 10)
+    monkeypatch.setattr(joins, "ranges", lambda x, order, n: asked.append(n) or ranges(x, order, n))
+    rows = [(t * 10.0, t, 60.0 + t % 7 * 20, 1.0 + t % 5) for t in range(2000)]
+    assert found(spark.createDataFrame(rows, COLS), 50.0, 0.10) == one_pass(rows, 50.0, 0.10)
+    assert asked == [math.ceil(2000 * greedy.WINDOWS * 50 / 19_990)]
