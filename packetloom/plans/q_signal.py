@@ -14,7 +14,7 @@ from packetloom.operators import stats, tracing
 from packetloom.operators.ordered import numbered, stride
 from packetloom.plans.q_stats import SIG, signal
 from packetloom.plans.registry import ev, pos, query, table
-from packetloom.session import scratch
+from packetloom.session import scratch, staged
 
 c = F.col
 DT = 60.0
@@ -461,5 +461,6 @@ def enr_peak_trace(spark: SparkSession, d: str) -> DataFrame:
 
     first = F.min_by(F.struct("x", "y", "z"), F.struct("id", "n")).alias("p")
     samples = pos(spark, d).filter("t IS NOT NULL").groupBy(c("t").alias("ct")).agg(first).select("ct", "p.x", "p.y", "p.z")  # one row a day
-    near = nearest(ev(spark, d).select("event_id", "t"), samples, "t", "ct")
-    return tracing.enrich(near.select("event_id", "x", "y", "z")).select("event_id", F.when(c("z") < 0, c("lat_south")).otherwise(c("lat_north")).alias("inv_lat"), "apex", "closed")
+    # a sample that is nearest to many events is traced once
+    traced = staged(tracing.enrich(samples).select("ct", F.when(c("z") < 0, c("lat_south")).otherwise(c("lat_north")).alias("inv_lat"), "apex", "closed"), "traced")
+    return nearest(ev(spark, d).select("event_id", "t"), traced, "t", "ct").select("event_id", "inv_lat", "apex", "closed")
