@@ -5,7 +5,7 @@ to need one task. Here the order is dealt into ranges, and all ranges are walked
 from nothing. Then every range compares what it began with and what the range before it handed
 on; where they differ it is walked again from the latter. That ends at the latest after as many
 rounds as there are ranges, and in two or three as soon as what a pass holds no longer shows
-where it began, which a gap, or enough rows for its window to fill, brings about. What is handed
+where it began, which a gap brings about; dense rows alone may never do so. What is handed
 on is the window's content only. For that, ranges last many windows, however dense the rows are:
 a task reads its rows one after another and holds one window of them.
 """
