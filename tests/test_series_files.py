@@ -165,3 +165,20 @@ def test_headed_files_follow_the_rows_and_nulls_stay_null(spark, tmp_path, monke
     same_as_sql(spark, "src_tab_resolution", tmp_path)
     sizes = lines_of_files(tmp_path / "made")
     assert sum(sizes) == 3060 and len(sizes) > 12 and max(sizes) < 600
+
+
+@pytest.mark.parametrize("name", ["src_select", "src_tab_read"])
+def test_parts_follow_the_rows_and_nulls_stay_null(spark, tmp_path, monkeypatch, name):
+    """6000 lines at 300 a file are about 20 ranges of time, whatever the session's number of partitions; a null leaves no gap in a line."""
+    import duckdb
+
+    from packetloom.plans import q_sources
+
+    duckdb.execute(f"""COPY (SELECT i AS l_orderkey, i % 200 AS l_partkey, CASE WHEN i % 17 = 0 THEN NULL ELSE i % 10 END AS l_suppkey, CAST(1 + i % 7 AS INTEGER) AS l_linenumber,
+        CASE WHEN i % 13 = 0 THEN NULL ELSE CAST(i % 50 AS DOUBLE) END AS l_quantity, CAST(i AS DOUBLE) AS l_extendedprice, 0.05 AS l_discount, 0.02 AS l_tax,
+        CASE WHEN i % 97 = 5 THEN NULL ELSE TIMESTAMP '1995-11-01' + to_days(CAST(i % 600 AS INTEGER)) END AS l_shipdate FROM range(6000) r(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    monkeypatch.setattr(q_sources, "LINES_PER_FILE", 300, raising=False)
+    monkeypatch.setattr(q_sources, "scratch", lambda s, label: str(tmp_path / "made"))
+    same_as_sql(spark, name, tmp_path)
+    sizes = lines_of_files(tmp_path / "made")
+    assert sum(sizes) == 6000 and len(sizes) >= 15 and max(sizes) < 900
