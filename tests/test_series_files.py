@@ -182,3 +182,14 @@ def test_parts_follow_the_rows_and_nulls_stay_null(spark, tmp_path, monkeypatch,
     same_as_sql(spark, name, tmp_path)
     sizes = lines_of_files(tmp_path / "made")
     assert sum(sizes) == 6000 and len(sizes) >= 15 and max(sizes) < 900
+
+
+def test_parts_are_counted_by_their_whole_path(spark, tmp_path):
+    """Folders of one name under several roots keep their own numbers of lines."""
+    for root, lines in (("a", 5), ("d+e", 3)):
+        (tmp_path / root / "year=2005").mkdir(parents=True)
+        for k in range(3):
+            write(tmp_path / root / "year=2005" / f"part-{k}.txt", range(k * lines, (k + 1) * lines))
+    rows = sf.read_series(spark, f"{tmp_path}/*", "KSM", resolution_s=120.0, layout="folder").collect()
+    assert sorted((r.line, r.bx) for r in rows if "d+e" in r.file) == [(n, float(n)) for n in range(0, 9, 2)]
+    assert sorted((r.line, r.bx) for r in rows if "d+e" not in r.file) == [(n, float(n)) for n in range(0, 15, 2)]
